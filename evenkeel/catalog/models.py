@@ -1 +1,140 @@
-"""Queries."""
+"""Queries over model fits. Iterative fits have no SQL twin and are tested against
+numerical references instead; the least-squares ones do."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evenkeel.catalog.registry import query, r, rnd
+from evenkeel.catalog.views import edges_v, samples, scored, table, with_ctes
+from evenkeel.operators.frames import feature_sets
+from evenkeel.operators.splits import stratified_holdout
+from evenkeel.plans.models import (
+    baseline_fit,
+    fit_model,
+    fit_pca,
+    gaussian_glm,
+    predictions,
+    reduced_grid_search,
+)
+from evenkeel.plans.runs import estimate_associations, run_matrix
+
+
+@query("glm_two_predictor", f"""WITH g AS (SELECT l_returnflag, count(*) AS n, covar_pop(l_quantity, l_quantity) AS s11, covar_pop(l_quantity, l_discount) AS s12, covar_pop(l_discount, l_discount) AS s22,
+  covar_pop(l_quantity, l_extendedprice) AS c1, covar_pop(l_discount, l_extendedprice) AS c2, var_pop(l_extendedprice) AS vy FROM lineitem GROUP BY 1),
+ b AS (SELECT *, (s22 * c1 - s12 * c2) / (s11 * s22 - s12 * s12) AS b1, (s11 * c2 - s12 * c1) / (s11 * s22 - s12 * s12) AS b2, s11 * s22 - s12 * s12 AS det FROM g),
+ v AS (SELECT *, n * (vy - b1 * c1 - b2 * c2) / (n - 3) AS s2, 1 - (vy - b1 * c1 - b2 * c2) / vy AS r2 FROM b)
+ SELECT l_returnflag, 'l_quantity' AS feature, {r('b1', 3)} AS coef, {r('sqrt(s2 * s22 / det / n)', 3)} AS stderr, {r('r2', 5)} AS pseudo_r2 FROM v
+ UNION ALL SELECT l_returnflag, 'l_discount', {r('b2', 3)}, {r('sqrt(s2 * s11 / det / n)', 3)}, {r('r2', 5)} FROM v""")
+def glm_two_predictor(spark, d):
+    out = gaussian_glm(table(spark, d, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice", ["l_returnflag"])
+    return out.select("l_returnflag", "feature", rnd("coef", 3).alias("coef"), rnd("stderr", 3).alias("stderr"),
+                      rnd("pseudo_r2", 5).alias("pseudo_r2"))
+
+
+@query("glm_gated", f"""WITH g AS (SELECT event_type, covar_pop(user_id, value) AS c, var_pop(user_id) AS s, var_pop(value) AS v, count(*) AS n FROM events GROUP BY 1)
+ SELECT event_type, 'user_id' AS feature, {r('CASE WHEN abs(c / s) / sqrt((v - c * c / s) / (n - 2) / s) < 1.959963984540054::DOUBLE THEN 0 ELSE c / s END')} AS coef FROM g""")
+def glm_gated(spark, d):
+    ev = table(spark, d, "events")
+    return gaussian_glm(ev, ["user_id"], "value", ["event_type"], gate=True).select(
+        "event_type", "feature", rnd("coef").alias("coef"))
+
+
+@query("run_matrix", with_ctes("edges_v").rstrip() + """, sets AS (SELECT DISTINCT list_sort(list(child)) AS f FROM edges_v WHERE NOT (contains(child, 'cov_') OR contains(child, 'lbl_')) GROUP BY parent
+  UNION SELECT DISTINCT list_sort(list(child)) FROM edges_v WHERE contains(child, 'cov_') OR contains(child, 'lbl_') GROUP BY parent),
+ named AS (SELECT CASE WHEN starts_with(f[1], 'attr') THEN 'attr_' ELSE '' END || array_to_string(f, ', ') AS inp, f FROM sets)
+ SELECT lbl AS out, inp, len(list_filter(f, lambda x: x <> lbl))::BIGINT AS n, typ AS type, trial FROM named, (VALUES ('lbl_F'), ('lbl_O')) l(lbl),
+ (VALUES ('baseline'), ('downsample[cov_site]')) t(typ), (SELECT unnest(range(0, 3)) AS trial) WHERE NOT (len(f) = 1 AND f[1] = lbl)""")
+def run_matrix_query(spark, d):
+    sets = feature_sets(edges_v(spark, d), ["attr_subsets", "cov_subsets"])
+    runs = run_matrix(sets, ["lbl_F", "lbl_O"], {"downsample": ["cov_site"]}, 3)
+    return runs.select("out", "inp", F.size("features").cast("bigint").alias("n"), "type", "trial")
+
+
+def _train_test(spark, d):
+    df = stratified_holdout(scored(spark, d), "y", "id", 0.2)
+    return df.where(F.col("part") == "train"), df.where(F.col("part") == "test")
+
+
+def _classifier(kind, params=None, features=("z", "bal", "segment")):
+    def run(spark, d):
+        train, test = _train_test(spark, d)
+        fitted = fit_model(train, list(features), "y", kind, params or {}, regression=False, seed=1)
+        pred = predictions(fitted, {"train": train, "test": test}, "id")
+        return pred.groupBy("eval_set").agg(
+            F.count(F.lit(1)).alias("n"), F.avg((F.col("y") == (F.col("p") > 0.5).cast("int")).cast("double")).alias("accuracy"))
+
+    return run
+
+
+query("fit_logistic")(_classifier("LR"))
+query("fit_logistic_l1")(_classifier("LR", {"penalty": "l1", "C": 0.1}))
+query("fit_linear_svm")(_classifier("SVM", {"max_iter": 20}))
+query("fit_forest")(_classifier("RF", {"n_estimators": 20, "max_depth": 5}))
+query("fit_perceptron")(_classifier("MLP", {"hidden_layer_sizes": (8,), "max_iter": 20}, ("z", "bal")))
+
+
+@query("coefficient_table")
+def coefficient_table(spark, d):
+    train, _ = _train_test(spark, d)
+    return fit_model(train, ["z", "bal", "segment"], "y", "LR", regression=False).coefficient_table(spark)
+
+
+RIDGE_SQL = f"""WITH s AS (SELECT (l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER () AS x, l_extendedprice AS y FROM lineitem)
+ SELECT 'l_quantity' AS feature, {r('covar_pop(x, y) / (var_pop(x) + 0.5)', 2)} AS coef FROM s"""
+
+
+@query("fit_ridge", RIDGE_SQL)
+def fit_ridge(spark, d):
+    fitted = fit_model(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice", "LR", {"C": 2.0}, regression=True)
+    return fitted.coefficient_table(spark).withColumn("coef", rnd("coef", 2))
+
+
+@query("fit_lasso", RIDGE_SQL.replace("covar_pop(x, y) / (var_pop(x) + 0.5)", "greatest(covar_pop(x, y) - 100.0, 0) / var_pop(x)"))
+def fit_lasso(spark, d):
+    params = {"penalty": "l1", "alpha": 100.0}
+    fitted = fit_model(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice", "LR", params, regression=True)
+    return fitted.coefficient_table(spark).withColumn("coef", rnd("coef", 2))
+
+
+@query("fit_forest_regressor")
+def fit_forest_regressor(spark, d):
+    train, test = _train_test(spark, d)
+    fitted = fit_model(train, ["bal", "segment", "p"], "price", "RF", {"n_estimators": 20}, regression=True, seed=1)
+    return fitted.predict(test, "pred").agg(F.corr("pred", "price").alias("corr"))
+
+
+@query("baseline_fit")
+def baseline_fit_query(spark, d):
+    return baseline_fit(scored(spark, d), ["segment"], "y", "price", "id")
+
+
+def _vectors(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").cast("double").alias("label"))
+    return stratified_holdout(v, "label", "vec_id", 0.2)
+
+
+@query("pca_variances")
+def pca_variances(spark, d):
+    v = _vectors(spark, d)
+    project = fit_pca(v.where(F.col("part") == "train"), "embedding", 3)
+    cells = project(v).select("part", F.posexplode("pca").alias("component", "x"))
+    return cells.groupBy("part", "component").agg(F.var_samp("x").alias("variance"))
+
+
+@query("grid_search_logistic")
+def grid_search(spark, d):
+    v = _vectors(spark, d)
+    train, test = v.where(F.col("part") == "train"), v.where(F.col("part") == "test")
+    return reduced_grid_search(train, {"train": train, "test": test}, "embedding", "label", [3], [0.1, 1.0], 2)
+
+
+@query("estimate_associations")
+def estimate_associations_query(spark, d):
+    df = samples(spark, d).select("id", "status", "segment", "priority", "price", "bal")
+    df = df.withColumn("lbl", F.when(F.col("status") == "F", "yes").otherwise("no"))
+    scores, _ = estimate_associations(
+        df, "id", ["lbl"], {"attr_all": ["price", "bal"], "cov_all": ["priority"]},
+        {"test_all": df.withColumn("price", F.col("price") * 1.1)},
+        {"downsample": ["segment"]}, metrics=("balanced_accuracy", "d2", "logodds_r2"), folds=2)
+    return scores

@@ -126,6 +126,8 @@ class Scaler:
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> Scaler:
+    if not cols:
+        return Scaler({}, {})
     row = df.agg(
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
         *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)],
@@ -142,11 +144,18 @@ def varying_columns(df: DataFrame, cols: Sequence[str], threshold: float = 0.0)
     return [c for i, c in enumerate(cols) if (row[f"v{i}"] or 0.0) > threshold]
 
 
-def varying_elements(df: DataFrame, vec: str, width: int, threshold: float = 0.0) -> list[int]:
-    """Indexes of array elements that vary; the array is aggregated in place."""
-    cols = [F.var_pop(F.col(vec)[i]).alias(f"v{i}") for i in range(width)]
-    row = df.agg(*cols).first()
-    return [i for i in range(width) if (row[f"v{i}"] or 0.0) > threshold]
+def element_variances(df: DataFrame, vec: str) -> DataFrame:
+    """(element, variance) of an array column; partial sums merge before the shuffle, so
+    only one row per element and task moves."""
+    cells = df.select(F.posexplode(vec).alias("element", "__v"))
+    return cells.groupBy(F.col("element").cast("bigint").alias("element")).agg(
+        F.var_pop(F.col("__v").cast("double")).alias("variance")
+    )
+
+
+def varying_elements(df: DataFrame, vec: str, threshold: float = 0.0) -> DataFrame:
+    """Indexes of array elements whose population variance exceeds the threshold."""
+    return element_variances(df, vec).where(F.col("variance") > threshold).select("element")
 
 
 def polynomial(

@@ -201,7 +201,8 @@ def counterfactual_subsets(sources: DataFrame, name: str = "source") -> DataFram
         raise ContractError(f"2^n subsets: at most {MAX_SOURCES} sources")
     arr = F.array(*[F.lit(s) for s in sorted(names)])
     masks = sources.sparkSession.range(0, 2**n).withColumn(
-        "keep", F.filter(arr, lambda _, i: F.col("id").bitwiseAND(F.shiftleft(F.lit(1), i)) != 0)
+        "keep",
+        F.filter(arr, lambda _, i: F.call_function("shiftright", F.col("id"), i) % 2 == 1),
     )
     split = (
         F.when(F.size("keep") == 0, "test_none")

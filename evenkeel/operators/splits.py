@@ -35,8 +35,8 @@ def stratified_kfold(
 
 def fold_parts(df: DataFrame, k: int, fold: str = "fold") -> DataFrame:
     """One row per (row, trial) with ``part`` = 'test' in its own fold, else 'train'."""
-    trials = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    out = df.withColumn("trial", trials.cast("bigint"))
+    trials = F.sequence(F.lit(0), F.lit(k - 1)).cast("array<bigint>")
+    out = df.withColumn("trial", F.explode(trials))
     return out.withColumn(
         "part", F.when(F.col("trial") == F.col(fold), "test").otherwise("train")
     )
