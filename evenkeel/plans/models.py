@@ -133,7 +133,7 @@ def _estimator(kind: str, params: Mapping[str, Any], regression: bool, width: in
         reg = 0.0 if penalty is None else 1.0 / (c * n)
         return LogisticRegression(
             regParam=reg, elasticNetParam=1.0 if penalty == "l1" else 0.0,
-            standardization=False, maxIter=int(params.get("max_iter", MAX_ITER)), tol=1e-8, **cols
+            standardization=False, maxIter=int(params.get("max_iter", MAX_ITER)), **cols
         )
     if kind == "SVM" and not regression:
         return LinearSVC(regParam=1.0 / (c * n), standardization=False,
@@ -162,19 +162,21 @@ def fit_model(
     """Encode and fit. The label must be numeric (class codes 0..k-1 or a value); the
     task is inferred from it unless given."""
     kind = kind.upper()
-    if regression is None:
-        regression = infer_task(train, label).first()["task"] == "regression"
-    encoder = fit_encoder(train, features)
     y = F.col(label).cast("double")
-    stats = train.agg(F.count(y), F.stddev_pop(y), F.max(y)).first()
-    classes = 0 if regression else max(2, int(stats[2]) + 1)
-    est = _estimator(kind, params, regression, len(encoder.names), classes, stats[0],
-                     float(stats[1] or 0.0), seed)
-    data = encoder.transform(train.withColumn("__y", y)).select("features", "__y").persist()
+    # The inputs are kept for the encoder passes and the solver's own block cache.
+    base = train.select(*dict.fromkeys(features), y.alias("__y")).persist()
     try:
-        model = est.fit(data)
+        if regression is None:
+            regression = infer_task(base, "__y").first()["task"] == "regression"
+        encoder = fit_encoder(base, features)
+        n, y_std, top = base.agg(F.count("__y"), F.stddev_pop("__y"), F.max("__y")).first()
+        classes = 0 if regression else max(2, int(top) + 1)
+        est = _estimator(
+            kind, params, regression, len(encoder.names), classes, n, float(y_std or 0.0), seed
+        )
+        model = est.fit(encoder.transform(base).select("features", "__y"))
     finally:
-        data.unpersist()
+        base.unpersist()
     return Fitted(encoder, model, label, regression, classes)
 
 

@@ -12,9 +12,11 @@ from evenkeel.session import scratch_path
 
 
 def read_stream(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Files arriving at ``path`` as a stream with the schema of those present."""
+    """Files arriving at ``path`` as a stream with the schema of those present.
+
+    A folder is watched as it is; the trailing glob lets a single file stand for one."""
     schema = spark.read.format(fmt).load(path).schema
-    return spark.readStream.schema(schema).format(fmt).load(path)
+    return spark.readStream.schema(schema).format(fmt).load(path.rstrip("/") + "*")
 
 
 def stream_scores(
