@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evenkeel.catalog.registry import h, u
 from evenkeel.functions.hashing import hash52, unit_hash
 from evenkeel.functions.names import pack_name
 from evenkeel.functions.stats import expit
 from evenkeel.operators.metrics import score_long
+from evenkeel.operators.sizing import spread
 from evenkeel.plans.reports import pivot_sets
 
 SETS = ("test_all", "test_with_con", "test_with_dir", "test_none")
@@ -17,13 +21,21 @@ SHRINK = (1.0, 0.7, 0.4, 0.05)
 SCORE_METRICS = ("balanced_accuracy", "d2", "logodds_r2", "logodds_mse")
 
 
+@lru_cache(maxsize=None)
+def _schema(path: str) -> StructType:
+    """Schemas are inferred once per file, not once per query."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    path = f"{d}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
     """One row per order with its customer's segment and region."""
     o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    o = spread(o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"))
     joined = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     return joined.select(
         F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"),
@@ -79,31 +91,28 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
 
 def rules_v(spark: SparkSession, d: str) -> DataFrame:
     """Rules learned from the samples: how each parent state shifts its children."""
-    s = samples(spark, d)
-    cell = s.groupBy("segment", "priority").agg(F.count(F.lit(1)).alias("n"))
+    cell = samples(spark, d).groupBy("segment", "priority").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.sum("price").alias("price"))
     seg = cell.groupBy("segment").agg(
-        F.sum("n").alias("t"), F.array_sort(F.collect_list(F.struct("priority", "n"))).alias("c")
-    )
+        F.sum("n").alias("t"), F.sum("y").alias("ty"),
+        F.array_sort(F.collect_list(F.struct("priority", "n"))).alias("c"))
     attr = seg.select(
-        F.lit("segment").alias("parent"), F.col("segment").alias("state"),
-        F.lit("attr").alias("child"),
-        F.transform("c", lambda x: F.round(20 * (x["n"] / F.col("t") - 0.2), 4)).alias("w"),
-    )
-    def label(parent, weight):
-        return s.groupBy(parent).agg(weight.alias("e")).select(
-            F.lit(parent).alias("parent"), F.col(parent).alias("state"),
-            F.lit("lbl_y").alias("child"), F.array(F.lit(0.0), F.round("e", 4)).alias("w"))
+        F.lit("segment").alias("parent"), F.col("segment").alias("state"), F.lit("attr").alias("child"),
+        F.transform("c", lambda x: F.round(20 * (x["n"] / F.col("t") - 0.2), 4)).alias("w"))
 
-    return attr.unionByName(label("segment", 10 * (F.avg("y") - F.lit(0.333)))).unionByName(
-        label("priority", 10 * (F.avg("price") / 250000.0 - 1)))
+    def label(rows, parent, e):
+        return rows.select(F.lit(parent).alias("parent"), F.col(parent).alias("state"),
+                           F.lit("lbl_y").alias("child"), F.array(F.lit(0.0), F.round(e, 4)).alias("w"))
+
+    prio = cell.groupBy("priority").agg((F.sum("price") / F.sum("n")).alias("mean"))
+    return attr.unionByName(label(seg, "segment", 10 * (F.col("ty") / F.col("t") - F.lit(0.333)))).unionByName(
+        label(prio, "priority", 10 * (F.col("mean") / 250000.0 - 1)))
 
 
 def states_v(spark: SparkSession, d: str) -> DataFrame:
     pairs = F.expr("stack(4, 'segment', segment, 'priority', priority, 'attr', priority,"
                    " 'lbl_y', concat('s', y)) as (var, state)")
     distinct = samples(spark, d).select(pairs).distinct()
-    from pyspark.sql import Window
-
     w = Window.partitionBy("var").orderBy("state")  # a handful of states per variable
     return distinct.select("var", (F.row_number().over(w) - 1).cast("bigint").alias("ix"), "state")
 

@@ -97,6 +97,13 @@ def draw_index(p: Column, u: Column) -> Column:
     return F.least(F.size(p) - 1, below)
 
 
+def draw_from_cdf(running: Column, u: Column, k: int) -> Column:
+    """:func:`draw_index` on precomputed running sums of known length, as plain
+    comparisons."""
+    below = sum(((running[i] <= u).cast("int") for i in range(1, k)), (running[0] <= u).cast("int"))
+    return F.least(F.lit(k - 1), below)
+
+
 def state_at(states: Sequence | Column, ix: Column) -> Column:
     arr = states if isinstance(states, Column) else F.array(*[F.lit(s) for s in states])
     return F.element_at(arr, (ix + 1).cast("int"))

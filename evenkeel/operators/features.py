@@ -8,13 +8,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import combinations, combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions.hashing import hash52
 from evenkeel.operators.contracts import ContractError
-from evenkeel.operators.sizing import broadcast_if_small
+from evenkeel.operators.sizing import materialize_small
 
 # Encoders with more categories than this use a join instead of literals.
 MAX_LITERAL_CATEGORIES = 1000
@@ -47,18 +47,19 @@ def label_index(df: DataFrame, y: str, out: str, fit_on: DataFrame | None = None
 def ordinal_encode(df: DataFrame, col: str, out: str) -> DataFrame:
     """Position of each value in the sorted distinct values, for any number of values.
 
-    Few values become literals. Many are numbered in value order by range buckets: split
-    points from a hash sample, counts per bucket, ranks inside a bucket."""
-    cats = categories(df, col)
-    if cats is not None:
-        return df.withColumn(out, category_codes(df, col)(F.col(col)))
-    return df.join(broadcast_if_small(dense_codes(df, col, out)), col, "left")
+    A bounded set of values is numbered at once and broadcast. More are numbered in value
+    order by range buckets and joined by a shuffle."""
+    distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
+    small = materialize_small(distinct)
+    if small is None:
+        return df.join(dense_codes(df, col, out), col, "left")
+    w = Window.partitionBy(F.lit(0)).orderBy(col)  # at most MAX_BROADCAST_ROWS values
+    codes = small.select(col, (F.row_number().over(w) - 1).cast("bigint").alias(out))
+    return df.join(F.broadcast(codes), col, "left")
 
 
 def dense_codes(df: DataFrame, col: str, out: str, buckets: int = 256) -> DataFrame:
     """(value, position) of all distinct values without a single-task sort."""
-    from pyspark.sql import Window
-
     distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
     sample = [
         r[0]

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.hashing import hash52, hash_bucket
 from evenkeel.operators.sizing import (
+    MAX_BROADCAST_ROWS,
+    ValueStats,
     broadcast_if_small,
     range_bucket,
-    range_splits,
     shuffle_buckets,
     stratum,
+    value_stats,
 )
 
 
@@ -121,7 +123,8 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -
 
 
 def value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, extra: Sequence[Column] = ()
+    df: DataFrame, keys: Sequence[str], value: str, extra: Sequence[Column] = (),
+    stats: ValueStats | None = None,
 ) -> DataFrame:
     """Per (keys, value): row count ``n``, the number of rows ``below`` it, and any
     ``extra`` aggregates.
@@ -134,7 +137,7 @@ def value_ranks(
         .agg(F.count(F.lit(1)).alias("n"), *extra)
     )
     carried = distinct.columns[3:]
-    splits = range_splits(distinct, "v")
+    splits = (stats or value_stats(df, value)).splits()
     bucketed = range_bucket(distinct, "v", splits, "b")
     w = Window.partitionBy("s", "b").orderBy("v")
     within = bucketed.withColumn("below", F.sum("n").over(w) - F.col("n"))
@@ -148,12 +151,15 @@ def value_ranks(
 
 def average_rank(df: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
     """Add the average rank (ties share their mean rank) of ``value`` within ``keys``."""
-    ranks = value_ranks(df, keys, value).select(
+    stats = value_stats(df, value)
+    ranks = value_ranks(df, keys, value, stats=stats).select(
         "s", F.col("v").alias("__v"), (F.col("below") + (F.col("n") + 1) / 2).alias(out)
     )
+    if stats.distinct < MAX_BROADCAST_ROWS:
+        ranks = broadcast_if_small(ranks)
     return (
         df.withColumn("s", stratum(keys))
         .withColumn("__v", F.col(value).cast("double"))
-        .join(broadcast_if_small(ranks), ["s", "__v"], "left")
+        .join(ranks, ["s", "__v"], "left")
         .drop("s", "__v")
     )

@@ -6,23 +6,33 @@ data rows are never shuffled; every draw is a function of the row id and a seed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.hashing import unit_hash
-from evenkeel.functions.vectors import draw_index, link_probas, state_at, vadd, vscale, zeros
+from evenkeel.functions.vectors import (
+    cdf,
+    draw_from_cdf,
+    draw_index,
+    link_probas,
+    state_at,
+    vadd,
+    zeros,
+)
 from evenkeel.operators.contracts import ContractError, require_no_rows
 from evenkeel.operators.features import categories
 from evenkeel.operators.frames import LABEL_PREFIX
-from evenkeel.operators.sizing import broadcast_if_small
+from evenkeel.operators.sizing import broadcast_if_small, materialize_small
 
 DUMMY_PREFIX = "cov_dummy_"
 CATEGORICAL_SCALE = 2.5  # effect multiplier of categorical parents (fixed value)
 MAX_EFFECT = 5
 MAX_GRAPH_ROWS = 20_000
 MAX_SOURCES = 16
+MAX_COMBINATIONS = 20_000
 
 
 # --- building and checking rule tables -------------------------------------------------
@@ -260,13 +270,80 @@ def _total(vectors: Sequence[Column], k: int) -> Column:
     return F.coalesce(vadd(*vectors), zeros(k)) if vectors else zeros(k)
 
 
+def _combination_table(
+    rules: DataFrame, child: str, parents: Sequence[str], k: int, link: str
+) -> tuple[DataFrame, dict[str, list[str]]] | None:
+    """(table, states): probabilities and running sums for every combination of the
+    parents' rule states, null meaning "no rule". None when there are too many."""
+    local = materialize_small(
+        rules.where(F.col("child") == child).select("parent", "state", "w"), MAX_GRAPH_ROWS
+    )
+    if local is None:
+        return None
+    vectors: dict[str, dict[str, list[float]]] = {p: {} for p in parents}
+    for r in local.collect():
+        if r["parent"] in vectors:
+            vectors[r["parent"]][r["state"]] = list(r["w"])
+    if math.prod(len(v) + 1 for v in vectors.values()) > MAX_COMBINATIONS:
+        return None
+    grid, found = rules.sparkSession.range(1), []
+    for i, p in enumerate(parents):
+        options = [F.lit(s) for s in sorted(vectors[p])] + [F.lit(None).cast("string")]
+        grid = grid.withColumn(f"__k{i}", F.explode(F.array(*options)))
+        if vectors[p]:
+            pairs = [c for s, w in vectors[p].items()
+                     for c in (F.lit(s), F.array(*[F.lit(float(x)) for x in w]))]
+            found.append(F.try_element_at(F.create_map(*pairs), F.col(f"__k{i}")))
+    keys = [f"__k{i}" for i in range(len(parents))]
+    table = grid.select(*keys, link_probas(_total(found, k), link).alias("__p"))
+    table = materialize_small(table.withColumn("__cdf", cdf(F.col("__p"))), MAX_COMBINATIONS)
+    return (table, {p: sorted(v) for p, v in vectors.items()}) if table is not None else None
+
+
+def _attach_probas(
+    df: DataFrame, rules: DataFrame, child: str, actors: Mapping[str, Column], k: int,
+    link: str = "softmax",
+) -> DataFrame:
+    """Add ``__p`` (probabilities) and ``__cdf`` of ``child``; ``actors`` gives the state
+    that acts for each parent in a row, null for none.
+
+    Rows only differ by their combination of parent states, so the distribution is worked
+    out once per combination and looked up by one broadcast join. Where the combinations
+    are too many, the weights are looked up per parent and summed in the row."""
+    parents = list(actors)
+    found = _combination_table(rules, child, parents, k, link)
+    if found is None:
+        cols = {}
+        for i, p in enumerate(parents):
+            df = df.withColumn(f"__a{i}", actors[p])
+            mine = rules.where(F.col("parent") == p).withColumn("parent", F.lit(f"__a{i}"))
+            df = attach_rules(df, mine, f"__a{i}", f"__r{i}")
+            cols[p] = F.try_element_at(f"__r{i}", F.lit(child))
+        df = df.withColumn("__p", link_probas(_total(list(cols.values()), k), link))
+        used = [c for i in range(len(parents)) for c in (f"__a{i}", f"__r{i}")]
+        return df.withColumn("__cdf", cdf(F.col("__p"))).drop(*used)
+    table, states = found
+    on = F.lit(True)
+    for i, p in enumerate(parents):
+        key = actors[p].cast("string")
+        df = df.withColumn(f"__j{i}", F.when(key.isin(states[p]), key))
+        on = on & F.col(f"__j{i}").eqNullSafe(F.col(f"__k{i}"))
+    if not parents:
+        row = table.first()
+        return df.withColumn("__p", F.lit(list(row["__p"]))).withColumn(
+            "__cdf", F.lit(list(row["__cdf"])))
+    joined = df.join(F.broadcast(table), on, "left")
+    return joined.drop(*[f"__{x}{i}" for i in range(len(parents)) for x in "jk"])
+
+
 def rule_probas(
     df: DataFrame, rules: DataFrame, child: str, parents: Sequence[str], k: int,
     out: str = "p", link: str = "softmax",
 ) -> DataFrame:
     """P(child | parents) as an array."""
-    weighted = rule_weights(df, rules, child, parents, k, "__w")
-    return weighted.withColumn(out, link_probas(F.col("__w"), link)).drop("__w")
+    actors = {p: F.col(p) for p in parents}
+    scored = _attach_probas(df, rules, child, actors, k, link)
+    return scored.drop("__cdf").withColumnRenamed("__p", out)
 
 
 def draw_category(
@@ -327,24 +404,22 @@ def layered_assign(
     lookups in one stage. ``probas_<var>`` holds the distribution, rounded to 2."""
     rules = broadcast_if_small(rules)
     graph, domain = collect_graph(rules), collect_states(states)
-    attached: dict[str, str] = {}
     for var in draw_order(graph, df.columns):
         vals = domain.get(var)
         if not vals:
             raise ContractError(f"no states declared for {var}")
-        vectors = []
-        for p in graph.get(var, []):
-            if p not in attached:
-                attached[p] = f"__r_{len(attached)}"
-                df = attach_rules(df, rules, p, attached[p])
-            vectors.append(F.try_element_at(attached[p], F.lit(var)))
-        df = df.withColumn(f"__p_{var}", link_probas(_total(vectors, len(vals))))
-        df = draw_category(df, f"__p_{var}", id_col, var, seed, vals)
+        actors = {p: F.col(p) for p in graph.get(var, [])}
+        df = _draw(_attach_probas(df, rules, var, actors, len(vals)), var, vals, id_col, seed)
         if with_probas:
-            rounded = F.transform(f"__p_{var}", lambda x: F.bround(x, 2))
+            rounded = F.transform("__p", lambda x: F.bround(x, 2))
             df = df.withColumn(f"probas_{var}", rounded)
-        df = df.drop(f"__p_{var}")
-    return df.drop(*attached.values())
+        df = df.drop("__p", "__cdf")
+    return df
+
+
+def _draw(df: DataFrame, var: str, vals: Sequence[str], id_col: str, seed: str | int) -> DataFrame:
+    ix = draw_from_cdf(F.col("__cdf"), unit_hash(F.col(id_col), var, seed), len(vals))
+    return df.withColumn(var, state_at(vals, ix))
 
 
 def counterfactual_tables(
@@ -354,8 +429,8 @@ def counterfactual_tables(
     """The table under every counterfactual rule set, tagged by ``split``, in one pass.
 
     Each row is repeated once per subset; a disabled direct source acts through an
-    independent uniform draw of its states, a disabled confounder's weights to
-    attributes are multiplied by zero. The same uniforms are used in every subset, so a
+    independent uniform draw of its states, a disabled confounder adds no weight to
+    attributes. The same uniforms are used in every subset, so a
     row and its counterfactual differ by the disabled effects only."""
     rules = broadcast_if_small(rules)
     graph, domain = collect_graph(rules), collect_states(states)
@@ -375,29 +450,18 @@ def counterfactual_tables(
         df = df.withColumn(DUMMY_PREFIX + p, state_at(vals, ix))
     df = df.withColumn("__cf", F.explode(choices))
     df = df.withColumn("split", F.col("__cf.split")).withColumn("__keep", F.col("__cf.keep"))
-    attached: dict[str, str] = {}
     for var in draw_order(graph, [*given]):
-        vals = domain[var]
-        vectors = []
+        vals, actors = domain[var], {}
         for p in graph.get(var, []):
             on = F.array_contains("__keep", p)
-            if p not in attached:
-                attached[p] = f"__r_{len(attached)}"
-                source = p
-                if p in direct:
-                    source = f"__src_{len(attached)}"
-                    actor = F.when(on, F.col(p)).otherwise(F.col(DUMMY_PREFIX + p))
-                    df = df.withColumn(source, actor)
-                mine = rules.where(F.col("parent") == p).withColumn("parent", F.lit(source))
-                df = attach_rules(df, mine, source, attached[p])
-                df = df.drop(source) if source != p else df
-            vec = F.try_element_at(attached[p], F.lit(var))
-            if p in indirect and not var.startswith(LABEL_PREFIX):
-                vec = vscale(vec, on.cast("double"))
-            vectors.append(vec)
-        df = df.withColumn(f"probas_{var}", link_probas(_total(vectors, len(vals))))
-        df = draw_category(df, f"probas_{var}", id_col, var, seed, vals)
-    return df.drop("__cf", "__keep", *attached.values())
+            actors[p] = F.col(p)
+            if p in direct:
+                actors[p] = F.when(on, F.col(p)).otherwise(F.col(DUMMY_PREFIX + p))
+            elif p in indirect and not var.startswith(LABEL_PREFIX):
+                actors[p] = F.when(on, F.col(p))  # without a rule a parent adds zeros
+        df = _draw(_attach_probas(df, rules, var, actors, len(vals)), var, vals, id_col, seed)
+        df = df.withColumn(f"probas_{var}", F.col("__p")).drop("__p", "__cdf")
+    return df.drop("__cf", "__keep")
 
 
 def conditional_table(rules: DataFrame, states: DataFrame, parent: str) -> DataFrame:

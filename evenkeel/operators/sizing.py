@@ -7,6 +7,7 @@ results stay distributed and the join shuffles."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 50_000
 MAX_BROADCAST_BYTES = 16 << 20
 TARGET_ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 4096
+QUANTILES = 1023
 
 
 def materialize_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
@@ -38,19 +39,43 @@ def shuffle_buckets(spark: SparkSession) -> int:
     return max(16, min(65535, 4 * parts))
 
 
-def range_splits(
-    df: DataFrame, value: str, target_rows: int = TARGET_ROWS_PER_BUCKET
-) -> list[float]:
-    """Ascending interior split points cutting the distinct numeric ``value`` into
-    similar shares; empty when one bucket is enough. Split points are literals, so every
-    branch of a plan buckets alike."""
-    n = df.count()
-    buckets = min(MAX_BUCKETS, -(-n // target_rows))
-    if buckets <= 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(value, probs, 10 * buckets).alias("q")).first()
-    return sorted({float(v) for v in (row.q or []) if v is not None})
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input of few partitions (small files) over the session's cores before
+    heavy row work. Inputs with enough partitions, as any large table has, pass through.
+
+    Meant for scans and projections of scans, whose partition count is known up front."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+@dataclass(frozen=True)
+class ValueStats:
+    """Row count, approximate distinct count and quantiles of one numeric column."""
+
+    rows: int
+    distinct: int
+    quantiles: list[float]
+
+    def splits(self, target_rows: int = TARGET_ROWS_PER_BUCKET) -> list[float]:
+        """Ascending interior split points giving buckets of about ``target_rows``; empty
+        when one bucket is enough. Split points are literals, so every branch of a plan
+        buckets alike."""
+        buckets = min(QUANTILES + 1, -(-self.rows // target_rows))
+        if buckets <= 1 or not self.quantiles:
+            return []
+        step = len(self.quantiles) / buckets
+        return sorted({self.quantiles[int(i * step)] for i in range(1, buckets)})
+
+
+def value_stats(df: DataFrame, value: str) -> ValueStats:
+    """One pass of mergeable sketches; no row is shuffled."""
+    probs = [i / (QUANTILES + 1) for i in range(1, QUANTILES + 1)]
+    v = F.col(value).cast("double")
+    row = df.agg(
+        F.count(v).alias("n"), F.approx_count_distinct(v, 0.02).alias("d"),
+        F.percentile_approx(v, probs, 4 * QUANTILES).alias("q"),
+    ).first()
+    return ValueStats(row.n, row.d, [float(x) for x in row.q or []])
 
 
 def range_bucket(df: DataFrame, value: str, splits: Sequence[float], out: str) -> DataFrame:
