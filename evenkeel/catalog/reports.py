@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.catalog.registry import query, r, rnd, u
 from evenkeel.catalog.views import (
-    names_v, runs, samples, scored, scores, set_scores, table, with_ctes,
+    names_v, runs, samples, scored, scores, set_scores, spread_table, table, with_ctes,
 )
 from evenkeel.functions.names import effects_only, unpack_name
 from evenkeel.functions.stats import expit
@@ -198,7 +198,7 @@ def _avg_rank(col: str) -> str:
  SELECT 'l_quantity' AS "column", 'l_discount' AS against, {r('abs(corr(q, dc))', 7)} AS rho FROM k UNION ALL SELECT 'l_quantity', 'l_tax', {r('abs(corr(q, t))', 7)} FROM k
  UNION ALL SELECT 'l_extendedprice', 'l_discount', {r('abs(corr(e, dc))', 7)} FROM k UNION ALL SELECT 'l_extendedprice', 'l_tax', {r('abs(corr(e, t))', 7)} FROM k""")
 def spearman_matrix(spark, d):
-    out = P.spearman(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_discount", "l_tax"])
+    out = P.spearman(spread_table(spark, d, "lineitem", "l_quantity", "l_extendedprice", "l_discount", "l_tax"), ["l_quantity", "l_extendedprice"], ["l_discount", "l_tax"])
     return rounded(out, "rho", digits=7)
 
 
@@ -292,7 +292,7 @@ def _boot_weight(b: int) -> str:
  s AS (SELECT event_type, list(m ORDER BY m) AS l FROM b GROUP BY 1), a AS (SELECT event_type, avg(value) AS mean FROM events GROUP BY 1)
  SELECT event_type, {r('mean')} AS mean, {r('l[1]')} AS lower, {r('l[10]')} AS upper FROM s JOIN a USING (event_type)""")
 def bootstrap_ci(spark, d):
-    out = P.bootstrap_ci(table(spark, d, "events"), ["event_type"], "value", "event_id", 10, "42")
+    out = P.bootstrap_ci(spread_table(spark, d, "events", "event_id", "event_type", "value"), ["event_type"], "value", "event_id", 10, "42")
     return rounded(out, "mean", "lower", "upper")
 
 

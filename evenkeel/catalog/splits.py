@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel.catalog.registry import h, query, r, rnd, u
-from evenkeel.catalog.views import samples, scored, table, with_ctes
+from evenkeel.catalog.views import samples, scored, spread_table, table, with_ctes
 from evenkeel.operators.balance import (
     control_confounds,
     counterbalance_mixed,
@@ -41,7 +41,7 @@ def labelled_docs(spark, d):
 @query("stratified_holdout", f"""SELECT o_orderkey AS id, o_orderstatus AS lbl, CASE WHEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY {order_by_hash('o_orderkey')})
  <= round(0.2::DOUBLE * count(*) OVER (PARTITION BY o_orderstatus)) THEN 'test' ELSE 'train' END AS part FROM orders""")
 def stratified_holdout_query(spark, d):
-    df = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("lbl"))
+    df = spread_table(spark, d, "orders", "o_orderkey", "o_orderstatus").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("lbl"))
     return stratified_holdout(df, "lbl", "id", 0.2, SEED)
 
 
@@ -53,7 +53,7 @@ def stratified_kfold_query(spark, d):
 @query("fold_parts", f"""WITH f AS (SELECT o_orderstatus AS lbl, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY {order_by_hash('o_orderkey')}) - 1) % 5 AS fold FROM orders)
  SELECT lbl, trial, CASE WHEN trial = fold THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM (SELECT *, unnest(range(0, 5)) AS trial FROM f) GROUP BY 1, 2, 3""")
 def fold_parts_query(spark, d):
-    df = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("lbl"))
+    df = spread_table(spark, d, "orders", "o_orderkey", "o_orderstatus").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("lbl"))
     long = fold_parts(stratified_kfold(df, "lbl", "id", 5, SEED), 5)
     return long.groupBy("lbl", "trial", "part").agg(F.count(F.lit(1)).alias("n"))
 
@@ -65,7 +65,7 @@ def _trial(i: int) -> str:
 
 @query("shuffle_split_wide", f"WITH s AS (SELECT o_orderkey AS id, o_orderstatus AS y FROM orders) SELECT id, y, {', '.join(map(_trial, range(5)))} FROM s")
 def shuffle_split_wide(spark, d):
-    df = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("y"))
+    df = spread_table(spark, d, "orders", "o_orderkey", "o_orderstatus").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("y"))
     wide = repeated_shuffle_split(df, "y", "id", 5, 0.1, SEED)
     return check_assigned(wide, [f"trial_{i}" for i in range(5)])
 

@@ -32,10 +32,17 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.schema(_schema(path)).parquet(path)
 
 
+def spread_table(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
+    """Columns of a table, spread over the cores when it is one small file."""
+    df = table(spark, d, name)
+    return spread(df.select(*cols) if cols else df)
+
+
 def samples(spark: SparkSession, d: str) -> DataFrame:
     """One row per order with its customer's segment and region."""
-    o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
-    o = spread(o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"))
+    o = spread_table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
+                     "o_totalprice")
+    c, n = (table(spark, d, t) for t in ("customer", "nation"))
     joined = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     return joined.select(
         F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"),

@@ -6,7 +6,7 @@ and only rows of one bucket are ever sorted together."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,7 +137,7 @@ def value_ranks(
         .agg(F.count(F.lit(1)).alias("n"), *extra)
     )
     carried = distinct.columns[3:]
-    splits = (stats or value_stats(df, value)).splits()
+    splits = (stats or value_stats(df, [value])[value]).splits()
     bucketed = range_bucket(distinct, "v", splits, "b")
     w = Window.partitionBy("s", "b").orderBy("v")
     within = bucketed.withColumn("below", F.sum("n").over(w) - F.col("n"))
@@ -149,17 +149,21 @@ def value_ranks(
     return within.select("s", "v", "n", "below", *carried)
 
 
-def average_rank(df: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Add the average rank (ties share their mean rank) of ``value`` within ``keys``."""
-    stats = value_stats(df, value)
-    ranks = value_ranks(df, keys, value, stats=stats).select(
-        "s", F.col("v").alias("__v"), (F.col("below") + (F.col("n") + 1) / 2).alias(out)
-    )
-    if stats.distinct < MAX_BROADCAST_ROWS:
-        ranks = broadcast_if_small(ranks)
-    return (
-        df.withColumn("s", stratum(keys))
-        .withColumn("__v", F.col(value).cast("double"))
-        .join(ranks, ["s", "__v"], "left")
-        .drop("s", "__v")
-    )
+def average_ranks(
+    df: DataFrame, columns: Mapping[str, str], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Add the average rank (ties share their mean rank) of several columns within
+    ``keys``; ``columns`` maps each value column to its rank column.
+
+    Every rank table is built from ``df`` itself; tables of few values are broadcast, the
+    others join by value."""
+    stats, out = value_stats(df, list(columns)), df.withColumn("s", stratum(keys))
+    for value, rank in columns.items():
+        ranks = value_ranks(df, keys, value, stats=stats[value]).select(
+            "s", F.col("v").alias("__v"), (F.col("below") + (F.col("n") + 1) / 2).alias(rank)
+        )
+        if stats[value].distinct < MAX_BROADCAST_ROWS:
+            ranks = broadcast_if_small(ranks)
+        out = out.withColumn("__v", F.col(value).cast("double"))
+        out = out.join(ranks, ["s", "__v"], "left").drop("__v")
+    return out.drop("s")

@@ -67,15 +67,21 @@ class ValueStats:
         return sorted({self.quantiles[int(i * step)] for i in range(1, buckets)})
 
 
-def value_stats(df: DataFrame, value: str) -> ValueStats:
-    """One pass of mergeable sketches; no row is shuffled."""
+def value_stats(df: DataFrame, values: Sequence[str]) -> dict[str, ValueStats]:
+    """One pass of mergeable sketches over all columns; no row is shuffled."""
     probs = [i / (QUANTILES + 1) for i in range(1, QUANTILES + 1)]
-    v = F.col(value).cast("double")
-    row = df.agg(
-        F.count(v).alias("n"), F.approx_count_distinct(v, 0.02).alias("d"),
-        F.percentile_approx(v, probs, 4 * QUANTILES).alias("q"),
-    ).first()
-    return ValueStats(row.n, row.d, [float(x) for x in row.q or []])
+    aggs = []
+    for i, c in enumerate(values):
+        v = F.col(c).cast("double")
+        aggs += [
+            F.count(v).alias(f"n{i}"), F.approx_count_distinct(v, 0.02).alias(f"d{i}"),
+            F.percentile_approx(v, probs, 4 * QUANTILES).alias(f"q{i}"),
+        ]
+    row = df.agg(*aggs).first()
+    return {
+        c: ValueStats(row[f"n{i}"], row[f"d{i}"], [float(x) for x in row[f"q{i}"] or []])
+        for i, c in enumerate(values)
+    }
 
 
 def range_bucket(df: DataFrame, value: str, splits: Sequence[float], out: str) -> DataFrame:

@@ -14,7 +14,7 @@ from evenkeel.functions.stats import clip, logit, percent_log_odds
 from evenkeel.functions.text import basename
 from evenkeel.operators.features import ordinal_encode
 from evenkeel.operators.frames import filter_allowed
-from evenkeel.operators.ranking import average_rank, top_n
+from evenkeel.operators.ranking import average_ranks, top_n
 from evenkeel.operators.sizing import broadcast_if_small
 
 # Significance level, width of a 95 % band, guard of the share denominators,
@@ -255,10 +255,8 @@ def spearman(df: DataFrame, cols: Sequence[str], against: Sequence[str]) -> Data
 
     Average ranks per column, then one aggregation with all the pairwise correlations."""
     every = list(dict.fromkeys([*cols, *against]))
-    ranked = df.dropna(subset=every)
-    for i, c in enumerate(every):
-        ranked = average_rank(ranked, c, f"__rank_{i}")
     at = {c: f"__rank_{i}" for i, c in enumerate(every)}
+    ranked = average_ranks(df.select(*every).dropna(), at)
     pairs = [(a, b) for a in cols for b in against]
     row = ranked.agg(*[
         F.abs(F.corr(at[a], at[b])).alias(f"c{i}") for i, (a, b) in enumerate(pairs)
