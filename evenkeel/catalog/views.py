@@ -165,8 +165,9 @@ PC = "least(greatest(p, 1e-6::DOUBLE), (1 - 1e-6::DOUBLE))"
 LOGIT_P = f"ln({PC} / (1 - {PC}))"
 PSEUDO = "(CASE WHEN y = 1 THEN 0.99::DOUBLE ELSE 0.01::DOUBLE END)"
 LOGIT_Y = f"ln({PSEUDO} / (1 - {PSEUDO}))"
-BACC = ("(avg(CASE WHEN y = 1 THEN (p > 0.5)::INT::DOUBLE END)"
-        " + avg(CASE WHEN y = 0 THEN 1 - (p > 0.5)::INT::DOUBLE END)) / 2")
+TPR = "avg(CASE WHEN y = 1 THEN (p > 0.5)::INT::DOUBLE END)"
+TNR = "avg(CASE WHEN y = 0 THEN 1 - (p > 0.5)::INT::DOUBLE END)"
+BACC = f"(coalesce({TPR}, {TNR}) + coalesce({TNR}, {TPR})) / 2"
 D2 = f"1 - avg({LL}) / 0.6931471805599453::DOUBLE"
 LO_R2 = f"1 - sum(pow({LOGIT_Y} - {LOGIT_P}, 2)) / nullif(count(y) * var_pop({LOGIT_Y}), 0)"
 LO_MSE = f"avg(pow({LOGIT_Y} - {LOGIT_P}, 2))"

@@ -110,6 +110,12 @@ def fit_one_hot(df: DataFrame, cols: Sequence[str], limit: int = MAX_LITERAL_CAT
     return OneHot(cats)
 
 
+def exact_variance(c: Column) -> Column:
+    """Population variance that is exactly zero for a constant column: merging partial
+    sums can leave rounding noise, the range cannot."""
+    return F.when(F.max(c) == F.min(c), F.lit(0.0)).otherwise(F.var_pop(c))
+
+
 @dataclass(frozen=True)
 class Scaler:
     """(x - mean) / population std; a constant column is only centred."""
@@ -131,7 +137,7 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> Scaler:
         return Scaler({}, {})
     row = df.agg(
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)],
+        *[F.sqrt(exact_variance(F.col(c))).alias(f"s{i}") for i, c in enumerate(cols)],
     ).first()
     return Scaler(
         {c: float(row[f"m{i}"] or 0.0) for i, c in enumerate(cols)},
@@ -141,7 +147,7 @@ def fit_scaler(df: DataFrame, cols: Sequence[str]) -> Scaler:
 
 def varying_columns(df: DataFrame, cols: Sequence[str], threshold: float = 0.0) -> list[str]:
     """Columns whose population variance exceeds the threshold (one aggregation)."""
-    row = df.agg(*[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[exact_variance(F.col(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
     return [c for i, c in enumerate(cols) if (row[f"v{i}"] or 0.0) > threshold]
 
 
@@ -150,7 +156,7 @@ def element_variances(df: DataFrame, vec: str) -> DataFrame:
     only one row per element and task moves."""
     cells = df.select(F.posexplode(vec).alias("element", "__v"))
     return cells.groupBy(F.col("element").cast("bigint").alias("element")).agg(
-        F.var_pop(F.col("__v").cast("double")).alias("variance")
+        exact_variance(F.col("__v").cast("double")).alias("variance")
     )
 
 
