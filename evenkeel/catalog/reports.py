@@ -307,12 +307,34 @@ def metrics_todo(spark, d):
     return P.metrics_todo(wanted, ev.where(F.col("value") > 100), ["user_id", "event_type"])
 
 
-@query("zip_predictions", """SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS pos, role AS truth, length(text)::BIGINT AS score FROM conversations""")
+@query("zip_predictions", f"""SELECT vec_id, (pos - 1)::BIGINT AS pos, {r('embedding[pos]')} AS truth, {r('embedding[pos] * embedding[pos]')} AS score
+ FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS pos FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings))""")
 def zip_predictions(spark, d):
+    packed = table(spark, d, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("y_true")).withColumn(
+        "y_pred", F.transform("y_true", lambda x: x * x))
+    return rounded(P.zip_predictions(packed, ["vec_id"], ["y_true", "y_pred"], ["truth", "score"]), "truth", "score")
+
+
+@query("join_predictions", """SELECT conv_id, turn, role AS truth, length(text)::BIGINT AS score FROM conversations""")
+def join_predictions(spark, d):
     c = table(spark, d, "conversations")
-    run = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").cast("bigint").alias("n")))).alias("t"))
-    packed = run.select("conv_id", F.col("t.role").alias("y_true"), F.col("t.n").alias("y_pred"))
-    return P.zip_predictions(packed, ["conv_id"], ["y_true", "y_pred"], ["truth", "score"])
+    truth = c.select("conv_id", "turn", F.col("role").alias("truth"))
+    pred = c.select("conv_id", "turn", F.length("text").cast("bigint").alias("score"))
+    return P.join_predictions(truth, pred, ["conv_id", "turn"])
+
+
+@query("effect_density", f"""WITH s AS (SELECT '[' || least(cy, xy) || ', ' || greatest(cy, xy) || ']' AS pair, p FROM (
+  SELECT round(l_tax * 25)::BIGINT AS cy, round(l_discount * 20)::BIGINT AS xy, 1 / (1 + exp(-(l_quantity - 25) / 10)) AS p FROM lineitem)),
+ lim AS (SELECT min(p) AS lo, max(p) AS hi FROM s), st AS (SELECT pair, count(*) AS n, stddev_samp(p) * pow(count(*)::DOUBLE, -0.2::DOUBLE) AS hh FROM s GROUP BY 1),
+ g AS (SELECT i AS point, lo + i * ((hi - lo) / 9) AS x FROM lim, (SELECT unnest(range(0, 10)) AS i))
+ SELECT s.pair, point, {r('x')} AS x, {r('sum(exp(-pow((x - p) / hh, 2) / 2)) / (any_value(n) * any_value(hh) * sqrt(2 * pi()))')} AS density
+ FROM s JOIN st USING (pair), g GROUP BY s.pair, point, x""")
+def effect_density(spark, d):
+    li = table(spark, d, "lineitem")
+    pair = P.effect_pair(F.round(F.col("l_tax") * 25).cast("bigint"), F.round(F.col("l_discount") * 20).cast("bigint"))
+    df = li.select(pair.alias("pair"), expit((F.col("l_quantity") - 25) / 10).alias("p"))
+    return rounded(P.conditional_density(df, "p", ["pair"], adjust=1.0), "x", "density")
 
 
 @query("cf_pair_diff", with_ctes("scored") + f""", s AS (SELECT id, segment, least(greatest(p, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS p, least(greatest(1 / (1 + exp(-z * 0.4::DOUBLE)), 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS q FROM scored)

@@ -8,15 +8,16 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import combinations, combinations_with_replacement
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions.hashing import hash52
 from evenkeel.operators.contracts import ContractError
-from evenkeel.operators.sizing import materialize_small
+from evenkeel.operators.sizing import small_table
 
-# Encoders with more categories than this use a join instead of literals.
+# Category lists up to this length become literals of the plan.
 MAX_LITERAL_CATEGORIES = 1000
 # From this many input columns on, inputs are treated as one numeric matrix (fixed value).
 MATRIX_COLUMNS = 100
@@ -50,12 +51,11 @@ def ordinal_encode(df: DataFrame, col: str, out: str) -> DataFrame:
     A bounded set of values is numbered at once and broadcast. More are numbered in value
     order by range buckets and joined by a shuffle."""
     distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
-    small = materialize_small(distinct)
+    small = small_table(distinct)
     if small is None:
         return df.join(dense_codes(df, col, out), col, "left")
-    w = Window.partitionBy(F.lit(0)).orderBy(col)  # at most MAX_BROADCAST_ROWS values
-    codes = small.select(col, (F.row_number().over(w) - 1).cast("bigint").alias(out))
-    return df.join(F.broadcast(codes), col, "left")
+    numbered = small.sort_by(col).append_column(out, pa.array(range(small.num_rows), pa.int64()))
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(numbered)), col, "left")
 
 
 def dense_codes(df: DataFrame, col: str, out: str, buckets: int = 256) -> DataFrame:
@@ -101,11 +101,13 @@ class OneHot:
 
 
 def fit_one_hot(df: DataFrame, cols: Sequence[str], limit: int = MAX_LITERAL_CATEGORIES) -> OneHot:
+    """Indicator columns are for bounded categories; model fits encode larger ones as
+    sparse vectors."""
     cats = {}
     for c in cols:
         vals = categories(df, c, limit)
         if vals is None:
-            raise ContractError(f"{c} has more than {limit} categories; use an ML encoder")
+            raise ContractError(f"{c} has more than {limit} categories")
         cats[c] = vals
     return OneHot(cats)
 

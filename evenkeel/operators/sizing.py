@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +19,17 @@ TARGET_ROWS_PER_BUCKET = 2_000_000
 QUANTILES = 1023
 
 
+def small_table(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> pa.Table | None:
+    """The rows on the driver when they fit the bounds, otherwise None."""
+    table = df.limit(max_rows + 1).toArrow()
+    fits = table.num_rows <= max_rows and table.nbytes <= MAX_BROADCAST_BYTES
+    return table if fits else None
+
+
 def materialize_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
     """The rows as a local relation when they fit the bounds, otherwise None."""
-    table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows or table.nbytes > MAX_BROADCAST_BYTES:
-        return None
-    return df.sparkSession.createDataFrame(table, schema=df.schema)
+    table = small_table(df, max_rows)
+    return None if table is None else df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import reduce
 from types import MappingProxyType
 from typing import Any
 
-from pyspark.ml import Model, Pipeline
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
@@ -20,8 +20,11 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     PCA,
+    OneHotEncoder,
     StandardScaler,
+    StringIndexer,
     VarianceThresholdSelector,
+    VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -34,7 +37,7 @@ from evenkeel.operators.features import (
     MATRIX_COLUMNS,
     OneHot,
     Scaler,
-    fit_one_hot,
+    categories,
     fit_scaler,
     infer_task,
     route_columns,
@@ -50,31 +53,62 @@ FOREST_TREES, FOREST_DEPTH = 200, 5
 HIDDEN_LAYERS = (200, 100, 20)
 MLP_ITER = 1000
 GRID_C = (0.1, 1.0, 10.0, 100.0)
+# Categorical inputs up to this size get one indicator column per value.
+MAX_INDICATOR_COLUMNS = 100
 
 
 @dataclass(frozen=True)
 class Encoder:
-    """One-hot for categorical inputs, standardisation for numeric ones, fit on train."""
+    """One-hot for categorical inputs, standardisation for numeric ones, fit on train.
+
+    A categorical input with many values is indexed and encoded as a sparse vector; its
+    unseen values are all zeros too."""
 
     one_hot: OneHot
     scaler: Scaler
+    sparse: PipelineModel | None = None
+    sparse_names: tuple[str, ...] = ()
+
+    @property
+    def inputs(self) -> list[str]:
+        many = [s.getInputCol() for s in self.sparse.stages[0::2]] if self.sparse else []
+        return [*self.one_hot.cats, *self.scaler.mean, *many]
 
     @property
     def names(self) -> list[str]:
-        return [*self.one_hot.names(), *self.scaler.mean]
+        return [*self.one_hot.names(), *self.scaler.mean, *self.sparse_names]
 
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
         wide = self.scaler.transform(self.one_hot.transform(df), "__z")
         cols = [*self.one_hot.names(), *[c + "__z" for c in self.scaler.mean]]
-        vec = array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in cols]))
-        return wide.withColumn(out, vec).select(*df.columns, out)
+        dense = array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in cols]))
+        if self.sparse is None:
+            return wide.withColumn(out, dense).select(*df.columns, out)
+        wide = self.sparse.transform(wide.withColumn("__dense", dense))
+        vectors = (["__dense"] if cols else []) + [s.getOutputCol() for s in self.sparse.stages[1::2]]
+        return VectorAssembler(inputCols=vectors, outputCol=out).transform(wide).select(*df.columns, out)
 
 
 def fit_encoder(train: DataFrame, features: Sequence[str]) -> Encoder:
     cats, nums = route_columns(train, features)
     if len(features) >= MATRIX_COLUMNS:
         nums = varying_columns(train, nums)
-    return Encoder(fit_one_hot(train, cats), fit_scaler(train, nums))
+    found = {c: categories(train, c, MAX_INDICATOR_COLUMNS) for c in cats}
+    few = OneHot({c: v for c, v in found.items() if v is not None})
+    many = [c for c, v in found.items() if v is None]
+    if not many:
+        return Encoder(few, fit_scaler(train, nums))
+    stages = []
+    for c in many:
+        stages += [
+            StringIndexer(inputCol=c, outputCol=f"__ix_{c}", handleInvalid="keep",
+                          stringOrderType="alphabetAsc"),
+            # The last slot is the one for unseen values; dropping it leaves zeros.
+            OneHotEncoder(inputCol=f"__ix_{c}", outputCol=f"__oh_{c}", dropLast=True),
+        ]
+    model = Pipeline(stages=stages).fit(train)
+    names = [f"{c}_{v}" for c, ix in zip(many, model.stages[0::2]) for v in ix.labels]
+    return Encoder(few, fit_scaler(train, nums), model, tuple(names))
 
 
 @dataclass(frozen=True)
@@ -184,7 +218,7 @@ def predictions(
     fitted: Fitted, sets: Mapping[str, DataFrame], id_col: str, keep: Sequence[str] = ()
 ) -> DataFrame:
     """(eval_set, id, y, p, ..keep) of all evaluation sets, predicted in one pass."""
-    need = [c for c in dict.fromkeys([id_col, fitted.label, *keep, *_inputs(fitted)])]
+    need = list(dict.fromkeys([id_col, fitted.label, *keep, *fitted.encoder.inputs]))
     tagged = [df.select(*need).withColumn("eval_set", F.lit(n)) for n, df in sets.items()]
     every = reduce(DataFrame.unionByName, tagged)
     return fitted.predict(every).select(
@@ -193,58 +227,78 @@ def predictions(
     )
 
 
-def _inputs(fitted: Fitted) -> list[str]:
-    return [*fitted.encoder.one_hot.cats, *fitted.encoder.scaler.mean]
+# --- Gaussian GLM from sufficient statistics ---------------------------------------------
 
+# Relative size below which an eigenvalue counts as zero.
+RANK_TOL = 1e-10
+
+
+def _least_squares(m: Mapping[str, Any]) -> list[tuple]:
+    """(coef, stderr, p, r2) per input from one group's moments."""
+    import math
+
+    import numpy as np
+
+    n, mx, my, c = m["__n"], np.array(m["__mx"], float), m["__my"], np.array(m["__cxy"], float)
+    k = len(mx)
+    s = np.array(m["__cov"], float).reshape(k, k)
+    scale = np.sqrt(np.maximum(np.diag(s), 0))
+    moving = scale > 1e-9 * np.maximum(np.abs(mx), 1e-300)
+    unit = np.where(moving, scale, 1.0)
+    if moving.all() and np.linalg.eigvalsh(s / np.outer(unit, unit)).min() > RANK_TOL:
+        rank, inverse = k + 1, np.linalg.inv(s)
+        coef, spread = inverse @ c, np.diag(inverse)
+    else:
+        s[~moving, :], s[:, ~moving], c[~moving] = 0.0, 0.0, 0.0
+        full = np.block([[np.ones((1, 1)), mx[None, :]], [mx[:, None], s + np.outer(mx, mx)]])
+        inverse = np.linalg.pinv(full, rcond=RANK_TOL, hermitian=True)
+        rank = np.linalg.matrix_rank(full, tol=RANK_TOL * np.abs(full).max(), hermitian=True)
+        coef = (inverse @ np.r_[my, c + mx * my])[1:]
+        spread = np.diag(inverse)[1:]
+    if n <= rank or not np.isfinite(coef).all():
+        return [(0.0, 0.0, None, None)] * k
+    rss = max(n * (m["__vy"] - 2 * coef @ c + coef @ s @ coef), 0.0)
+    stderr = np.sqrt(np.maximum(rss / (n - rank) * spread / n, 0))
+    r2_ = 1 - rss / (n * m["__vy"]) if m["__vy"] > 0 else None
+    return [
+        (float(b), float(e), math.erfc(abs(b / e) / math.sqrt(2)) if e > 0 else 0.0, r2_)
+        for b, e in zip(coef, stderr)
+    ]
 
-# --- Gaussian GLM from sufficient statistics ---------------------------------------------
 
 def gaussian_glm(
     df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str] = (), gate: bool = False
 ) -> DataFrame:
     """Least squares with intercept per group: (by.., feature, coef, stderr, p, pseudo_r2).
 
-    One aggregation yields every group's covariances, so data size only matters to the
-    scan; each k-by-k system is solved where its row lives. ``p`` is two-sided normal;
-    ``gate`` zeroes coefficients with p > 0.05. The pseudo R2 is Cox-Snell at maximum
-    likelihood variances. A singular system gives zeros and no R2."""
+    One aggregation yields every group's means and covariances, so data size only matters
+    to the scan; each small system is solved where its row lives. ``p`` is two-sided
+    normal; ``gate`` zeroes coefficients with p > 0.05. The pseudo R2 is Cox-Snell at
+    maximum likelihood variances. A collinear design (say, all indicators of a category
+    beside the intercept) gets the minimum-norm solution; a group too small to fit gets
+    zeros and no R2."""
     from evenkeel.plans.reports import gate_coefs
 
     xs, by = list(xs), list(by)
-    k = len(xs)
-    cov = [F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")) for a in xs for b in xs]
-    cxy = [F.covar_pop(F.col(a).cast("double"), F.col(y).cast("double")) for a in xs]
-    complete = df.dropna(subset=[*xs, y])
-    moments = complete.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__n"), F.var_pop(y).alias("__vy"),
-        F.array(*cov).alias("__cov"), F.array(*cxy).alias("__cxy"),
+    dbl = [F.col(c).cast("double") for c in xs]
+    out = F.col(y).cast("double")
+    moments = df.dropna(subset=[*xs, y]).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__n"), F.avg(out).alias("__my"), F.var_pop(out).alias("__vy"),
+        F.array(*[F.avg(a) for a in dbl]).alias("__mx"),
+        F.array(*[F.covar_pop(a, b) for a in dbl for b in dbl]).alias("__cov"),
+        F.array(*[F.covar_pop(a, out) for a in dbl]).alias("__cxy"),
     )
+    names = [*by, "feature", "coef", "stderr", "p", "pseudo_r2"]
 
     def solve(batches):
-        import math
-
-        import numpy as np
         import pandas as pd
 
         for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                n, s = r["__n"], np.array(r["__cov"], float).reshape(k, k)
-                c = np.array(r["__cxy"], float)
-                head = [r[b] for b in by]
-                try:
-                    inv = np.linalg.inv(s)
-                    coef = inv @ c
-                    rss = n * (r["__vy"] - coef @ c)
-                    stderr = np.sqrt(np.maximum(rss / (n - k - 1) * np.diag(inv) / n, 0))
-                    quality = 1 - rss / (n * r["__vy"])
-                except (np.linalg.LinAlgError, ZeroDivisionError):
-                    rows += [[*head, x, 0.0, 0.0, None, None] for x in xs]
-                    continue
-                for x, b, e in zip(xs, coef, stderr):
-                    p = math.erfc(abs(b / e) / math.sqrt(2)) if e > 0 else 0.0
-                    rows.append([*head, x, float(b), float(e), p, float(quality)])
-            names = [*by, "feature", "coef", "stderr", "p", "pseudo_r2"]
+            rows = [
+                [*[r[b] for b in by], x, *cell]
+                for r in pdf.to_dict("records")
+                for x, cell in zip(xs, _least_squares(r))
+            ]
             yield pd.DataFrame(rows, columns=names)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in moments.schema if f.name in by]

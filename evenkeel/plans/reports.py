@@ -468,3 +468,14 @@ def zip_predictions(
     rows = df.select(*keys, F.posexplode(zipped).alias("pos", "__z"))
     return rows.select(*keys, F.col("pos").cast("bigint").alias("pos"),
                        *[F.col(f"__z.{n}").alias(n) for n in names])
+
+
+def join_predictions(truth: DataFrame, predicted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The long form of :func:`zip_predictions`: truth and prediction share (run, id)."""
+    return truth.join(predicted, list(keys))
+
+
+def effect_pair(a: Column, b: Column) -> Column:
+    """Order-free label of two effect levels, e.g. ``[5, 90]``."""
+    lo, hi = F.least(a, b).cast("string"), F.greatest(a, b).cast("string")
+    return F.concat(F.lit("["), lo, F.lit(", "), hi, F.lit("]"))

@@ -101,8 +101,11 @@ def estimate_associations(
             }
             long = score_long(pred, "y", "p", ["eval_set"], metrics).withColumns(tag)
             table = fitted.coefficient_table(spark).withColumns(tag)
-            keys = [*tag]
-            return long.select(*keys, "eval_set", "metric", "value"), table.select(*keys, "feature", "coef")
+            # A run's scores are a few rows; storing them ends the run inside its thread.
+            return (
+                cut_lineage(long.select(*tag, "eval_set", "metric", "value"), "scores"),
+                table.select(*tag, "feature", "coef"),
+            )
 
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             for result in pool.map(one, jobs):

@@ -9,9 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from evenkeel.functions.names import unpack_name
+from evenkeel.functions.text import parse_list
 from evenkeel.plans.reports import RUN_ORDER
 from evenkeel.sources.samples import read_table
 
+def read_effect_tables(
+    spark: SparkSession, path_glob: str, schema: StructType | str, label: str = "lbl_y",
+    prefix: str | None = None,
+) -> DataFrame:
+    """P(label) of many data sets stacked with the effects parsed from their file names:
+    (name, con_name, cX, cy, Xy, proba). Files that cannot be read are skipped."""
+    df = (
+        spark.read.schema(schema).option("header", True).option("escape", '"')
+        .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).csv(path_glob)
+    )
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    rows = df.select(name.alias("name"), parse_list(F.col(f"probas_{label}")).alias("p"))
+    f = unpack_name(F.col("name"), prefix=prefix)
+    return rows.withColumn("f", f).select(
+        "name", F.get("f.cons", F.lit(0)).alias("con_name"), F.col("f.cX").alias("cX"),
+        F.get("f.cys", F.lit(0)).alias("cy"), F.col("f.Xy").alias("Xy"),
+        F.try_element_at("p", F.lit(2)).alias("proba"),
+    )
+
+
+# File names inside a checkpoint folder (fixed values).
 METADATA_FILE = "metadata.tsv"
 METRICS_FILE = "metametadata.json"
 

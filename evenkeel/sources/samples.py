@@ -61,6 +61,18 @@ def read_holdouts(
     return tag_holdouts({n: read_table(spark, p, fmt, schema) for n, p in paths.items()})
 
 
+def read_split_folders(
+    spark: SparkSession, root: str, pattern: str = "test_*", fmt: str = "csv",
+    schema: StructType | str | None = None,
+) -> DataFrame:
+    """Sibling folders ``<root>/<split>/`` as one frame, ``eval_set`` taken from the path.
+
+    ``split=`` partitions are found the same way with the pattern ``split=test_*``."""
+    df = _reader(spark, root, fmt, schema).load(f"{root.rstrip('/')}/{pattern}")
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return df.select("*", F.regexp_replace(folder, "^split=", "").alias("eval_set"))
+
+
 def tag_holdouts(tables: Mapping[str, DataFrame], out: str = "eval_set") -> DataFrame:
     tagged = [df.withColumn(out, F.lit(name)) for name, df in tables.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)

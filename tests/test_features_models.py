@@ -69,7 +69,7 @@ def test_label_index_is_learned_on_train(data):
 def test_ordinal_codes_agree_for_few_and_many_values(data, monkeypatch):
     want = {v: i for i, v in enumerate(sorted(A))}
     assert all(want[r.a] == r.c for r in X.ordinal_encode(data, "a", "c").collect())
-    monkeypatch.setattr(X, "materialize_small", lambda df: None)
+    monkeypatch.setattr(X, "small_table", lambda df: None)
     assert all(want[r.a] == r.c for r in X.ordinal_encode(data, "a", "c").collect())
 
 
@@ -163,6 +163,17 @@ def test_logistic_matches_newton(data, c):
     assert np.allclose(p, 1 / (1 + np.exp(-(np.c_[x, np.ones(N)] @ want))), atol=2e-3)
 
 
+def test_many_categories_are_sparse_and_agree(data, monkeypatch):
+    want = dict(H.fit_model(data, ["a", "g"], "y").coefficients())
+    monkeypatch.setattr(H, "MAX_INDICATOR_COLUMNS", 2)
+    fit = H.fit_model(data, ["a", "g"], "y")
+    got = dict(fit.coefficients())
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+    unseen = data.withColumn("g", F.lit("never seen"))
+    p = fit.predict(unseen).toPandas()
+    assert p.p.notna().all() and len(p) == N
+
+
 def test_ridge_and_lasso_closed_forms(data):
     x = np.c_[z(A), z(B)]
     yc = YV - YV.mean()
@@ -205,12 +216,27 @@ def test_glm_matches_least_squares(data):
     assert got["a"].pseudo_r2 == pytest.approx(1 - rss[0] / ((YV - YV.mean()) ** 2).sum())
 
 
-def test_glm_gate_and_singular_groups(data):
+def test_glm_gate(data):
     noise = data.withColumn("noise", (F.col("id") * 53 % 89).cast("double"))
     got = {r.feature: r.coef for r in H.gaussian_glm(noise, ["a", "b", "noise"], "v", gate=True).collect()}
     assert got["a"] != 0 and got["noise"] == 0
-    sing = H.gaussian_glm(data.withColumn("k", F.lit(1.0)), ["a", "k"], "v", ["g"]).collect()
-    assert len(sing) == 6 and all(r.coef == 0 and r.pseudo_r2 is None for r in sing)
+
+
+def test_collinear_designs_get_the_minimum_norm_solution(data):
+    wide = X.fit_one_hot(data, ["g"]).transform(data)
+    xs = ["a", "g_g0", "g_g1", "g_g2"]
+    got = {r.feature: r for r in H.gaussian_glm(wide, xs, "v").collect()}
+    x1 = np.c_[np.ones(N), A, G == 0, G == 1, G == 2].astype(float)
+    want = np.linalg.pinv(x1) @ YV
+    rss = ((YV - x1 @ want) ** 2).sum()
+    se = np.sqrt(rss / (N - 4) * np.diag(np.linalg.pinv(x1.T @ x1)))
+    for i, f in enumerate(xs, 1):
+        assert got[f].coef == pytest.approx(want[i], abs=1e-8) and got[f].stderr == pytest.approx(se[i])
+    const = {r.feature: r.coef for r in H.gaussian_glm(data.withColumn("k", F.lit(3.0)), ["a", "k"], "v").collect()}
+    want = np.linalg.pinv(np.c_[np.ones(N), A, np.full(N, 3.0)]) @ YV
+    assert const["a"] == pytest.approx(want[1]) and const["k"] == pytest.approx(want[2])
+    tiny = H.gaussian_glm(data.where("id < 2"), ["a", "b"], "v").collect()
+    assert all(r.coef == 0 and r.pseudo_r2 is None for r in tiny)
 
 
 def test_pca_centres_and_orders(spark, data):

@@ -184,6 +184,19 @@ def test_text_tables_need_a_schema_and_keep_lists(spark, tmp_path):
     assert got.select(parse_list(F.col("probas")).alias("p")).first().p == [0.1, 0.9]
 
 
+def test_split_folders_and_effect_tables(spark, tmp_path):
+    for split in ("test_all", "test_none", "train"):
+        os.makedirs(tmp_path / split)
+        pd.DataFrame({"id": [1, 2], "probas_lbl_y": ["[0.1, 0.9]", "[0.5, 0.5]"]}).to_csv(
+            tmp_path / split / "con1_shape-vol_cov-1-cat2_cX092_c1y081_Xy067.csv", index=False)
+    schema = "id int, probas_lbl_y string"
+    got = samples.read_split_folders(spark, str(tmp_path), schema=schema)
+    assert rows(got.groupBy("eval_set").count()) == [("test_all", 2), ("test_none", 2)]
+    eff = results.read_effect_tables(spark, str(tmp_path / "train" / "*.csv"), schema)
+    assert rows(eff, "con_name", "cX", "cy", "Xy", "proba") == [
+        ("cov_1_cat2", 92.0, 81.0, 67.0, 0.5), ("cov_1_cat2", 92.0, 81.0, 67.0, 0.9)]
+
+
 def test_union_fills_missing_columns(spark):
     a = spark.createDataFrame([("d", 1, 0.5)], "dataset string, trial int, s1 double")
     b = spark.createDataFrame([(0.7, "d", 2)], "s2 double, dataset string, trial int")
