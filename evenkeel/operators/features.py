@@ -181,9 +181,9 @@ def polynomial(
             name = " ".join(c if p == 1 else f"{c}^{p}" for c, p in powers)
             names.append(name)
             if d > 1:
-                value = F.col(combo[0])
+                value = F.col(f"`{combo[0]}`")
                 for c in combo[1:]:
-                    value = value * F.col(c)
+                    value = value * F.col(f"`{c}`")
                 new[name] = value
     return (df.withColumns(new) if new else df), names
 

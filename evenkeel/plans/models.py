@@ -280,9 +280,10 @@ def gaussian_glm(
     from evenkeel.plans.reports import gate_coefs
 
     xs, by = list(xs), list(by)
-    dbl = [F.col(c).cast("double") for c in xs]
-    out = F.col(y).cast("double")
-    moments = df.dropna(subset=[*xs, y]).groupBy(*by).agg(
+    dbl = [F.col(f"`{c}`").cast("double") for c in xs]
+    out = F.col(f"`{y}`").cast("double")
+    complete = reduce(lambda a, b: a & b, [c.isNotNull() for c in [*dbl, out]])
+    moments = df.where(complete).groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"), F.avg(out).alias("__my"), F.var_pop(out).alias("__vy"),
         F.array(*[F.avg(a) for a in dbl]).alias("__mx"),
         F.array(*[F.covar_pop(a, b) for a in dbl for b in dbl]).alias("__cov"),
