@@ -6,11 +6,19 @@ from pyspark.sql import functions as F
 
 from evenkeel.catalog.registry import query, r, rnd, u
 from evenkeel.catalog.views import (
-    names_v, runs, samples, scored, scores, set_scores, spread_table, table, with_ctes,
+    names_v, rules_v, runs, samples, scored, scores, set_scores, spread_table, states_v, table,
+    with_ctes,
 )
 from evenkeel.functions.names import effects_only, unpack_name
 from evenkeel.functions.stats import expit
 from evenkeel.plans import reports as P
+from evenkeel.plans.effects import (
+    Sources,
+    attribute_effects,
+    counterfactual_experiment,
+    effect_scores,
+    regression_effects,
+)
 from evenkeel.plans.models import gaussian_glm
 
 PARTS = ["a_minus_dir", "a_minus_con", "a_none"]
@@ -267,7 +275,7 @@ def pivot_metrics(spark, d):
 def minmax_row(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("line"),
                                             F.col("l_discount").alias("a"), F.col("l_tax").alias("b"), (F.col("l_quantity") / 500).alias("c"))
-    return rounded(P.minmax_row(li, ["a", "b", "c"]), "a", "b", "c")
+    return rounded(P.minmax_row(li, "^[abc]$"), "a", "b", "c")
 
 
 @query("best_checkpoint", """SELECT user_id, max(value) AS loss, min(event_id) FILTER (value = top) AS event_id FROM (SELECT *, max(value) OVER (PARTITION BY user_id) AS top FROM events) GROUP BY 1""")
@@ -347,3 +355,47 @@ def cf_pair_diff(spark, d):
     return rounded(out, "effect", digits=10).select("segment", "id", "effect")
 
 
+
+
+SOURCES = Sources(direct=("z",), confounders=("bal",))
+
+
+@query("effect_scores", with_ctes("ev").rstrip() + f""",
+ w AS (SELECT dataset, metric, avg(CASE WHEN eval_set = 'test_all' THEN v END) AS t, avg(CASE WHEN eval_set = 'test_none' THEN v END) AS n,
+  avg(CASE WHEN eval_set = 'test_with_con' THEN v END) AS d, avg(CASE WHEN eval_set = 'test_with_dir' THEN v END) AS c
+  FROM (UNPIVOT (SELECT dataset, eval_set, d2, logodds_r2 FROM ev) ON d2, logodds_r2 INTO NAME metric VALUE v) GROUP BY 1, 2)
+ SELECT dataset, metric, {r('t')} AS a_total, {r('n')} AS a_none, {r('d')} AS a_minus_dir, {r('c')} AS a_minus_con,
+ {r('(t - d) / nullif(t - n, 0)', 5)} AS a_dir, {r('(t - c) / nullif(t - n, 0)', 5)} AS a_con FROM w""")
+def effect_scores_query(spark, d):
+    long = scores(spark, d).where(F.col("metric").isin("d2", "logodds_r2"))
+    out = effect_scores(long, Sources(direct=("dir",), confounders=("con",)))
+    return rounded(rounded(out, "a_total", "a_none", "a_minus_dir", "a_minus_con"), "a_dir", "a_con", digits=5)
+
+
+@query("regression_effects", with_ctes("scored").rstrip() + f""",
+ sd AS (SELECT stddev_pop(z) AS sz, stddev_pop(bal) AS sb FROM scored),
+ lo AS (SELECT fold, z / sz AS x1, bal / sb AS x2, ln(p / (1 - p)) AS t FROM scored, sd),
+ g AS (SELECT fold, count(*) AS n, covar_pop(x1, x1) AS s11, covar_pop(x1, x2) AS s12, covar_pop(x2, x2) AS s22, covar_pop(x1, t) AS c1, covar_pop(x2, t) AS c2, var_pop(t) AS vy FROM lo GROUP BY 1),
+ b AS (SELECT *, s11 * s22 - s12 * s12 AS det, (s22 * c1 - s12 * c2) / (s11 * s22 - s12 * s12) AS b1, (s11 * c2 - s12 * c1) / (s11 * s22 - s12 * s12) AS b2 FROM g),
+ e AS (SELECT *, n * (vy - b1 * c1 - b2 * c2) / (n - 3) / n / det AS k, 1 - (vy - b1 * c1 - b2 * c2) / vy AS r2 FROM b),
+ c AS (SELECT 'z_z' AS feature, 'direct' AS role, b1 AS coef, sqrt(k * s22) AS se, r2 FROM e UNION ALL SELECT 'bal_z', 'confounder', b2, sqrt(k * s11), r2 FROM e)
+ SELECT 'gamma' AS model, feature, role, {r('avg(CASE WHEN abs(coef / se) < 1.959963984540054::DOUBLE THEN 0 ELSE coef END)')} AS coef, {r('avg(se)')} AS stderr, {r('avg(r2)')} AS pseudo_r2 FROM c GROUP BY 2, 3""")
+def regression_effects_query(spark, d):
+    out = regression_effects(scored(spark, d), "p", SOURCES, "fold")
+    return rounded(out, "coef", "stderr", "pseudo_r2")
+
+
+@query("attribute_effects")
+def attribute_effects_query(spark, d):
+    out = attribute_effects(scored(spark, d), scores(spark, d), Sources(("z",), ("bal",)), "p", "fold")
+    return out.select("dataset", "metric", "beta_share", "gamma_share")
+
+
+@query("counterfactual_experiment")
+def counterfactual_experiment_query(spark, d):
+    """Rules learned from the samples, drawn for every order, fit and scored everywhere."""
+    ids = samples(spark, d).select("id")
+    study = counterfactual_experiment(
+        ids, states_v(spark, d), rules_v(spark, d), "id", "lbl_y", Sources(("priority",), ("segment",)),
+        ["priority", "attr"], metrics=["d2", "balanced_accuracy"], folds=2)
+    return study.scores

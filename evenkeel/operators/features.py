@@ -36,7 +36,7 @@ def category_codes(
     cats = categories(df, col, limit)
     if cats is None or len(cats) < least:
         raise ContractError(f"{col} needs between {least} and {limit} categories")
-    arr = F.array(*[F.lit(v) for v in cats])
+    arr = F.array(*[F.lit(v) for v in cats]).cast(T.ArrayType(df.schema[col].dataType))
     return lambda c: F.nullif(F.array_position(arr, c).cast("bigint"), F.lit(0)) - 1
 
 

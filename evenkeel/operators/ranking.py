@@ -32,7 +32,8 @@ def rank_in_strata(
     size: str | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
-    """Number the rows of every stratum 1..n in hash order of ``id_col`` (ties by id)."""
+    """Number the rows of every stratum 1..n in hash order of ``id_col`` (ties by id;
+    ids must be unique within a stratum)."""
     b = buckets or shuffle_buckets(df.sparkSession)
     base = (
         df.withColumn("__s", stratum(keys))
@@ -103,7 +104,8 @@ def take_per_stratum(
     flags: Sequence[str],
     buckets: int | None = None,
 ) -> DataFrame:
-    """Add one boolean per seed: is the row within the first ``quota`` of its stratum?"""
+    """Add one boolean per seed: is the row within the first ``quota`` of its stratum?
+    Ids must be unique within a stratum."""
     cut = stratum_cutoffs(df, keys, id_col, seeds, quota, buckets)
     joined = df.withColumn("s", stratum(keys)).join(broadcast_if_small(cut), "s", "left")
     for i, (seed, flag) in enumerate(zip(seeds, flags)):

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from evenkeel.functions.hashing import unit_hash
 from evenkeel.functions.vectors import (
@@ -199,7 +200,8 @@ def effect_grid(levels: DataFrame, cols: Sequence[str]) -> DataFrame:
         vals = categories(levels, c)
         if vals is None:
             raise ContractError(f"{c} has too many levels for a grid")
-        grid = grid.withColumn(c, F.explode(F.array(*[F.lit(v) for v in vals])))
+        typed = F.array(*[F.lit(v) for v in vals]).cast(ArrayType(levels.schema[c].dataType))
+        grid = grid.withColumn(c, F.explode(typed))
     return grid.select(*cols)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -380,12 +381,16 @@ def pivot_metrics(
     return df.select(*keys, *cells)
 
 
-def minmax_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Scale the given columns of every row to 0..1; a constant row gives null."""
-    arr = F.array(*[F.col(c).cast("double") for c in cols])
+def minmax_row(df: DataFrame, cols: Sequence[str] | str) -> DataFrame:
+    """Scale the given columns (or those whose name matches a pattern) of every row to
+    0..1; a constant row gives null."""
+    if isinstance(cols, str):
+        rx = re.compile(cols)
+        cols = [c for c in df.columns if rx.search(c)]
+    arr = F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
     out = df.withColumns({"__lo": F.array_min(arr), "__hi": F.array_max(arr)})
     span = F.col("__hi") - F.col("__lo")
-    return out.withColumns({c: F.try_divide(F.col(c) - F.col("__lo"), span) for c in cols}).drop(
+    return out.withColumns({c: F.try_divide(F.col(f"`{c}`") - F.col("__lo"), span) for c in cols}).drop(
         "__lo", "__hi"
     )
 

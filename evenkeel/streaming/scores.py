@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,7 @@ def stream_assign(
 
 def drain_groups(result: DataFrame, name: str) -> DataFrame:
     """Process what is available and return the final groups (one row per group)."""
-    spark = result.sparkSession
+    spark, name = result.sparkSession, f"{name}_{uuid.uuid4().hex}"
     query = (
         result.writeStream.outputMode("complete").format("memory").queryName(name)
         .option("checkpointLocation", scratch_path(spark, name))
