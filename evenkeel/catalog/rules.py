@@ -259,15 +259,14 @@ def conditional_table(spark, d):
     return out.withColumn("percent", rnd("percent"))
 
 
-@query("link_functions", f"""SELECT id, {r('p[1]')} AS softmax0, {r('1 / (1 + exp(-z))')} AS sigmoid0, {r('(z + 3) / (2 * z + 7)')} AS identity0 FROM (
- SELECT event_id AS id, ln(value + 1) AS z, {softmax_sql('[ln(value + 1), 0.0, 1.0]')} AS p FROM events)""")
+@query("link_functions", f"""SELECT id, {r('p[1]')} AS softmax0, {r('1 / (1 + exp(-z))')} AS sigmoid0, {r('(sqrt(z) + 3) / (2 * sqrt(z) + 7)')} AS identity0 FROM (
+ SELECT event_id AS id, value / 100 AS z, {softmax_sql('[value / 100, 0.0, 1.0]')} AS p FROM events)""")
 def link_functions(spark, d):
-    z = F.log(F.col("value") + 1)
-    three = F.array(z, F.lit(0.0), F.lit(1.0))
-    lin = F.array(z + 3, z + 4)
-    sig = link_probas(F.array(z, -z), "sigmoid")
+    z = F.col("value") / 100
+    root = F.sqrt(z)
+    lin = F.array(root + 3, root + 4)
+    three, two = F.array(z, F.lit(0.0), F.lit(1.0)), F.array(z, -z)
+    identity = F.transform(lin, lambda x: x / vsum(lin))
     return table(spark, d, "events").select(
-        F.col("event_id").alias("id"), rnd(link_probas(three)[0]).alias("softmax0"), rnd(sig[0]).alias("sigmoid0"),
-        rnd(F.transform(lin, lambda x: x / vsum(lin))[0]).alias("identity0"))
-
-
+        F.col("event_id").alias("id"), rnd(link_probas(three)[0]).alias("softmax0"),
+        rnd(link_probas(two, "sigmoid")[0]).alias("sigmoid0"), rnd(identity[0]).alias("identity0"))
