@@ -139,11 +139,11 @@ def value_ranks(
         .agg(F.count(F.lit(1)).alias("n"), *extra)
     )
     carried = distinct.columns[3:]
-    splits = (stats or value_stats(df, [value])[value]).splits()
-    bucketed = range_bucket(distinct, "v", splits, "b")
+    stats = stats or value_stats(df, [value])[value]
+    bucketed = range_bucket(distinct, "v", stats, "b")
     w = Window.partitionBy("s", "b").orderBy("v")
     within = bucketed.withColumn("below", F.sum("n").over(w) - F.col("n"))
-    if splits:
+    if stats.splits():
         ws = Window.partitionBy("s").orderBy("b")
         offs = bucketed.groupBy("s", "b").agg(F.sum("n").alias("c"))
         offs = offs.select("s", "b", (F.sum("c").over(ws) - F.col("c")).alias("off"))

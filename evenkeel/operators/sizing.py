@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,10 +59,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ValueStats:
-    """Row count, approximate distinct count and quantiles of one numeric column."""
+    """Row count, approximate distinct count, range and quantiles of one numeric column."""
 
     rows: int
     distinct: int
+    lo: float
+    hi: float
     quantiles: list[float]
 
     def splits(self, target_rows: int = TARGET_ROWS_PER_BUCKET) -> list[float]:
@@ -74,6 +77,11 @@ class ValueStats:
         step = len(self.quantiles) / buckets
         return sorted({self.quantiles[int(i * step)] for i in range(1, buckets)})
 
+    def parts(self, target_rows: int = TARGET_ROWS_PER_BUCKET) -> int:
+        """How often every bucket is cut again, evenly by value, where the quantiles alone
+        leave it too large."""
+        return max(1, -(-self.rows // (target_rows * (len(self.splits(target_rows)) + 1))))
+
 
 def value_stats(df: DataFrame, values: Sequence[str]) -> dict[str, ValueStats]:
     """One pass of mergeable sketches over all columns; no row is shuffled."""
@@ -84,25 +92,34 @@ def value_stats(df: DataFrame, values: Sequence[str]) -> dict[str, ValueStats]:
         aggs += [
             F.count(v).alias(f"n{i}"), F.approx_count_distinct(v, 0.02).alias(f"d{i}"),
             F.percentile_approx(v, probs, 4 * QUANTILES).alias(f"q{i}"),
+            F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
         ]
     row = df.agg(*aggs).first()
     return {
-        c: ValueStats(row[f"n{i}"], row[f"d{i}"], [float(x) for x in row[f"q{i}"] or []])
+        c: ValueStats(
+            row[f"n{i}"], row[f"d{i}"], row[f"lo{i}"], row[f"hi{i}"],
+            [float(x) for x in row[f"q{i}"] or []],
+        )
         for i, c in enumerate(values)
     }
 
 
-def range_bucket(df: DataFrame, value: str, splits: Sequence[float], out: str) -> DataFrame:
+def range_bucket(df: DataFrame, value: str, stats: ValueStats, out: str) -> DataFrame:
     """Add the bucket number of ``value``; buckets ascend with the value."""
+    splits, parts = stats.splits(), stats.parts()
     if not splits:
-        return df.withColumn(out, F.lit(0))
-    from pyspark.ml.feature import Bucketizer
-
+        return df.withColumn(out, F.lit(0).cast("bigint"))
     edges = [float("-inf"), *splits, float("inf")]
-    if len(edges) < 3:
-        return df.withColumn(out, F.lit(0))
     b = Bucketizer(splits=edges, inputCol=value, outputCol=out, handleInvalid="keep")
-    return b.transform(df).withColumn(out, F.col(out).cast("int"))
+    df = b.transform(df).withColumn(out, F.col(out).cast("bigint"))
+    if parts == 1:
+        return df
+    at = (F.col(out) + 1).cast("int")
+    lo = F.try_element_at(F.array(*[F.lit(x) for x in [stats.lo, *splits]]), at)
+    hi = F.try_element_at(F.array(*[F.lit(x) for x in [*splits, stats.hi]]), at)
+    share = F.coalesce(F.try_divide(F.col(value) - lo, hi - lo), F.lit(0.0))
+    part = F.least(F.greatest(F.floor(share * parts), F.lit(0)), F.lit(parts - 1))
+    return df.withColumn(out, F.col(out) * parts + part)
 
 
 def stratum(keys: Sequence[str]) -> Column:

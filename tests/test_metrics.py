@@ -68,7 +68,8 @@ def auc(y, p):
 
 @pytest.mark.parametrize("target", [2_000_000, 30])
 def test_auc_with_ties_in_one_or_many_buckets(pred, monkeypatch, target):
-    monkeypatch.setattr(sizing.ValueStats.splits, "__defaults__", (target,))
+    for f in (sizing.ValueStats.splits, sizing.ValueStats.parts):
+        monkeypatch.setattr(f, "__defaults__", (target,))
     got = M.roc_auc(pred.withColumn("p", F.round("p", 1)), "y", "p").first()[0]
     assert got == pytest.approx(auc(Y, np.round(P + 1e-12, 1)), abs=5e-3)
     got = M.roc_auc(pred.withColumn("g", F.col("id") % 3), "y", "p", ["g"]).collect()

@@ -64,10 +64,16 @@ def test_quota_of_zero_selects_nothing(skewed):
     assert got.where("a").count() == 0 and got.count() == 3000
 
 
-def test_average_ranks_in_many_buckets(skewed, monkeypatch):
-    monkeypatch.setattr(sizing.ValueStats.splits, "__defaults__", (200,))
+@pytest.mark.parametrize("quantiles, target", [(1023, 200), (3, 20)])
+def test_average_ranks_in_many_buckets(skewed, monkeypatch, quantiles, target):
+    """Buckets from quantiles alone, and few quantiles whose buckets are cut again."""
+    monkeypatch.setattr(sizing, "QUANTILES", quantiles)
+    for f in (sizing.ValueStats.splits, sizing.ValueStats.parts):
+        monkeypatch.setattr(f, "__defaults__", (target,))
     stats = sizing.value_stats(skewed, ["x"])["x"]
-    assert len(stats.splits()) > 5
+    assert (len(stats.splits()) > 5) == (quantiles == 1023) and (stats.parts() > 9) == (quantiles == 3)
+    cut = sizing.range_bucket(skewed, "x", stats, "b").select("x", "b").distinct().orderBy("x").collect()
+    assert [r.b for r in cut] == sorted(r.b for r in cut) and len({r.b for r in cut}) > 10
     got = average_ranks(skewed, {"x": "rx", "c": "rc"}, ["g"]).select("id", "rx", "rc").toPandas()
     pdf = skewed.toPandas()
     grp = pdf.groupby(pdf.g.fillna("?"))
