@@ -66,8 +66,8 @@ def dense_codes(df: DataFrame, col: str, out: str, buckets: int = 256) -> DataFr
         for r in distinct.orderBy(hash52(F.col(col), "splits"), col).limit(16 * buckets).collect()
     ]
     step = max(1, len(sample) // buckets)
-    splits = sorted(sample)[step::step] or [None]
-    arr = F.array(*[F.lit(v) for v in splits])
+    splits = F.array(*[F.lit(v) for v in sorted(sample)[step::step]])
+    arr = splits.cast(T.ArrayType(df.schema[col].dataType))
     with_b = distinct.withColumn("__b", F.size(F.filter(arr, lambda s: s <= F.col(col))))
     counts = with_b.groupBy("__b").agg(F.count(F.lit(1)).alias("__c")).collect()
     offsets, total = {}, 0
