@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a fresh folder on Hadoop's default file system is set, which is
+    removed when the application ends. A local file system is refused there unless
+    executors run inside the driver, since other machines would not see it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="evenkeel-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.FileSystem.get(hadoop)
+    fresh = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"/tmp/evenkeel-{uuid.uuid4().hex}"))
+    in_driver = spark.sparkContext.master.split("[")[0] == "local"
+    if fresh.toUri().getScheme() == "file" and not in_driver:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    fs.mkdirs(fresh)
+    fs.deleteOnExit(fresh)
+    spark.conf.set("spark.checkpoint.dir", fresh.toString())
+    return fresh.toString()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
