@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.catalog.registry import h, u
-from evenkeel.llm import exact, language, mixing, sharding
+from evenkeel.llm import exact, language, mixing, neardup, sharding
 from evenkeel.llm.common import word_count
 from evenkeel.session import cut_lineage
 
@@ -94,3 +94,26 @@ def op9_language(spark, d):
     model = language.fit(docs, ~language.held_out("doc_id"))
     out = language.identify(docs, model)
     return out.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "mixture")
+
+
+@query("op3_near_dedup", """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS s
+  FROM words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b USING (s)
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM documents
+  UNION SELECT links.b, reach.r FROM reach JOIN links ON links.a = reach.v)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS component_id, d.doc_id = min(r) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.v = d.doc_id GROUP BY d.doc_id""")
+def op3_near_dedup(spark, d):
+    return neardup.near_duplicates(table(spark, d, "documents"), shingle=4)
