@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.catalog.registry import h, u
-from evenkeel.llm import exact, language, mixing, neardup, sharding
+from evenkeel.llm import decontaminate, exact, language, mixing, neardup, sharding
 from evenkeel.llm.common import word_count
 from evenkeel.session import cut_lineage
 
@@ -117,3 +117,33 @@ SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(r) AS comp
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.v = d.doc_id GROUP BY d.doc_id""")
 def op3_near_dedup(spark, d):
     return neardup.near_duplicates(table(spark, d, "documents"), shingle=4)
+
+
+@query("op6_decontaminate", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, unnest([array_to_string(w[i:i + least(13, len(w)) - 1], ' ')
+         FOR i IN range(1, greatest(len(w) - 12, 1) + 1)]) AS s FROM b WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM windows),
+grams AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM w, lengths WHERE len(w) >= n),
+met AS (SELECT doc_id, item_id, i, n FROM grams JOIN windows USING (n, s)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM met) GROUP BY doc_id)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
+FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""")
+def op6_decontaminate(spark, d):
+    out = decontaminate.find_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )

@@ -17,8 +17,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(text: Column) -> Column:
-    """Only A-Z changes, whatever the locale."""
-    return F.translate(text, UPPER, LOWER)
+    """Only A-Z changes, whatever the locale. Pure ASCII texts take the faster way."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def text_of(text: Column) -> Column:
