@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.catalog.registry import h, u
-from evenkeel.llm import decontaminate, exact, language, mixing, neardup, sharding
-from evenkeel.llm.common import word_count
+from evenkeel.llm import decontaminate, exact, language, mixing, neardup, secrets, sharding
+from evenkeel.llm.common import listed, word_count
 from evenkeel.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,19 @@ def op6_decontaminate(spark, d):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontaminate.contaminated().alias("contaminated"),
     )
+
+
+@query("op1_secret_scan")
+def op1_secret_scan(spark, d):
+    # documents name a source only: it stands for the owner, and each of its languages for a repository
+    found = secrets.scan_secrets(
+        table(spark, d, "documents"), F.col("source"), F.concat_ws("/", "source", "lang")
+    )
+    short = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["k"], s["end"]))
+    of = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("bigint")
+    return found.select(
+        "doc_id", *[of(k).alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS[:-1])],
+        F.sha2(listed(short("base"), secrets.KINDS), 256).alias("base_sha256"),
+        listed(F.concat(short("base"), short("added")), secrets.KINDS).alias("spans"),
+        F.size("added").cast("bigint").alias("n_added"), "n_live", "n_example",
+    )

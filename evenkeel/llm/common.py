@@ -64,3 +64,36 @@ def running_total(df: DataFrame, n: str, order: Sequence[str], out: str) -> Data
     partition or bucket."""
     w = Window.orderBy(*order)
     return df.withColumn(out, F.sum(n).over(w) - F.col(n))
+
+
+SPAN = "struct<start:bigint,end:bigint,value:string>"
+
+
+def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
+    """array of (start, end, value) of the pattern's leftmost non-overlapping matches, in code
+    points, end exclusive; ``value`` is what ``group`` matched. The pattern must not match
+    nothing.
+
+    Texts without a match cost one search. In others the pieces between matches give the
+    positions."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(whole))
+    steps = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.char_length(x["gap"])
+        end = begin + F.char_length(x["whole"])
+        span = F.struct(begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["value"].alias("value"))
+        return F.struct(end.cast("bigint").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    found = F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def listed(spans: Column, kinds: Sequence[str]) -> Column:
+    """'kind:start:end,..' of an array of (start, k, end), by start, then kind."""
+    names = F.array(*[F.lit(k) for k in kinds])
+    shown = lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(F.array_sort(spans), shown), ",")

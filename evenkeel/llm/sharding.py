@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm.common import running_total, skewed_lookup, text_of
@@ -137,34 +137,71 @@ def pack_groups(groups: DataFrame, shards: int | None = None, capacity: int | No
     return placed.join(F.broadcast(shard_of), on, "left").select("digest", "n", "shard")
 
 
-def shard_rows(
+def shard_units(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shards: int | None = None, capacity: int | None = None,
 ) -> DataFrame:
-    """(id, size, text_crc32, shard, slot), one row per row of ``docs``.
+    """(id, digest, size, text_crc32, copies, shard, start), one row per distinct id and text.
 
-    Size is the text's UTF-8 bytes plus 1 (null: 1). Rows of equal texts, a null one being an
-    empty one, share a shard; slots are numbered in a shard from 0 without gaps, by buckets of
-    the id's hash that are shifted by the sizes of those before: no task numbers a whole shard.
-    Repeated rows each have a slot. An empty table gives an empty result."""
+    Its ``copies`` rows have the slots from ``start`` on. Slots are numbered by buckets of the
+    id's hash, each shifted by the sizes of those before in its shard: no task numbers a whole
+    shard, however many rows its groups have."""
     text = text_of(F.col("t"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).select(
         "id", (F.coalesce(F.octet_length("t"), F.lit(0)) + 1).cast("bigint").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), text_digest(F.col("t")).alias("digest"),
     )
+    rows = rows.groupBy("id", "size", "text_crc32", "digest").agg(F.count(F.lit(1)).alias("copies"))
     rows = cut_lineage(rows, "sized")
-    groups = cut_lineage(rows.groupBy("digest").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "groups")
+    mass = F.sum(F.col("size") * F.col("copies")).alias("size")
+    groups = cut_lineage(rows.groupBy("digest").agg(mass, F.count(F.lit(1)).alias("n")), "groups")
     placed = cut_lineage(pack_groups(groups, shards, capacity), "shards-of-groups")
     total = rows.count()
-    out = skewed_lookup(rows, placed, ["digest"], "n", total, F.col("id")).drop("digest")
+    out = skewed_lookup(rows, placed, ["digest"], "n", total, F.col("id"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-total // SLOTS_PER_TASK))
-    out = cut_lineage(out.withColumn("b", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(buckets)).cast("int")), "sharded")
-    sizes = out.groupBy("shard", "b").agg(F.count(F.lit(1)).alias("c"))
+    out = cut_lineage(out.withColumn("b", F.pmod(F.xxhash64("id", "digest"), F.lit(buckets)).cast("int")), "sharded")
+    sizes = out.groupBy("shard", "b").agg(F.sum("copies").alias("c"))
     w = Window.partitionBy("shard").orderBy("b")
     before = sizes.select("shard", "b", (F.sum("c").over(w) - F.col("c")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("shard", "b").orderBy("id", "text_crc32", "size"))
+    ordered = Window.partitionBy("shard", "b").orderBy("id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("copies").over(ordered), F.lit(0))
     return (
         out.withColumn("in", within).join(before, ["shard", "b"])
-        .select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("before") + F.col("in") - 1).cast("bigint").alias("slot"))
+        .withColumn("start", (F.col("before") + F.col("in")).cast("bigint"))
+        .select("id", "digest", "size", "text_crc32", "copies", "shard", "start")
+    )
+
+
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text_of(text).cast("binary"), 256))
+
+
+def shard_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    shards: int | None = None, capacity: int | None = None,
+) -> DataFrame:
+    """(id, size, text_crc32, shard, slot), one row per row of ``docs``.
+
+    Size is the text's UTF-8 bytes plus 1 (null: 1). Rows of equal texts, a null one being an
+    empty one, share a shard; slots count from 0 in each shard without gaps. Repeated rows
+    each have a slot. An empty table gives an empty result. Other columns are not read."""
+    units = shard_units(docs, id_col, text_col, shards, capacity)
+    each = units.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
+    return each.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("start") + F.col("i")).alias("slot"))
+
+
+def place_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    shards: int | None = None, capacity: int | None = None,
+) -> DataFrame:
+    """``docs`` with two more columns, shard and slot, as :func:`shard_rows` gives them."""
+    units = shard_units(docs, id_col, text_col, shards, capacity)
+    units = units.select(F.col("id").alias("__id"), F.col("digest").alias("__d"), F.col("shard").alias("__shard"), F.col("start").alias("__start"))
+    keyed = docs.withColumn("__digest", text_digest(F.col(text_col)))
+    same = [F.col(id_col).eqNullSafe(F.col("__id")), F.col("__digest") == F.col("__d")]
+    kept = [F.col(c) for c in docs.columns]
+    copy = F.row_number().over(Window.partitionBy("__id", "__d").orderBy("__start")) - 1
+    return keyed.join(units, same).select(
+        *kept, F.col("__shard").alias("shard"), (F.col("__start") + copy).cast("bigint").alias("slot")
     )
