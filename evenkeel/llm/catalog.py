@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.catalog.registry import h, u
-from evenkeel.llm import decontaminate, exact, language, mixing, neardup, secrets, sharding
+from evenkeel.llm import decontaminate, exact, language, mixing, neardup, pii, secrets, sharding
 from evenkeel.llm.common import listed, word_count
 from evenkeel.session import cut_lineage
 
@@ -163,3 +163,19 @@ def op1_secret_scan(spark, d):
         listed(F.concat(short("base"), short("added")), secrets.KINDS).alias("spans"),
         F.size("added").cast("bigint").alias("n_added"), "n_live", "n_example",
     )
+
+
+@query("op2_pii")
+def op2_pii(spark, d):
+    docs = table(spark, d, "documents")
+    model = pii.fit(docs.select(F.col("doc_id").alias("id"), "text"))
+    found = pii.scan_personal(docs, model)
+    base = F.filter("spans", lambda s: s["base"])
+    short = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["k"], s["end"]))
+    of = lambda k: F.size(F.filter(base, lambda s: s["k"] == k)).cast("bigint")
+    return found.select(
+        "doc_id", *[of(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)],
+        F.sha2(listed(short(base), pii.KINDS), 256).alias("base_sha256"),
+        listed(short(F.col("spans")), pii.KINDS).alias("spans"),
+        (F.size("spans") - F.size(base)).cast("bigint").alias("n_added"),
+    )

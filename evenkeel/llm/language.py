@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,6 +130,27 @@ def proportions(model: Model, n: np.ndarray) -> tuple[list[int], np.ndarray]:
     return chosen, w
 
 
+def predicted(model: Model) -> Callable[[Column], Column]:
+    """A function of a text column, giving struct(lang_pred, score, mixture)."""
+
+    @F.pandas_udf("lang_pred string, score double, mixture map<string,double>")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([answer(model, t) for t in texts], columns=["lang_pred", "score", "mixture"])
+
+    return predict
+
+
+def answer(model: Model, text: str | None) -> tuple[str, float, dict[str, float]]:
+    n = grams(text) if isinstance(text, str) and model.langs else None
+    if n is None:
+        return UNKNOWN, 0.0, {}
+    chosen, w = proportions(model, n)
+    w = w / w.sum()
+    top = min(range(len(chosen)), key=lambda i: (-w[i], chosen[i]))
+    return model.langs[chosen[top]], float(min(1.0, w[top])), {model.langs[c]: float(x) for c, x in zip(chosen, w)}
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, mixture): the language with the largest proportion, that
     proportion, and all selected languages with theirs, one row per row of ``docs``.
@@ -137,25 +158,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     ``und`` with score 0 where the text is null or has no letters, or no language was learned.
     Ties go to the first language in order. Only the text decides. Other columns are not
     read. An empty table gives an empty result."""
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                n = grams(text) if isinstance(text, str) and model.langs else None
-                if n is None:
-                    out.append((UNKNOWN, 0.0, {}))
-                    continue
-                chosen, w = proportions(model, n)
-                w = w / w.sum()
-                top = min(range(len(chosen)), key=lambda i: (-w[i], chosen[i]))
-                out.append((model.langs[chosen[top]], float(min(1.0, w[top])), {model.langs[c]: float(x) for c, x in zip(chosen, w)}))
-            yield pd.DataFrame({"id": batch["id"], "lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "mixture": [x[2] for x in out]})
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    named = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    found = named.mapInPandas(predict, "id string, lang_pred string, score double, mixture map<string,double>")
-    return found.withColumn("id", F.col("id").cast(id_type)).withColumnRenamed("id", id_col)
+    found = docs.select(F.col(id_col), predicted(model)(F.col(text_col)).alias("__found"))
+    return found.select(id_col, "__found.*")
 
 
 def held_out(id_col: str) -> Column:
