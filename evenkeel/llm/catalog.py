@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.catalog.registry import h, u
-from evenkeel.llm import decontaminate, exact, language, mixing, neardup, pii, secrets, sharding
+from evenkeel.llm import decontaminate, exact, language, mixing, neardup, pii, secrets, sharding, tokens
 from evenkeel.llm.common import listed, word_count
-from evenkeel.session import cut_lineage
+from evenkeel.session import cut_lineage, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -179,3 +179,10 @@ def op2_pii(spark, d):
         listed(short(F.col("spans")), pii.KINDS).alias("spans"),
         (F.size("spans") - F.size(base)).cast("bigint").alias("n_added"),
     )
+
+
+@query("op4_token_blocks")
+def op4_token_blocks(spark, d):
+    folder = scratch_path(spark, "tokens")
+    files = tokens.write_tokens(table(spark, d, "documents"), folder, tokens.default_vocabulary())
+    return tokens.read_documents(files, folder)
