@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.catalog.registry import h, u
-from evenkeel.llm import decontaminate, exact, language, mixing, neardup, pii, secrets, sharding, tokens
+from evenkeel.llm import decontaminate, exact, language, lines, mixing, neardup, pii, secrets, sharding, tokens
 from evenkeel.llm.common import listed, word_count
 from evenkeel.session import cut_lineage, scratch_path
 
@@ -186,3 +186,8 @@ def op4_token_blocks(spark, d):
     folder = scratch_path(spark, "tokens")
     files = tokens.write_tokens(table(spark, d, "documents"), folder, tokens.default_vocabulary())
     return tokens.read_documents(files, folder)
+
+
+@query("op8_fuzzy_lines")
+def op8_fuzzy_lines(spark, d):
+    return lines.group_lines(table(spark, d, "documents"))
