@@ -31,12 +31,7 @@ PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|x{4,}|(.)
 def candidates(text: Column) -> Column:
     """array of (k, start, end, value): base matches, and other strings of mixed letters and
     digits with many different characters that overlap none of them."""
-    parts = []
-    for k, kind in enumerate(KINDS[:-1]):
-        pattern, group, least = BASE[kind]
-        found = F.filter(match_spans(text, pattern, group), lambda s, n=least: F.char_length(s["value"]) >= n)
-        parts.append(_tagged(found, k))
-    base = F.concat(*parts)
+    base = F.concat(*[_tagged(_long_enough(text, *BASE[kind]), k) for k, kind in enumerate(KINDS[:-1])])
     mixed = lambda v: (
         v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.char_length(v) <= LONGEST)
         & (F.size(F.array_distinct(F.split(v, ""))) >= LEAST_CHARACTERS)
@@ -45,6 +40,10 @@ def candidates(text: Column) -> Column:
     return F.struct(base.alias("base"), _tagged(other, len(KINDS) - 1).alias("other"))
 
 
+def _long_enough(text: Column, pattern: str, group: int, least: int) -> Column:
+    return F.filter(match_spans(text, pattern, group), lambda s: F.char_length(s["value"]) >= least)
+
+
 def _tagged(spans: Column, k: int) -> Column:
     return F.transform(spans, lambda s: F.struct(
         F.lit(k).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")
