@@ -104,7 +104,7 @@ def ordinal_encode_query(spark, d):
 def ordinal_encode_large(spark, d):
     """More values than fit literals: numbered by range buckets."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
-    codes = dense_codes(o, "o_totalprice", "code", buckets=32)
+    codes = dense_codes(o, "o_totalprice", "code")
     return o.join(codes, "o_totalprice").select("id", "code")
 
 

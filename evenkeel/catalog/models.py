@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evenkeel.catalog.registry import query, r, rnd
+from evenkeel.catalog.registry import h, query, r, rnd
 from evenkeel.catalog.views import edges_v, samples, scored, table, with_ctes
 from evenkeel.operators.frames import feature_sets
 from evenkeel.operators.splits import stratified_holdout
@@ -69,8 +69,8 @@ def _classifier(kind, params=None, features=("z", "bal", "segment")):
 
 query("fit_logistic")(_classifier("LR"))
 query("fit_logistic_l1")(_classifier("LR", {"penalty": "l1", "C": 0.1}))
-query("fit_linear_svm")(_classifier("SVM", {"max_iter": 20}))
-query("fit_forest")(_classifier("RF", {"n_estimators": 20, "max_depth": 5}))
+query("fit_linear_svm")(_classifier("SVM"))
+query("fit_forest")(_classifier("RF"))
 query("fit_perceptron")(_classifier("MLP", {"hidden_layer_sizes": (8,), "max_iter": 20}, ("z", "bal")))
 
 
@@ -100,7 +100,7 @@ def fit_lasso(spark, d):
 @query("fit_forest_regressor")
 def fit_forest_regressor(spark, d):
     train, test = _train_test(spark, d)
-    fitted = fit_model(train, ["bal", "segment", "p"], "price", "RF", {"n_estimators": 20}, regression=True, seed=1)
+    fitted = fit_model(train, ["bal", "segment", "p"], "price", "RF", regression=True, seed=1)
     return fitted.predict(test, "pred").agg(F.corr("pred", "price").alias("corr"))
 
 
@@ -126,7 +126,7 @@ def pca_variances(spark, d):
 def grid_search(spark, d):
     v = _vectors(spark, d)
     train, test = v.where(F.col("part") == "train"), v.where(F.col("part") == "test")
-    return reduced_grid_search(train, {"train": train, "test": test}, "embedding", "label", [3], [0.1, 1.0], 2)
+    return reduced_grid_search(train, {"train": train, "test": test}, "embedding", "label", [3])
 
 
 @query("estimate_associations")
@@ -136,5 +136,56 @@ def estimate_associations_query(spark, d):
     scores, _ = estimate_associations(
         df, "id", ["lbl"], {"attr_all": ["price", "bal"], "cov_all": ["priority"]},
         {"test_all": df.withColumn("price", F.col("price") * 1.1)},
-        {"downsample": ["segment"]}, metrics=("balanced_accuracy", "d2", "logodds_r2"), folds=2)
+        {"downsample": ["segment"]}, metrics=("balanced_accuracy", "d2", "logodds_r2", "roc_auc"))
     return scores
+
+
+# A saturated fit without penalty on one categorical input predicts the training group's means.
+SATURATED = f"""WITH s AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS priority, o_totalprice::DOUBLE AS price,
+  (o_orderstatus = 'F')::INT AS y FROM orders),
+ f AS (SELECT *, (row_number() OVER (PARTITION BY {{strata}} ORDER BY {h('id', "'42'")}, id) - 1) % 2 AS fold FROM s),
+ t AS (SELECT unnest(range(2))::BIGINT AS trial), r AS (SELECT f.*, trial, CASE WHEN fold = trial THEN 'test' ELSE 'train' END AS eval_set FROM f, t)"""
+
+
+def _saturated(spark, d, label, **options):
+    df = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"),
+        F.col("o_totalprice").alias("price"), F.when(F.col("o_orderstatus") == "F", "yes").otherwise("no").alias("flag"))
+    found = estimate_associations(df, "id", [label], {"cov": ["priority"]}, params={"penalty": None}, folds=2, seed="42", with_predictions=True, **options)
+    return found
+
+
+def _sums(found, value):
+    """Per run, set and input group: rows and the mean prediction."""
+    return found.scores.select(F.col("trial").cast("bigint").alias("trial"), "eval_set", "metric", rnd("value", value).alias("value"))
+
+
+@query("estimate_numeric", SATURATED.format(strata="1") + f""",
+ m AS (SELECT trial, priority, avg(price) AS p FROM r WHERE eval_set = 'train' GROUP BY 1, 2)
+ SELECT trial, eval_set, 'r2' AS metric, {r('1 - sum((price - p) * (price - p)) / (count(*) * var_pop(price))', 4)} AS value FROM r JOIN m USING (trial, priority) GROUP BY 1, 2""")
+def estimate_numeric(spark, d):
+    return _sums(_saturated(spark, d, "price"), 4)
+
+
+@query("estimate_binary", SATURATED.format(strata="y") + f""",
+ m AS (SELECT trial, priority, avg(y) AS p FROM r WHERE eval_set = 'train' GROUP BY 1, 2)
+ SELECT trial, eval_set, 'd2' AS metric, {r('1 - avg(-(y * ln(p) + (1 - y) * ln(1 - p))) / ln(2)', 3)} AS value FROM r JOIN m USING (trial, priority) GROUP BY 1, 2
+ UNION ALL SELECT trial, eval_set, 'logodds_mae', {r('avg(abs(ln((0.01 + 0.98 * y) / (0.99 - 0.98 * y)) - ln(p / (1 - p))))', 2)} FROM r JOIN m USING (trial, priority) GROUP BY 1, 2""")
+def estimate_binary(spark, d):
+    got = _sums(_saturated(spark, d, "flag", metrics=("d2", "logodds_mae")), 6)
+    return got.withColumn("value", F.when(F.col("metric") == "d2", rnd("value", 3)).otherwise(rnd("value", 2)))
+
+
+@query("estimate_multiclass", SATURATED.format(strata="status") + f""",
+ c AS (SELECT trial, priority, status, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY trial, priority) AS p FROM r WHERE eval_set = 'train' GROUP BY 1, 2, 3)
+ SELECT trial, eval_set, 'd2' AS metric, {r('1 - avg(-ln(p)) / ln(3)', 3)} AS value FROM r JOIN c USING (trial, priority, status) GROUP BY 1, 2""")
+def estimate_multiclass(spark, d):
+    return _sums(_saturated(spark, d, "status", metrics=("d2",)), 3)
+
+
+@query("run_predictions", SATURATED.format(strata="1") + f""",
+ m AS (SELECT trial, priority, avg(price) AS p FROM r WHERE eval_set = 'train' GROUP BY 1, 2)
+ SELECT trial, eval_set, id, price AS y, {r('p', 0)} AS p FROM r JOIN m USING (trial, priority)""")
+def run_predictions(spark, d):
+    pred = _saturated(spark, d, "price").predictions
+    return pred.select(F.col("trial").cast("bigint").alias("trial"), "eval_set", "id", "y", rnd("p", 0).alias("p"))

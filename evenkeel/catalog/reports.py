@@ -290,17 +290,16 @@ def mean_ci(spark, d):
     return rounded(P.mean_ci(table(spark, d, "documents"), ["lang", "source"], "n_chars"), "mean", "lower", "upper", digits=4)
 
 
-def _boot_weight(b: int) -> str:
-    unit = u("event_id", f"'boot{b}'", "'42'")
-    return "(" + " + ".join(f"({unit} > {c!r}::DOUBLE)::INT" for c in P.POISSON_CDF) + ")"
+_BOOT_WEIGHT = "(" + " + ".join(f"(u > {c!r}::DOUBLE)::INT" for c in P.POISSON_CDF) + ")"
 
 
-@query("bootstrap_ci", "WITH b AS (" + " UNION ALL ".join(
-    f"SELECT event_type, sum({_boot_weight(b)} * value) / sum({_boot_weight(b)}) AS m FROM events GROUP BY 1" for b in range(10)) + f"""),
+@query("bootstrap_ci", f"""WITH h AS (SELECT event_type, value, k, md5(event_id::VARCHAR || ':boot' || k || ':42') AS h FROM events, (SELECT unnest(range(50)) AS k)),
+ e AS (SELECT event_type, value, k, j, ('0x' || substr(h, 8 * j + 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM h, (SELECT unnest(range(4)) AS j)),
+ b AS (SELECT event_type, sum({_BOOT_WEIGHT} * value) / sum({_BOOT_WEIGHT}) AS m FROM e GROUP BY event_type, k, j),
  s AS (SELECT event_type, list(m ORDER BY m) AS l FROM b GROUP BY 1), a AS (SELECT event_type, avg(value) AS mean FROM events GROUP BY 1)
- SELECT event_type, {r('mean')} AS mean, {r('l[1]')} AS lower, {r('l[10]')} AS upper FROM s JOIN a USING (event_type)""")
+ SELECT event_type, {r('mean')} AS mean, {r('l[5]')} AS lower, {r('l[195]')} AS upper FROM s JOIN a USING (event_type)""")
 def bootstrap_ci(spark, d):
-    out = P.bootstrap_ci(spread_table(spark, d, "events", "event_id", "event_type", "value"), ["event_type"], "value", "event_id", 10, "42")
+    out = P.bootstrap_ci(spread_table(spark, d, "events", "event_id", "event_type", "value"), ["event_type"], "value", "event_id", seed="42")
     return rounded(out, "mean", "lower", "upper")
 
 
@@ -388,7 +387,7 @@ def regression_effects_query(spark, d):
 @query("attribute_effects")
 def attribute_effects_query(spark, d):
     out = attribute_effects(scored(spark, d), scores(spark, d), Sources(("z",), ("bal",)), "p", "fold")
-    return out.select("dataset", "metric", "beta_share", "gamma_share")
+    return out
 
 
 @query("counterfactual_experiment")
@@ -397,5 +396,5 @@ def counterfactual_experiment_query(spark, d):
     ids = samples(spark, d).select("id")
     study = counterfactual_experiment(
         ids, states_v(spark, d), rules_v(spark, d), "id", "lbl_y", Sources(("priority",), ("segment",)),
-        ["priority", "attr"], metrics=["d2", "balanced_accuracy"], folds=2)
+        ["priority", "attr"], metrics=["d2", "balanced_accuracy"])
     return study.scores

@@ -91,13 +91,13 @@ def json_parse(spark, d):
     return ev.select("event_id", k.alias("k"), F.col("arr")[0].alias("first"), F.size("arr").cast("bigint").alias("n"))
 
 
-@query("feature_array_join", f"""SELECT item_id, {r('embedding[1]')} AS p_0, {r('embedding[2]')} AS p_1, {r('embedding[64]')} AS p_63
+@query("feature_array_join", f"""SELECT item_id, {', '.join(f"{r(f'embedding[{i + 1}]')} AS p_{i}" for i in range(64))}
  FROM (SELECT doc_id AS item_id FROM documents) LEFT JOIN embeddings ON item_id = vec_id""")
 def feature_array_join(spark, d):
     ids = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"))
     vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
     wide = attach_features(ids, vec, "item_id", "embedding", 64)
-    return wide.select("item_id", *[rnd(F.col(c).cast("double")).alias(c) for c in ("p_0", "p_1", "p_63")])
+    return wide.select("item_id", *[rnd(F.col(c).cast("double")).alias(c) for c in wide.columns[1:]])
 
 
 @query("feature_positions", f"""SELECT (pos - 1)::BIGINT AS pos, count(*) AS n, {r('avg(v)', 5)} AS mean FROM

@@ -13,7 +13,6 @@ from evenkeel.functions.hashing import hash52, unit_hash
 from evenkeel.functions.names import pack_name
 from evenkeel.functions.stats import expit
 from evenkeel.operators.metrics import score_long
-from evenkeel.operators.sizing import spread
 from evenkeel.plans.reports import pivot_sets
 
 SETS = ("test_all", "test_with_con", "test_with_dir", "test_none")
@@ -33,9 +32,9 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
-    """Columns of a table, spread over the cores when it is one small file."""
+    """Columns of a table."""
     df = table(spark, d, name)
-    return spread(df.select(*cols) if cols else df)
+    return df.select(*cols) if cols else df
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:

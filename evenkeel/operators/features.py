@@ -8,29 +8,27 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import combinations, combinations_with_replacement
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenkeel.functions.hashing import hash52
 from evenkeel.operators.contracts import ContractError
-from evenkeel.operators.sizing import small_table
+from evenkeel.operators.sizing import broadcast_if_small
+from evenkeel.session import cut_lineage
 
-# Category lists up to this length become literals of the plan.
-MAX_LITERAL_CATEGORIES = 1000
 # From this many input columns on, inputs are treated as one numeric matrix (fixed value).
 MATRIX_COLUMNS = 100
 
 
-def categories(df: DataFrame, col: str, limit: int = MAX_LITERAL_CATEGORIES) -> list | None:
+def categories(df: DataFrame, col: str, limit: int | None = None) -> list | None:
     """Sorted distinct non-null values, or None when there are more than ``limit``."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else sorted(r[0] for r in rows)
+    found = df.select(col).where(F.col(col).isNotNull()).distinct()
+    rows = (found if limit is None else found.limit(limit + 1)).collect()
+    return None if limit is not None and len(rows) > limit else sorted(r[0] for r in rows)
 
 
 def category_codes(
-    df: DataFrame, col: str, limit: int = MAX_LITERAL_CATEGORIES, least: int = 1
+    df: DataFrame, col: str, limit: int, least: int = 1
 ) -> Callable[[Column], Column]:
     """Expression mapping a value to its position among the sorted categories."""
     cats = categories(df, col, limit)
@@ -40,46 +38,36 @@ def category_codes(
     return lambda c: F.nullif(F.array_position(arr, c).cast("bigint"), F.lit(0)) - 1
 
 
-def label_index(df: DataFrame, y: str, out: str, fit_on: DataFrame | None = None) -> DataFrame:
-    """0-based code of a label in sorted order, learned on ``fit_on``; unseen is null."""
-    return df.withColumn(out, category_codes(fit_on or df, y)(F.col(y)))
+def label_index(
+    df: DataFrame, y: str, out: str, fit_on: DataFrame | None = None, codes: DataFrame | None = None
+) -> DataFrame:
+    """0-based code of a label in sorted order, learned on ``fit_on``; unseen is null.
 
+    ``codes`` takes a stored result of :func:`dense_codes` (y, out), learned once for several
+    tables. Any number of labels will do."""
+    codes = dense_codes(df if fit_on is None else fit_on, y, out) if codes is None else codes
+    return df.join(broadcast_if_small(codes), y, "left").select(*df.columns, out)
 
-def ordinal_encode(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Position of each value in the sorted distinct values, for any number of values.
 
-    A bounded set of values is numbered at once and broadcast. More are numbered in value
-    order by range buckets and joined by a shuffle."""
-    distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
-    small = small_table(distinct)
-    if small is None:
-        return df.join(dense_codes(df, col, out), col, "left")
-    numbered = small.sort_by(col).append_column(out, pa.array(range(small.num_rows), pa.int64()))
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(numbered)), col, "left")
+def ordinal_encode(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Position of each value in the sorted distinct values, for any number of values."""
+    return df.join(broadcast_if_small(dense_codes(df, col, out)), col, "left")
 
 
-def dense_codes(df: DataFrame, col: str, out: str, buckets: int = 256) -> DataFrame:
-    """(value, position) of all distinct values without a single-task sort."""
+def dense_codes(df: DataFrame, col: str, out: str) -> DataFrame:
+    """(value, position) of all distinct values without a single-task sort: range partitions
+    are numbered each for itself and shifted by the sizes of those before."""
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
-    sample = [
-        r[0]
-        for r in distinct.orderBy(hash52(F.col(col), "splits"), col).limit(16 * buckets).collect()
-    ]
-    step = max(1, len(sample) // buckets)
-    splits = F.array(*[F.lit(v) for v in sorted(sample)[step::step]])
-    arr = splits.cast(T.ArrayType(df.schema[col].dataType))
-    with_b = distinct.withColumn("__b", F.size(F.filter(arr, lambda s: s <= F.col(col))))
-    counts = with_b.groupBy("__b").agg(F.count(F.lit(1)).alias("__c")).collect()
-    offsets, total = {}, 0
-    for r in sorted(counts, key=lambda r: r["__b"]):
-        offsets[r["__b"]] = total
-        total += r["__c"]
-    pairs = [F.lit(v) for b, off in offsets.items() for v in (b, off)]
-    offset = F.element_at(F.create_map(*pairs), F.col("__b"))
-    w = Window.partitionBy("__b").orderBy(col)
-    return with_b.select(
-        col, (offset.cast("bigint") + F.row_number().over(w) - 1).alias(out)
-    )
+    dealt = distinct.repartitionByRange(parts, col).withColumn("__part", F.spark_partition_id())
+    dealt = cut_lineage(dealt, "values")
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    # one row per partition
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(col))
+    numbered = dealt.withColumn("__in", within).join(F.broadcast(before), "__part")
+    return numbered.select(col, (F.col("__before") + F.col("__in") - 1).cast("bigint").alias(out))
 
 
 @dataclass(frozen=True)
@@ -100,16 +88,10 @@ class OneHot:
         return df.select("*", *cols)
 
 
-def fit_one_hot(df: DataFrame, cols: Sequence[str], limit: int = MAX_LITERAL_CATEGORIES) -> OneHot:
-    """Indicator columns are for bounded categories; model fits encode larger ones as
-    sparse vectors."""
-    cats = {}
-    for c in cols:
-        vals = categories(df, c, limit)
-        if vals is None:
-            raise ContractError(f"{c} has more than {limit} categories")
-        cats[c] = vals
-    return OneHot(cats)
+def fit_one_hot(df: DataFrame, cols: Sequence[str]) -> OneHot:
+    """One indicator column per value, as many as there are; model fits encode categories as
+    sparse vectors instead."""
+    return OneHot({c: categories(df, c) for c in cols})
 
 
 def exact_variance(c: Column) -> Column:

@@ -104,6 +104,7 @@ def loglikelihood_ratio(y: Column, p: Column, p_true: Column | None = None) -> C
     return F.try_divide(F.avg(log_loss(y, p)), F.avg(log_loss(y, truth)))
 
 
+# roc_auc is not an aggregate of (y, p): see score_predictions.
 METRICS: dict[str, Metric] = {
     "accuracy": accuracy,
     "balanced_accuracy": balanced_accuracy,
@@ -149,6 +150,65 @@ def score_long(
     return wide.unpivot(list(by), names, "metric", "value")
 
 
+#: Metrics that are defined for any number of classes, by predicted class and probabilities.
+MULTICLASS = ("accuracy", "balanced_accuracy", "d2")
+
+
+def score_predictions(
+    pred: DataFrame, by: Sequence[str], metrics: Sequence[str | tuple[str, Metric]],
+    classes: int | None = 2,
+) -> DataFrame:
+    """(by.., metric, value) of predictions (y, p, pred, probas and, if known, p_true).
+
+    ``classes`` is None for a regression, whose metrics compare y with p. With more than two
+    classes, metrics of two classes are refused. Where there is a column p_true, the
+    log-likelihood ratio holds the predictions against it. ``roc_auc`` ranks each group's
+    probabilities; all other metrics come from one aggregation."""
+    names = [m if isinstance(m, str) else m[0] for m in metrics]
+    if classes is not None and classes > 2:
+        refused = [m for m in metrics if isinstance(m, str) and m not in MULTICLASS]
+        if refused:
+            raise ValueError(f"{refused} are defined for two classes, not for {classes}")
+        return _score_classes(pred, by, metrics, classes)
+    wide_names = [m for m in metrics if m != "roc_auc"]
+    fns = dict(resolve(wide_names))
+    if classes is None and "roc_auc" in names:
+        raise ValueError("roc_auc is defined for classes")
+    cells = {n: f(F.col("y"), F.col("p")) for n, f in fns.items()}
+    if "loglikelihood_ratio" in cells and "p_true" in pred.columns:
+        cells["loglikelihood_ratio"] = loglikelihood_ratio(F.col("y"), F.col("p"), F.col("p_true"))
+    out = pred.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), *[c.alias(n) for n, c in cells.items()])
+    if "roc_auc" in names:
+        auc = roc_auc(pred, "y", "p", by)
+        out = out.join(auc, list(by), "left") if by else out.withColumn("roc_auc", auc.select("roc_auc").scalar())
+    return out.unpivot(list(by), names, "metric", "value")
+
+
+def _score_classes(pred: DataFrame, by: Sequence[str], metrics: Sequence, classes: int) -> DataFrame:
+    """As :func:`score_predictions`, for three or more classes."""
+    known = pred.where(F.col("y").isNotNull())
+    recall = known.groupBy(*by, "y").agg(F.avg((F.col("y") == F.col("pred")).cast("double")).alias("__r"), *[
+        c.alias(f"__s{i}") for i, c in enumerate(_class_sums(classes))
+    ])
+    hits, n = F.sum(F.col("__r") * F.col("__s0")), F.sum("__s0")
+    found = {
+        "accuracy": F.try_divide(hits, n), "balanced_accuracy": F.avg("__r"),
+        "d2": 1 - F.try_divide(F.sum("__s1"), n) / F.log(F.lit(float(classes))),
+    }
+    out = recall.groupBy(*by).agg(*[found[m].alias(m) for m in metrics if isinstance(m, str)])
+    for m in metrics:
+        if not isinstance(m, str):
+            own = known.groupBy(*by).agg(m[1](F.col("y"), F.col("pred")).alias(m[0]))
+            out = out.join(own, list(by), "left") if by else out.withColumn(m[0], own.select(m[0]).scalar())
+    names = [m if isinstance(m, str) else m[0] for m in metrics]
+    return out.unpivot(list(by), names, "metric", "value")
+
+
+def _class_sums(classes: int) -> tuple[Column, Column]:
+    q = F.element_at("probas", (F.col("y") + 1).cast("int"))
+    return F.count("y").cast("double"), F.sum(-F.log(clip(q, LOG_EPS, 1 - LOG_EPS)))
+
+
 def score_wide(scores: DataFrame, keys: Sequence[str], sets: Sequence[str],
                metrics: Sequence[str]) -> DataFrame:
     """Long scores to columns ``score_<set>_<metric>`` (underscores inside become dashes).

@@ -6,7 +6,6 @@ data rows are never shuffled; every draw is a function of the row id and a seed.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,14 +25,11 @@ from evenkeel.functions.vectors import (
 from evenkeel.operators.contracts import ContractError, require_no_rows
 from evenkeel.operators.features import categories
 from evenkeel.operators.frames import LABEL_PREFIX
-from evenkeel.operators.sizing import broadcast_if_small, materialize_small
+from evenkeel.operators.sizing import broadcast_if_small
 
 DUMMY_PREFIX = "cov_dummy_"
 CATEGORICAL_SCALE = 2.5  # effect multiplier of categorical parents (fixed value)
 MAX_EFFECT = 5
-MAX_GRAPH_ROWS = 20_000
-MAX_SOURCES = 16
-MAX_COMBINATIONS = 20_000
 
 
 # --- building and checking rule tables -------------------------------------------------
@@ -193,24 +189,19 @@ def rules_from_effect(
 def effect_grid(levels: DataFrame, cols: Sequence[str]) -> DataFrame:
     """All combinations of the distinct values of each column.
 
-    The distinct values are found on the cluster and bounded per column; the grid is
-    unfolded by one explode per column."""
-    grid = levels.sparkSession.range(1)
-    for c in cols:
-        vals = categories(levels, c)
-        if vals is None:
-            raise ContractError(f"{c} has too many levels for a grid")
-        typed = F.array(*[F.lit(v) for v in vals]).cast(ArrayType(levels.schema[c].dataType))
+    The first column's distinct values stay on the cluster, whose tasks unfold the others by
+    one explode per column."""
+    grid = levels.select(cols[0]).where(F.col(cols[0]).isNotNull()).distinct()
+    for c in cols[1:]:
+        typed = F.array(*[F.lit(v) for v in categories(levels, c)]).cast(ArrayType(levels.schema[c].dataType))
         grid = grid.withColumn(c, F.explode(typed))
     return grid.select(*cols)
 
 
 def counterfactual_subsets(sources: DataFrame, name: str = "source") -> DataFrame:
     """(split, keep): every non-empty proper subset, plus ``test_none`` and ``test_all``."""
-    names = [r[0] for r in sources.select(name).distinct().limit(MAX_SOURCES + 1).collect()]
+    names = [r[0] for r in sources.select(name).distinct().collect()]
     n = len(names)
-    if n > MAX_SOURCES:
-        raise ContractError(f"2^n subsets: at most {MAX_SOURCES} sources")
     arr = F.array(*[F.lit(s) for s in sorted(names)])
     masks = sources.sparkSession.range(0, 2**n).withColumn(
         "keep",
@@ -244,13 +235,14 @@ def lookup_rules(
 
 
 def attach_rules(df: DataFrame, rules: DataFrame, parent: str, out: str) -> DataFrame:
-    """One map<child, w> column per parent, null where no rule matches; row count kept."""
+    """One map<child, w> column per parent, null where no rule matches; row count kept.
+    Several rules for one state and child add up."""
+    cells = rules.where(F.col("parent") == parent).select("state", "child", F.posexplode("w").alias("i", "x"))
+    sums = cells.groupBy("state", "child", "i").agg(F.sum("x").alias("x"))
+    vectors = sums.groupBy("state", "child").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("w"))
+    whole = vectors.select("state", "child", F.transform("w", lambda c: c["x"]).alias("w"))
     entry = F.map_from_entries(F.collect_list(F.struct("child", "w")))
-    by_state = (
-        rules.where(F.col("parent") == parent)
-        .groupBy(F.col("state").alias("__state"))
-        .agg(entry.alias(out))
-    )
+    by_state = whole.groupBy(F.col("state").alias("__state")).agg(entry.alias(out))
     joined = df.join(
         broadcast_if_small(by_state), F.col(parent).cast("string") == F.col("__state"), "left"
     )
@@ -272,36 +264,6 @@ def _total(vectors: Sequence[Column], k: int) -> Column:
     return F.coalesce(vadd(*vectors), zeros(k)) if vectors else zeros(k)
 
 
-def _combination_table(
-    rules: DataFrame, child: str, parents: Sequence[str], k: int, link: str
-) -> tuple[DataFrame, dict[str, list[str]]] | None:
-    """(table, states): probabilities and running sums for every combination of the
-    parents' rule states, null meaning "no rule". None when there are too many."""
-    local = materialize_small(
-        rules.where(F.col("child") == child).select("parent", "state", "w"), MAX_GRAPH_ROWS
-    )
-    if local is None:
-        return None
-    vectors: dict[str, dict[str, list[float]]] = {p: {} for p in parents}
-    for r in local.collect():
-        if r["parent"] in vectors:
-            vectors[r["parent"]][r["state"]] = list(r["w"])
-    if math.prod(len(v) + 1 for v in vectors.values()) > MAX_COMBINATIONS:
-        return None
-    grid, found = rules.sparkSession.range(1), []
-    for i, p in enumerate(parents):
-        options = [F.lit(s) for s in sorted(vectors[p])] + [F.lit(None).cast("string")]
-        grid = grid.withColumn(f"__k{i}", F.explode(F.array(*options)))
-        if vectors[p]:
-            pairs = [c for s, w in vectors[p].items()
-                     for c in (F.lit(s), F.array(*[F.lit(float(x)) for x in w]))]
-            found.append(F.try_element_at(F.create_map(*pairs), F.col(f"__k{i}")))
-    keys = [f"__k{i}" for i in range(len(parents))]
-    table = grid.select(*keys, link_probas(_total(found, k), link).alias("__p"))
-    table = materialize_small(table.withColumn("__cdf", cdf(F.col("__p"))), MAX_COMBINATIONS)
-    return (table, {p: sorted(v) for p, v in vectors.items()}) if table is not None else None
-
-
 def _attach_probas(
     df: DataFrame, rules: DataFrame, child: str, actors: Mapping[str, Column], k: int,
     link: str = "softmax",
@@ -309,33 +271,16 @@ def _attach_probas(
     """Add ``__p`` (probabilities) and ``__cdf`` of ``child``; ``actors`` gives the state
     that acts for each parent in a row, null for none.
 
-    Rows only differ by their combination of parent states, so the distribution is worked
-    out once per combination and looked up by one broadcast join. Where the combinations
-    are too many, the weights are looked up per parent and summed in the row."""
-    parents = list(actors)
-    found = _combination_table(rules, child, parents, k, link)
-    if found is None:
-        cols = {}
-        for i, p in enumerate(parents):
-            df = df.withColumn(f"__a{i}", actors[p])
-            mine = rules.where(F.col("parent") == p).withColumn("parent", F.lit(f"__a{i}"))
-            df = attach_rules(df, mine, f"__a{i}", f"__r{i}")
-            cols[p] = F.try_element_at(f"__r{i}", F.lit(child))
-        df = df.withColumn("__p", link_probas(_total(list(cols.values()), k), link))
-        used = [c for i in range(len(parents)) for c in (f"__a{i}", f"__r{i}")]
-        return df.withColumn("__cdf", cdf(F.col("__p"))).drop(*used)
-    table, states = found
-    on = F.lit(True)
-    for i, p in enumerate(parents):
-        key = actors[p].cast("string")
-        df = df.withColumn(f"__j{i}", F.when(key.isin(states[p]), key))
-        on = on & F.col(f"__j{i}").eqNullSafe(F.col(f"__k{i}"))
-    if not parents:
-        row = table.first()
-        return df.withColumn("__p", F.lit(list(row["__p"]))).withColumn(
-            "__cdf", F.lit(list(row["__cdf"])))
-    joined = df.join(F.broadcast(table), on, "left")
-    return joined.drop(*[f"__{x}{i}" for i in range(len(parents)) for x in "jk"])
+    The weights are looked up per parent and summed in the row."""
+    cols = []
+    for i, (p, actor) in enumerate(actors.items()):
+        df = df.withColumn(f"__a{i}", actor)
+        mine = rules.where((F.col("parent") == p) & (F.col("child") == child)).withColumn("parent", F.lit(f"__a{i}"))
+        df = attach_rules(df, mine, f"__a{i}", f"__r{i}")
+        cols.append(F.try_element_at(f"__r{i}", F.lit(child)))
+    df = df.withColumn("__p", link_probas(_total(cols, k), link))
+    used = [c for i in range(len(actors)) for c in (f"__a{i}", f"__r{i}")]
+    return df.withColumn("__cdf", cdf(F.col("__p"))).drop(*used)
 
 
 def rule_probas(
@@ -359,21 +304,15 @@ def draw_category(
 
 def collect_graph(rules: DataFrame) -> dict[str, list[str]]:
     """child -> sorted parents; the graph is bounded by the number of variables."""
-    rows = rule_edges(rules).limit(MAX_GRAPH_ROWS + 1).collect()
-    if len(rows) > MAX_GRAPH_ROWS:
-        raise ContractError(f"rule graph has more than {MAX_GRAPH_ROWS} edges")
     graph: dict[str, list[str]] = {}
-    for r in sorted(rows):
+    for r in sorted(rule_edges(rules).collect()):
         graph.setdefault(r["child"], []).append(r["parent"])
     return graph
 
 
 def collect_states(states: DataFrame) -> dict[str, list[str]]:
-    rows = states.limit(MAX_GRAPH_ROWS + 1).collect()
-    if len(rows) > MAX_GRAPH_ROWS:
-        raise ContractError(f"more than {MAX_GRAPH_ROWS} declared states")
     out: dict[str, list[tuple]] = {}
-    for r in rows:
+    for r in states.collect():
         out.setdefault(r["var"], []).append((r["ix"], r["state"]))
     return {v: [s for _, s in sorted(pairs)] for v, pairs in out.items()}
 
@@ -436,16 +375,8 @@ def counterfactual_tables(
     row and its counterfactual differ by the disabled effects only."""
     rules = broadcast_if_small(rules)
     graph, domain = collect_graph(rules), collect_states(states)
-    bound = 2**MAX_SOURCES
-    pairs = [(r["split"], list(r["keep"])) for r in subsets.limit(bound).collect()]
     given = set(df.columns)
-    choices = F.array(*[
-        F.struct(
-            F.lit(s).alias("split"),
-            F.array(*[F.lit(k) for k in keep]).cast("array<string>").alias("keep"),
-        )
-        for s, keep in sorted(pairs)
-    ])
+    choices = subsets.agg(F.array_sort(F.collect_list(F.struct("split", "keep")))).scalar()
     for p in direct:  # the stand-in's state and rules are shared by all subsets
         vals = domain[p]
         ix = F.floor(unit_hash(F.col(id_col), DUMMY_PREFIX + p, seed) * len(vals))

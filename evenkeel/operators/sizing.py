@@ -46,17 +46,6 @@ def shuffle_buckets(spark: SparkSession) -> int:
     return max(16, min(65535, 4 * parts))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input of few partitions (small files) over the session's cores before
-    heavy row work. Inputs with enough partitions, as any large table has, pass through.
-
-    Meant for scans and projections of scans, whose partition count is known up front.
-    Rows move by a hash of all their columns, which a retried task reproduces."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few = df.rdd.getNumPartitions() * 2 <= cores
-    return df.repartition(cores, *df.columns) if few else df
-
-
 @dataclass(frozen=True)
 class ValueStats:
     """Row count, approximate distinct count, range and quantiles of one numeric column."""

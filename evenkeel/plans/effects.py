@@ -71,11 +71,9 @@ def counterfactual_experiment(
     tables = cut_lineage(
         counterfactual_tables(df, states, rules, subsets, id_col, sources.direct,
                               sources.indirect, f"{seed}:test"), "counterfactuals")
-    splits = [r["split"] for r in subsets.collect()]  # bounded: 2^sources
     scores, coefs = estimate_associations(
         train, id_col, [label], {"attr_all": list(features)},
-        {s: tables.where(F.col("split") == s) for s in splits},
-        model=model, params=params, metrics=metrics, folds=folds, dataset=dataset, seed=seed)
+        tagged=tables.withColumnRenamed("split", "eval_set"), model=model, params=params, metrics=metrics, folds=folds, dataset=dataset, seed=seed)
     return Experiment(train, tables, scores, coefs)
 
 

@@ -29,15 +29,13 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.stats import expit
 from evenkeel.operators.features import (
     MATRIX_COLUMNS,
-    OneHot,
     Scaler,
-    categories,
     fit_scaler,
     infer_task,
     route_columns,
@@ -53,62 +51,62 @@ FOREST_TREES, FOREST_DEPTH = 200, 5
 HIDDEN_LAYERS = (200, 100, 20)
 MLP_ITER = 1000
 GRID_C = (0.1, 1.0, 10.0, 100.0)
-# Categorical inputs up to this size get one indicator column per value.
-MAX_INDICATOR_COLUMNS = 100
+# Limits of Spark's solvers: inputs of the normal equations, depth of a tree.
+NORMAL_WIDTH, DEEPEST = 4096, 30
 
 
 @dataclass(frozen=True)
 class Encoder:
     """One-hot for categorical inputs, standardisation for numeric ones, fit on train.
 
-    A categorical input with many values is indexed and encoded as a sparse vector; its
-    unseen values are all zeros too."""
+    Categories are indexed and encoded as sparse vectors, whatever their number; null and
+    unseen values are all zeros."""
 
-    one_hot: OneHot
+    cats: tuple[str, ...]
     scaler: Scaler
     sparse: PipelineModel | None = None
     sparse_names: tuple[str, ...] = ()
 
     @property
     def inputs(self) -> list[str]:
-        many = [s.getInputCol() for s in self.sparse.stages[0::2]] if self.sparse else []
-        return [*self.one_hot.cats, *self.scaler.mean, *many]
+        return [*self.cats, *self.scaler.mean]
 
     @property
     def names(self) -> list[str]:
-        return [*self.one_hot.names(), *self.scaler.mean, *self.sparse_names]
+        return [*self.sparse_names, *self.scaler.mean]
 
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
-        wide = self.scaler.transform(self.one_hot.transform(df), "__z")
-        cols = [*self.one_hot.names(), *[c + "__z" for c in self.scaler.mean]]
+        wide = self.scaler.transform(df, "__z")
+        cols = [c + "__z" for c in self.scaler.mean]
         dense = array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in cols]))
         if self.sparse is None:
             return wide.withColumn(out, dense).select(*df.columns, out)
-        wide = self.sparse.transform(wide.withColumn("__dense", dense))
-        vectors = (["__dense"] if cols else []) + [s.getOutputCol() for s in self.sparse.stages[1::2]]
+        wide = self.sparse.transform(wide.withColumn("__dense", dense).withColumns(_texts(self.cats)))
+        vectors = [s.getOutputCol() for s in self.sparse.stages[1::2]] + (["__dense"] if cols else [])
         return VectorAssembler(inputCols=vectors, outputCol=out).transform(wide).select(*df.columns, out)
 
 
+def _texts(cats: Sequence[str]) -> dict[str, Column]:
+    return {f"__tx_{c}": F.col(f"`{c}`").cast("string") for c in cats}
+
+
 def fit_encoder(train: DataFrame, features: Sequence[str]) -> Encoder:
     cats, nums = route_columns(train, features)
     if len(features) >= MATRIX_COLUMNS:
         nums = varying_columns(train, nums)
-    found = {c: categories(train, c, MAX_INDICATOR_COLUMNS) for c in cats}
-    few = OneHot({c: v for c, v in found.items() if v is not None})
-    many = [c for c, v in found.items() if v is None]
-    if not many:
-        return Encoder(few, fit_scaler(train, nums))
+    if not cats:
+        return Encoder((), fit_scaler(train, nums))
     stages = []
-    for c in many:
+    for c in cats:
         stages += [
-            StringIndexer(inputCol=c, outputCol=f"__ix_{c}", handleInvalid="keep",
+            StringIndexer(inputCol=f"__tx_{c}", outputCol=f"__ix_{c}", handleInvalid="keep",
                           stringOrderType="alphabetAsc"),
             # The last slot is the one for unseen values; dropping it leaves zeros.
             OneHotEncoder(inputCol=f"__ix_{c}", outputCol=f"__oh_{c}", dropLast=True),
         ]
-    model = Pipeline(stages=stages).fit(train)
-    names = [f"{c}_{v}" for c, ix in zip(many, model.stages[0::2]) for v in ix.labels]
-    return Encoder(few, fit_scaler(train, nums), model, tuple(names))
+    model = Pipeline(stages=stages).fit(train.withColumns(_texts(cats)))
+    names = [f"{c}_{v}" for c, ix in zip(cats, model.stages[0::2]) for v in ix.labels]
+    return Encoder(tuple(cats), fit_scaler(train, nums), model, tuple(names))
 
 
 @dataclass(frozen=True)
@@ -120,17 +118,26 @@ class Fitted:
     label: str
     regression: bool
     classes: int
+    n: int = 0
 
     def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
         """Probability of the last class, or the predicted value, as one more column."""
+        return self.predict_all(df, out).select(*df.columns, out)
+
+    def predict_all(self, df: DataFrame, out: str = "p") -> DataFrame:
+        """As :meth:`predict`, with the predicted class or value ``pred`` and the classes'
+        probabilities ``probas`` (null for a regression)."""
         scored = self.model.transform(self.encoder.transform(df, "features"))
         if self.regression:
-            p = F.col("prediction")
+            probas = F.lit(None).cast("array<double>")
         elif "probability" in scored.columns:
-            p = vector_to_array("probability")[self.classes - 1]
+            probas = vector_to_array("probability")
         else:  # a margin classifier
-            p = expit(vector_to_array("rawPrediction")[1])
-        return scored.withColumn(out, p).select(*df.columns, out)
+            margin = expit(vector_to_array("rawPrediction")[1])
+            probas = F.array(1 - margin, margin)
+        p = F.col("prediction") if self.regression else probas[self.classes - 1]
+        named = {out: p, "pred": F.col("prediction"), "probas": probas}
+        return scored.withColumns(named).select(*df.columns, *named)
 
     def coefficients(self) -> list[tuple[str, float]]:
         """(feature after encoding, value); the first class's row for multi-class."""
@@ -159,9 +166,10 @@ def _estimator(kind: str, params: Mapping[str, Any], regression: bool, width: in
                 regParam=alpha, elasticNetParam=1.0, standardization=False, **cols
             )
         # An L2 penalty of alpha on the mean squared error; the solver rescales by the label.
+        # The normal equations hold the inputs' covariances, so wide inputs are iterated.
         return LinearRegression(
             regParam=alpha * y_std, elasticNetParam=0.0, standardization=False,
-            solver="normal", **cols
+            solver="normal" if width <= NORMAL_WIDTH else "l-bfgs", **cols
         )
     if kind == "LR":
         reg = 0.0 if penalty is None else 1.0 / (c * n)
@@ -175,8 +183,8 @@ def _estimator(kind: str, params: Mapping[str, Any], regression: bool, width: in
     if kind == "RF":
         forest = RandomForestRegressor if regression else RandomForestClassifier
         trees = int(params.get("n_estimators", FOREST_TREES if regression else 100))
-        # Unlimited depth is not distributable; Spark's ceiling is used for classifiers.
-        depth = int(params.get("max_depth", FOREST_DEPTH if regression else 10))
+        # A classifier's trees are not limited; Spark's ceiling stands for that.
+        depth = int(params.get("max_depth", FOREST_DEPTH if regression else DEEPEST))
         return forest(numTrees=trees, maxDepth=depth, seed=seed or 0, **cols)
     if kind == "MLP" and not regression:
         hidden = params.get("hidden_layer_sizes", HIDDEN_LAYERS)
@@ -211,7 +219,7 @@ def fit_model(
         model = est.fit(encoder.transform(base).select("features", "__y"))
     finally:
         base.unpersist()
-    return Fitted(encoder, model, label, regression, classes)
+    return Fitted(encoder, model, label, regression, classes, n)
 
 
 def predictions(
@@ -221,9 +229,16 @@ def predictions(
     need = list(dict.fromkeys([id_col, fitted.label, *keep, *fitted.encoder.inputs]))
     tagged = [df.select(*need).withColumn("eval_set", F.lit(n)) for n, df in sets.items()]
     every = reduce(DataFrame.unionByName, tagged)
-    return fitted.predict(every).select(
+    return predict_tagged(fitted, every, id_col, keep).drop("pred", "probas")
+
+
+def predict_tagged(fitted: Fitted, rows: DataFrame, id_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(eval_set, id, y, p, pred, probas, ..keep) of rows that carry their ``eval_set``: one
+    scan whatever the number of sets."""
+    need = list(dict.fromkeys(["eval_set", id_col, fitted.label, *keep, *fitted.encoder.inputs]))
+    return fitted.predict_all(rows.select(*need)).select(
         "eval_set", F.col(id_col).alias("id"), F.col(fitted.label).cast("double").alias("y"),
-        "p", *keep,
+        "p", "pred", "probas", *keep,
     )
 
 
@@ -387,5 +402,5 @@ def baseline_fit(
 
 __all__ = [
     "Encoder", "Fitted", "baseline_fit", "fit_encoder", "fit_model",
-    "fit_pca", "gaussian_glm", "grid_search_logistic", "predictions", "reduced_grid_search",
+    "fit_pca", "gaussian_glm", "grid_search_logistic", "predict_tagged", "predictions", "reduced_grid_search",
 ]

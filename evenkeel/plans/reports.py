@@ -343,7 +343,8 @@ def conditional_density(
     df: DataFrame, value: str, by: Sequence[str], points: int = 10, adjust: float = 3.0
 ) -> DataFrame:
     """Gaussian density of ``value`` per group on a shared grid, each group integrating
-    to one. Bandwidth: Scott's rule times ``adjust``.
+    to one. Bandwidth: Scott's rule times ``adjust``. A group without spread has null
+    densities; a null group is one like others.
 
     Every grid point is one aggregate expression, so rows are scanned once for the
     bandwidths and once for the sums, and never multiplied."""
@@ -354,8 +355,10 @@ def conditional_density(
     n = F.count(v)
     bw = df.groupBy(*by).agg(
         n.alias("__n"), (F.stddev_samp(v) * F.pow(n.cast("double"), F.lit(-0.2)) * adjust).alias("__h")
-    ).where(F.col("__h") > 0)
-    rows = df.join(broadcast_if_small(bw), list(by))
+    )
+    named = bw.select(*[F.col(b).alias(f"__by_{b}") for b in by], "__n", F.nullif("__h", F.lit(0.0)).alias("__h"))
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"__by_{b}")) for b in by], F.lit(True))
+    rows = df.join(broadcast_if_small(named), same)
     norm = F.sqrt(F.lit(2 * 3.141592653589793))
     sums = rows.groupBy(*by).agg(
         F.first("__n").alias("__n"), F.first("__h").alias("__h"),
@@ -428,19 +431,23 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Mean with a percentile bootstrap interval.
 
-    Each replicate is a pair of weighted sums with hashed Poisson(1) weights, so the rows
-    are scanned once and never multiplied."""
-    def weight(b: int) -> Column:
-        u = unit_hash(F.col(id_col), f"boot{b}", seed)
-        return reduce(lambda a, c: a + (u > c).cast("int"), POISSON_CDF, F.lit(0))
-
-    sums = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.avg(value).alias("mean"),
-        F.array(*[
-            F.try_divide(F.sum(weight(b) * F.col(value)), F.sum(weight(b)))
-            for b in range(replicates)
-        ]).alias("__m"),
-    )
+    Each replicate is a pair of weighted sums with hashed Poisson(1) weights. One hash gives
+    the weights of four replicates; rows are repeated per block of four inside the task that
+    read them, and only sums are shuffled."""
+    held = df.where(F.col(value).isNotNull())
+    blocks = F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1))
+    each = held.select(*keys, F.col(value).cast("double").alias("__v"), F.col(id_col).alias("__id"), F.explode(blocks).alias("__k"))
+    text = F.concat_ws(":", F.col("__id").cast("string"), F.concat(F.lit("boot"), F.col("__k").cast("string")), F.lit(str(seed)))
+    each = each.withColumn("__h", F.md5(text))
+    sums = []
+    for i in range(4):
+        u = F.conv(F.substring("__h", 8 * i + 1, 8), 16, 10).cast("double") / float(1 << 32)
+        weight = reduce(lambda a, c: a + (u > c).cast("int"), POISSON_CDF, F.lit(0))
+        each = each.withColumn(f"__w{i}", weight)
+        sums.append(F.try_divide(F.sum(F.col(f"__w{i}") * F.col("__v")), F.sum(f"__w{i}")))
+    cells = each.groupBy(*keys, "__k").agg(F.array(*sums).alias("__m"), F.avg("__v").alias("__mean"))
+    wanted = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.when(F.col("__k") * 4 + i < replicates, F.get("__m", i)))
+    sums = cells.groupBy(*keys).agg(F.flatten(F.collect_list(wanted)).alias("__m"), F.max(F.when(F.col("__k") == 0, F.col("__mean"))).alias("mean"))
     ordered = F.array_sort(F.filter("__m", lambda x: x.isNotNull()))
 
     def at(q: float) -> Column:

@@ -3,8 +3,10 @@ scored on its test fold and on all holdout tables."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -13,14 +15,15 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators.balance import control_confounds
 from evenkeel.operators.contracts import require_columns, require_rows
-from evenkeel.operators.features import label_index
+from evenkeel.operators.features import dense_codes, infer_task, label_index
 from evenkeel.operators.frames import model_frame
-from evenkeel.operators.metrics import score_long
+from evenkeel.operators.metrics import score_predictions
 from evenkeel.operators.splits import stratified_holdout, stratified_kfold
-from evenkeel.plans.models import NO_PARAMS, fit_model, predictions
+from evenkeel.plans.models import NO_PARAMS, fit_model, predict_tagged
 from evenkeel.session import cut_lineage
 
 BASELINE = "baseline"
+TAGGED = "__tagged"
 
 
 def run_matrix(
@@ -45,36 +48,79 @@ def run_matrix(
     )
 
 
+@dataclass(frozen=True)
+class Associations:
+    """Long scores and coefficients per run and, where asked for, the predictions of all
+    evaluation rows: (run columns.., eval_set, id, y, p, pred, probas, p_true)."""
+
+    scores: DataFrame
+    coefs: DataFrame
+    predictions: DataFrame | None
+    runs: DataFrame
+
+    def __iter__(self):
+        return iter((self.scores, self.coefs))
+
+
 def estimate_associations(
     df: DataFrame, id_col: str, labels: Sequence[str], feature_sets: Mapping[str, Sequence[str]],
     holdouts: Mapping[str, DataFrame] | None = None,
     controls: Mapping[str, Sequence[str]] | None = None,
     model: str = "LR", params: Mapping[str, Any] = NO_PARAMS,
     metrics: Sequence = ("balanced_accuracy", "d2"), folds: int = 5, dataset: str = "",
-    seed: str | int = 42, parallelism: int = 4,
-) -> tuple[DataFrame, DataFrame]:
-    """(scores, coefs): long scores per run and evaluation set, coefficients per run.
+    seed: str | int = 42, parallelism: int = 4, regression_metrics: Sequence = ("r2",),
+    with_predictions: bool = False, tagged: DataFrame | None = None,
+) -> Associations:
+    """Scores per run and evaluation set, coefficients, run metadata and predictions.
 
-    Folds are assigned once and written to the shared folder; each run then reads only
-    its columns. Runs are independent Spark jobs submitted from a small thread pool. A
-    control that cannot balance its groups drops the run."""
+    A numeric label of more than two values is a regression, scored by
+    ``regression_metrics``; other labels are classes in sorted order. Holdouts are named tables,
+    or one table ``tagged`` by a column eval_set for any number of sets. Folds are assigned once
+    and stored together with the holdouts, tagged by set, so a run reads one table once (and
+    once more for a balanced training set). Where a column ``probas_<label>`` exists, it
+    holds the true probabilities and travels with the rows. Runs are independent Spark jobs
+    submitted from a small thread pool. A control that cannot balance its groups drops the
+    run."""
     spark = df.sparkSession
     require_rows(df)
     every = sorted({c for f in feature_sets.values() for c in f})
     controls = dict(controls or {})
     confounds = sorted({c for cols in controls.values() for c in cols})
     require_columns(df, [id_col, *labels, *every, *confounds])
-    scores, coefs = [], []
+    scores, coefs, preds, metas = [], [], [], []
     for label in labels:
-        base = label_index(df, label, "__y")
-        frames = {n: label_index(h, label, "__y", fit_on=df) for n, h in (holdouts or {}).items()}
-        cols = [id_col, "__y", *dict.fromkeys([*every, *confounds])]
+        regression = infer_task(df, label).first()["task"] == "regression"
+        sources = {None: df, **(holdouts or {})}
+        if tagged is not None:
+            sources[TAGGED] = tagged
+        if regression:
+            classes, coded = None, {n: t.withColumn("__y", F.col(label).cast("double")) for n, t in sources.items()}
+        else:
+            codes = cut_lineage(dense_codes(df, label, "__y"), "label-codes")
+            classes = max(2, codes.count())
+            coded = {n: label_index(t, label, "__y", codes=codes) for n, t in sources.items()}
+        truth = f"probas_{label}"
+        if not regression and truth in df.columns:
+            last = F.element_at(F.col(truth), -1).cast("double")
+            coded = {n: t.withColumn("__p_true", last if truth in t.columns else F.lit(None).cast("double")) for n, t in coded.items()}
+        cols = [id_col, "__y", *(["__p_true"] if "__p_true" in coded[None].columns else []), *dict.fromkeys([*every, *confounds])]
+        base = coded[None].select(*cols)
+        strata = "__y"
+        if regression:  # folds of a value are not stratified
+            base, strata = base.withColumn("__all", F.lit(0)), "__all"
         if folds > 1:
-            folded = stratified_kfold(base.select(*cols), "__y", id_col, folds, seed)
+            folded = stratified_kfold(base, strata, id_col, folds, seed)
         else:
-            held = stratified_holdout(base.select(*cols), "__y", id_col, 0.2, seed)
+            held = stratified_holdout(base, strata, id_col, 0.2, seed)
             folded = held.withColumn("fold", F.when(F.col("part") == "test", 0).otherwise(1))
-        folded = cut_lineage(folded.drop("part"), "folds")
+        tables = [folded.select(*cols, F.col("fold").cast("int").alias("fold"), F.lit(None).cast("string").alias("__set"))]
+        for name, held in coded.items():
+            if name is not None:
+                have = [F.col(c) if c in held.columns else F.lit(None).cast(folded.schema[c].dataType).alias(c) for c in cols]
+                which = F.col("eval_set") if name == TAGGED else F.lit(name)
+                tables.append(held.select(*have, F.lit(None).cast("int").alias("fold"), which.alias("__set")))
+        stored = cut_lineage(reduce(DataFrame.unionByName, tables), "folds")
+        keep = ["__p_true"] if "__p_true" in cols else []
         jobs = []
         for inp, feats in feature_sets.items():
             used = [f for f in feats if f != label]
@@ -85,35 +131,47 @@ def estimate_associations(
 
         def one(job):
             inp, used, method, cons, trial = job
-            data = model_frame(folded, used, "__y", cons, keep=[id_col, "fold"])
+            began = time.monotonic()
+            data = model_frame(stored, used, "__y", cons, keep=[id_col, "fold", "__set", *keep])
+            own = F.col("__set").isNull()
             train, ok = control_confounds(
-                data.where(F.col("fold") != trial), method, "__y", id_col, cons, seed=seed
+                data.where(own & (F.col("fold") != trial)), method, "__y", id_col, cons, seed=seed
             )
             if not ok:
                 return None
-            fitted = fit_model(train, used, "__y", model, params, regression=False)
-            sets = {"train": train, "test": data.where(F.col("fold") == trial), **frames}
-            pred = predictions(fitted, sets, id_col)
+            fitted = fit_model(train, used, "__y", model, params, regression=regression)
+            in_train = own & (F.col("fold") != trial)
+            named = F.coalesce("__set", F.when(F.col("fold") == trial, "test").otherwise("train"))
+            rows = data.withColumn("eval_set", named)
+            if method is not None:
+                rows = rows.where(~in_train).unionByName(train.select(*data.columns).withColumn("eval_set", F.lit("train")))
+            pred = predict_tagged(fitted, rows, id_col, keep)
+            pred = pred.withColumnRenamed("__p_true", "p_true") if keep else pred
             tag = {
                 "dataset": F.lit(dataset), "out": F.lit(label), "inp": F.lit(inp),
                 "trial": F.lit(trial), "model": F.lit(model), "model_params": F.lit(str(dict(params))),
                 "type": F.lit(f"{method}[{','.join(cons)}]" if method else BASELINE),
             }
-            long = score_long(pred, "y", "p", ["eval_set"], metrics).withColumns(tag)
+            if with_predictions:
+                pred = cut_lineage(pred, "predictions")
+            long = score_predictions(pred, ["eval_set"], regression_metrics if regression else metrics, classes).withColumns(tag)
             table = fitted.coefficient_table(spark).withColumns(tag)
             # A run's scores are a few rows; storing them ends the run inside its thread.
-            return (
-                cut_lineage(long.select(*tag, "eval_set", "metric", "value"), "scores"),
-                table.select(*tag, "feature", "coef"),
+            long = cut_lineage(long.select(*tag, "eval_set", "metric", "value"), "scores")
+            meta = spark.range(1).select(
+                *[c.alias(k) for k, c in tag.items()], F.lit(fitted.n).cast("bigint").alias("n_samples"),
+                F.lit(str(seed)).alias("seed"), F.lit(round(time.monotonic() - began, 3)).alias("runtime"),
             )
+            if not keep:
+                pred = pred.withColumn("p_true", F.lit(None).cast("double"))
+            return long, table.select(*tag, "feature", "coef"), pred.withColumns(tag).select(*tag, "eval_set", "id", "y", "p", "pred", "probas", "p_true"), meta
 
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
             for result in pool.map(one, jobs):
                 if result:
-                    scores.append(result[0])
-                    coefs.append(result[1])
+                    for found, part in zip((scores, coefs, preds, metas), result):
+                        found.append(part)
     if not scores:
         raise ValueError("no run could be fit")
-    return reduce(DataFrame.unionByName, scores), reduce(DataFrame.unionByName, coefs)
-
-
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return Associations(union(scores), union(coefs), union(preds) if with_predictions else None, union(metas))

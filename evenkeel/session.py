@@ -7,13 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where it is unset, a fresh folder on Hadoop's default file system is set, which is
+    Where it is unset, it is a fresh folder on Hadoop's default file system, which is
     removed when the application ends. A local file system is refused there unless
     executors run inside the driver, since other machines would not see it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or _made.get(spark.sparkContext.applicationId)
     if path:
         return path
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -24,8 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     fs.mkdirs(fresh)
     fs.deleteOnExit(fresh)
-    spark.conf.set("spark.checkpoint.dir", fresh.toString())
-    return fresh.toString()
+    return _made.setdefault(spark.sparkContext.applicationId, fresh.toString())
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

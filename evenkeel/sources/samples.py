@@ -99,8 +99,13 @@ def write_if_absent(df: DataFrame, out: str, overwrite: bool = False, fmt: str =
 def attach_features(
     df: DataFrame, features: DataFrame, id_col: str, vec: str, width: int, prefix: str = "p_"
 ) -> DataFrame:
-    """Left-join a per-id numeric array and address its elements as columns."""
+    """Left-join a per-id numeric array and address its elements as columns. An array longer
+    than ``width`` is an error, so that no element is lost; a shorter one gives nulls."""
     joined = df.join(features.select(id_col, vec), id_col, "left")
+    fits = F.when(F.coalesce(F.size(vec), F.lit(0)) <= width, F.col(vec)).otherwise(
+        F.raise_error(F.concat(F.lit(f"array wider than {width}: "), F.size(vec).cast("string"))).cast(joined.schema[vec].dataType)
+    )
+    joined = joined.withColumn(vec, fits)
     cells = [F.get(F.col(vec), F.lit(i)).alias(f"{prefix}{i}") for i in range(width)]
     return joined.select("*", *cells).drop(vec)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +14,13 @@ from evenkeel.session import scratch_path
 def read_stream(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Files arriving at ``path`` as a stream with the schema of those present.
 
-    A folder is watched as it is; the trailing glob lets a single file stand for one."""
+    A folder is watched as it is. Of a single file, its folder is watched for that name."""
     schema = spark.read.format(fmt).load(path).schema
-    return spark.readStream.schema(schema).format(fmt).load(path.rstrip("/") + "*")
+    stream = spark.readStream.schema(schema).format(fmt)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile():
+        return stream.option("pathGlobFilter", target.getName()).load(target.getParent().toString())
+    return stream.load(path)
 
 
 def stream_scores(
@@ -38,15 +41,18 @@ def stream_assign(
 
 
 def drain_groups(result: DataFrame, name: str) -> DataFrame:
-    """Process what is available and return the final groups (one row per group)."""
-    spark, name = result.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    """Process what is available and return the final groups (one row per group), which every
+    batch writes anew to the shared folder."""
+    spark = result.sparkSession
+    out = scratch_path(spark, name)
     query = (
-        result.writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", scratch_path(spark, name))
+        result.writeStream.outputMode("complete")
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+        .option("checkpointLocation", scratch_path(spark, name + "-log"))
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(result.schema).parquet(out)
 
 
 def drain_rows(result: DataFrame, name: str) -> DataFrame:
