@@ -13,6 +13,7 @@ from evenkeel.operators.contracts import (
     all_violations,
     cardinality_violations,
     group_class_violations,
+    key_text,
     require_columns,
 )
 from evenkeel.operators.features import category_codes
@@ -33,10 +34,6 @@ def group_code(df: DataFrame, confounds: Sequence[str], out: str = "group") -> D
     return df.withColumn(out, code)
 
 
-def _group_text(groups: Sequence[str]) -> Column:
-    return F.concat_ws("|", *[F.col(g).cast("string") for g in groups])
-
-
 def counterbalance_down(
     df: DataFrame, y: str, id_col: str, groups: Sequence[str] = (), seed: str | int = 42
 ) -> DataFrame:
@@ -73,7 +70,7 @@ def counterbalance_up(
             "__i",
             F.explode(F.sequence(start + 1, F.least(start + DRAW_CHUNK, F.col("__need")))),
         )
-        .withColumn("__u", unit_hash(_group_text([f"__k.{k}" for k in keys]), F.col("__i"), seed))
+        .withColumn("__u", unit_hash(key_text([f"__k.{k}" for k in keys]), F.col("__i"), seed))
         .select("__k", (F.floor(F.col("__u") * F.col("__n")) + 1).alias("__r"))
     )
     pool = df.withColumn("__k", F.struct(*keys)).join(short.select("__k"), "__k", "left_semi")
@@ -86,7 +83,7 @@ def counterbalance_mixed(
     df: DataFrame, y: str, id_col: str, groups: Sequence[str] = (), seed: str | int = 42
 ) -> DataFrame:
     """Each group goes up or down by the parity of its hash."""
-    up = hash52(_group_text(groups), seed) % 2 == 1
+    up = hash52(key_text(groups), seed) % 2 == 1
     return counterbalance_up(df.where(up), y, id_col, groups, seed).unionByName(
         counterbalance_down(df.where(~up), y, id_col, groups, seed)
     )

@@ -55,9 +55,14 @@ def cardinality_violations(df: DataFrame, confounds: Sequence[str]) -> DataFrame
     )
 
 
+def key_text(keys: Sequence[str]) -> Column:
+    """Grouping keys as one text. A null is told apart from any value and keeps its place."""
+    return F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
+
+
 def group_class_violations(df: DataFrame, groups: Sequence[str], y: str) -> DataFrame:
     """Groups with one class only, or with a class of fewer than 2 rows."""
-    subject = F.concat_ws("|", *[F.col(g).cast("string") for g in groups]) if groups else F.lit("")
+    subject = key_text(groups)
     per_class = df.groupBy(*groups, y).agg(F.count(F.lit(1)).alias("n"))
     per_group = per_class.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("classes"), F.min("n").alias("smallest")
@@ -88,7 +93,7 @@ def proba_sum_violations(df: DataFrame, id_col: str, probas: str) -> DataFrame:
 def class_count_violations(df: DataFrame, by: Sequence[str], y: str, most: int = 2) -> DataFrame:
     """Groups whose label has more than ``most`` states."""
     n = df.groupBy(*by).agg(F.count_distinct(y).alias("n"))
-    subject = F.concat_ws("|", *[F.col(g).cast("string") for g in by]) if by else F.lit("")
+    subject = key_text(by)
     return n.where(F.col("n") > most).select(*_violation("not_binary", subject, F.col("n")))
 
 

@@ -256,7 +256,9 @@ def _least_squares(m: Mapping[str, Any]) -> list[tuple]:
 
     n, mx, my, c = m["__n"], np.array(m["__mx"], float), m["__my"], np.array(m["__cxy"], float)
     k = len(mx)
-    s = np.array(m["__cov"], float).reshape(k, k)
+    s = np.zeros((k, k))
+    s[np.triu_indices(k)] = np.array(m["__cov"], float)
+    s += np.triu(s, 1).T
     scale = np.sqrt(np.maximum(np.diag(s), 0))
     moving = scale > 1e-9 * np.maximum(np.abs(mx), 1e-300)
     unit = np.where(moving, scale, 1.0)
@@ -301,7 +303,7 @@ def gaussian_glm(
     moments = df.where(complete).groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"), F.avg(out).alias("__my"), F.var_pop(out).alias("__vy"),
         F.array(*[F.avg(a) for a in dbl]).alias("__mx"),
-        F.array(*[F.covar_pop(a, b) for a in dbl for b in dbl]).alias("__cov"),
+        F.array(*[F.covar_pop(a, b) for i, a in enumerate(dbl) for b in dbl[i:]]).alias("__cov"),
         F.array(*[F.covar_pop(a, out) for a in dbl]).alias("__cxy"),
     )
     names = [*by, "feature", "coef", "stderr", "p", "pseudo_r2"]

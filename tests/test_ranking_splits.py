@@ -219,3 +219,10 @@ def test_control_contract_errors(spark, skewed):
         control_confounds(skewed.withColumn("many", F.col("id") % 11), "downsample", "y", "id", ["many"])
     with pytest.raises(ContractError):
         group_code(skewed.withColumn("one", F.lit(1)), ["one"])
+
+
+def test_keys_with_nulls_have_texts_of_their_own(spark):
+    from evenkeel.operators.contracts import key_text
+
+    df = spark.createDataFrame([("a", None), (None, "a"), ("a", "a"), (None, None)], "x string, y string")
+    assert df.select(key_text(["x", "y"])).distinct().count() == 4
