@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.common import skewed_lookup
-from evenkeel.llm.graph import components
+from evenkeel.llm.stars import in_shared_buckets, link
 from evenkeel.session import cut_lineage
 
 SHINGLE = 5
@@ -19,7 +20,6 @@ SIMILARITY = 80
 #: 73 bands of 7 bins: a pair at similarity 0.8 shares no bucket with a chance of 4e-8.
 BIN_BITS = 9
 BAND_BINS = 7
-HUBS = 32
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -116,9 +116,12 @@ class Signatures:
             out[empty] = out[full[self.order[np.ix_(empty, full)].argmin(axis=1)]]
         return out
 
-    def buckets(self, hashes: np.ndarray) -> np.ndarray:
-        values = self.values(hashes)[: self.bands * self.rows].reshape(self.bands, self.rows)
-        return mixed((mixed(values) * self.scale).sum(axis=1, dtype=np.uint64) + self.salt)
+    def buckets(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket of each band, sketch of one bit per bin in 64-bit words)."""
+        values = mixed(self.values(hashes))
+        bands = values[: self.bands * self.rows].reshape(self.bands, self.rows)
+        sketch = np.packbits((values >> np.uint64(63)).astype(np.uint8)).view(np.int64)
+        return mixed((bands * self.scale).sum(axis=1, dtype=np.uint64) + self.salt).view(np.int64), sketch
 
 
 def _texts(column: pa.Array) -> Iterator[np.ndarray]:
@@ -127,24 +130,26 @@ def _texts(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, n_shingles, digest of the set, bucket of each band) per row of (id, text)."""
+    """(id, n_shingles, digest of the set, bucket of each band, sketch) per row of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signatures()
         for batch in batches:
-            sizes, digests, buckets = [], [], []
+            sizes, digests, buckets, sketches = [], [], [], []
             for data in _texts(batch.column("text")):
                 found = shingle_set(data, shingle)
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                buckets.append(sign.buckets(found).view(np.int64) if len(found) else None)
+                bands, sketch = sign.buckets(found) if len(found) else (None, None)
+                buckets.append(bands)
+                sketches.append(sketch)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "digest", "buckets"],
+                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["id", "n_shingles", "digest", "buckets", "sketch"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, buckets array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, buckets array<bigint>, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -171,60 +176,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return sized.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * similarity).select("a", "b")
 
 
-def fitting(similarity: int):
-    """Can sets of these sizes reach the similarity at all?"""
-    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return least * 100 >= most * similarity
-
-
-def link(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """(v, root) of all linked vertices; ``members`` (bucket, id, n) is a stored table of
-    buckets of at least two.
-
-    In each bucket the smallest id is the hub of a star: only pairs of the hub and another
-    member are compared. A hub has then been held against its whole bucket and leaves it. What
-    stars miss (a link between members that both differ from the hub) later rounds find:
-    buckets whose members all are in one component are done; in others the up to HUBS smallest
-    members outside the largest component are the next hubs, compared with all members of
-    other components. At the end every two members of a bucket have been compared or are
-    connected, so no link is lost, while a large group of copies brings one pair per member."""
-    first = F.min(F.struct(F.col("id").alias("hub"), F.col("n").alias("n_hub"))).alias("h")
-    size = F.count(F.lit(1)).alias("c")
-    hubs = cut_lineage(members.groupBy("bucket").agg(first, size).select("bucket", "h.*", "c"), "hubs")
-    total = members.count()
-    stars = skewed_lookup(members, hubs, ["bucket"], "c", total, F.col("id"))
-    stars = cut_lineage(stars, "stars")
-    pairs = stars.where("id <> hub").select(
-        F.col("hub").alias("a"), F.col("id").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b")
-    )
-    tested = cut_lineage(pairs.where(fitting(similarity)).select("a", "b").distinct(), "pairs")
-    links = cut_lineage(confirmed(tested, sets, similarity), "confirmed")
-    members = stars.where("id <> hub").select("bucket", "id", "n")
-    while True:
-        labels = cut_lineage(components(links), "components")
-        named = members.join(labels.withColumnRenamed("v", "id"), "id", "left")
-        named = cut_lineage(named.withColumn("root", F.coalesce("root", "id")), "members")
-        parts = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-        mixed_ = parts.groupBy("bucket").agg(
-            F.max_by("root", F.struct("c", F.xxhash64("root"))).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("c")
-        ).where("k > 1").drop("k")
-        mixed_ = cut_lineage(mixed_, "mixed-buckets")
-        if not mixed_.limit(1).count():
-            return labels
-        found = skewed_lookup(named, mixed_, ["bucket"], "c", named.count(), F.col("id")).where("main is not null")
-        found = cut_lineage(found, "open-members")
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-        chosen = found.where("root <> main").withColumn("k", order).where(F.col("k") <= HUBS)
-        chosen = cut_lineage(chosen.select("bucket", F.col("id").alias("hub"), F.col("n").alias("n_hub"), F.col("root").alias("hub_root")), "next-hubs")
-        met = found.join(chosen, "bucket").where("root <> hub_root").select(
-            F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"), F.col("n_hub").alias("n_a"), F.col("n").alias("n_b")
-        )
-        new = met.where(fitting(similarity)).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        new = cut_lineage(new, "pairs")
-        links = links.unionAll(cut_lineage(confirmed(new, sets, similarity), "confirmed"))
-        tested = tested.unionAll(new)
-        gone = chosen.select("bucket", F.col("hub").alias("id"))
-        members = found.select("bucket", "id", "n").join(gone, ["bucket", "id"], "left_anti")
+def possible(similarity: int, bins: int):
+    """Can two marks (n, w0 .. w7) reach the similarity?
+
+    Their sizes must allow it, and of the one-bit sketches' bits about (1 + similarity) / 2 must
+    agree. The bound is 6.5 standard deviations below, so that a pair at the similarity fails
+    with a chance below 1e-9, less than that of sharing no bucket."""
+    agree = (1 + similarity / 100) / 2
+    least = math.ceil(bins * agree - 6.5 * math.sqrt(bins * agree * (1 - agree)))
+
+    def test(a: Column, b: Column) -> Column:
+        sizes = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * similarity
+        apart = sum((F.bit_count(a[f"w{i}"].bitwiseXOR(b[f"w{i}"])) for i in range(bins // 64)), F.lit(0))
+        return sizes & (apart <= bins - least)
+
+    return test
 
 
 def near_duplicates(
@@ -246,24 +212,24 @@ def near_duplicates(
     marks = cut_lineage(fingerprints(rows, shingle), "fingerprints")
     linkable = marks.where("id is not null and n_shingles > 0")
     sets = linkable.groupBy("digest").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("c"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("c"), F.first("n_shingles").alias("n"),
+        F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"),
     )
     sets = cut_lineage(sets, "distinct-sets")
-    dealt = sets.select(F.col("rep").alias("id"), "n", F.explode("buckets").alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("yes", F.lit(True))
-    shared = cut_lineage(shared, "shared-buckets")
-    total = sets.count() * Signatures().bands
-    members = skewed_lookup(dealt, shared, ["bucket"], "c", total, F.col("id")).where("yes")
-    members = cut_lineage(members.select("bucket", "id", "n"), "bucket-members")
+    dealt = sets.select(F.col("rep").alias("id"), F.explode("buckets").alias("bucket"))
+    sign = Signatures()
+    words = [F.element_at("sketch", i + 1).alias(f"w{i}") for i in range(sign.bins // 64)]
+    marks_of = sets.select(F.col("rep").alias("id"), F.struct("n", *words).alias("mark"))
+    members = in_shared_buckets(dealt, sets.count() * sign.bands, marks_of)
     wanted = members.select("id").distinct()
     candidates = full_sets(rows.join(wanted, "id", "left_semi"), shingle).where("size(set) > 0")
     candidates = cut_lineage(candidates.dropDuplicates(["id"]), "full-sets")
-    labels = link(members, candidates, similarity)
+    labels = link(members, possible(similarity, sign.bins), lambda pairs: confirmed(pairs, candidates, similarity))
     least = labels.groupBy("root").agg(F.min("v").alias("component_id"))
     labels = labels.join(least, "root").select(F.col("v").alias("rep"), "component_id")
     found = sets.select("digest", "rep", "c").join(labels, "rep", "left")
     found = cut_lineage(found.select("digest", "c", F.coalesce("component_id", "rep").alias("component_id")), "components-of-sets")
-    out = skewed_lookup(marks.drop("buckets"), found, ["digest"], "c", marks.count(), F.col("id"))
+    out = skewed_lookup(marks.drop("buckets", "sketch"), found, ["digest"], "c", marks.count(), F.col("id"))
     own = F.when(F.col("id").isNull() | (F.col("n_shingles") == 0), F.col("id")).otherwise(F.col("component_id"))
     return out.select(
         F.col("id").alias(id_col), "n_shingles", own.alias("component_id"), own.eqNullSafe(F.col("id")).alias("kept")

@@ -13,15 +13,17 @@ from evenkeel.llm.common import skewed_lookup
 from evenkeel.llm.graph import components
 from evenkeel.session import cut_lineage
 
-HUBS = 32
+HUBS = 256
+ORDERS = 16
 
 
-def in_shared_buckets(dealt: DataFrame, total: int) -> DataFrame:
-    """The rows of ``dealt`` (id, mark, bucket), ``total`` of them, whose bucket has others."""
+def in_shared_buckets(dealt: DataFrame, total: int, marks: DataFrame) -> DataFrame:
+    """(bucket, id, mark) of the rows of ``dealt`` (id, bucket), ``total`` of them, whose bucket
+    has others; ``marks`` (id, mark) has each id once."""
     shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("yes", F.lit(True))
     shared = cut_lineage(shared, "shared-buckets")
     members = skewed_lookup(dealt, shared, ["bucket"], "c", total, F.col("id")).where("yes")
-    return cut_lineage(members.select("bucket", "id", "mark"), "bucket-members")
+    return cut_lineage(members.join(marks, "id").select("bucket", "id", "mark"), "bucket-members")
 
 
 def link(
@@ -33,20 +35,22 @@ def link(
     ``possible`` tells from two marks whether a pair can be linked at all; ``confirmed`` keeps
     the linked ones of pairs (a, b).
 
-    In each bucket the smallest id is the hub of a star: only pairs of the hub and another
-    member are compared. A hub has then been held against its whole bucket and leaves it. What
+    In each bucket the id that comes first in one of ORDERS hash orders, chosen by the bucket,
+    is the hub of a star: only pairs of the hub and another member are compared. Members of
+    many common buckets so meet several hubs, but not one for each bucket. A hub has then been
+    held against its whole bucket and leaves it. What
     stars miss (a link between members that both differ from the hub) later rounds find:
     buckets whose members all are in one component are done; in others the up to HUBS smallest
     members outside the largest component are the next hubs, compared with all members of
     other components. At the end every two members of a bucket have been compared or are
     connected, so no link is lost, while a large group of copies brings one pair per member."""
-    first = F.min(F.struct(F.col("id").alias("hub"), F.col("mark").alias("hub_mark"))).alias("h")
-    hubs = cut_lineage(members.groupBy("bucket").agg(first, F.count(F.lit(1)).alias("c")).select("bucket", "h.*", "c"), "hubs")
+    place = F.xxhash64("id", F.pmod("bucket", F.lit(ORDERS)))
+    first = F.min(F.struct(place.alias("place"), F.col("id").alias("hub"), F.col("mark").alias("hub_mark"))).alias("h")
+    hubs = cut_lineage(members.groupBy("bucket").agg(first, F.count(F.lit(1)).alias("c")).select("bucket", "h.hub", "h.hub_mark", "c"), "hubs")
     stars = skewed_lookup(members, hubs, ["bucket"], "c", members.count(), F.col("id")).where("id <> hub")
     stars = cut_lineage(stars, "stars")
-    pairs = stars.where(possible(F.col("hub_mark"), F.col("mark"))).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    tested = cut_lineage(pairs.distinct(), "pairs")
-    links = cut_lineage(confirmed(tested), "confirmed")
+    pairs = stars.where(possible(F.col("hub_mark"), F.col("mark"))).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
+    links = cut_lineage(confirmed(cut_lineage(pairs.distinct(), "pairs")), "confirmed")
     members = stars.select("bucket", "id", "mark")
     while True:
         labels = cut_lineage(components(links), "components")
@@ -65,8 +69,6 @@ def link(
         chosen = cut_lineage(chosen.select("bucket", F.col("id").alias("hub"), F.col("mark").alias("hub_mark"), F.col("root").alias("hub_root")), "next-hubs")
         met = found.join(chosen, "bucket").where((F.col("root") != F.col("hub_root")) & possible(F.col("hub_mark"), F.col("mark")))
         met = met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-        new = cut_lineage(met.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionAll(cut_lineage(confirmed(new), "confirmed"))
-        tested = tested.unionAll(new)
+        links = links.unionAll(cut_lineage(confirmed(cut_lineage(met, "pairs")), "confirmed"))
         gone = chosen.select("bucket", F.col("hub").alias("id"))
         members = found.select("bucket", "id", "mark").join(gone, ["bucket", "id"], "left_anti")
