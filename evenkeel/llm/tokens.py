@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,14 +20,26 @@ from evenkeel.session import cut_lineage
 END = 1
 FILE_TOKENS = 4_000_000
 CACHED_PIECES = 400_000
+MARKS = (",", ".")
+JOINED = 256
 LONGEST_CACHED = 64
 
 
+def stem(piece: str) -> tuple[str, str]:
+    """(word, mark): a comma or stop at the end after a letter is a word of its own to the
+    vocabulary, and letters are lower-cased by it."""
+    mark = piece[-1] if piece[-1:] in MARKS and piece[-2:-1].isalpha() else ""
+    word = piece[:-1] if mark else piece
+    return (word.lower() if word.isascii() else word), mark
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     The vocabulary never joins over a space or line end, so a text's ids are those of its
-    pieces between them one after another; frequent pieces are encoded once per worker."""
+    pieces between them one after another. A piece is encoded once as long as it is in one of
+    two generations of known pieces; a full one replaces the older one, from which pieces met
+    again move over."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,30 +47,52 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = {"": b"", **dict(zip(MARKS, self._encode(list(MARKS))))}
 
     def _encode(self, pieces: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
+        """Ids of each piece. Pieces are joined by spaces for speed; where a token starts tells
+        whose it is."""
+        parts = [pieces[at : at + JOINED] for at in range(0, len(pieces), JOINED)]
+        found = self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False)
+        for part, e in zip(parts, found):
+            ends = np.cumsum([len(p) + 1 for p in part])
+            begins = np.array([o[0] for o in e.offsets], dtype=np.int64)
+            cuts = (4 * np.searchsorted(begins, ends, side="left")).tolist()
+            data, at = np.array(e.ids, dtype="<u4").tobytes(), 0
+            for cut in cuts:
+                yield data[at:cut]
+                at = cut
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        cache = self.cache
+        cache, older = self.cache, self.older
         new = {p for pieces in split for p in pieces if p not in cache}
-        if len(cache) + len(new) > CACHED_PIECES:
-            cache.clear()
-            new = {p for pieces in split for p in pieces}
-        new = sorted(new)
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            cache.update(zip(part, self._encode(part)))
+        known = new & older.keys()
+        cache.update((p, older[p]) for p in known)
+        stems = {p: stem(p) for p in new - known}
+        roots = {s for s, _ in stems.values() if s not in cache}
+        known = roots & older.keys()
+        cache.update((s, older[s]) for s in known)
+        roots = sorted(roots - known)
+        cache.update(zip(roots, self._encode(roots)))
+        cache.update((p, cache[s] + self.marks[mark]) for p, (s, mark) in stems.items())
         out = [b"".join([cache[p] for p in pieces]) for pieces in split]
-        for p in new:
+        for p in {*stems, *roots}:
             if len(p) > LONGEST_CACHED:
                 del cache[p]
+        if len(cache) > CACHED_PIECES:
+            self.cache, self.older = {}, cache
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per Python worker, kept for its next tasks."""
+    return Encoder(path)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -90,7 +125,7 @@ def write_tokens(
     stop = np.array([end], dtype="<u4").tobytes()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context, encode = TaskContext.get(), Encoder(vocabulary)
+        context, encode = TaskContext.get(), encoder(vocabulary)
         store, root = open_store(folder)
         part, made = context.partitionId(), 0
         ids: list[bytes] = []
