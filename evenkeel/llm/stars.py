@@ -14,7 +14,6 @@ from evenkeel.llm.graph import components
 from evenkeel.session import cut_lineage
 
 HUBS = 256
-ORDERS = 16
 
 
 def in_shared_buckets(dealt: DataFrame, total: int, marks: DataFrame) -> DataFrame:
@@ -26,6 +25,11 @@ def in_shared_buckets(dealt: DataFrame, total: int, marks: DataFrame) -> DataFra
     return cut_lineage(members.join(marks, "id").select("bucket", "id", "mark"), "bucket-members")
 
 
+def earlier(of: str) -> Column:
+    """The buckets of an id, within these rows, that come before a row's own."""
+    return F.filter(F.collect_set("bucket").over(Window.partitionBy(of)), lambda b: b < F.col("bucket"))
+
+
 def link(
     members: DataFrame, possible: Callable[[Column, Column], Column], confirmed: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
@@ -35,16 +39,16 @@ def link(
     ``possible`` tells from two marks whether a pair can be linked at all; ``confirmed`` keeps
     the linked ones of pairs (a, b).
 
-    In each bucket the id that comes first in one of ORDERS hash orders, chosen by the bucket,
-    is the hub of a star: only pairs of the hub and another member are compared. Members of
-    many common buckets so meet several hubs, but not one for each bucket. A hub has then been
-    held against its whole bucket and leaves it. What
+    In each bucket the id that comes first in a hash order of its own is the hub of a star: only
+    pairs of the hub and another member are compared. Members of many common buckets so meet
+    as many hubs. A hub has then been held against its whole bucket and leaves it. What
     stars miss (a link between members that both differ from the hub) later rounds find:
     buckets whose members all are in one component are done; in others the up to HUBS smallest
     members outside the largest component are the next hubs, compared with all members of
-    other components. At the end every two members of a bucket have been compared or are
+    other components; two ids meet in the first only of the buckets where they could. At the
+    end every two members of a bucket have been compared or are
     connected, so no link is lost, while a large group of copies brings one pair per member."""
-    place = F.xxhash64("id", F.pmod("bucket", F.lit(ORDERS)))
+    place = F.xxhash64("id", "bucket")
     first = F.min(F.struct(place.alias("place"), F.col("id").alias("hub"), F.col("mark").alias("hub_mark"))).alias("h")
     hubs = cut_lineage(members.groupBy("bucket").agg(first, F.count(F.lit(1)).alias("c")).select("bucket", "h.hub", "h.hub_mark", "c"), "hubs")
     stars = skewed_lookup(members, hubs, ["bucket"], "c", members.count(), F.col("id")).where("id <> hub")
@@ -63,11 +67,15 @@ def link(
         if not still.limit(1).count():
             return labels
         found = skewed_lookup(named, still, ["bucket"], "c", named.count(), F.col("id")).where("main is not null")
-        found = cut_lineage(found, "open-members")
+        found = cut_lineage(found.withColumn("earlier", earlier("id")), "open-members")
         order = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
         chosen = found.where("root <> main").withColumn("k", order).where(F.col("k") <= HUBS)
-        chosen = cut_lineage(chosen.select("bucket", F.col("id").alias("hub"), F.col("mark").alias("hub_mark"), F.col("root").alias("hub_root")), "next-hubs")
-        met = found.join(chosen, "bucket").where((F.col("root") != F.col("hub_root")) & possible(F.col("hub_mark"), F.col("mark")))
+        chosen = cut_lineage(
+            chosen.select("bucket", F.col("id").alias("hub"), F.col("mark").alias("hub_mark"), F.col("root").alias("hub_root"))
+            .withColumn("hub_earlier", earlier("hub")), "next-hubs")
+        apart = F.col("root") != F.col("hub_root")
+        again = F.arrays_overlap("hub_earlier", "earlier")
+        met = found.join(chosen, "bucket").where(apart & possible(F.col("hub_mark"), F.col("mark")) & ~again)
         met = met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
         links = links.unionAll(cut_lineage(confirmed(cut_lineage(met, "pairs")), "confirmed"))
         gone = chosen.select("bucket", F.col("hub").alias("id"))
