@@ -190,4 +190,4 @@ def op4_token_blocks(spark, d):
 
 @query("op8_fuzzy_lines")
 def op8_fuzzy_lines(spark, d):
-    return lines.group_lines(table(spark, d, "documents"))
+    return lines.group_lines(table(spark, d, "documents"), distance=None)

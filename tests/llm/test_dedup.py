@@ -191,6 +191,30 @@ def test_lines_equal_brute_force(spark):
         assert cleaned[i] == "\n".join(x for n, x in enumerate(text.split("\n")) if (i, n) not in gone)
 
 
+def typed(rng, line, edits):
+    for _ in range(edits):
+        at, c = rng.randrange(len(line)), rng.choice("etaoinsr")
+        line = rng.choice([line[:at] + c + line[at:], line[:at] + line[at + 1 :], line[:at] + c + line[at + 1 :]])
+    return " ".join(line.split())
+
+
+def test_lines_of_one_edit_similarity_are_linked_whatever_their_words(spark):
+    """Recall of pairs by edit similarity alone, over lines of 5 to 60 words."""
+    rng = random.Random(18)
+    bases = [prose(rng, rng.randint(5, 60)) for _ in range(400)]
+    others = [
+        typed(rng, b, rng.randint(1, max(1, len(b) // 11))) if i % 2 else edited(rng, b.split(), 1) for i, b in enumerate(bases)
+    ]
+    got = {r.doc_id: r.keep_id for r in lines.group_lines(frame(spark, bases + others), distance=None).collect()}
+    near = [i for i, (a, b) in enumerate(zip(bases, others)) if a != b and levenshtein(a, b) <= max(len(a), len(b)) * 10 // 100]
+    linked = [i for i in near if got[i + 400] == got[i]]
+    print("recall", len(linked), len(near))
+    assert len(near) > 300 and len(linked) >= 0.98 * len(near)
+    # nothing else is linked
+    assert all(got[i] == i for i in range(400)) and all(got[i + 400] in (i, i + 400) for i in range(400))
+    assert all(got[i + 400] == i + 400 for i in range(400) if i not in near and bases[i] != others[i])
+
+
 def test_lines_odd(odd, none):
     got = {(r.doc_id, r.line, r.keep_id, r.group_size, r.kept) for r in lines.group_lines(odd).collect()}
     assert {(5, 0, 5, 3, True), (6, 0, 5, 3, False), (3, 0, 3, 2, True), (7, 0, 7, 1, True)} <= got
