@@ -20,6 +20,9 @@ SIMILARITY = 80
 #: 73 bands of 7 bins: a pair at similarity 0.8 shares no bucket with a chance of 4e-8.
 BIN_BITS = 9
 BAND_BINS = 7
+#: Smaller sets are not held to the sketch test: few values fill all bins, so that the number of
+#: bins apart varies more.
+LEAST_SKETCHED = 64
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -102,6 +105,8 @@ class Signatures:
         self.bands = self.bins // rows
         self.scale = rng.integers(0, 1 << 63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salt = mixed(np.arange(1, self.bands + 1, dtype=np.uint64))
+        # bins that borrow one value have bits of their own
+        self.bin_salt = rng.integers(0, 1 << 64, self.bins, dtype=np.uint64)
 
     def values(self, hashes: np.ndarray) -> np.ndarray:
         at = (hashes >> self.shift).astype(np.int64)
@@ -118,9 +123,10 @@ class Signatures:
 
     def buckets(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bucket of each band, sketch of one bit per bin in 64-bit words)."""
-        values = mixed(self.values(hashes))
+        values = self.values(hashes)
+        sketch = np.packbits((mixed(values ^ self.bin_salt) >> np.uint64(63)).astype(np.uint8)).view(np.int64)
+        values = mixed(values)
         bands = values[: self.bands * self.rows].reshape(self.bands, self.rows)
-        sketch = np.packbits((values >> np.uint64(63)).astype(np.uint8)).view(np.int64)
         return mixed((bands * self.scale).sum(axis=1, dtype=np.uint64) + self.salt).view(np.int64), sketch
 
 
@@ -181,14 +187,15 @@ def possible(similarity: int, bins: int):
 
     Their sizes must allow it, and of the one-bit sketches' bits about (1 + similarity) / 2 must
     agree. The bound is 6.5 standard deviations below, so that a pair at the similarity fails
-    with a chance below 1e-9, less than that of sharing no bucket."""
+    with a chance below 1e-9, less than that of sharing no bucket. Where one has less than
+    LEAST_SKETCHED shingles only the sizes count."""
     agree = (1 + similarity / 100) / 2
     least = math.ceil(bins * agree - 6.5 * math.sqrt(bins * agree * (1 - agree)))
 
     def test(a: Column, b: Column) -> Column:
         sizes = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * similarity
         apart = sum((F.bit_count(a[f"w{i}"].bitwiseXOR(b[f"w{i}"])) for i in range(bins // 64)), F.lit(0))
-        return sizes & (apart <= bins - least)
+        return sizes & ((F.least(a["n"], b["n"]) < LEAST_SKETCHED) | (apart <= bins - least))
 
     return test
 

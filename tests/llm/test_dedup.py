@@ -121,6 +121,19 @@ def test_densified_bins_agree_as_often_as_sets_do():
         assert abs(np.mean(agree) - 0.8) < 0.05
 
 
+def test_small_sets_at_the_similarity_are_possible(spark):
+    """Pairs of 4 to 100 shingles at exactly 0.8; in the small ones one value fills many bins."""
+    rng, sign = np.random.default_rng(5), neardup.Signatures()
+    pairs = []
+    for small, large in ((4, 5), (8, 10), (12, 15), (80, 100)):
+        for _ in range(500):
+            both = rng.integers(0, 1 << 64, large, dtype=np.uint64)
+            pairs.append(tuple((len(x), *map(int, sign.buckets(np.sort(x))[1])) for x in (both[:small], both)))
+    mark = f"struct<n:bigint,{','.join(f'w{i}:bigint' for i in range(8))}>"
+    df = spark.createDataFrame(pairs, f"a {mark}, b {mark}")
+    assert df.where(~neardup.possible(80, sign.bins)(F.col("a"), F.col("b"))).count() == 0
+
+
 def test_links_that_stars_miss_are_found(spark):
     """Members are near each other in pairs only, and one hub is near one of them at most."""
     members = spark.createDataFrame([(7, i, i // 2) for i in [0, *range(2, 90)]], "bucket bigint, id bigint, mark int")
