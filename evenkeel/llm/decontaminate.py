@@ -22,9 +22,11 @@ def words_of(text: Column) -> Column:
 
 
 def item_words(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item, words, n) of all items that have words, equal rows once."""
-    rows = items.select(F.col(item_col).alias("item"), words_of(F.col(text_col)).alias("words"))
-    return rows.withColumn("n", F.size("words")).where("n > 0").distinct()
+    """(item, words, n, name) of all items that have words, equal rows once. ``item`` numbers
+    the rows, as one id, kept in ``name``, may have several, and is fixed by storing it."""
+    rows = items.select(F.col(item_col).alias("name"), words_of(F.col(text_col)).alias("words"))
+    rows = rows.withColumn("n", F.size("words")).where("n > 0").distinct()
+    return cut_lineage(rows.select(F.monotonically_increasing_id().alias("item"), "words", "n", "name"), "items")
 
 
 def positional_index(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def rarest_terms(items: DataFrame, index: DataFrame, window: int, rare: int) ->
     at = at.withColumn("segment", F.floor(F.col("q") / size))
     whole = (F.col("segment") == 0) | ((F.col("segment") + 1) * size <= F.col("n"))
     at = at.where(whole).join(counts, "term", "left").fillna(0, ["freq"])
-    per = Window.partitionBy("item", "n", "segment")
+    per = Window.partitionBy("item", "segment")
     ranked = at.withColumns({
         "k": F.row_number().over(per.orderBy("freq", "q")) - 1, "least": F.min("freq").over(per), "words": F.count(F.lit(1)).over(per),
     })
@@ -137,18 +139,21 @@ def find_contamination(
     an occurring window.
 
     Null texts have no words. Rows of one id are one document, of the most words and all hits.
-    Items without words match nothing; items of one id are one item with all their windows.
+    Items without words match nothing; items of one id are one item with all their windows, and
+    so are those without id, whose name is empty.
     Where either table is empty nothing is hit. Other columns are not read."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    tests = cut_lineage(item_words(items, item_col, item_text_col), "items")
+    tests = item_words(items, item_col, item_text_col)
     index = cut_lineage(positional_index(rows, tests), "postings")
     rarest = cut_lineage(rarest_terms(tests, index, window, rare), "rarest-terms")
     found = cut_lineage(alignments(index, rarest), "alignments")
     exact = exact_matches(rows, tests, found, window)
+    names = tests.select("item", F.coalesce(F.col("name").cast("string"), F.lit("")).alias("name"))
+    exact = exact.join(broadcast_if_small(names), "item")
     places = F.array_distinct(F.flatten(F.transform(F.collect_list(F.struct("at", "n")), lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
     hits = exact.groupBy("id").agg(
         F.size(places).cast("bigint").alias("n_hit"),
-        F.sort_array(F.collect_set(F.coalesce(F.col("item").cast("string"), F.lit("")))).alias("items"),
+        F.sort_array(F.collect_set("name")).alias("items"),
     )
     sizes = index.where("pos = 0").groupBy("id").agg(F.max("n_words").cast("bigint").alias("n_words"))
     out = rows.select("id")

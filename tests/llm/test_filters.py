@@ -113,6 +113,17 @@ def test_contamination_equals_brute_force(spark):
     assert got == want and sum(w[1] > 0 for w in want.values()) > 15
 
 
+def test_items_of_one_id_and_length_and_without_id_keep_all_windows(spark):
+    rng = random.Random(19)
+    items = [(1, prose(rng, 14)) for _ in range(4)] + [(None, prose(rng, 14)) for _ in range(4)] + [(2, prose(rng, 14))]
+    # words of some rows are missing in the corpus
+    docs = [f"{prose(rng, 5)} {t} {prose(rng, 5)}" for _, t in items[1:4] + items[5:]] + [prose(rng, 30)]
+    tests = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.find_contamination(frame(spark, docs), tests).collect()}
+    assert got == {i: hits(t, [("" if n is None else n, x) for n, x in items]) for i, t in enumerate(docs)}
+    assert [got[i][2] for i in range(8)] == [["1"]] * 3 + [[""]] * 3 + [["2"], []]
+
+
 def test_proximity_matches(spark):
     rng = random.Random(14)
     item = "alpha beta gamma delta epsilon zeta eta".split()
