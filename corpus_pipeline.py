@@ -43,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with at least a twentieth of their words in benchmark windows go."""
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=None)
     gone = cut_lineage(found.where(decontaminate.contaminated()).select("doc_id").distinct(), "contaminated")
     return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
 

@@ -141,7 +141,7 @@ SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGIN
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
 FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""")
 def op6_decontaminate(spark, d):
-    out = decontaminate.find_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    out = decontaminate.find_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"), slop=None)
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
@@ -149,6 +149,16 @@ def op6_decontaminate(spark, d):
     )
 
 
+@query("op6_proximity")
+def op6_proximity(spark, d):
+    # op6_decontaminate has the columns of its SQL only
+    out = decontaminate.find_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), decontaminate.contaminated().alias("contaminated"),
+        F.size("near_items").cast("bigint").alias("n_near_items"), F.array_join("near_items", ",").alias("near_items"),
+    )
+
+
 @query("op1_secret_scan")
 def op1_secret_scan(spark, d):
     # documents name a source only: it stands for the owner, and each of its languages for a repository

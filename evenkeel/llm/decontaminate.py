@@ -13,6 +13,8 @@ from evenkeel.session import cut_lineage
 
 WINDOW = 13
 RARE = 2
+#: A word moved to anywhere in its window is within so many words of its place.
+SLOP = WINDOW - 1
 # Fixed value: what separates words (all ASCII but digits and lower-case letters).
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -77,22 +79,46 @@ def alignments(index: DataFrame, rarest: DataFrame) -> DataFrame:
     return both.where("seen = shiftleft(1, need) - 1").select("id", "item", "diagonal").distinct()
 
 
-def proximity_matches(index: DataFrame, rarest: DataFrame, slop: int) -> DataFrame:
-    """(id, item, segment): the segment's rarest terms all stand within ``slop`` words of
-    their places in the item, in any order.
+def proximity_cells(index: DataFrame, rarest: DataFrame, slop: int) -> DataFrame:
+    """(id, item, segment, c): the segment's rarest terms all stand within ``slop`` words of
+    their places in the item, in any order, in the cell ``c`` (grid, cell) of diagonals.
 
     Diagonals are dealt to cells of two overlapping grids, one of which holds any two that are
     within ``slop``; a cell has at most 2 * slop + 2 diagonals for each term."""
-    width = 2 * slop + 2
-    cell = F.explode(F.array(*[
-        F.struct(F.lit(g).alias("grid"), F.floor((F.col("diagonal") + s) / width).alias("cell")) for g, s in enumerate((0, slop + 1))
-    ])).alias("c")
-    cells = postings(index, rarest).select("id", "item", "segment", "k", "need", "diagonal", cell)
+    cells = postings(index, rarest).select("id", "item", "segment", "k", "need", "diagonal", F.explode(cells_of(F.col("diagonal"), slop)).alias("c"))
     lists = cells.groupBy("id", "item", "segment", "need", "c").agg(F.collect_set(F.struct("k", "diagonal")).alias("seen"))
     near = F.exists("seen", lambda x: F.size(F.array_distinct(F.transform(
         F.filter("seen", lambda y: (y["diagonal"] >= x["diagonal"]) & (y["diagonal"] <= x["diagonal"] + slop)), lambda y: y["k"]
     ))) == F.col("need"))
-    return lists.where(near).select("id", "item", "segment").distinct()
+    return lists.where(near).select("id", "item", "segment", "c").distinct()
+
+
+def cells_of(diagonal: Column, slop: int) -> Column:
+    width = 2 * slop + 2
+    return F.array(*[F.struct(F.lit(g).alias("grid"), F.floor((diagonal + s) / width).alias("cell")) for g, s in enumerate((0, slop + 1))])
+
+
+def proximity_matches(index: DataFrame, rarest: DataFrame, slop: int) -> DataFrame:
+    """(id, item, segment) of :func:`proximity_cells`."""
+    return proximity_cells(index, rarest, slop).select("id", "item", "segment").distinct()
+
+
+def near_windows(index: DataFrame, items: DataFrame, cells: DataFrame, window: int, slop: int) -> DataFrame:
+    """(id, item) where all words of a window of the item stand within ``slop`` words of their
+    places, in any order. ``cells``, a stored table, has where the rarest terms of a segment do."""
+    at = items.select("item", "n", F.posexplode("words").alias("q", "w")).select("item", "n", "q", F.xxhash64("w").alias("term"))
+    wanted = cells.select("id", "item", "c").distinct().join(broadcast_if_small(at), "item")
+    found = wanted.join(index.where("term is not null").select("id", "term", "pos"), ["id", "term"])
+    found = found.withColumn("diagonal", F.col("pos") - F.col("q")).where(F.array_contains(cells_of(F.col("diagonal"), slop), F.col("c")))
+    lists = found.groupBy("id", "item", "n", "c").agg(F.collect_set(F.struct("q", "diagonal")).alias("seen"))
+
+    def whole(low: Column) -> Column:
+        there = F.transform(F.filter("seen", lambda y: y["diagonal"].between(low, low + slop)), lambda y: y["q"])
+        mask = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.when(F.array_contains(there, i), "1").otherwise("0")), "")
+        return F.contains(mask, F.repeat(F.lit("1"), F.least(F.col("n"), F.lit(window))))
+
+    starts = F.array_distinct(F.transform("seen", lambda x: x["diagonal"]))
+    return lists.where(F.exists(starts, whole)).select("id", "item").distinct()
 
 
 def runs(mask: Column, length: int) -> Column:
@@ -130,13 +156,17 @@ def exact_matches(docs: DataFrame, items: DataFrame, found: DataFrame, window: i
 def find_contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, rare: int = RARE,
+    slop: int | None = SLOP,
 ) -> DataFrame:
-    """(id, n_words, n_hit, items), one row per row of ``docs``.
+    """(id, n_words, n_hit, items, near_items), one row per row of ``docs``.
 
     Words are runs of digits, lower-cased letters a-z and characters beyond ASCII. A window is
     ``window`` consecutive words of an item, or all of a shorter one; a document's word is hit
     inside any occurrence of a window; ``items`` are the sorted ids, as strings, of items with
-    an occurring window.
+    an occurring window. ``near_items`` are those with a window whose words all occur within
+    ``slop`` words of their places, in any order, so that words may be put between or moved; a
+    word's place is counted from the window's place in the document. It has all of ``items``
+    and does not count in n_hit. Without ``slop`` they are not looked for, and the column is left out.
 
     Null texts have no words. Rows of one id are one document, of the most words and all hits.
     Items without words match nothing; items of one id are one item with all their windows, and
@@ -155,13 +185,19 @@ def find_contamination(
         F.size(places).cast("bigint").alias("n_hit"),
         F.sort_array(F.collect_set("name")).alias("items"),
     )
+    sides = [hits]
+    if slop is not None:
+        cells = cut_lineage(proximity_cells(index, rarest, slop), "proximity-cells")
+        near = near_windows(index, tests, cells, window, slop).join(broadcast_if_small(names), "item")
+        sides.append(near.groupBy("id").agg(F.sort_array(F.collect_set("name")).alias("near_items")))
     sizes = index.where("pos = 0").groupBy("id").agg(F.max("n_words").cast("bigint").alias("n_words"))
     out = rows.select("id")
-    for i, side in enumerate((sizes, hits)):
+    for i, side in enumerate((sizes, *sides)):
         out = out.join(side.withColumnRenamed("id", f"id{i}"), F.col("id").eqNullSafe(F.col(f"id{i}")), "left").drop(f"id{i}")
+    lists = ["items"] if slop is None else ["items", "near_items"]
     return out.select(
         F.col("id").alias(id_col), F.coalesce("n_words", F.lit(0).cast("bigint")).alias("n_words"),
-        F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists],
     )
 
 

@@ -137,6 +137,19 @@ def test_proximity_matches(spark):
     assert {r.id for r in decontaminate.alignments(index, rarest).collect()} == {0}
 
 
+def test_passages_with_words_put_between_or_moved_are_near_items(spark):
+    rng = random.Random(20)
+    names = [f"w{i}" for i in range(200)]
+    item = names[:20]
+    put = [*item[:6], "oops", *item[6:12], "oops", *item[12:]]
+    moved = [*item[:9], *item[10:14], item[9], *item[14:]]
+    half = [*item[:9], *names[50:70]]
+    docs = [" ".join([*rng.sample(names[100:], 30), *w, *rng.sample(names[100:], 30)]) for w in (item, put, moved, half, names[70:90])]
+    tests = spark.createDataFrame([(3, " ".join(item)), (4, " ".join(names[90:95] + ["x"]))], "item_id bigint, text string")
+    got = {r.doc_id: (r["items"], r["near_items"]) for r in decontaminate.find_contamination(frame(spark, docs), tests).collect()}
+    assert got == {0: (["3"], ["3"]), 1: ([], ["3"]), 2: ([], ["3"]), 3: ([], []), 4: ([], [])}
+
+
 def test_contamination_odd(spark, odd, none):
     tests = spark.createDataFrame([(7, "ab cd"), (8, "nothing here")], "item_id bigint, text string")
     got = {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.find_contamination(odd, tests).collect()}
