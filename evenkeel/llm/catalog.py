@@ -161,10 +161,9 @@ def op6_proximity(spark, d):
 
 @query("op1_secret_scan")
 def op1_secret_scan(spark, d):
-    # documents name a source only: it stands for the owner, and each of its languages for a repository
-    found = secrets.scan_secrets(
-        table(spark, d, "documents"), F.col("source"), F.concat_ws("/", "source", "lang")
-    )
+    # documents name a source only: it stands for the owner, and each of its texts for a repository,
+    # so that exact copies count once
+    found = secrets.scan_secrets(table(spark, d, "documents"), F.col("source"), F.md5("text"))
     short = lambda spans: F.transform(spans, lambda s: F.struct(s["start"], s["k"], s["end"]))
     of = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("bigint")
     return found.select(

@@ -25,6 +25,8 @@ LONGEST = 200
 LEAST_CHARACTERS = 12
 #: A value that more owners have is a widely copied example.
 MAX_OWNERS = 2
+#: So is one in more repositories, be it of one owner.
+MAX_REPOS = 10
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|x{4,}|(.)\1{5,}|0123456|1234567|abcdefg"
 
 
@@ -64,14 +66,14 @@ def ownership(uses: DataFrame) -> DataFrame:
 
 def scan_secrets(
     docs: DataFrame, owner: Column, repo: Column, id_col: str = "doc_id", text_col: str = "text",
-    max_owners: int = MAX_OWNERS,
+    max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS,
 ) -> DataFrame:
     """(id, base, added, n_live, n_example), one row per row of ``docs``.
 
     ``base`` and ``added`` are arrays of (start, k, end, value, owners, repos, live), k being
     the place in KINDS. A candidate's hash is counted over the whole corpus by distinct owner
-    and repository: it is live where at most ``max_owners`` owners have it and it does not look
-    like a placeholder, and otherwise an example. Base matches always stay, with that mark;
+    and repository: it is live where at most ``max_owners`` owners and ``max_repos`` repositories
+    have it and it does not look like a placeholder, and otherwise an example. Base matches always stay, with that mark;
     other strings become spans, of kind live, only where they are live.
 
     A null text is empty. A null owner or repository counts as one of its own. Repeated rows
@@ -90,7 +92,7 @@ def scan_secrets(
     counts = cut_lineage(ownership(uses), "ownership").withColumn("n", F.col("uses"))
     total = counts.agg(F.sum("uses")).first()[0] or 0
     known = skewed_lookup(uses, counts, ["value"], "n", total, F.col("row"))
-    live = (F.col("owners") <= max_owners) & ~F.col("text").rlike(PLACEHOLDER)
+    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos) & ~F.col("text").rlike(PLACEHOLDER)
     span = F.struct("start", "k", "end", F.col("text").alias("value"), "owners", "repos", live.alias("live"))
     base = F.col("k") < len(KINDS) - 1
     per_row = known.withColumn("s", span).groupBy("row").agg(

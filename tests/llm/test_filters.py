@@ -190,6 +190,15 @@ def test_secrets(spark):
     assert got[7].n_example == 1  # a placeholder
 
 
+def test_values_copied_inside_one_owner_are_examples(spark):
+    copied, own = "Hn4vB8xK2mQz7TcW5rLd", LIVE
+    texts = [f"note {i} key {copied} end" for i in range(30)] + [f"key {own} here"] * 30 + [f"password: {copied}"]
+    df = frame(spark, texts, sources=["o"] * len(texts))
+    got = {r.doc_id: r for r in secrets.scan_secrets(df, F.col("source"), F.md5("text")).collect()}
+    assert all(not got[i].added for i in range(30)) and (got[60].n_live, got[60].n_example) == (0, 1)
+    assert all([s.value for s in got[i].added] == [own] for i in range(30, 60))
+
+
 def test_secrets_odd(odd, none):
     assert secrets.scan_secrets(odd, F.col("source"), F.col("lang")).count() == 12
     assert secrets.scan_secrets(none, F.col("source"), F.col("lang")).count() == 0
