@@ -25,6 +25,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 NAME = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 NOT_NAME = re.compile(r"[^A-Za-z0-9._%+-]")
 MARK = re.compile(r"[0-9@]")
+#: What every span that plausible() accepts has.
+SIGN = re.compile(r"[0-9@]|\bat\b")
 DIGITS = re.compile(r"[0-9]+")
 
 
@@ -76,10 +78,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def starts(text: str) -> list[int]:
-    """Starts of the overlapping windows that hold a digit or an @. A span without either is
-    never reported, so the other windows cannot give one."""
+    """Starts of the overlapping windows that hold a digit, an @ or the word "at". A span without
+    any is not plausible, so the other windows cannot give one."""
     out, last = [], max(0, -(-(len(text) - WINDOW) // STRIDE))
-    for m in MARK.finditer(text):
+    for m in SIGN.finditer(text):
         high = min(m.start() // STRIDE, last)
         low = max(0, -(-(m.start() - WINDOW + 1) // STRIDE))
         if out and high <= out[-1]:
@@ -88,9 +90,9 @@ def starts(text: str) -> list[int]:
     return [i * STRIDE for i in out]
 
 
-def padded(text: str) -> np.ndarray:
-    out = np.zeros(WINDOW, dtype=np.int64)
-    found = symbols(text[:WINDOW])
+def padded(text: str, width: int = WINDOW) -> np.ndarray:
+    out = np.zeros(width, dtype=np.int64)
+    found = symbols(text[:width])
     out[: len(found)] = found
     return out
 
@@ -111,7 +113,12 @@ def plausible(kind: int, text: str) -> bool:
 def altered(kind: int, value: str, draw: int) -> str:
     """Other ways to write a value, by which the tagger learns more than the patterns."""
     if kind == 0:
-        return value.replace("@", (" at ", " [at] ", "(at)", " @ ")[draw % 4])
+        name, _, domain = value.partition("@")
+        if draw // 8 % 2:  # without digits
+            bare = lambda part: re.sub("[._-]?[0-9]+", "", part) or part
+            name, domain = bare(name), bare(domain)
+        at, dot = ((" at ", "."), (" [at] ", " dot "), ("(at)", "."), (" @ ", "."), (" at ", " dot "), (" [at] ", "."), ("(at)", "(dot)"), (" [at] ", " [dot] "))[draw % 8]
+        return name + at + domain.replace(".", dot)
     if kind == 1:
         return value.replace(".", (" . ", "[.]", ",", ". ")[draw % 4])
     if kind == 2:
@@ -122,7 +129,7 @@ def altered(kind: int, value: str, draw: int) -> str:
 
 def training_windows(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS) -> pd.DataFrame:
     """(text, spans) of up to ``fit_windows`` windows, from about ``fit_docs`` documents (id,
-    text) that a hash of the id picks: half around a labelled span, half with digits or @ but
+    text) that a hash of the id picks: half around a labelled span, half with digits, @ or "at" but
     without one. The labels are those of the patterns."""
     total = docs.count()
     share = min(1.0, fit_docs / max(1, total))
@@ -196,25 +203,46 @@ def reconcile(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     return out[::-1]
 
 
+def decoded(texts: list[str], jobs: list[tuple], model: Tagger) -> Iterator[tuple[tuple, int, int, int, float]]:
+    """(job, start, kind, end, score) of each span in the windows ``jobs`` (text's place, start,
+    end, ..)."""
+    by_width: dict[int, list] = {}
+    for job in jobs:
+        by_width.setdefault(max(WINDOW, -(-(job[2] - job[1]) // STRIDE) * STRIDE), []).append(job)
+    for width, same in by_width.items():
+        step = max(1, 512 * WINDOW // width)
+        for begin in range(0, len(same), step):
+            part = same[begin : begin + step]
+            tags, gain = model.decode(np.array([padded(texts[i][s:e], width) for i, s, e, *_ in part]))
+            for row in np.flatnonzero(tags.any(axis=1)):
+                for a, k, b in spans_of(tags[row]):
+                    yield part[row], part[row][1] + a, k, part[row][1] + b, float(gain[row, a:b].sum())
+
+
 def tagged(texts: list[str], model: Tagger | None) -> list[list[tuple[int, int, int, float]]]:
     """Reconciled spans of the tagger for each text.
 
-    Windows overlap by half; each is decoded, a span that touches a window's edge inside the
-    text is left to the neighbour that holds it whole, and the proposals of all windows of a
-    text are reconciled."""
-    at = [(i, s) for i, t in enumerate(texts) for s in starts(t)] if model else []
+    Windows overlap by half and each is decoded. A span that touches a window's edge inside the
+    text is left to the neighbour that holds it whole; where none does, it is decoded again in
+    wider and wider windows around it. The proposals of all windows of a text are reconciled."""
     found: list[list] = [[] for _ in texts]
-    for begin in range(0, len(at), 512):
-        part = at[begin : begin + 512]
-        tags, gain = model.decode(np.array([padded(texts[i][s : s + WINDOW]) for i, s in part]))
-        for row in np.flatnonzero(tags.any(axis=1)):
-            i, s = part[row]
-            text = texts[i]
-            for a, k, b in spans_of(tags[row]):
-                cut = (a == 0 and s > 0) or (b == WINDOW and s + b < len(text))
-                score = float(gain[row, a:b].sum())
-                if not cut and s + b <= len(text) and score > 0 and MARK.search(text, s + a, s + b):
-                    found[i].append((s + a, k, s + b, round(score, 3)))
+    # (text, start, end, target): of windows made for a target only what overlaps it counts
+    jobs = [(i, s, min(s + WINDOW, len(t)), None) for i, t in enumerate(texts) for s in starts(t)] if model else []
+    while jobs:
+        cut = []
+        for (i, s, e, target), a, k, b, score in decoded(texts, jobs, model):
+            if b > e or target and not (a < target[1] and target[0] < b):
+                continue
+            if (a == s and s > 0) or (b == e and e < len(texts[i])):
+                cut.append((i, s, e, a, b))
+            elif score > 0 and SIGN.search(texts[i], a, b):
+                found[i].append((a, k, b, round(score, 3)))
+        wider = set()
+        for i, s, e, a, b in cut:
+            if not any(x <= a and b <= y for x, _, y, _ in found[i]):
+                pad = (e - s) // 2
+                wider.add((i, max(0, a - pad), min(len(texts[i]), b + pad), (a, b)))
+        jobs = sorted(wider)
     return [reconcile(f) if f else f for f in found]
 
 

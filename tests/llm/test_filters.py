@@ -297,6 +297,39 @@ def test_tagger_learns_and_adds(spark):
     assert any(s.k == 0 and not s.base for s in got[1]) and got[3] == got[4] == []
 
 
+class Marked:
+    """Tags what stands between < and >; so a span is known only where its start is seen."""
+
+    def decode(self, x):
+        tags = np.zeros(x.shape, dtype=np.int64)
+        for row, symbols_ in enumerate(x):
+            inside = False
+            for j, c in enumerate(symbols_):
+                first = c == ord("<") - 31
+                inside = (inside or first or j == 0 and c == ord("x") - 31) and c != ord(">") - 31 and c != 0
+                tags[row, j] = (1 if first or j == 0 or not tags[row, j - 1] else 2) if inside else 0
+        return tags, np.ones(x.shape)
+
+
+@pytest.mark.parametrize("length", [20, 47, 48, 60, 96, 150, 700])
+def test_spans_of_any_length_and_place_are_found_whole(length):
+    for before in (0, 1, 40, 47, 48, 95, 130):
+        span = "<" + "x" * (length - 9) + " at x.xx"
+        text = "y" * before + span + ">" + "y" * 300
+        got = pii.tagged([text], Marked())[0]
+        assert [s[:3] for s in got] == [(before, 0, before + length)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables not present")
+def test_addresses_without_digits_or_at_sign(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    model = pii.fit(docs)
+    texts = ["please write to jane.doe at example.com today", "write to jane [at] example dot com today", "mail bob.stone(at)mail.example.com now"]
+    got = [[text[a:b] for a, k, b, _ in more if k == 0 and pii.plausible(k, text[a:b])] for text, more in zip(texts, pii.tagged(texts, model))]
+    print(got)
+    assert all(got)
+
+
 def test_personal_odd(spark, odd, none):
     assert pii.fit(none.drop("id").select(F.col("doc_id").alias("id"), "text")) is None
     assert pii.scan_personal(odd, None).count() == 12
