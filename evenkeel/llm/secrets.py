@@ -21,7 +21,6 @@ BASE = {
 }
 #: Other strings that may be credentials.
 OTHER = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
-LONGEST = 200
 LEAST_CHARACTERS = 12
 #: A value that more owners have is a widely copied example.
 MAX_OWNERS = 2
@@ -35,7 +34,7 @@ def candidates(text: Column) -> Column:
     digits with many different characters that overlap none of them."""
     base = F.concat(*[_tagged(_long_enough(text, *BASE[kind]), k) for k, kind in enumerate(KINDS[:-1])])
     mixed = lambda v: (
-        v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.char_length(v) <= LONGEST)
+        v.rlike("[0-9]") & v.rlike("[A-Za-z]")
         & (F.size(F.array_distinct(F.split(v, ""))) >= LEAST_CHARACTERS)
     )
     other = F.filter(match_spans(text, OTHER), lambda s: mixed(s["value"]))

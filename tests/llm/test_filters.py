@@ -199,6 +199,13 @@ def test_values_copied_inside_one_owner_are_examples(spark):
     assert all([s.value for s in got[i].added] == [own] for i in range(30, 60))
 
 
+def test_long_values_are_found(spark):
+    rng = random.Random(21)
+    key = "".join(rng.choices("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/", k=900))
+    got = secrets.scan_secrets(frame(spark, [f"key {key} end", "none"]), F.col("source"), F.md5("text")).orderBy("doc_id").collect()
+    assert [[s.value for s in r.added] for r in got] == [[key], []]
+
+
 def test_secrets_odd(odd, none):
     assert secrets.scan_secrets(odd, F.col("source"), F.col("lang")).count() == 12
     assert secrets.scan_secrets(none, F.col("source"), F.col("lang")).count() == 0
