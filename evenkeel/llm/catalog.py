@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.catalog.registry import h, u
-from evenkeel.llm import decontaminate, exact, language, lines, mixing, neardup, pii, secrets, sharding, tokens
+from evenkeel.llm import decontaminate, exact, language, lines, merkle, mixing, neardup, pii, secrets, sharding, tokens, trie
 from evenkeel.llm.common import listed, word_count
 from evenkeel.session import cut_lineage, scratch_path
 
@@ -200,3 +200,90 @@ def op4_token_blocks(spark, d):
 @query("op8_fuzzy_lines")
 def op8_fuzzy_lines(spark, d):
     return lines.group_lines(table(spark, d, "documents"), distance=None)
+
+
+def _framed(*fields: str) -> str:
+    each = [f"coalesce(strlen(({f})::VARCHAR)::VARCHAR || ':' || ({f})::VARCHAR, '-')" for f in fields]
+    return f"sha256({' || '.join(each)})"
+
+
+def _crc32(number: str) -> str:
+    """Unsigned CRC-32 of a number's decimal text: each byte, then eight steps of one bit."""
+    steps = f"flatten([[ord(x), -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(({number})::VARCHAR, '')])"
+    step = "CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"xor(list_reduce([y::BIGINT for y in {steps}], lambda c, x: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+# a tree's nodes level by level (lvl, pos, h; n of the level), a node's sibling being its neighbour
+_TREE = """SELECT g, 0 AS lvl, pos, n, h FROM {leaves}
+  UNION ALL
+  SELECT g, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {tree} WHERE n > 1 GROUP BY g, lvl, pos // 2, n"""
+
+
+@query("op13_merkle", f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang AS g, {_framed("doc_id", "source", "lang", "n_chars", "text")} AS h,
+         {_framed("doc_id", "source", "lang", "n_chars + 1", "text")} AS changed,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM documents),
+tree AS ({_TREE.format(leaves="leaves", tree="tree")}),
+tops AS (SELECT 0 AS g, g AS lang, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+head AS ({_TREE.format(leaves="tops", tree="head")}),
+whole AS (SELECT h AS root FROM head WHERE n = 1),
+-- the way up: first in the language's tree, then in that of the subroots
+climb AS (
+  SELECT doc_id, g, false AS up, 0 AS lvl, pos, n, '' AS proof,
+         CASE WHEN {_crc32("doc_id")} % 7 = 0 AND n_chars IS NOT NULL THEN changed ELSE h END AS folded
+  FROM leaves JOIN (SELECT doc_id, n_chars FROM documents) USING (doc_id)
+  UNION ALL
+  SELECT c.doc_id, c.g, c.up OR c.n = 1,
+         CASE WHEN c.n > 1 THEN c.lvl + 1 ELSE 0 END, CASE WHEN c.n > 1 THEN c.pos // 2 ELSE t.pos END,
+         CASE WHEN c.n > 1 THEN (c.n + 1) // 2 ELSE t.n END,
+         c.proof || CASE WHEN c.n > 1 THEN coalesce(s.h, x.h, '') ELSE '' END,
+         CASE WHEN c.n = 1 THEN c.folded WHEN c.pos % 2 = 0 THEN sha256(c.folded || coalesce(s.h, x.h, ''))
+              ELSE sha256(coalesce(s.h, x.h) || c.folded) END
+  FROM climb c
+  LEFT JOIN tree s ON NOT c.up AND c.n > 1 AND s.g IS NOT DISTINCT FROM c.g AND s.lvl = c.lvl AND s.pos = xor(c.pos, 1)
+  LEFT JOIN head x ON c.up AND c.n > 1 AND x.lvl = c.lvl AND x.pos = xor(c.pos, 1)
+  LEFT JOIN tops t ON t.lang IS NOT DISTINCT FROM c.g
+  WHERE c.n > 1 OR NOT c.up)
+SELECT l.doc_id, l.h AS leaf, t.h AS subroot, root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = root AS verified
+FROM leaves l JOIN climb c ON c.doc_id = l.doc_id AND c.up AND c.n = 1 JOIN tops t ON t.lang IS NOT DISTINCT FROM l.g, whole""")
+def op13_merkle(spark, d):
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    out = merkle.manifest(table(spark, d, "documents"), {"n_chars": F.col("n_chars") + 1}, struck)
+    return out.select(
+        "doc_id", "leaf", "subroot", "root", merkle.digest_of(merkle.proof_text(F.col("path"))).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query("op12_prefix_trie", f"""
+WITH said AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT c, md5(strlen(role)::VARCHAR || ':' || role || text) AS turn_key, strlen(text) AS bytes,
+         row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(strlen(role)::VARCHAR || ':' || role || text)) AS at FROM said),
+own AS (SELECT c, count(*) AS n, {_crc32("c")} % 9 AS h, c - c % 5 AS base FROM turns GROUP BY c),
+convs AS (SELECT k.*, least(coalesce(b.n, 0), k.h) AS taken, least(coalesce(b.n, 0), k.h) + greatest(k.n - k.h, 0) AS length
+          FROM own k LEFT JOIN own b ON b.c = k.base),
+built AS (
+  SELECT k.c, t.at AS i, turn_key, bytes, length FROM convs k JOIN turns t ON t.c = k.base AND t.at <= k.h
+  UNION ALL SELECT k.c, taken + t.at - h, turn_key, bytes, length FROM convs k JOIN turns t ON t.c = k.c AND t.at > k.h),
+starts AS (
+  SELECT c, i AS depth, string_agg(turn_key, '') OVER (PARTITION BY c ORDER BY i) AS key, bytes, length FROM built
+  UNION ALL SELECT c, 0, '', 0, length FROM convs),
+nodes AS (
+  SELECT key, min(depth) AS depth, min(c) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (length = depth), '')) AS ends_sha256
+  FROM starts GROUP BY key),
+kids AS (SELECT key[:len(key) - 32] AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+up AS (SELECT nodes.*, unnest(range(0, depth + 1)) AS d FROM nodes),
+sums AS (
+  SELECT up.key[:32 * d] AS key, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * bytes) AS saved
+  FROM up LEFT JOIN kids k ON k.key = up.key GROUP BY 1)
+SELECT a.conv_id, a.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, a.n_convs, coalesce(k.n, 0)::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, a.ends_sha256
+FROM nodes a JOIN sums USING (key) LEFT JOIN kids k USING (key)
+LEFT JOIN nodes p ON a.depth > 0 AND p.key = a.key[:len(a.key) - 32]""")
+def op12_prefix_trie(spark, d):
+    return trie.prefix_trie(table(spark, d, "conversations"))
