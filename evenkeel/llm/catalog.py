@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.catalog.registry import h, u
-from evenkeel.llm import decontaminate, exact, language, lines, merkle, mixing, neardup, pii, secrets, sharding, tokens, trie
+from evenkeel.llm import decontaminate, exact, language, lines, merkle, mixing, neardup, pii, quality, secrets, sharding, tokens, trie
 from evenkeel.llm.common import listed, word_count
 from evenkeel.session import cut_lineage, scratch_path
 
@@ -287,3 +287,13 @@ FROM nodes a JOIN sums USING (key) LEFT JOIN kids k USING (key)
 LEFT JOIN nodes p ON a.depth > 0 AND p.key = a.key[:len(a.key) - 32]""")
 def op12_prefix_trie(spark, d):
     return trie.prefix_trie(table(spark, d, "conversations"))
+
+
+@query("op11_quality")
+def op11_quality(spark, d):
+    docs = table(spark, d, "documents")
+    model = quality.fit(docs, table(spark, d, "labels"), ~language.held_out("doc_id"))
+    out = quality.score(docs, model)
+    return out.select(
+        "doc_id", language.held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
