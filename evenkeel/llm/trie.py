@@ -92,7 +92,7 @@ class SpillingQueue:
     file of this task's own, in the folder where Spark lets tasks spill, and merged when taken."""
 
     def __init__(self, limit: int = IN_MEMORY) -> None:
-        self.limit, self.heap, self.runs = limit, [], []
+        self.limit, self.heap, self.runs, self.spills = limit, [], [], 0
 
     def _read(self, file) -> Iterator[tuple]:
         file.seek(0)
@@ -111,7 +111,8 @@ class SpillingQueue:
             pickle.dump([], file)
             self.heap = []
             run = self._read(file)
-            heapq.heappush(self.runs, (next(run), len(self.runs), run))
+            heapq.heappush(self.runs, (next(run), self.spills, run))
+            self.spills += 1
 
     def __bool__(self) -> bool:
         return bool(self.heap or self.runs)
