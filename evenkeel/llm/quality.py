@@ -22,7 +22,8 @@ SLOTS = 1 << SLOT_BITS
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 120, 128, 3e-3, 1e-4
 #: Of the labelled documents a fifth only sets the temperature.
 CALIBRATION = 5
-CHUNK = 1 << 22
+#: Bytes of texts, and words, that a task works on at once.
+CHUNK, WORDS = 1 << 20, 1 << 16
 
 _rng = np.random.default_rng(11)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -77,16 +78,22 @@ def words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.searchsorted(start, edges)
 
 
-def contexts(slots: np.ndarray, first: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots met, their counts, sums of the index vectors of up to REACH words on either side)."""
+def contexts(slots: np.ndarray, first: np.ndarray, index: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(slots met, their counts, sums of the index vectors of up to REACH words on either side), in
+    pieces to be added up."""
     gaps = np.repeat(first, REACH)  # words of different texts are not neighbours
     apart = np.insert(slots, gaps, SLOTS)
-    vectors = index[apart].astype(np.int16)
-    own = np.flatnonzero(apart < SLOTS)
-    near = sum((vectors[own + o] for o in range(-REACH, REACH + 1) if o), np.zeros((len(own), DIM), dtype=np.int16))
-    order = np.argsort(slots.astype(np.uint16), kind="stable")
-    met, at, n = np.unique(slots[order], return_index=True, return_counts=True)
-    return met, n, np.add.reduceat(near[order], at, axis=0, dtype=np.int64) if len(at) else np.zeros((0, DIM), dtype=np.int64)
+    places = np.flatnonzero(apart < SLOTS)
+    for at in range(0, len(places), WORDS):
+        own = places[at : at + WORDS]
+        near = np.zeros((len(own), DIM), dtype=np.int16)
+        for o in range(-REACH, REACH + 1):
+            if o:
+                near += index[apart[own + o]]
+        here = apart[own]
+        order = np.argsort(here.astype(np.uint16), kind="stable")
+        met, start, n = np.unique(here[order], return_index=True, return_counts=True)
+        yield met, n, np.add.reduceat(near[order], start, axis=0, dtype=np.int64)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -101,9 +108,9 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         count, total = np.zeros(SLOTS, dtype=np.int64), np.zeros((SLOTS, DIM), dtype=np.int64)
         for batch in batches:
             for data, edges in chunks(batch.column("text")):
-                met, n, sums = contexts(*words(data, edges), index)
-                count[met] += n
-                total[met] += sums
+                for met, n, sums in contexts(*words(data, edges), index):
+                    count[met] += n
+                    total[met] += sums
         met = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(count[met]), *[pa.array(total[met, i]) for i in range(DIM)]], names=["slot", "n", *names])
 
@@ -123,16 +130,17 @@ def pooled(vectors: np.ndarray, data: np.ndarray, edges: np.ndarray) -> np.ndarr
     """Per text the mean and deviation of its words' vectors and the logarithm of their number."""
     slots, first = words(data, edges)
     n = np.diff(first)
-    out = np.zeros((len(n), 2 * DIM + 1))
-    some = np.flatnonzero(n)
-    if len(some):
-        found = vectors[slots]
-        size, at = n[some, None], first[some]
-        mean = np.add.reduceat(found, at, axis=0, dtype=np.float64) / size
-        square = np.add.reduceat(found * found, at, axis=0, dtype=np.float64) / size
-        out[some, :DIM], out[some, DIM:-1] = mean, np.sqrt(np.maximum(square - mean * mean, 0))
-        out[some, -1] = np.log1p(n[some])
-    return out
+    mean, square = np.zeros((len(n), DIM)), np.zeros((len(n), DIM))
+    for at in range(0, len(slots), WORDS):
+        to = min(at + WORDS, len(slots))
+        found = vectors[slots[at:to]]
+        here = np.clip(first, at, to) - at
+        some = np.flatnonzero(np.diff(here))
+        mean[some] += np.add.reduceat(found, here[some], axis=0, dtype=np.float64)
+        square[some] += np.add.reduceat(found * found, here[some], axis=0, dtype=np.float64)
+    size = np.maximum(n, 1)[:, None]
+    mean, square = mean / size, square / size
+    return np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0)), np.log1p(n)[:, None]], axis=1)
 
 
 @dataclass

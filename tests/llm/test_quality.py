@@ -25,7 +25,7 @@ def known(spark):
     return docs, spark.createDataFrame([(i, int(g), 0) for i, g in enumerate(good)], LABELS), good
 
 
-def test_words_and_neighbours():
+def test_words_and_neighbours(monkeypatch):
     text = "Ab ab12!! é\n"
     other = "x y"
     data = np.frombuffer((text + other).encode(), dtype=np.uint8)
@@ -33,9 +33,13 @@ def test_words_and_neighbours():
     alone = [quality.words(np.frombuffer(w.encode(), dtype=np.uint8), np.array([0, len(w.encode())]))[0][0] for w in ("Ab", "ab", "12", "!!", "é", "x", "y")]
     assert slots.tolist() == alone and first.tolist() == [0, 5, 7]
     index = quality.index_vectors()
-    met, n, sums = quality.contexts(slots, first, index)
-    at = dict(zip(met.tolist(), sums))
-    assert n.sum() == 7
+    at, count = {}, 0
+    monkeypatch.setattr(quality, "WORDS", 3)
+    for met, n, sums in quality.contexts(slots, first, index):
+        count += n.sum()
+        for s, v in zip(met.tolist(), sums):
+            at[s] = at.get(s, 0) + v
+    assert count == 7
     assert (at[alone[4]] == index[alone[2]].astype(int) + index[alone[3]]).all()
     assert (at[alone[5]] == index[alone[6]]).all()
 
@@ -51,6 +55,19 @@ def test_chunks_cover_whole_texts(monkeypatch):
     assert list(quality.chunks(pa.array([], pa.string()))) == []
 
 
+def test_pooling_in_pieces(monkeypatch):
+    rng = random.Random(9)
+    texts = [prose(rng, n).encode() for n in (5, 40, 1)] + [b"", b" "] + [prose(rng, 17).encode()]
+    data, edges = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    vectors = np.random.default_rng(1).normal(size=(quality.SLOTS, quality.DIM)).astype(np.float32)
+    whole = quality.pooled(vectors, data, edges)
+    monkeypatch.setattr(quality, "WORDS", 4)
+    assert np.allclose(quality.pooled(vectors, data, edges), whole, atol=1e-6)
+    slots, first = quality.words(data, edges)
+    one = vectors[slots[first[1] : first[2]]].astype(float)
+    assert np.allclose(whole[1], [*one.mean(axis=0), *one.std(axis=0), np.log1p(len(one))], atol=1e-5) and not whole[3].any()
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(30, 6)), rng.integers(0, 2, 30).astype(float)
