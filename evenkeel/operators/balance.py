@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.hashing import hash52, unit_hash
 from evenkeel.operators.contracts import (
+    MAX_CONFOUND_CATEGORIES,
+    MIN_ROWS_PER_CLASS,
     ContractError,
     all_violations,
     cardinality_violations,
@@ -19,6 +22,7 @@ from evenkeel.operators.contracts import (
 from evenkeel.operators.features import category_codes
 from evenkeel.operators.ranking import rank_in_strata, take_per_stratum
 from evenkeel.operators.sizing import broadcast_if_small
+from evenkeel.session import cut_lineage
 
 # Draws are generated in chunks so that a large deficit is spread over many tasks.
 DRAW_CHUNK = 250_000
@@ -35,26 +39,29 @@ def group_code(df: DataFrame, confounds: Sequence[str], out: str = "group") -> D
 
 
 def counterbalance_down(
-    df: DataFrame, y: str, id_col: str, groups: Sequence[str] = (), seed: str | int = 42
+    df: DataFrame, y: str, id_col: str, groups: Sequence[str] = (), seed: str | int = 42,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """In each group keep as many rows of every class as its smallest class has.
 
-    The smallest class stays whole; the others are sampled without replacement."""
-    peers = Window.partitionBy("t", F.struct(F.lit(0), *[f"s.{g}" for g in groups]))
+    The smallest class stays whole; the others are sampled without replacement. Tables stacked
+    with the columns ``within`` are balanced each for itself, as if they were alone."""
+    peers = Window.partitionBy("t", F.struct(F.lit(0), *[f"s.{g}" for g in [*within, *groups]]))
     kept = take_per_stratum(
-        df, [*groups, y], id_col, [seed], lambda: F.min("n").over(peers), ["__keep"]
+        df, [*within, *groups, y], id_col, [seed], lambda: F.min("n").over(peers), ["__keep"]
     )
     return kept.where("__keep").drop("__keep")
 
 
 def counterbalance_up(
-    df: DataFrame, y: str, id_col: str, groups: Sequence[str] = (), seed: str | int = 42
+    df: DataFrame, y: str, id_col: str, groups: Sequence[str] = (), seed: str | int = 42,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Keep all rows and add draws with replacement until every class of a group is as
-    large as its largest class."""
-    keys = [*groups, y]
+    large as its largest class. ``within`` as in :func:`counterbalance_down`."""
+    drawn, keys = [*groups, y], [*within, *groups, y]
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    largest = F.max("__n").over(Window.partitionBy(F.struct(F.lit(0), *groups)))
+    largest = F.max("__n").over(Window.partitionBy(F.struct(F.lit(0), *within, *groups)))
     short = (
         sizes.withColumn("__need", largest - F.col("__n"))
         .where(F.col("__need") > 0)
@@ -70,7 +77,7 @@ def counterbalance_up(
             "__i",
             F.explode(F.sequence(start + 1, F.least(start + DRAW_CHUNK, F.col("__need")))),
         )
-        .withColumn("__u", unit_hash(key_text([f"__k.{k}" for k in keys]), F.col("__i"), seed))
+        .withColumn("__u", unit_hash(key_text([f"__k.{k}" for k in drawn]), F.col("__i"), seed))
         .select("__k", (F.floor(F.col("__u") * F.col("__n")) + 1).alias("__r"))
     )
     pool = df.withColumn("__k", F.struct(*keys)).join(short.select("__k"), "__k", "left_semi")
@@ -80,12 +87,13 @@ def counterbalance_up(
 
 
 def counterbalance_mixed(
-    df: DataFrame, y: str, id_col: str, groups: Sequence[str] = (), seed: str | int = 42
+    df: DataFrame, y: str, id_col: str, groups: Sequence[str] = (), seed: str | int = 42,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Each group goes up or down by the parity of its hash."""
     up = hash52(key_text(groups), seed) % 2 == 1
-    return counterbalance_up(df.where(up), y, id_col, groups, seed).unionByName(
-        counterbalance_down(df.where(~up), y, id_col, groups, seed)
+    return counterbalance_up(df.where(up), y, id_col, groups, seed, within).unionByName(
+        counterbalance_down(df.where(~up), y, id_col, groups, seed, within)
     )
 
 
@@ -122,6 +130,35 @@ def control_confounds(
     return METHODS[method](df, by, id_col, groups, seed), True
 
 
+def balanced_times(
+    df: DataFrame, method: str, y: str, id_col: str, groups: Sequence[str], folds: int,
+    fold: str = "fold", seed: str | int = 42,
+) -> tuple[DataFrame, list[int]]:
+    """((id, trial, times), trials that cannot be balanced): how often each row of ``df`` is in the
+    balanced training set of each trial, that of all rows of other folds.
+
+    All trials are balanced together, with the rows that :func:`control_confounds` takes for
+    each."""
+    if method not in METHODS:
+        raise ContractError(f"confound control must be one of {sorted(METHODS)}, not {method!r}")
+    trials = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
+    rows = df.select(id_col, y, *groups, fold).withColumn("trial", trials).where(F.col(fold) != F.col("trial"))
+    sizes = rows.groupBy("trial", *groups, y).agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut_lineage(sizes, "class-sizes")
+    if groups:
+        combos = sizes.select("trial", *groups).distinct()
+        found = combos.groupBy("trial").agg(*[F.count_distinct(g).alias(f"c{i}") for i, g in enumerate(groups)])
+        odd = [(F.col(f"c{i}") < 2) | (F.col(f"c{i}") > MAX_CONFOUND_CATEGORIES) for i in range(len(groups))]
+        if found.where(reduce(lambda a, b: a | b, odd)).take(1):
+            raise ContractError("every confound needs 2 to 10 categories")
+    each = sizes.groupBy("trial", *groups).agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("smallest"))
+    bad = each.where((F.col("classes") < 2) | (F.col("smallest") < MIN_ROWS_PER_CLASS)).select("trial").distinct()
+    refused = sorted(r.trial for r in bad.collect())
+    rows = rows.where(~F.col("trial").isin(refused)) if refused else rows
+    kept = METHODS[method](rows, y, id_col, groups, seed, ["trial"])
+    return kept.groupBy(id_col, "trial").agg(F.count(F.lit(1)).alias("times")), refused
+
+
 def balance_report(df: DataFrame, y: str, groups: Sequence[str]) -> DataFrame:
     """Everything that would stop a control, as rows."""
     return all_violations(

@@ -12,7 +12,6 @@ from typing import Any
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
@@ -26,6 +25,7 @@ from pyspark.ml.feature import (
     VarianceThresholdSelector,
     VectorAssembler,
 )
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
@@ -43,6 +43,7 @@ from evenkeel.operators.features import (
 )
 from evenkeel.operators.metrics import accuracy, r2
 from evenkeel.operators.splits import stratified_holdout
+from evenkeel.plans.batched import fit_vectors
 
 NO_PARAMS: Mapping[str, Any] = MappingProxyType({})
 # Default model settings (fixed values).
@@ -114,7 +115,7 @@ class Fitted:
     """A fitted model with its encoder; ``regression`` tells what ``p`` means."""
 
     encoder: Encoder
-    model: Model
+    model: Model | MarginModel
     label: str
     regression: bool
     classes: int
@@ -133,7 +134,7 @@ class Fitted:
         elif "probability" in scored.columns:
             probas = vector_to_array("probability")
         else:  # a margin classifier
-            margin = expit(vector_to_array("rawPrediction")[1])
+            margin = expit(F.col("__margin"))
             probas = F.array(1 - margin, margin)
         p = F.col("prediction") if self.regression else probas[self.classes - 1]
         named = {out: p, "pred": F.col("prediction"), "probas": probas}
@@ -154,6 +155,20 @@ class Fitted:
         return spark.createDataFrame(self.coefficients(), "feature string, coef double")
 
 
+@dataclass(frozen=True)
+class MarginModel:
+    """A linear classifier of the sign of its margin."""
+
+    coefficients: DenseVector
+    intercept: float
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        weights = F.array(*[F.lit(float(w)) for w in self.coefficients]).cast("array<double>")
+        terms = F.zip_with(vector_to_array("features"), weights, lambda x, w: x * w)
+        margin = F.aggregate(terms, F.lit(self.intercept), lambda a, x: a + x)
+        return df.withColumn("__margin", margin).withColumn("prediction", (F.col("__margin") > 0).cast("double"))
+
+
 def _estimator(kind: str, params: Mapping[str, Any], regression: bool, width: int,
                classes: int, n: int, y_std: float, seed: int | None):
     cols = {"featuresCol": "features", "labelCol": "__y"}
@@ -177,9 +192,6 @@ def _estimator(kind: str, params: Mapping[str, Any], regression: bool, width: in
             regParam=reg, elasticNetParam=1.0 if penalty == "l1" else 0.0,
             standardization=False, maxIter=int(params.get("max_iter", MAX_ITER)), **cols
         )
-    if kind == "SVM" and not regression:
-        return LinearSVC(regParam=1.0 / (c * n), standardization=False,
-                         maxIter=int(params.get("max_iter", 200)), **cols)
     if kind == "RF":
         forest = RandomForestRegressor if regression else RandomForestClassifier
         trees = int(params.get("n_estimators", FOREST_TREES if regression else 100))
@@ -213,10 +225,15 @@ def fit_model(
         encoder = fit_encoder(base, features)
         n, y_std, top = base.agg(F.count("__y"), F.stddev_pop("__y"), F.max("__y")).first()
         classes = 0 if regression else max(2, int(top) + 1)
-        est = _estimator(
-            kind, params, regression, len(encoder.names), classes, n, float(y_std or 0.0), seed
-        )
-        model = est.fit(encoder.transform(base).select("features", "__y"))
+        rows = encoder.transform(base).select("features", "__y")
+        if kind == "SVM" and not regression and classes == 2:
+            coef, intercept = fit_vectors(rows, "features", "__y", "squared_hinge", float(params.get("C", 1.0)), len(encoder.names))
+            model = MarginModel(DenseVector(coef), intercept)
+        else:
+            est = _estimator(
+                kind, params, regression, len(encoder.names), classes, n, float(y_std or 0.0), seed
+            )
+            model = est.fit(rows)
     finally:
         base.unpersist()
     return Fitted(encoder, model, label, regression, classes, n)

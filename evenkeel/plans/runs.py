@@ -13,12 +13,13 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.operators.balance import control_confounds
+from evenkeel.operators.balance import balanced_times, control_confounds
 from evenkeel.operators.contracts import require_columns, require_rows
 from evenkeel.operators.features import dense_codes, infer_task, label_index
 from evenkeel.operators.frames import model_frame
 from evenkeel.operators.metrics import score_predictions
 from evenkeel.operators.splits import stratified_holdout, stratified_kfold
+from evenkeel.plans.batched import Layout, Run, fit_runs, layout, predict_runs
 from evenkeel.plans.models import NO_PARAMS, fit_model, predict_tagged
 from evenkeel.session import cut_lineage
 
@@ -62,6 +63,72 @@ class Associations:
         return iter((self.scores, self.coefs))
 
 
+def batch_layout(
+    own: DataFrame, labels: Sequence[str], sets: Mapping[str, Sequence[str]], model: str,
+    params: Mapping[str, Any], classes: int | None,
+) -> Layout | None:
+    """The inputs as one matrix, where all runs can be fit together: a logistic or ridge regression
+    or a linear SVM of two classes, and few enough inputs. Others are fit one by one."""
+    kind = model.upper()
+    if kind == "SVM" and (classes is None or classes > 2) or kind not in ("LR", "SVM") or params.get("penalty") == "l1":
+        return None
+    used = sorted({f for feats in sets.values() for f in feats} - set(labels))
+    return layout(own, used) if used else None
+
+
+def _together(
+    tables: Sequence[DataFrame], plan: Layout, feature_sets: Mapping[str, Sequence[str]],
+    controls: Mapping[str, Sequence[str]], label: str, id_col: str, model: str, params: Mapping[str, Any],
+    regression: bool, classes: int | None, folds: int, seed: str | int, keep: Sequence[str],
+    metrics: Sequence, with_predictions: bool, dataset: str,
+) -> tuple | None:
+    """(scores, coefficients, predictions, run metadata) of all runs of one label, fit together."""
+    began = time.monotonic()
+    own, rest = tables[0], tables[1:]
+    methods = {None: [], **controls}
+    refused: dict[str | None, list[int]] = {}
+    if controls:
+        own = cut_lineage(own, "own-rows")
+        parts = []
+        for at, (method, cons) in enumerate(controls.items()):
+            times, refused[method] = balanced_times(own, method, "__y", id_col, list(cons), folds, seed=seed)
+            parts.append(times.select(F.col(id_col).alias("__id"), F.struct((F.lit(at * folds) + F.col("trial")).cast("int").alias("w"), F.col("times").cast("int").alias("n")).alias("e")))
+        times = reduce(DataFrame.unionByName, parts).groupBy("__id").agg(F.collect_list("e").alias("__times"))
+        own = own.join(times, F.col(id_col) == F.col("__id"), "left").drop("__id")
+        rest = [t.withColumn("__times", F.lit(None).cast(own.schema["__times"].dataType)) for t in rest]
+    stored = cut_lineage(reduce(DataFrame.unionByName, [own, *rest]), "folds")
+    runs = []
+    for inp, feats in feature_sets.items():
+        used = tuple(f for f in feats if f != label)
+        for at, (method, cons) in enumerate(methods.items()):
+            for trial in range(folds if used else 0):
+                if trial not in refused.get(method, []):
+                    name = f"{method}[{','.join(cons)}]" if method else BASELINE
+                    runs.append(Run(inp, used, name, trial, None if method is None else (at - 1) * folds + trial))
+    fits = fit_runs(stored, plan, runs, model.upper(), params, regression, classes or 0) if runs else None
+    if fits is None:
+        return None
+    spark = stored.sparkSession
+    took = round(time.monotonic() - began, 3)
+    rows = [(i, dataset, label, runs[i].inp, runs[i].trial, model, str(dict(params)), runs[i].type, int(fits.problems[i].n), str(seed), took) for i in fits.fitted()]
+    tags = ["dataset", "out", "inp", "trial", "model", "model_params", "type"]
+    about = spark.createDataFrame(rows, "run int, dataset string, out string, inp string, trial int, model string, model_params string, type string, n_samples bigint, seed string, runtime double")
+    tagged = lambda df: df.join(F.broadcast(about.select("run", *tags)), "run")  # noqa: E731 - one row per run
+    pred = predict_runs(stored, fits, id_col, keep)
+    pred = pred.withColumnRenamed("__p_true", "p_true") if keep else pred
+    if with_predictions or "roc_auc" in metrics:
+        pred = cut_lineage(pred, "predictions")
+    long = tagged(cut_lineage(score_predictions(pred, ["run", "eval_set"], metrics, classes), "scores"))
+    cells = [(i, name, value) for i in fits.fitted() for name, value in fits.coefficients(i)]
+    table = tagged(spark.createDataFrame(cells, "run int, feature string, coef double"))
+    if not keep:
+        pred = pred.withColumn("p_true", F.lit(None).cast("double"))
+    return (
+        long.select(*tags, "eval_set", "metric", "value"), table.select(*tags, "feature", "coef"),
+        tagged(pred).select(*tags, "eval_set", "id", "y", "p", "pred", "probas", "p_true"), about.select(*tags, "n_samples", "seed", "runtime"),
+    )
+
+
 def estimate_associations(
     df: DataFrame, id_col: str, labels: Sequence[str], feature_sets: Mapping[str, Sequence[str]],
     holdouts: Mapping[str, DataFrame] | None = None,
@@ -78,9 +145,13 @@ def estimate_associations(
     or one table ``tagged`` by a column eval_set for any number of sets. Folds are assigned once
     and stored together with the holdouts, tagged by set, so a run reads one table once (and
     once more for a balanced training set). Where a column ``probas_<label>`` exists, it
-    holds the true probabilities and travels with the rows. Runs are independent Spark jobs
-    submitted from a small thread pool. A control that cannot balance its groups drops the
-    run."""
+    holds the true probabilities and travels with the rows. Rows without a label are left
+    out. A control that cannot balance its groups drops the run.
+
+    All logistic, ridge and linear SVM runs of a label are fit together: the number of Spark jobs
+    follows the solver's steps, whatever the number of runs; their ``runtime`` is that of all.
+    Other models, L1 penalties and very wide inputs are fit run by run, from a small thread
+    pool."""
     spark = df.sparkSession
     require_rows(df)
     every = sorted({c for f in feature_sets.values() for c in f})
@@ -119,8 +190,18 @@ def estimate_associations(
                 have = [F.col(c) if c in held.columns else F.lit(None).cast(folded.schema[c].dataType).alias(c) for c in cols]
                 which = F.col("eval_set") if name == TAGGED else F.lit(name)
                 tables.append(held.select(*have, F.lit(None).cast("int").alias("fold"), which.alias("__set")))
-        stored = cut_lineage(reduce(DataFrame.unionByName, tables), "folds")
         keep = ["__p_true"] if "__p_true" in cols else []
+        together = batch_layout(base, labels=[label], sets=feature_sets, model=model, params=params, classes=classes)
+        if together is not None:
+            found = _together(
+                tables, together, feature_sets, controls, label, id_col, model, params, regression, classes,
+                folds, seed, keep, regression_metrics if regression else metrics, with_predictions, dataset,
+            )
+            if found is not None:
+                for have, part in zip((scores, coefs, preds, metas), found):
+                    have.append(part)
+                continue
+        stored = cut_lineage(reduce(DataFrame.unionByName, tables), "folds")
         jobs = []
         for inp, feats in feature_sets.items():
             used = [f for f in feats if f != label]
