@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.llm.common import skewed_lookup
 from evenkeel.llm.stars import in_shared_buckets, link
+from evenkeel.operators.sizing import broadcast_if_small
 from evenkeel.session import cut_lineage
 
 SHINGLE = 5
@@ -23,6 +24,8 @@ BAND_BINS = 7
 #: Smaller sets are not held to the sketch test: few values fill all bins, so that the number of
 #: bins apart varies more.
 LEAST_SKETCHED = 64
+#: Shingles of more sets than this come last in the order of rarity, by their number of sets.
+OFTEN = 16
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -182,6 +185,30 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return sized.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * similarity).select("a", "b")
 
 
+def exact_links(apart: DataFrame, others: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """All linked pairs (a, b) of ids of ``apart`` and of ``others``, which holds those too.
+
+    A prefix-filter join on the full sets: sorted by rarity, two sets of the similarity share one
+    of the first n - ceil(similarity * n) + 1 shingles of each, at places that leave enough
+    shingles behind in both. Sets that differ from all others start with shingles of their own,
+    so that common passages make no pairs."""
+    theirs = cut_lineage(sets.join(others, "id", "left_semi").withColumn("n", F.size("set")), "apart-sets")
+    each = theirs.select("id", "n", F.explode("set").alias("s"))
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > OFTEN)
+    ranked = each.join(broadcast_if_small(cut_lineage(often, "frequent-shingles")), "s", "left")
+    least = lambda n: F.ceil(n * similarity / 100).cast("int")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "s")))
+    prefix = ranked.groupBy("id", "n").agg(F.slice(order, 1, F.col("n") - least(F.col("n")) + 1).alias("p"))
+    prefix = cut_lineage(prefix.select("id", "n", F.posexplode("p").alias("at", "x")).select("id", "n", "at", "x.s"), "prefixes")
+    side = lambda rows, k: rows.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "at")])
+    met = side(prefix.join(apart, "id", "left_semi"), "a").join(side(prefix, "b"), "s").where("id_a <> id_b")
+    needed = F.ceil((F.col("n_a") + F.col("n_b")) * similarity / (100 + similarity))
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity
+    met = met.where(sizes & (room >= needed)).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    return confirmed(cut_lineage(met.distinct(), "pairs"), sets, similarity)
+
+
 def possible(similarity: int, bins: int):
     """Can two marks (n, w0 .. w7) reach the similarity?
 
@@ -231,7 +258,10 @@ def near_duplicates(
     wanted = members.select("id").distinct()
     candidates = full_sets(rows.join(wanted, "id", "left_semi"), shingle).where("size(set) > 0")
     candidates = cut_lineage(candidates.dropDuplicates(["id"]), "full-sets")
-    labels = link(members, possible(similarity, sign.bins), lambda pairs: confirmed(pairs, candidates, similarity))
+    labels = link(
+        members, possible(similarity, sign.bins), lambda pairs: confirmed(pairs, candidates, similarity),
+        lambda apart, others: exact_links(apart, others, candidates, similarity),
+    )
     least = labels.groupBy("root").agg(F.min("v").alias("component_id"))
     labels = labels.join(least, "root").select(F.col("v").alias("rep"), "component_id")
     found = sets.select("digest", "rep", "c").join(labels, "rep", "left")

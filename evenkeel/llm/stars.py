@@ -14,6 +14,8 @@ from evenkeel.llm.graph import components
 from evenkeel.session import cut_lineage
 
 HUBS = 256
+#: Members of the largest component that each other member is held against, by round.
+TRIES = (1, 4, 16)
 
 
 def in_shared_buckets(dealt: DataFrame, total: int, marks: DataFrame) -> DataFrame:
@@ -30,8 +32,33 @@ def earlier(of: str) -> Column:
     return F.filter(F.collect_set("bucket").over(Window.partitionBy(of)), lambda b: b < F.col("bucket"))
 
 
+def apart_from_main(named: DataFrame) -> DataFrame:
+    """Rows (bucket, main, c) of the buckets of ``named`` (bucket, id, root, ..) with several roots:
+    their most frequent root and their size."""
+    parts = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = F.max_by("root", F.struct("c", F.xxhash64("root"))).alias("main")
+    still = parts.groupBy("bucket").agg(main, F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"))
+    return cut_lineage(still.where("k > 1").drop("k"), "mixed-buckets")
+
+
+def attempts(found: DataFrame, still: DataFrame, tries: int, salt: int, possible: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs (a, b) of members of ``found`` (bucket, id, mark, root, main) outside the largest
+    component of a bucket with hash-chosen members inside, up to ``tries`` per id: a bucket
+    each."""
+    pick = F.min(F.struct(F.xxhash64("id", "bucket", F.lit(salt)).alias("place"), F.col("id").alias("rep"), F.col("mark").alias("rep_mark"))).alias("r")
+    reps = found.where("root = main").groupBy("bucket").agg(pick).select("bucket", "r.rep", "r.rep_mark")
+    reps = cut_lineage(reps.join(still.select("bucket", "c"), "bucket"), "component-members")
+    order = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("bucket", F.lit(salt))))
+    chosen = found.where("root <> main").select("bucket", "id", "mark").withColumn("k", order).where(F.col("k") <= tries).drop("k")
+    chosen = cut_lineage(chosen, "open-members")
+    met = skewed_lookup(chosen, reps, ["bucket"], "c", max(1, chosen.count()), F.col("id")).where("rep is not null")
+    met = met.where(possible(F.col("rep_mark"), F.col("mark")))
+    return met.select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")).distinct()
+
+
 def link(
-    members: DataFrame, possible: Callable[[Column, Column], Column], confirmed: Callable[[DataFrame], DataFrame]
+    members: DataFrame, possible: Callable[[Column, Column], Column], confirmed: Callable[[DataFrame], DataFrame],
+    exact: Callable[[DataFrame, DataFrame], DataFrame] | None = None, tries: tuple[int, ...] = TRIES,
 ) -> DataFrame:
     """(v, root) of all linked ids of ``members`` (bucket, id, mark), a stored table of buckets
     of at least two.
@@ -42,12 +69,16 @@ def link(
     In each bucket the id that comes first in a hash order of its own is the hub of a star: only
     pairs of the hub and another member are compared. Members of many common buckets so meet
     as many hubs. A hub has then been held against its whole bucket and leaves it. What
-    stars miss (a link between members that both differ from the hub) later rounds find:
-    buckets whose members all are in one component are done; in others the up to HUBS smallest
-    members outside the largest component are the next hubs, compared with all members of
-    other components; two ids meet in the first only of the buckets where they could. At the
-    end every two members of a bucket have been compared or are
-    connected, so no link is lost, while a large group of copies brings one pair per member."""
+    stars miss is a link between members that both differ from the hub. Buckets whose members
+    all are in one component are done; the others' members outside the largest component try
+    single members of it, a few more in each round, which is enough for most of a large group
+    of copies. Only those still apart are held against the members of their buckets by ``exact``,
+    which gives every link (a, b) between ids of a first table (id) and a second one. As those
+    inside one component need no link, none is lost, while members bring one pair per try.
+
+    Without ``exact`` the up to HUBS smallest members outside the largest component are hubs
+    of further rounds, compared with all members of other components, until every two members
+    of a bucket have been compared or are connected."""
     place = F.xxhash64("id", "bucket")
     first = F.min(F.struct(place.alias("place"), F.col("id").alias("hub"), F.col("mark").alias("hub_mark"))).alias("h")
     hubs = cut_lineage(members.groupBy("bucket").agg(first, F.count(F.lit(1)).alias("c")).select("bucket", "h.hub", "h.hub_mark", "c"), "hubs")
@@ -56,14 +87,28 @@ def link(
     pairs = stars.where(possible(F.col("hub_mark"), F.col("mark"))).select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
     links = cut_lineage(confirmed(cut_lineage(pairs.distinct(), "pairs")), "confirmed")
     members = stars.select("bucket", "id", "mark")
+    for n in range(len(tries) + 1 if exact else 0):
+        labels = cut_lineage(components(links), "components")
+        named = members.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        named = cut_lineage(named, "members")
+        still = apart_from_main(named)
+        if not still.limit(1).count():
+            return labels
+        found = skewed_lookup(named, still, ["bucket"], "c", named.count(), F.col("id")).where("main is not null")
+        members = cut_lineage(found, "open-buckets")
+        if n < len(tries):
+            met = attempts(members, still, tries[n], n, possible)
+            links = links.unionAll(cut_lineage(confirmed(cut_lineage(met, "pairs")), "confirmed"))
+        else:
+            apart = cut_lineage(members.where("root <> main").select("id").distinct(), "apart")
+            rest = exact(apart, members.select("id").distinct())
+            return components(links.unionAll(cut_lineage(rest, "confirmed")))
+        members = members.select("bucket", "id", "mark")
     while True:
         labels = cut_lineage(components(links), "components")
         named = members.join(labels.withColumnRenamed("v", "id"), "id", "left")
         named = cut_lineage(named.withColumn("root", F.coalesce("root", "id")), "members")
-        parts = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-        main = F.max_by("root", F.struct("c", F.xxhash64("root"))).alias("main")
-        still = parts.groupBy("bucket").agg(main, F.count(F.lit(1)).alias("k"), F.sum("c").alias("c")).where("k > 1").drop("k")
-        still = cut_lineage(still, "mixed-buckets")
+        still = apart_from_main(named)
         if not still.limit(1).count():
             return labels
         found = skewed_lookup(named, still, ["bucket"], "c", named.count(), F.col("id")).where("main is not null")

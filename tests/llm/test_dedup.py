@@ -145,6 +145,31 @@ def test_links_that_stars_miss_are_found(spark):
     assert sorted(map(sorted, groups.values())) == [[i, i + 1] for i in range(2, 90, 2)]
 
 
+def test_links_that_stars_miss_are_found_by_an_exact_join(spark):
+    members = spark.createDataFrame([(7, i, i // 2) for i in [0, *range(2, 90)]], "bucket bigint, id bigint, mark int")
+    same = lambda pairs: pairs.where("floor(a / 2) = floor(b / 2)")
+    exact = lambda apart, others: same(apart.withColumnRenamed("id", "a").join(others.withColumnRenamed("id", "b"), F.floor(F.col("a") / 2) == F.floor(F.col("b") / 2)).where("a <> b"))
+    groups = defaultdict(set)
+    for r in stars.link(members, lambda a, b: F.lit(True), same, exact).collect():
+        groups[r.root].add(r.v)
+    assert sorted(map(sorted, groups.values())) == [[i, i + 1] for i in range(2, 90, 2)]
+
+
+@pytest.mark.parametrize("tries", [(), (1, 4, 16)])
+def test_pairs_of_a_large_group_are_linear(spark, monkeypatch, tries):
+    """Copies with edits all over: about half of all pairs reach the similarity."""
+    rng = random.Random(8)
+    base = prose(rng, 160).split()
+    n = 240 if not tries else 700
+    texts = [edited(rng, base, rng.choice([0, 1, 2, 3, 4, 6, 9])) for _ in range(n)] + [prose(rng, 50) for _ in range(20)]
+    made, confirm = [], neardup.confirmed
+    monkeypatch.setattr(neardup, "confirmed", lambda pairs, *rest: (made.append(pairs.count()), confirm(pairs, *rest))[1])
+    monkeypatch.setattr(neardup, "link", lambda *given: stars.link(*given, tries=tries))
+    assert rows(neardup.near_duplicates(frame(spark, texts))) == sorted(near_brute(texts), key=repr)
+    if tries:
+        assert sum(made) < 80 * n  # n * n / 2 would be 350 * n
+
+
 def python_simhash(hashes):
     return sum(1 << b for b in range(62) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
