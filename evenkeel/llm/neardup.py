@@ -26,6 +26,8 @@ BAND_BINS = 7
 LEAST_SKETCHED = 64
 #: Shingles of more sets than this come last in the order of rarity, by their number of sets.
 OFTEN = 16
+#: Prefixes up to this length are compared whole before a pair is made.
+SHORT_PREFIX = 256
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -198,14 +200,21 @@ def exact_links(apart: DataFrame, others: DataFrame, sets: DataFrame, similarity
     ranked = each.join(broadcast_if_small(cut_lineage(often, "frequent-shingles")), "s", "left")
     least = lambda n: F.ceil(n * similarity / 100).cast("int")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "s")))
-    prefix = ranked.groupBy("id", "n").agg(F.slice(order, 1, F.col("n") - least(F.col("n")) + 1).alias("p"))
-    prefix = cut_lineage(prefix.select("id", "n", F.posexplode("p").alias("at", "x")).select("id", "n", "at", "x.s"), "prefixes")
-    side = lambda rows, k: rows.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "at")])
-    met = side(prefix.join(apart, "id", "left_semi"), "a").join(side(prefix, "b"), "s").where("id_a <> id_b")
+    prefix = ranked.groupBy("id", "n").agg(F.transform(F.slice(order, 1, F.col("n") - least(F.col("n")) + 1), lambda x: x["s"]).alias("p"))
+    short = F.when(F.size("p") <= SHORT_PREFIX, F.col("p")).alias("p")
+    prefix = cut_lineage(prefix.select("id", "n", F.size("p").alias("len"), short, F.posexplode("p").alias("at", "s")), "prefixes")
+    side = lambda rows, k: rows.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "len", "p", "at")])
+    both = [F.col("s_a") == F.col("s_b"), F.col("id_a") != F.col("id_b")]
     needed = F.ceil((F.col("n_a") + F.col("n_b")) * similarity / (100 + similarity))
-    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity
-    met = met.where(sizes & (room >= needed)).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    both.append(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity)
+    both.append(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed)
+    # a pair is made at the first shingle that its prefixes share, if those and all behind them suffice
+    common = F.array_intersect("p_a", "p_b")
+    behind = F.greatest(F.col("n_a") - F.col("len_a"), F.col("n_b") - F.col("len_b"))
+    enough = (F.get(common, F.lit(0)) == F.col("s_a")) & (F.size(common) + behind >= needed)
+    both.append(F.col("p_a").isNull() | F.col("p_b").isNull() | enough)
+    met = side(prefix.join(apart, "id", "left_semi"), "a").withColumnRenamed("s", "s_a").join(side(prefix, "b").withColumnRenamed("s", "s_b"), both)
+    met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
     return confirmed(cut_lineage(met.distinct(), "pairs"), sets, similarity)
 
 
