@@ -17,7 +17,10 @@ from evenkeel.operators.features import (
     label_index,
     ordinal_encode,
     polynomial,
+    route_columns,
     scaled_tag,
+    sparse_one_hot,
+    value_dictionary,
     varying_columns,
     varying_elements,
 )
@@ -37,6 +40,26 @@ def one_hot(spark, d):
     return fit_one_hot(c, ["c_mktsegment"]).transform(c).drop("c_mktsegment")
 
 
+@query("sparse_one_hot", """WITH long AS (SELECT c_custkey, unnest([0, 1]) AS i, unnest([c_name, c_mktsegment]) AS value FROM customer),
+ codes AS (SELECT i, value, row_number() OVER (ORDER BY i, value) - 1 AS pos FROM (SELECT DISTINCT i, value FROM long))
+ SELECT c_custkey, min(pos)::BIGINT AS name_at, max(pos)::BIGINT AS segment_at, count(*)::BIGINT AS n FROM long JOIN codes USING (i, value) GROUP BY 1""")
+def sparse_one_hot_query(spark, d):
+    """As many indicators as there are customers, and those of the segments."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    cols = ["c_name", "c_mktsegment"]
+    out = sparse_one_hot(c, "c_custkey", cols, value_dictionary(c, cols))
+    return out.select("c_custkey", F.array_min("indices").alias("name_at"), F.array_max("indices").alias("segment_at"), F.size("indices").cast("bigint").alias("n"))
+
+
+@query("route_columns", """SELECT unnest(['o_orderstatus', 'o_orderpriority', 'o_totalprice', 'o_custkey']) AS "column", unnest([false, false, true, true]) AS numeric,
+ (SELECT count(o_orderkey) FROM orders) AS n""")
+def route_columns_query(spark, d):
+    o = table(spark, d, "orders")
+    cats, nums = route_columns(o, ["o_orderstatus", "o_totalprice", "o_orderpriority", "o_custkey"])
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(c in nums).alias("numeric"), F.count(F.col(c)).alias("n")) for c in [*cats, *nums]]
+    return o.agg(F.array(*cells).alias("x")).select(F.inline("x"))
+
+
 @query("one_hot_unseen", """WITH seen AS (SELECT DISTINCT priority AS v FROM (SELECT o_orderpriority AS priority FROM orders WHERE o_orderpriority < '4'))
  SELECT o_orderkey AS id, (SELECT count(*) FROM seen WHERE v = o_orderpriority)::DOUBLE AS hits FROM orders""")
 def one_hot_unseen(spark, d):

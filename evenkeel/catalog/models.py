@@ -32,6 +32,17 @@ def glm_two_predictor(spark, d):
                       rnd("pseudo_r2", 5).alias("pseudo_r2"))
 
 
+@query("glm_wide", f"""WITH c AS (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i, label::DOUBLE AS y, vec_id FROM embeddings),
+ m AS (SELECT vec_id, y, avg(x) AS x FROM c GROUP BY vec_id, y)
+ SELECT 'score' AS feature, {r('covar_pop(x, y) / var_pop(x)', 4)} AS coef FROM m""")
+def glm_wide(spark, d):
+    """64 inputs that are one: the mean of each vector. The least solution has equal coefficients,
+    and their sum is the slope of the mean."""
+    v = table(spark, d, "embeddings").withColumn("x", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x) / F.size("embedding"))
+    v = v.select(F.col("label").cast("double").alias("y"), *[F.col("x").alias(f"x{i}") for i in range(64)])
+    return gaussian_glm(v, [f"x{i}" for i in range(64)], "y").agg(F.lit("score").alias("feature"), rnd(F.sum("coef"), 4).alias("coef"))
+
+
 @query("glm_gated", f"""WITH g AS (SELECT event_type, covar_pop(user_id, value) AS c, var_pop(user_id) AS s, var_pop(value) AS v, count(*) AS n FROM events GROUP BY 1)
  SELECT event_type, 'user_id' AS feature, {r('CASE WHEN abs(c / s) / sqrt((v - c * c / s) / (n - 2) / s) < 1.959963984540054::DOUBLE THEN 0 ELSE c / s END')} AS coef FROM g""")
 def glm_gated(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evenkeel.catalog.registry import query, r, rnd, u
+from evenkeel.catalog.registry import h, query, r, rnd, u
 from evenkeel.catalog.views import (
     names_v, rules_v, runs, samples, scored, scores, set_scores, spread_table, states_v, table,
     with_ctes,
@@ -293,9 +293,10 @@ def mean_ci(spark, d):
 _BOOT_WEIGHT = "(" + " + ".join(f"(u > {c!r}::DOUBLE)::INT" for c in P.POISSON_CDF) + ")"
 
 
-@query("bootstrap_ci", f"""WITH h AS (SELECT event_type, value, k, md5(event_id::VARCHAR || ':boot' || k || ':42') AS h FROM events, (SELECT unnest(range(50)) AS k)),
- e AS (SELECT event_type, value, k, j, ('0x' || substr(h, 8 * j + 1, 8))::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM h, (SELECT unnest(range(4)) AS j)),
- b AS (SELECT event_type, sum({_BOOT_WEIGHT} * value) / sum({_BOOT_WEIGHT}) AS m FROM e GROUP BY event_type, k, j),
+@query("bootstrap_ci", f"""WITH c AS (SELECT event_type, {h('event_id', "'cell'", "'42'")} % 4096 AS cell, count(value) AS n, sum(value) AS s FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+ k AS (SELECT k, 1 + {h("'a'", 'k', "'42'")} % 2147483646 AS a, {h("'b'", 'k', "'42'")} % 2147483647 AS b FROM (SELECT unnest(range(200)) AS k)),
+ e AS (SELECT event_type, k, n, s, ((a * ({h("event_type || '|' || cell", "'42'")} % 2147483647) + b) % 2147483647)::DOUBLE / 2147483647.0::DOUBLE AS u FROM c, k),
+ b AS (SELECT event_type, sum({_BOOT_WEIGHT} * s) / sum({_BOOT_WEIGHT} * n) AS m FROM e GROUP BY event_type, k),
  s AS (SELECT event_type, list(m ORDER BY m) AS l FROM b GROUP BY 1), a AS (SELECT event_type, avg(value) AS mean FROM events GROUP BY 1)
  SELECT event_type, {r('mean')} AS mean, {r('l[5]')} AS lower, {r('l[195]')} AS upper FROM s JOIN a USING (event_type)""")
 def bootstrap_ci(spark, d):

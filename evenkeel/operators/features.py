@@ -70,6 +70,24 @@ def dense_codes(df: DataFrame, col: str, out: str) -> DataFrame:
     return numbered.select(col, (F.col("__before") + F.col("__in") - 1).cast("bigint").alias(out))
 
 
+def value_dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Stored (column, value, at): every distinct non-null value of ``cols`` as text, numbered from
+    0 in the order of the columns and, within each, of the values. All columns share one
+    shuffle; no value passes through the driver."""
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(cols)]
+    found = df.select(F.explode(F.array(*cells)).alias("k")).where("k.value is not null").distinct()
+    return cut_lineage(dense_codes(found, "k", "at").select("k.column", "k.value", "at"), "dictionary")
+
+
+def sparse_one_hot(df: DataFrame, id_col: str, cols: Sequence[str], dictionary: DataFrame) -> DataFrame:
+    """(id, indices): the positions of each row's values in a :func:`value_dictionary`, ascending; null
+    and unseen values have none. For any number of values, as cells meet them by a join."""
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols]
+    long = df.select(id_col, F.explode(F.array(*cells)).alias("k")).select(id_col, "k.*")
+    met = long.join(broadcast_if_small(dictionary), ["column", "value"], "left")
+    return met.groupBy(id_col).agg(F.array_sort(F.collect_list("at")).alias("indices"))
+
+
 @dataclass(frozen=True)
 class OneHot:
     """Indicator columns for the categories seen at fit time; unseen gives all zeros."""

@@ -10,7 +10,11 @@ from functools import reduce
 from types import MappingProxyType
 from typing import Any
 
-from pyspark.ml import Model, Pipeline, PipelineModel
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -20,16 +24,17 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     PCA,
     OneHotEncoder,
+    OneHotEncoderModel,
     StandardScaler,
-    StringIndexer,
     VarianceThresholdSelector,
     VectorAssembler,
 )
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.functions.stats import expit
@@ -39,9 +44,11 @@ from evenkeel.operators.features import (
     fit_scaler,
     infer_task,
     route_columns,
+    value_dictionary,
     varying_columns,
 )
 from evenkeel.operators.metrics import accuracy, r2
+from evenkeel.operators.sizing import broadcast_if_small
 from evenkeel.operators.splits import stratified_holdout
 from evenkeel.plans.batched import fit_vectors
 
@@ -60,54 +67,68 @@ NORMAL_WIDTH, DEEPEST = 4096, 30
 class Encoder:
     """One-hot for categorical inputs, standardisation for numeric ones, fit on train.
 
-    Categories are indexed and encoded as sparse vectors, whatever their number; null and
-    unseen values are all zeros."""
+    Categories are numbered by a stored dictionary (column, value, at) and encoded as sparse
+    vectors, whatever their number; null and unseen values are all zeros. ``codes`` has each
+    column's part of the dictionary, broadcast where it is small."""
 
     cats: tuple[str, ...]
     scaler: Scaler
-    sparse: PipelineModel | None = None
-    sparse_names: tuple[str, ...] = ()
+    dictionary: DataFrame | None = None
+    codes: tuple[DataFrame, ...] = ()
+    sizes: tuple[int, ...] = ()
+    onehot: OneHotEncoderModel | None = None
 
     @property
     def inputs(self) -> list[str]:
         return [*self.cats, *self.scaler.mean]
 
     @property
-    def names(self) -> list[str]:
-        return [*self.sparse_names, *self.scaler.mean]
+    def width(self) -> int:
+        return sum(self.sizes) + len(self.scaler.mean)
+
+    def names_table(self, spark: SparkSession) -> DataFrame:
+        """(at, feature) of all inputs after encoding."""
+        rows = [(sum(self.sizes) + i, c) for i, c in enumerate(self.scaler.mean)]
+        numbers = spark.createDataFrame(rows, "at bigint, feature string")
+        if self.dictionary is None:
+            return numbers
+        return self.dictionary.select("at", F.concat_ws("_", "column", "value").alias("feature")).unionByName(numbers)
 
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
         wide = self.scaler.transform(df, "__z")
         cols = [c + "__z" for c in self.scaler.mean]
         dense = array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in cols]))
-        if self.sparse is None:
+        if self.onehot is None:
             return wide.withColumn(out, dense).select(*df.columns, out)
-        wide = self.sparse.transform(wide.withColumn("__dense", dense).withColumns(_texts(self.cats)))
-        vectors = [s.getOutputCol() for s in self.sparse.stages[1::2]] + (["__dense"] if cols else [])
+        wide = wide.withColumn("__dense", dense)
+        for i, (c, codes) in enumerate(zip(self.cats, self.codes)):
+            wide = wide.join(codes, F.col(f"`{c}`").cast("string") == F.col(f"__v{i}"), "left")
+            # the slot behind the last is dropped and leaves zeros
+            wide = wide.withColumn(f"__ix_{i}", F.coalesce(f"__at{i}", F.lit(float(max(self.sizes[i], 1))))).drop(f"__v{i}", f"__at{i}")
+        wide = self.onehot.transform(wide)
+        vectors = [f"__oh_{i}" for i, n in enumerate(self.sizes) if n] + (["__dense"] if cols else [])
         return VectorAssembler(inputCols=vectors, outputCol=out).transform(wide).select(*df.columns, out)
 
 
-def _texts(cats: Sequence[str]) -> dict[str, Column]:
-    return {f"__tx_{c}": F.col(f"`{c}`").cast("string") for c in cats}
-
-
 def fit_encoder(train: DataFrame, features: Sequence[str]) -> Encoder:
     cats, nums = route_columns(train, features)
     if len(features) >= MATRIX_COLUMNS:
         nums = varying_columns(train, nums)
     if not cats:
         return Encoder((), fit_scaler(train, nums))
-    stages = []
-    for c in cats:
-        stages += [
-            StringIndexer(inputCol=f"__tx_{c}", outputCol=f"__ix_{c}", handleInvalid="keep",
-                          stringOrderType="alphabetAsc"),
-            # The last slot is the one for unseen values; dropping it leaves zeros.
-            OneHotEncoder(inputCol=f"__ix_{c}", outputCol=f"__oh_{c}", dropLast=True),
-        ]
-    model = Pipeline(stages=stages).fit(train.withColumns(_texts(cats)))
-    names = [f"{c}_{v}" for c, ix in zip(cats, model.stages[0::2]) for v in ix.labels]
-    return Encoder(tuple(cats), fit_scaler(train, nums), model, tuple(names))
+    spark = train.sparkSession
+    dictionary = value_dictionary(train, cats)
+    counted = {r["column"]: r["count"] for r in dictionary.groupBy("column").count().collect()}
+    sizes = tuple(counted.get(c, 0) for c in cats)
+    codes = []
+    for i, c in enumerate(cats):
+        at = (F.col("at") - sum(sizes[:i])).cast("double")
+        codes.append(broadcast_if_small(dictionary.where(F.col("column") == c).select(F.col("value").alias(f"__v{i}"), at.alias(f"__at{i}"))))
+    places = range(len(cats))
+    coder = OneHotEncoder(inputCols=[f"__ix_{i}" for i in places], outputCols=[f"__oh_{i}" for i in places], dropLast=True, handleInvalid="keep")
+    # the encoder learns no more than the largest code of each column
+    largest = spark.createDataFrame([tuple(float(max(n, 1) - 1) for n in sizes)], ", ".join(f"__ix_{i} double" for i in places))
+    return Encoder(tuple(cats), fit_scaler(train, nums), dictionary, tuple(codes), sizes, coder.fit(largest))
 
 
 @dataclass(frozen=True)
@@ -140,19 +161,24 @@ class Fitted:
         named = {out: p, "pred": F.col("prediction"), "probas": probas}
         return scored.withColumns(named).select(*df.columns, *named)
 
-    def coefficients(self) -> list[tuple[str, float]]:
-        """(feature after encoding, value); the first class's row for multi-class."""
+    def _values(self):
         m = self.model
         if hasattr(m, "coefficientMatrix") and self.classes > 2:
-            values = m.coefficientMatrix.toArray()[0]
-        elif hasattr(m, "coefficients"):
-            values = m.coefficients.toArray()
-        else:
-            return []
-        return list(zip(self.encoder.names, map(float, values)))
+            return m.coefficientMatrix.toArray()[0]
+        return m.coefficients.toArray() if hasattr(m, "coefficients") else []
+
+    def coefficients(self) -> list[tuple[str, float]]:
+        """(feature after encoding, value); the first class's row for multi-class."""
+        return [(r.feature, r.coef) for r in self._table(SparkSession.getActiveSession()).orderBy("at").collect()]
+
+    def _table(self, spark: SparkSession) -> DataFrame:
+        cells = pd.DataFrame({"at": range(len(self._values())), "coef": [float(v) for v in self._values()]})
+        values = spark.createDataFrame(cells, "at bigint, coef double")
+        return self.encoder.names_table(spark).join(broadcast_if_small(values), "at")
 
     def coefficient_table(self, spark) -> DataFrame:
-        return spark.createDataFrame(self.coefficients(), "feature string, coef double")
+        """(feature, coef); names come from the stored dictionary."""
+        return self._table(spark).select("feature", "coef")
 
 
 @dataclass(frozen=True)
@@ -227,11 +253,11 @@ def fit_model(
         classes = 0 if regression else max(2, int(top) + 1)
         rows = encoder.transform(base).select("features", "__y")
         if kind == "SVM" and not regression and classes == 2:
-            coef, intercept = fit_vectors(rows, "features", "__y", "squared_hinge", float(params.get("C", 1.0)), len(encoder.names))
+            coef, intercept = fit_vectors(rows, "features", "__y", "squared_hinge", float(params.get("C", 1.0)), encoder.width)
             model = MarginModel(DenseVector(coef), intercept)
         else:
             est = _estimator(
-                kind, params, regression, len(encoder.names), classes, n, float(y_std or 0.0), seed
+                kind, params, regression, encoder.width, classes, n, float(y_std or 0.0), seed
             )
             model = est.fit(rows)
     finally:
@@ -285,8 +311,9 @@ def _least_squares(m: Mapping[str, Any]) -> list[tuple]:
     else:
         s[~moving, :], s[:, ~moving], c[~moving] = 0.0, 0.0, 0.0
         full = np.block([[np.ones((1, 1)), mx[None, :]], [mx[:, None], s + np.outer(mx, mx)]])
-        inverse = np.linalg.pinv(full, rcond=RANK_TOL, hermitian=True)
-        rank = np.linalg.matrix_rank(full, tol=RANK_TOL * np.abs(full).max(), hermitian=True)
+        u, sizes, v = np.linalg.svd(full)
+        kept = sizes > RANK_TOL * sizes[0]
+        inverse, rank = (v[kept].T / sizes[kept]) @ u[:, kept].T, int(kept.sum())
         coef = (inverse @ np.r_[my, c + mx * my])[1:]
         spread = np.diag(inverse)[1:]
     if n <= rank or not np.isfinite(coef).all():
@@ -300,6 +327,83 @@ def _least_squares(m: Mapping[str, Any]) -> list[tuple]:
     ]
 
 
+# From this many inputs on, moments are summed as blocks of a matrix; side of a block, and bytes of
+# unfinished groups that a task holds.
+GRAM_INPUTS, GRAM_BLOCK, GRAM_BYTES = 32, 128, 256 << 20
+
+
+def _gram_moments(df: DataFrame, xs: Sequence[Column], y: Column, by: Sequence[str]) -> DataFrame:
+    """Per group the moments that :func:`_least_squares` takes, of any number of inputs.
+
+    Tasks sum up products of (1, y, inputs), each taken from its overall mean, as dense blocks keyed
+    by (group, block row, block column). Blocks are merged in the JVM, one vector each, and a
+    group's blocks then meet in one row. The plan does not grow with the number of inputs."""
+    k = len(xs) + 1
+    values = F.array(y, *xs)
+    keys = [f"__by{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(b).alias(key) for b, key in zip(by, keys)], values.alias("x")).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    centre = rows.groupBy(F.lit(0).alias("one")).agg(Summarizer.mean(array_to_vector("x")).alias("m")).first()
+    shift = np.zeros(k) if centre is None else centre.m.toArray()
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    edges = [*range(0, k + 1, GRAM_BLOCK), k + 1]
+    spans = [(a, b) for a, b in zip(edges, edges[1:]) if a < b]
+
+    def blocks(batches):
+        open_: dict[tuple, np.ndarray] = {}
+
+        def close():
+            out = [(key, i, j, m[a:b, c:d].reshape(-1)) for key, m in open_.items() for i, (a, b) in enumerate(spans) for j, (c, d) in enumerate(spans) if i <= j]
+            open_.clear()
+            for at in range(0, len(out), 64):
+                some = out[at : at + 64]
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array([key[n] for key, *_ in some], types[n]) for n in range(len(keys))], pa.array([x[1] for x in some], pa.int32()), pa.array([x[2] for x in some], pa.int32()), pa.array([x[3] for x in some], pa.list_(pa.float64()))],
+                    names=[*keys, "i", "j", "v"],
+                )
+
+        for batch in batches:
+            types = [batch.schema.field(n).type for n in keys]
+            groups: dict[tuple, list[int]] = {}
+            for at, key in enumerate(zip(*[batch.column(n).to_pylist() for n in keys]) if keys else [()] * batch.num_rows):
+                groups.setdefault(key, []).append(at)
+            x = pc.list_flatten(batch.column("x")).to_numpy(zero_copy_only=False).reshape(batch.num_rows, k) - shift
+            x = np.concatenate([np.ones((batch.num_rows, 1)), x], axis=1)
+            for key, at in groups.items():
+                some = x[at]
+                product = some.T @ some
+                open_[key] = open_[key] + product if key in open_ else product
+                if len(open_) * product.nbytes > GRAM_BYTES:
+                    yield from close()
+        if open_:
+            yield from close()
+
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in keys) + "i int, j int, v array<double>"
+    summed = rows.mapInArrow(blocks, schema).groupBy(*keys, "i", "j").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
+    gathered = summed.groupBy(*keys).agg(F.collect_list(F.struct("i", "j", vector_to_array("v").alias("v"))).alias("blocks"))
+
+    def moments(batches):
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                if not len(row["blocks"]):  # no complete row, all of them one group
+                    continue
+                m = np.zeros((k + 1, k + 1))
+                for part in row["blocks"]:
+                    (a, b), (c, d) = spans[part["i"]], spans[part["j"]]
+                    m[a:b, c:d] = np.array(part["v"]).reshape(b - a, d - c)
+                    m[c:d, a:b] = m[a:b, c:d].T
+                n = m[0, 0]
+                mean = m[0, 1:] / n
+                cov = m[1:, 1:] / n - np.outer(mean, mean)
+                yield pd.DataFrame([{
+                    **{key: row[key] for key in keys}, "__n": int(n), "__my": mean[0] + shift[0], "__vy": max(cov[0, 0], 0.0),
+                    "__mx": mean[1:] + shift[1:], "__cov": cov[1:, 1:][np.triu_indices(k - 1)], "__cxy": cov[0, 1:],
+                }])
+
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in keys) + "__n bigint, __my double, __vy double, __mx array<double>, __cov array<double>, __cxy array<double>"
+    found = gathered.mapInPandas(moments, schema)
+    return found.select(*[F.col(key).alias(b) for b, key in zip(by, keys)], *[c for c in found.columns if c not in keys])
+
+
 def gaussian_glm(
     df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str] = (), gate: bool = False
 ) -> DataFrame:
@@ -310,19 +414,22 @@ def gaussian_glm(
     normal; ``gate`` zeroes coefficients with p > 0.05. The pseudo R2 is Cox-Snell at
     maximum likelihood variances. A collinear design (say, all indicators of a category
     beside the intercept) gets the minimum-norm solution; a group too small to fit gets
-    zeros and no R2."""
+    zeros and no R2. Rows with a null or NaN are left out."""
     from evenkeel.plans.reports import gate_coefs
 
     xs, by = list(xs), list(by)
     dbl = [F.col(f"`{c}`").cast("double") for c in xs]
     out = F.col(f"`{y}`").cast("double")
-    complete = reduce(lambda a, b: a & b, [c.isNotNull() for c in [*dbl, out]])
-    moments = df.where(complete).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__n"), F.avg(out).alias("__my"), F.var_pop(out).alias("__vy"),
-        F.array(*[F.avg(a) for a in dbl]).alias("__mx"),
-        F.array(*[F.covar_pop(a, b) for i, a in enumerate(dbl) for b in dbl[i:]]).alias("__cov"),
-        F.array(*[F.covar_pop(a, out) for a in dbl]).alias("__cxy"),
-    )
+    complete = reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) for c in [*dbl, out]])
+    if len(xs) > GRAM_INPUTS:
+        moments = _gram_moments(df, dbl, out, by)
+    else:
+        moments = df.where(complete).groupBy(*by).agg(
+            F.count(F.lit(1)).alias("__n"), F.avg(out).alias("__my"), F.var_pop(out).alias("__vy"),
+            F.array(*[F.avg(a) for a in dbl]).alias("__mx"),
+            F.array(*[F.covar_pop(a, b) for i, a in enumerate(dbl) for b in dbl[i:]]).alias("__cov"),
+            F.array(*[F.covar_pop(a, out) for a in dbl]).alias("__cxy"),
+        )
     names = [*by, "feature", "coef", "stderr", "p", "pseudo_r2"]
 
     def solve(batches):

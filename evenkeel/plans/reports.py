@@ -5,14 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.functions.hashing import unit_hash
+from evenkeel.functions.hashing import hash52, unit_hash
 from evenkeel.functions.names import effect_position, family
 from evenkeel.functions.stats import clip, logit, percent_log_odds
 from evenkeel.functions.text import basename
+from evenkeel.operators.contracts import key_text
 from evenkeel.operators.features import ordinal_encode
 from evenkeel.operators.frames import filter_allowed
 from evenkeel.operators.ranking import average_ranks, top_n
@@ -289,17 +291,24 @@ def top_features(
 
 def column_profile(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
     """(column, n_distinct, numeric, chart) per column; numbers are rounded to 1 digit
-    before counting. ``exact=False`` counts with a mergeable sketch."""
+    before counting. ``exact=False`` counts with a mergeable sketch.
+
+    All columns share one scan and one shuffle: each task sends on each (column, value) it has met
+    once."""
     types = dict(df.dtypes)
     num = {c: types[c] in ("tinyint", "smallint", "int", "bigint", "float", "double")
            or types[c].startswith("decimal") for c in cols}
-    count = F.count_distinct if exact else F.approx_count_distinct
-    aggs = []
-    for c in cols:
-        aggs.append(count(F.col(c)).alias(f"raw_{c}"))
-        if types[c] in ("float", "double"):
-            aggs.append(count(F.bround(F.col(c), 1)).alias(f"rnd_{c}"))
-    row = df.agg(*aggs)
+    floats = [c for c in cols if types[c] in ("float", "double")]
+    shown = {f"raw_{c}": F.col(f"`{c}`") for c in cols} | {f"rnd_{c}": F.bround(F.col(f"`{c}`"), 1) for c in floats}
+    if exact:
+        # one zero, not two
+        text = {k: (v + 0.0 if k[4:] in floats else v).cast("string") for k, v in shown.items()}
+        cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in text.items()]))
+        values = df.select(cells.alias("x")).select("x.k", "x.v").where("v is not null").distinct()
+        counts = values.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        row = counts.agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("n"))), F.lit(0)).alias(k) for k in shown])
+    else:
+        row = df.agg(*[F.approx_count_distinct(v).alias(k) for k, v in shown.items()])
     entries = []
     for c in cols:
         raw = F.col(f"raw_{c}")
@@ -344,12 +353,16 @@ def conditional_density(
 ) -> DataFrame:
     """Gaussian density of ``value`` per group on a shared grid, each group integrating
     to one. Bandwidth: Scott's rule times ``adjust``. A group without spread has null
-    densities; a null group is one like others.
+    densities; a null group is one like others. Null and NaN values count nowhere; without
+    any other the result is empty.
 
     Every grid point is one aggregate expression, so rows are scanned once for the
     bandwidths and once for the sums, and never multiplied."""
     v = F.col(value).cast("double")
+    v = F.when(~F.isnan(v), v)
     lo, hi = df.agg(F.min(v), F.max(v)).first()
+    if lo is None:
+        return df.select(*by, F.lit(0).cast("bigint").alias("point"), F.lit(0.0).alias("x"), F.lit(0.0).alias("density")).limit(0)
     step = (hi - lo) / (points - 1) if points > 1 else 0.0
     grid = [lo + i * step for i in range(points)]
     n = F.count(v)
@@ -425,35 +438,45 @@ POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.98
                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
 
 
+#: Cells that a group's rows are summed into before they are drawn; a prime for the draws.
+BOOT_CELLS, BOOT_PRIME = 4096, (1 << 31) - 1
+
+
 def bootstrap_ci(
     df: DataFrame, keys: Sequence[str], value: str, id_col: str, replicates: int = 200,
     seed: str | int = 42,
 ) -> DataFrame:
     """Mean with a percentile bootstrap interval.
 
-    Each replicate is a pair of weighted sums with hashed Poisson(1) weights. One hash gives
-    the weights of four replicates; rows are repeated per block of four inside the task that
-    read them, and only sums are shuffled."""
-    held = df.where(F.col(value).isNotNull())
-    blocks = F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1))
-    each = held.select(*keys, F.col(value).cast("double").alias("__v"), F.col(id_col).alias("__id"), F.explode(blocks).alias("__k"))
-    text = F.concat_ws(":", F.col("__id").cast("string"), F.concat(F.lit("boot"), F.col("__k").cast("string")), F.lit(str(seed)))
-    each = each.withColumn("__h", F.md5(text))
-    sums = []
-    for i in range(4):
-        u = F.conv(F.substring("__h", 8 * i + 1, 8), 16, 10).cast("double") / float(1 << 32)
-        weight = reduce(lambda a, c: a + (u > c).cast("int"), POISSON_CDF, F.lit(0))
-        each = each.withColumn(f"__w{i}", weight)
-        sums.append(F.try_divide(F.sum(F.col(f"__w{i}") * F.col("__v")), F.sum(f"__w{i}")))
-    cells = each.groupBy(*keys, "__k").agg(F.array(*sums).alias("__m"), F.avg("__v").alias("__mean"))
-    wanted = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.when(F.col("__k") * 4 + i < replicates, F.get("__m", i)))
-    sums = cells.groupBy(*keys).agg(F.flatten(F.collect_list(wanted)).alias("__m"), F.max(F.when(F.col("__k") == 0, F.col("__mean"))).alias("mean"))
-    ordered = F.array_sort(F.filter("__m", lambda x: x.isNotNull()))
+    A hash of the id deals each group's rows to BOOT_CELLS cells, whose counts and sums are all
+    that is resampled: a replicate is a pair of sums over cells with Poisson(1) weights. Cells are
+    random groups of rows, so that the spread of replicates has the same expectation as with
+    weights of rows, within about 2 %, and groups of fewer rows than cells are resampled nearly
+    row by row. Work beyond one pass follows groups times cells, not rows.
+
+    Weights come from a pairwise independent hash of the cell per replicate, which the spread of
+    a sum depends on alone."""
+    v = F.col(value).cast("double")
+    cell = hash52(F.col(id_col), "cell", seed) % BOOT_CELLS
+    cells = df.where(v.isNotNull()).groupBy(*keys, cell.alias("__cell")).agg(F.count(F.lit(1)).alias("__n"), F.sum(v).alias("__s"))
+    cells = cells.withColumn("__h", hash52(key_text([*keys, "__cell"]), seed) % BOOT_PRIME)
+    number = lambda x, k: int(md5(f"{x}:{k}:{seed}".encode()).hexdigest()[:13], 16)  # noqa: E731 - as hash52
+    draws = [(k, 1 + number("a", k) % (BOOT_PRIME - 1), number("b", k) % BOOT_PRIME) for k in range(replicates)]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for k, a, b in draws]))
+    drawn = cells.select(*keys, "__n", "__s", "__h", each.alias("r"))
+    u = ((F.col("r.a") * F.col("__h") + F.col("r.b")) % BOOT_PRIME).cast("double") / float(BOOT_PRIME)
+    drawn = drawn.withColumn("__u", u)
+    weight = reduce(lambda a, c: a + (F.col("__u") > c).cast("int"), POISSON_CDF, F.lit(0))
+    sums = drawn.withColumn("__w", weight).groupBy(*keys, F.col("r.k").alias("__k")).agg(
+        F.try_divide(F.sum(F.col("__w") * F.col("__s")), F.sum(F.col("__w") * F.col("__n"))).alias("__m"),
+        (F.sum("__s") / F.sum("__n")).alias("__mean"),
+    )
+    found = sums.groupBy(*keys).agg(F.array_sort(F.collect_list("__m")).alias("__m"), F.max("__mean").alias("mean"))
 
     def at(q: float) -> Column:
-        return F.element_at(ordered, F.greatest(F.lit(1), F.ceil(F.size(ordered) * q).cast("int")))
+        return F.element_at("__m", F.greatest(F.lit(1), F.ceil(F.size("__m") * q).cast("int")))
 
-    return sums.select(*keys, "mean", at(0.025).alias("lower"), at(0.975).alias("upper"))
+    return found.select(*keys, "mean", F.when(F.size("__m") > 0, at(0.025)).alias("lower"), F.when(F.size("__m") > 0, at(0.975)).alias("upper"))
 
 
 def metrics_todo(wanted: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -104,7 +104,7 @@ def test_column_routing(data):
     with pytest.raises(ContractError):
         X.route_columns(wide, wide.columns)
     enc = H.fit_encoder(wide.withColumn("c7", F.rand(1)), [f"c{i}" for i in range(100)])
-    assert enc.names == ["c7"]  # constants dropped from a matrix
+    assert enc.inputs == ["c7"]  # constants dropped from a matrix
 
 
 def test_roles_and_selection(spark):

@@ -105,7 +105,11 @@ def test_density_integrates_to_one_per_group(spark):
         x = part.sort_values("x")
         assert np.trapezoid(x.density, x.x) == pytest.approx(1, abs=0.05)
     const = P.conditional_density(df.withColumn("v", F.lit(1.0)), "v", ["g"])
-    assert const.count() == 0
+    assert const.count() == const.where("density is null").count() == 20
+    assert P.conditional_density(df.where("v > 1e9"), "v", ["g"]).count() == 0
+    odd = df.withColumn("v", F.when(F.col("v") > 6, float("nan")).otherwise(F.col("v")))
+    same = P.conditional_density(df.where("v <= 6"), "v", ["g"])
+    assert rows(P.conditional_density(odd, "v", ["g"])) == rows(same)
 
 
 def test_histogram_and_profile(spark):
@@ -134,6 +138,27 @@ def test_bootstrap_covers_the_mean(spark):
     assert r.lower < r.mean == 4.5 < r.upper and 0.3 < r.upper - r.lower < 0.8
 
 
+def test_bootstrap_intervals_cover_as_often_as_they_should(spark):
+    """150 groups of normal values: the true mean lies in about 95 % of the intervals, whose width is
+    that of the normal interval; also where cells hold many rows each."""
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"id": np.arange(60_000), "g": np.arange(60_000) % 150, "v": rng.normal(3, 2, 60_000)})
+    df = spark.createDataFrame(pdf)
+    got = P.bootstrap_ci(df, ["g"], "v", "id").toPandas()
+    assert 0.88 <= ((got.lower < 3) & (got.upper > 3)).mean() <= 0.99
+    assert (got.upper - got.lower).mean() == pytest.approx(2 * 1.96 * 2 / 20, rel=0.06)
+    whole = P.bootstrap_ci(df.withColumn("g", F.lit(None).cast("string")), ["g"], "v", "id").first()
+    assert whole.upper - whole.lower == pytest.approx(2 * 1.96 * 2 / np.sqrt(60_000), rel=0.25)
+
+
+def test_profile_of_odd_columns(spark):
+    df = spark.createDataFrame([(0.0, None, "a"), (-0.0, None, "b"), (float("nan"), None, None), (0.04, None, "a")], "x double, none string, s string")
+    prof = {r.column: (r.n_distinct, r.chart) for r in P.column_profile(df, df.columns).collect()}
+    assert prof == {"x": (3, "bar"), "none": (0, "bar"), "s": (2, "pie")}
+    plan = P.column_profile(df, df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("FileScan") <= 1
+
+
 def test_change_points(spark):
     df = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "b", 2), (4, "b", None)], "pos int, x string, v int")
     got = rows(P.change_points(df, "pos", ["x", "v"]), "pos", "x_changed", "v_changed")
