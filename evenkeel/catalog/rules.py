@@ -78,21 +78,27 @@ def rule_map_flatten(spark, d):
     return vec_rows(R.rules_from_map(nested, "rules"), ["parent", "state", "child"], "w")
 
 
-@query("rule_state_lists", with_ctes("rules_v") + """, lists AS (
-  SELECT parent, list(state) AS states, child, first(w) AS w FROM
-   (SELECT parent, state, child, [round(list_sum(w), 4)] AS w, length(state) AS n FROM rules_v) GROUP BY parent, child, n
-  UNION ALL SELECT parent, [min(state)], child, [99.0::DOUBLE] FROM rules_v GROUP BY parent, child)
- SELECT parent, state, child, bool_or(len(states) = 1) AS exact_hit FROM (SELECT *, unnest(states) AS state FROM lists)
- GROUP BY parent, state, child""")
+@query("rule_state_lists", with_ctes("rules_v") + f""", lists AS (
+  SELECT parent, list(state) AS states, child, [count(*)::DOUBLE, sum(list_sum(w))] AS w FROM rules_v GROUP BY parent, child, length(state)
+  UNION ALL SELECT parent, [min(state)], child, [99.0::DOUBLE, -1.0::DOUBLE] FROM rules_v GROUP BY parent, child),
+ flat AS (SELECT parent, unnest(states) AS state, child, w, len(states) = 1 AS exact FROM lists),
+ best AS (SELECT parent, state, child, max(w[1]) FILTER (exact) AS e1, max(w[1]) FILTER (NOT exact) AS l1, arg_max(w[2], w[1]) FILTER (exact) AS e2,
+  arg_max(w[2], w[1]) FILTER (NOT exact) AS l2 FROM flat GROUP BY 1, 2, 3),
+ known AS (SELECT *, bool_or(e1 IS NOT NULL) OVER (PARTITION BY parent, state) AS hit FROM best)
+ SELECT parent, state, child, {r('coalesce(e1, l1)')} AS w0, {r('CASE WHEN e1 IS NOT NULL THEN e2 ELSE l2 END')} AS w1 FROM known WHERE e1 IS NOT NULL OR NOT hit""")
 def rule_state_lists(spark, d):
+    """Lists of the states of one length, and one state by itself. Of two rules for exactly one state
+    the table has the one of greater weight only, as which of them wins is not defined."""
     flat = rules_v(spark, d)
+    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
     lists = flat.groupBy("parent", "child", F.length("state").alias("n")).agg(
-        F.collect_list("state").alias("states")).select("parent", "states", "child", F.array(F.lit(1.0)).alias("w"))
+        F.sort_array(F.collect_list("state")).alias("states"), F.array(F.count(F.lit(1)).cast("double"), F.sum(total)).alias("w"))
     exact = flat.groupBy("parent", "child").agg(F.array(F.min("state")).alias("states")).select(
-        "parent", "states", "child", F.array(F.lit(99.0)).alias("w"))
-    raw = lists.withColumn("w", F.when(F.size("states") == 1, F.array(F.lit(99.0))).otherwise(F.col("w")))
-    out = R.explode_state_lists(raw.unionByName(exact))
-    return out.select("parent", "state", "child", (F.col("w")[0] == 99.0).alias("exact_hit"))
+        "parent", "states", "child", F.array(F.lit(99.0), F.lit(-1.0)).alias("w"))
+    raw = lists.select("parent", "states", "child", "w").unionByName(exact)
+    raw = raw.groupBy("parent", "states", "child").agg(F.max("w").alias("w"))
+    out = R.explode_state_lists(raw)
+    return out.select("parent", "state", "child", rnd(F.col("w")[0]).alias("w0"), rnd(F.col("w")[1]).alias("w1"))
 
 
 @query("node_roles", with_ctes("edges_v") + """
@@ -259,14 +265,13 @@ def conditional_table(spark, d):
     return out.withColumn("percent", rnd("percent"))
 
 
-@query("link_functions", f"""SELECT id, {r('p[1]')} AS softmax0, {r('1 / (1 + exp(-z))')} AS sigmoid0, {r('(sqrt(z) + 3) / (2 * sqrt(z) + 7)')} AS identity0 FROM (
+@query("link_functions", f"""SELECT id, {r('p[1]')} AS softmax0, {r('1 / (1 + exp(-z))')} AS sigmoid0, {r('(sqrt(z) + 30) / (2 * sqrt(z) + 70)')} AS identity0 FROM (
  SELECT event_id AS id, value / 100 AS z, {softmax_sql('[value / 100, 0.0, 1.0]')} AS p FROM events)""")
 def link_functions(spark, d):
     z = F.col("value") / 100
     root = F.sqrt(z)
-    lin = F.array(root + 3, root + 4)
+    lin = F.array(root / 100 + 0.3, root / 100 + 0.4)
     three, two = F.array(z, F.lit(0.0), F.lit(1.0)), F.array(z, -z)
-    identity = F.transform(lin, lambda x: x / vsum(lin))
     return table(spark, d, "events").select(
         F.col("event_id").alias("id"), rnd(link_probas(three)[0]).alias("softmax0"),
-        rnd(link_probas(two, "sigmoid")[0]).alias("sigmoid0"), rnd(identity[0]).alias("identity0"))
+        rnd(link_probas(two, "sigmoid")[0]).alias("sigmoid0"), rnd(link_probas(lin, "identity")[0]).alias("identity0"))

@@ -8,7 +8,7 @@ from evenkeel.catalog.registry import query, r, rnd
 from evenkeel.catalog.views import table, with_ctes
 from evenkeel.functions.text import format_id, parse_list
 from evenkeel.session import scratch_path
-from evenkeel.sources.results import union_runs
+from evenkeel.sources.results import METADATA_FILE, METRICS_FILE, read_checkpoint_logs, read_effect_tables, union_runs
 from evenkeel.sources.samples import (
     attach_features,
     explode_features,
@@ -114,3 +114,51 @@ def format_id_query(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), format_id(F.col("p_partkey")).alias("name"))
 
 
+
+
+def _named_files(spark, df, out: str, writer: str, rename, **options) -> str:
+    """Write ``df`` (folder columns a, b, ..) with one file per (a, b) and give each file the path
+    below ``out`` that ``rename`` finds for (a, b). There are a few folders only."""
+    made = scratch_path(spark, "parts")
+    getattr(df.repartition("a", "b").write.partitionBy("a", "b").options(**options), writer)(made)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(path(f"{made}/a=*/b=*/part-*")):
+        file = status.getPath()
+        b, a = file.getParent().getName()[2:], file.getParent().getParent().getName()[2:]
+        target = path(f"{out}/{rename(a, b)}")
+        fs.mkdirs(target.getParent())
+        fs.rename(file, target)
+    return out
+
+
+@query("read_checkpoint_logs", f"""SELECT l_returnflag || l_linenumber AS checkpoint, count(*) AS n, sum(l_orderkey)::BIGINT AS ids,
+ {r('avg(l_quantity)', 4)} AS loss, {r('max(l_tax)', 4)} AS top FROM lineitem GROUP BY 1""")
+def read_checkpoint_logs_query(spark, d):
+    """Metadata and metrics of each (return flag, line number) as the files of a checkpoint folder."""
+    li = table(spark, d, "lineitem").withColumns({"a": F.col("l_returnflag"), "b": F.col("l_linenumber").cast("string")})
+    root = scratch_path(spark, "checkpoints")
+    _named_files(spark, li.select("a", "b", "l_orderkey"), root, "csv", lambda a, b: f"{a}/{b}/{METADATA_FILE}", sep="\t", header=True)
+    named = F.create_map(F.lit("loss"), F.avg("l_quantity"), F.lit("top"), F.max("l_tax"))
+    metrics = li.groupBy("a", "b").agg(F.to_json(F.struct(named.alias("metrics"))).alias("value"))
+    _named_files(spark, metrics, root, "text", lambda a, b: f"{a}/{b}/{METRICS_FILE}")
+    logs = read_checkpoint_logs(spark, root, "l_orderkey bigint")
+    name = F.concat_ws("", F.slice(F.split("checkpoint", "/"), -2, 2))
+    return logs.groupBy(name.alias("checkpoint")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("ids"),
+        rnd(F.max(F.col("metrics")["loss"]), 4).alias("loss"), rnd(F.max(F.col("metrics")["top"]), 4).alias("top"))
+
+
+@query("read_effect_tables", f"""SELECT 'con1_lat-' || l_returnflag || '-vol_cov-1-cat2_cX' || lpad(l_linenumber::VARCHAR, 3, '0') || '_c1y004_Xy050' AS name, 'cov_1_cat2' AS con_name,
+ l_linenumber::DOUBLE AS "cX", 4.0::DOUBLE AS cy, 50.0::DOUBLE AS "Xy", count(*) AS n, {r('avg(l_discount)', 4)} AS proba FROM lineitem GROUP BY l_returnflag, l_linenumber""")
+def read_effect_tables_query(spark, d):
+    """A file of probabilities for each (return flag, line number), whose name tells the effects."""
+    li = table(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("a"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0").alias("b"),
+        F.format_string("[%s, %s]", (1 - F.col("l_discount")).cast("string"), F.col("l_discount").cast("string")).alias("probas_lbl_y"))
+    # letters keep the numbers of folder names as text
+    li = li.withColumn("b", F.concat(F.lit("x"), "b"))
+    root = scratch_path(spark, "effects")
+    _named_files(spark, li, root, "csv", lambda a, b: f"con1_lat-{a}-vol_cov-1-cat2_cX{b[1:]}_c1y004_Xy050.csv", header=True)
+    rows = read_effect_tables(spark, f"{root}/*.csv", "probas_lbl_y string")
+    return rows.groupBy("name", "con_name", "cX", "cy", "Xy").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("proba"), 4).alias("proba"))

@@ -20,7 +20,7 @@ from evenkeel.operators.contracts import (
     require_columns,
 )
 from evenkeel.operators.features import category_codes
-from evenkeel.operators.ranking import rank_in_strata, take_per_stratum
+from evenkeel.operators.ranking import flag_by_cutoffs, rank_in_strata, stratum_cutoffs
 from evenkeel.operators.sizing import broadcast_if_small
 from evenkeel.session import cut_lineage
 
@@ -46,11 +46,18 @@ def counterbalance_down(
 
     The smallest class stays whole; the others are sampled without replacement. Tables stacked
     with the columns ``within`` are balanced each for itself, as if they were alone."""
+    keys = [*within, *groups, y]
+    narrow = cut_lineage(df.select(*dict.fromkeys([*keys, id_col])), "stratum-ids")
+    cut = _smallest_class_cut(narrow, groups, y, id_col, seed, within)
+    return flag_by_cutoffs(df, keys, id_col, [seed], cut, ["__keep"]).where("__keep").drop("__keep")
+
+
+def _smallest_class_cut(
+    narrow: DataFrame, groups: Sequence[str], y: str, id_col: str, seed: str | int, within: Sequence[str]
+) -> DataFrame:
+    """Where each class of the stored ``narrow`` is cut to the size of its group's smallest."""
     peers = Window.partitionBy("t", F.struct(F.lit(0), *[f"s.{g}" for g in [*within, *groups]]))
-    kept = take_per_stratum(
-        df, [*within, *groups, y], id_col, [seed], lambda: F.min("n").over(peers), ["__keep"]
-    )
-    return kept.where("__keep").drop("__keep")
+    return stratum_cutoffs(narrow, [*within, *groups, y], id_col, [seed], lambda: F.min("n").over(peers), stored=True)
 
 
 def counterbalance_up(
@@ -59,8 +66,18 @@ def counterbalance_up(
 ) -> DataFrame:
     """Keep all rows and add draws with replacement until every class of a group is as
     large as its largest class. ``within`` as in :func:`counterbalance_down`."""
+    keys = [*within, *groups, y]
+    narrow = cut_lineage(df.select(*dict.fromkeys([*keys, id_col])), "stratum-ids")
+    return repeated(df, keys, id_col, 1 + F.coalesce("__more", F.lit(0)), _copies(narrow, groups, y, id_col, seed, within))
+
+
+def _copies(
+    narrow: DataFrame, groups: Sequence[str], y: str, id_col: str, seed: str | int, within: Sequence[str]
+) -> DataFrame:
+    """(__k, __more): how often rows of the stored ``narrow`` are drawn once more, until every class
+    of a group is as large as its largest; __k holds the row's keys and id."""
     drawn, keys = [*groups, y], [*within, *groups, y]
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     largest = F.max("__n").over(Window.partitionBy(F.struct(F.lit(0), *within, *groups)))
     short = (
         sizes.withColumn("__need", largest - F.col("__n"))
@@ -80,21 +97,40 @@ def counterbalance_up(
         .withColumn("__u", unit_hash(key_text([f"__k.{k}" for k in drawn]), F.col("__i"), seed))
         .select("__k", (F.floor(F.col("__u") * F.col("__n")) + 1).alias("__r"))
     )
-    pool = df.withColumn("__k", F.struct(*keys)).join(short.select("__k"), "__k", "left_semi")
+    times = draws.groupBy("__k", "__r").agg(F.count(F.lit(1)).alias("__more"))
+    pool = narrow.withColumn("__k", F.struct(*keys)).join(short.select("__k"), "__k", "left_semi")
     ranked = rank_in_strata(pool, keys, id_col, seed, rank="__r")
-    copies = draws.join(ranked, ["__k", "__r"]).select(*df.columns)
-    return df.unionByName(copies)
+    return times.join(ranked, ["__k", "__r"]).select(_row_key(keys, id_col).alias("__k"), "__more")
+
+
+def _row_key(keys: Sequence[str], id_col: str) -> Column:
+    """A row's stratum and id as one; nulls inside compare equal."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate([*keys, id_col])])
+
+
+def repeated(df: DataFrame, keys: Sequence[str], id_col: str, times: Column, copies: DataFrame) -> DataFrame:
+    """Every row of ``df`` as often as ``times`` says, an expression that may use the row's __more
+    from ``copies`` (__k, __more)."""
+    met = df.withColumn("__k", _row_key(keys, id_col)).join(broadcast_if_small(copies), "__k", "left")
+    each = F.explode(F.array_repeat(F.lit(0), times.cast("int")))
+    return met.select(*df.columns, each.alias("__i")).drop("__i")
 
 
 def counterbalance_mixed(
     df: DataFrame, y: str, id_col: str, groups: Sequence[str] = (), seed: str | int = 42,
     within: Sequence[str] = (),
 ) -> DataFrame:
-    """Each group goes up or down by the parity of its hash."""
+    """Each group goes up or down by the parity of its hash.
+
+    ``df`` is read twice: for its keys and ids, which both directions share, and for its rows."""
+    keys = [*within, *groups, y]
     up = hash52(key_text(groups), seed) % 2 == 1
-    return counterbalance_up(df.where(up), y, id_col, groups, seed, within).unionByName(
-        counterbalance_down(df.where(~up), y, id_col, groups, seed, within)
-    )
+    narrow = cut_lineage(df.select(*dict.fromkeys([*keys, id_col])), "stratum-ids")
+    copies = _copies(narrow.where(up), groups, y, id_col, seed, within)
+    cut = _smallest_class_cut(narrow.where(~up), groups, y, id_col, seed, within)
+    flagged = flag_by_cutoffs(df, keys, id_col, [seed], cut, ["__keep"])
+    times = F.when(up, 1 + F.coalesce("__more", F.lit(0))).otherwise(F.col("__keep").cast("int"))
+    return repeated(flagged, keys, id_col, times, copies).drop("__keep")
 
 
 METHODS = {

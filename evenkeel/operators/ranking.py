@@ -2,7 +2,8 @@
 
 A plain ``row_number`` over a stratum sorts it in one task. Here a stratum is cut into
 order-preserving buckets; a histogram of (stratum, bucket) gives every bucket's offset,
-and only rows of one bucket are ever sorted together."""
+and only rows of one bucket are ever sorted together. A cut at a quota needs no order at all:
+histograms of ever longer hash prefixes find it."""
 
 from __future__ import annotations
 
@@ -11,9 +12,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.functions.hashing import hash52, hash_bucket
+from evenkeel.functions.hashing import HASH_BITS, hash52, hash_bucket
 from evenkeel.operators.sizing import (
-    MAX_BROADCAST_ROWS,
     ValueStats,
     broadcast_if_small,
     range_bucket,
@@ -21,6 +21,7 @@ from evenkeel.operators.sizing import (
     stratum,
     value_stats,
 )
+from evenkeel.session import cut_lineage
 
 
 def rank_in_strata(
@@ -56,45 +57,65 @@ def rank_in_strata(
     return out.drop("__s", "__b", "__h", "__rn", "__off", "__n")
 
 
+#: Bits of the hash that one histogram tells apart, and rows that are few enough to be sorted.
+PREFIX_BITS, FEW = 11, 64
+
+
+def _deciding(rows: DataFrame, shift: int, need: Callable[[], Column]) -> DataFrame:
+    """Stored (s, t, p, need, c): for each stratum and seed the hash prefix h >> shift that holds the
+    row closing the quota, how many of its ``c`` rows are still needed, by one histogram."""
+    w = Window.partitionBy("s", "t")
+    hist = rows.groupBy("s", "t", F.shiftright("h", shift).alias("p")).agg(F.count(F.lit(1)).alias("c"), F.max("left").alias("left"))
+    hist = hist.withColumn("hi", F.sum("c").over(w.orderBy("p"))).withColumn("n", F.sum("c").over(w)).withColumn("q", need())
+    hist = hist.where((F.col("hi") >= F.col("q")) & (F.col("hi") - F.col("c") < F.col("q")))
+    return cut_lineage(hist.select("s", "t", "p", (F.col("q") - F.col("hi") + F.col("c")).alias("need"), "c"), "cuts")
+
+
 def stratum_cutoffs(
-    df: DataFrame,
-    keys: Sequence[str],
-    id_col: str,
-    seeds: Sequence[str | int],
-    quota: Callable[[], Column],
-    buckets: int | None = None,
+    df: DataFrame, keys: Sequence[str], id_col: str, seeds: Sequence[str | int],
+    quota: Callable[[], Column], few: int = FEW, stored: bool = False,
 ) -> DataFrame:
     """For every stratum and seed the (hash, id) of the row closing the quota.
 
     ``quota`` returns a column over ``n`` (stratum size) and ``s`` (struct of keys).
-    Result: one row per stratum, ``__cut`` maps the seed's position to (h, id). Only the
-    bucket that holds the cut is sorted; the data rows themselves are never shuffled."""
-    b = buckets or shuffle_buckets(df.sparkSession)
-    hashes = F.array(*[hash52(F.col(id_col), s) for s in seeds])
-    long = (
-        df.select(stratum(keys).alias("s"), F.col(id_col).alias("id"), hashes.alias("hs"))
-        .select("s", "id", F.posexplode("hs").alias("t", "h"))
-        .withColumn("b", hash_bucket(F.col("h"), b))
-    )
-    w = Window.partitionBy("s", "t")
-    cuts = (
-        long.groupBy("s", "t", "b")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("hi", F.sum("c").over(w.orderBy("b")))
-        .withColumn("n", F.sum("c").over(w))
-        .withColumn("q", quota())
-        .where((F.col("hi") >= F.col("q")) & (F.col("hi") - F.col("c") < F.col("q")))
-        .select("s", "t", "b", (F.col("q") - F.col("hi") + F.col("c")).alias("need"))
-    )
-    edge = (
-        long.join(broadcast_if_small(cuts), ["s", "t", "b"])
-        .withColumn("rn", F.row_number().over(Window.partitionBy("s", "t").orderBy("h", "id")))
-        .where(F.col("rn") == F.col("need"))
-    )
+    Result: one row per stratum, ``__cut`` maps the seed's position to (h, id).
+
+    A radix selection: a histogram of hash prefixes finds the prefix that decides, and only its rows
+    go on to the next bits, until at most ``few`` are left to be sorted. ``df`` is read once, for
+    its keys and ids, unless it is ``stored`` already; rows are never shuffled but those few."""
+    narrow = df.select(stratum(keys).alias("s"), F.col(id_col).alias("id"))
+    narrow = narrow if stored else cut_lineage(narrow, "stratum-ids")
+    hashes = F.array(*[hash52(F.col("id"), s) for s in seeds])
+    rows = narrow.select("s", "id", F.posexplode(hashes).alias("t", "h")).withColumn("left", F.lit(0).cast("bigint"))
+    shift, need = HASH_BITS - PREFIX_BITS, quota
+    while True:
+        cuts = _deciding(rows, shift, need)
+        at = cuts.select("s", "t", "p", F.col("need").alias("__need"))
+        rows = rows.withColumn("p", F.shiftright("h", shift)).join(broadcast_if_small(at), ["s", "t", "p"])
+        rows = cut_lineage(rows.select("s", "id", "t", "h", F.col("__need").alias("left")), "deciding-rows")
+        if not shift or not cuts.where(F.col("c") > few).limit(1).count():
+            break
+        shift, need = max(0, shift - PREFIX_BITS), lambda: F.col("left")
+    order = F.row_number().over(Window.partitionBy("s", "t").orderBy("h", "id"))
+    edge = rows.withColumn("rn", order).where(F.col("rn") == F.col("left"))
     entry = F.struct("t", F.struct("h", "id").alias("v"))
     return edge.groupBy("s").agg(F.map_from_entries(F.collect_list(entry)).alias("__cut"))
 
 
+def flag_by_cutoffs(
+    df: DataFrame, keys: Sequence[str], id_col: str, seeds: Sequence[str | int], cut: DataFrame, flags: Sequence[str]
+) -> DataFrame:
+    """Add one boolean per seed: does the row come no later than its stratum's cut?"""
+    joined = df.withColumn("s", stratum(keys)).join(broadcast_if_small(cut), "s", "left")
+    for i, (seed, flag) in enumerate(zip(seeds, flags)):
+        at = F.element_at("__cut", F.lit(i))
+        mine = F.struct(
+            hash52(F.col(id_col), seed).alias("h"), F.col(id_col).alias("id")
+        )
+        joined = joined.withColumn(flag, F.coalesce(mine <= at, F.lit(False)))
+    return joined.drop("s", "__cut")
+
+
 def take_per_stratum(
     df: DataFrame,
     keys: Sequence[str],
@@ -102,19 +123,12 @@ def take_per_stratum(
     seeds: Sequence[str | int],
     quota: Callable[[], Column],
     flags: Sequence[str],
-    buckets: int | None = None,
+    few: int = FEW,
 ) -> DataFrame:
     """Add one boolean per seed: is the row within the first ``quota`` of its stratum?
     Ids must be unique within a stratum."""
-    cut = stratum_cutoffs(df, keys, id_col, seeds, quota, buckets)
-    joined = df.withColumn("s", stratum(keys)).join(broadcast_if_small(cut), "s", "left")
-    for i, (seed, flag) in enumerate(zip(seeds, flags)):
-        at = F.element_at("__cut", F.lit(i))
-        mine = F.struct(
-            hash52(F.col(id_col), seed).alias("h"), F.col(id_col).alias("id")
-        )
-        joined = joined.withColumn(flag, F.coalesce(mine <= at, F.lit(False)))
-    return joined.drop("s", "__cut")
+    cut = stratum_cutoffs(df, keys, id_col, seeds, quota, few)
+    return flag_by_cutoffs(df, keys, id_col, seeds, cut, flags)
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -151,21 +165,50 @@ def value_ranks(
     return within.select("s", "v", "n", "below", *carried)
 
 
+#: Values that a thousandth of all rows share are hot, so that there are at most a thousand in a column.
+HOT = 1000
+
+
+def run_ranks(cells: DataFrame) -> DataFrame:
+    """Stored (s, i, v, n, rank): the average rank of each distinct value of ``cells`` (s, i, v) within
+    (s, i), ties sharing their mean rank.
+
+    Equal values are one run with a length. Runs are dealt by ranges of (i, s, v), and each range
+    sums up lengths for itself; only what a group has in earlier ranges is added, at most one
+    row per range. One range partitioning does for all groups and columns."""
+    keys = ["i", "s", "v"]
+    runs = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    dealt = cut_lineage(runs.repartitionByRange(*keys).withColumn("r", F.spark_partition_id()), "runs")
+    before = Window.partitionBy("i", "s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("i", "s", "r").agg(F.sum("n").alias("c")).withColumn("off", F.sum("c").over(before))
+    sums = sums.where("off is not null").select(F.col("i").alias("__i"), F.col("s").alias("__s"), F.col("r").alias("__r"), "off")
+    within = F.sum("n").over(Window.partitionBy("i", "s", "r").orderBy("v")) - F.col("n")
+    same = (F.col("i") == F.col("__i")) & (F.col("s") == F.col("__s")) & (F.col("r") == F.col("__r"))
+    placed = dealt.withColumn("below", within).join(broadcast_if_small(sums), same, "left")
+    rank = F.col("below") + F.coalesce("off", F.lit(0)) + (F.col("n") + 1) / 2
+    return cut_lineage(placed.select(*keys, "n", rank.alias("rank")), "run-ranks")
+
+
 def average_ranks(
     df: DataFrame, columns: Mapping[str, str], keys: Sequence[str] = ()
 ) -> DataFrame:
     """Add the average rank (ties share their mean rank) of several columns within
-    ``keys``; ``columns`` maps each value column to its rank column.
-
-    Every rank table is built from ``df`` itself; tables of few values are broadcast, the
-    others join by value."""
-    stats, out = value_stats(df, list(columns)), df.withColumn("s", stratum(keys))
-    for value, rank in columns.items():
-        ranks = value_ranks(df, keys, value, stats=stats[value]).select(
-            "s", F.col("v").alias("__v"), (F.col("below") + (F.col("n") + 1) / 2).alias(rank)
-        )
-        if stats[value].distinct < MAX_BROADCAST_ROWS:
-            ranks = broadcast_if_small(ranks)
-        out = out.withColumn("__v", F.col(value).cast("double"))
-        out = out.join(ranks, ["s", "__v"], "left").drop("__v")
-    return out.drop("s")
+    ``keys``; ``columns`` maps each value column to its rank column. Null values have none.
+
+    All columns go through the same steps as rows (row, column, value), so that the number of
+    shuffles does not grow with them. Ranks come back to hot values by a broadcast of at most
+    HOT runs a column, to others by a join on the value, and to the rows by one grouping."""
+    rows = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()), "ranked-rows")
+    cells = F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]))
+    long = rows.select("__row", stratum(keys).alias("s"), cells.alias("i", "v")).where("v is not null")
+    # one zero, not two
+    long = cut_lineage(long.withColumn("v", F.col("v") + 0.0), "cells")
+    ranks = run_ranks(long)
+    total = max(1, long.count() // max(1, len(columns)))
+    hot = F.broadcast(ranks.where(F.col("n") * HOT >= total).select("i", "s", "v", "rank"))
+    cold = ranks.where(F.col("n") * HOT < total).select("i", "s", "v", "rank")
+    on = ["i", "s", "v"]
+    met = long.join(hot, on).unionByName(long.join(hot.drop("rank"), on, "left_anti").join(cold, on))
+    found = met.groupBy("__row").agg(*[F.max(F.when(F.col("i") == i, F.col("rank"))).alias(f"__rank{i}") for i in range(len(columns))])
+    out = rows.join(found, "__row", "left")
+    return out.select(*df.columns, *[F.col(f"__rank{i}").alias(c) for i, c in enumerate(columns.values())])

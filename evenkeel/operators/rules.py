@@ -6,11 +6,11 @@ data rows are never shuffled; every draw is a function of the row id and a seed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from evenkeel.functions.hashing import unit_hash
 from evenkeel.functions.vectors import (
@@ -23,9 +23,10 @@ from evenkeel.functions.vectors import (
     zeros,
 )
 from evenkeel.operators.contracts import ContractError, require_no_rows
-from evenkeel.operators.features import categories
+from evenkeel.operators.features import dense_codes
 from evenkeel.operators.frames import LABEL_PREFIX
-from evenkeel.operators.sizing import broadcast_if_small
+from evenkeel.operators.sizing import broadcast_if_small, materialize_small
+from evenkeel.session import cut_lineage
 
 DUMMY_PREFIX = "cov_dummy_"
 CATEGORICAL_SCALE = 2.5  # effect multiplier of categorical parents (fixed value)
@@ -189,23 +190,30 @@ def rules_from_effect(
 def effect_grid(levels: DataFrame, cols: Sequence[str]) -> DataFrame:
     """All combinations of the distinct values of each column.
 
-    The first column's distinct values stay on the cluster, whose tasks unfold the others by
-    one explode per column."""
-    grid = levels.select(cols[0]).where(F.col(cols[0]).isNotNull()).distinct()
-    for c in cols[1:]:
-        typed = F.array(*[F.lit(v) for v in categories(levels, c)]).cast(ArrayType(levels.schema[c].dataType))
-        grid = grid.withColumn(c, F.explode(typed))
+    A combination's number is written in the mixed radix of the columns' sizes, and each digit
+    is the place of a value in its column's stored dictionary. Values neither pass through the driver
+    nor into the plan; the driver counts them."""
+    known = [cut_lineage(dense_codes(levels, c, f"__at{i}"), "levels") for i, c in enumerate(cols)]
+    sizes = [k.count() for k in known]
+    grid, below = levels.sparkSession.range(math.prod(sizes)).withColumnRenamed("id", "__n"), math.prod(sizes)
+    for i, (c, n) in enumerate(zip(cols, sizes)):
+        below //= max(n, 1)
+        place = F.floor(F.col("__n") / below) % max(n, 1)
+        values = known[i].select(F.col(c), F.col(f"__at{i}"))
+        grid = grid.join(broadcast_if_small(values), place == F.col(f"__at{i}")).drop(f"__at{i}")
     return grid.select(*cols)
 
 
 def counterfactual_subsets(sources: DataFrame, name: str = "source") -> DataFrame:
-    """(split, keep): every non-empty proper subset, plus ``test_none`` and ``test_all``."""
-    names = [r[0] for r in sources.select(name).distinct().collect()]
-    n = len(names)
-    arr = F.array(*[F.lit(s) for s in sorted(names)])
-    masks = sources.sparkSession.range(0, 2**n).withColumn(
+    """(split, keep): every non-empty proper subset, plus ``test_none`` and ``test_all``.
+
+    The names are a scalar subquery; only their number is counted on the driver."""
+    names = sources.select(name).where(F.col(name).isNotNull()).distinct()
+    n = names.count()
+    arr = names.agg(F.array_sort(F.collect_list(name))).scalar()
+    masks = sources.sparkSession.range(0, 2**n).withColumn("all", arr).withColumn(
         "keep",
-        F.filter(arr, lambda _, i: F.call_function("shiftright", F.col("id"), i) % 2 == 1),
+        F.filter("all", lambda _, i: F.call_function("shiftright", F.col("id"), i) % 2 == 1),
     )
     split = (
         F.when(F.size("keep") == 0, "test_none")
@@ -234,26 +242,35 @@ def lookup_rules(
     return df.withColumn("state", key).join(small, "state")
 
 
-def attach_rules(df: DataFrame, rules: DataFrame, parent: str, out: str) -> DataFrame:
+def rule_maps(rules: DataFrame) -> DataFrame:
+    """(parent, state, m): all weights of a parent's state as one map<child, w>. Several rules for one
+    parent, state and child add up, once for all lookups.
+
+    A table that proves small is a local one, whose filters and joins cost no job; others are
+    stored. The result may be passed wherever rules are looked up in rows."""
+    if "m" in rules.columns:
+        return rules
+    cells = rules.select("parent", "state", "child", F.posexplode("w").alias("i", "x"))
+    sums = cells.groupBy("parent", "state", "child", "i").agg(F.sum("x").alias("x"))
+    vectors = sums.groupBy("parent", "state", "child").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("w"))
+    whole = vectors.select("parent", "state", "child", F.transform("w", lambda c: c["x"]).alias("w"))
+    maps = whole.groupBy("parent", "state").agg(F.map_from_entries(F.collect_list(F.struct("child", "w"))).alias("m"))
+    local = materialize_small(maps)
+    return cut_lineage(maps, "rule-maps") if local is None else F.broadcast(local)
+
+
+def attach_rules(df: DataFrame, rules: DataFrame, parent: str, out: str, key: str | None = None) -> DataFrame:
     """One map<child, w> column per parent, null where no rule matches; row count kept.
-    Several rules for one state and child add up."""
-    cells = rules.where(F.col("parent") == parent).select("state", "child", F.posexplode("w").alias("i", "x"))
-    sums = cells.groupBy("state", "child", "i").agg(F.sum("x").alias("x"))
-    vectors = sums.groupBy("state", "child").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("w"))
-    whole = vectors.select("state", "child", F.transform("w", lambda c: c["x"]).alias("w"))
-    entry = F.map_from_entries(F.collect_list(F.struct("child", "w")))
-    by_state = whole.groupBy(F.col("state").alias("__state")).agg(entry.alias(out))
-    joined = df.join(
-        broadcast_if_small(by_state), F.col(parent).cast("string") == F.col("__state"), "left"
-    )
-    return joined.drop("__state")
+    ``key`` is the column that holds the parent's state, by default its own."""
+    by_state = rule_maps(rules).where(F.col("parent") == parent).select(F.col("state").alias("__state"), F.col("m").alias(out))
+    return df.join(by_state, F.col(key or parent).cast("string") == F.col("__state"), "left").drop("__state")
 
 
 def rule_weights(
     df: DataFrame, rules: DataFrame, child: str, parents: Sequence[str], k: int, out: str = "w"
 ) -> DataFrame:
     """Sum of the weight vectors of every matching parent; zeros when none matches."""
-    cols = {p: f"__r_{i}" for i, p in enumerate(parents)}
+    cols, rules = {p: f"__r_{i}" for i, p in enumerate(parents)}, rule_maps(rules)
     for p, c in cols.items():
         df = attach_rules(df, rules, p, c)
     found = [F.try_element_at(c, F.lit(child)) for c in cols.values()]
@@ -272,11 +289,10 @@ def _attach_probas(
     that acts for each parent in a row, null for none.
 
     The weights are looked up per parent and summed in the row."""
-    cols = []
+    cols, rules = [], rule_maps(rules)
     for i, (p, actor) in enumerate(actors.items()):
         df = df.withColumn(f"__a{i}", actor)
-        mine = rules.where((F.col("parent") == p) & (F.col("child") == child)).withColumn("parent", F.lit(f"__a{i}"))
-        df = attach_rules(df, mine, f"__a{i}", f"__r{i}")
+        df = attach_rules(df, rules, p, f"__r{i}", f"__a{i}")
         cols.append(F.try_element_at(f"__r{i}", F.lit(child)))
     df = df.withColumn("__p", link_probas(_total(cols, k), link))
     used = [c for i in range(len(actors)) for c in (f"__a{i}", f"__r{i}")]
@@ -343,8 +359,8 @@ def layered_assign(
 
     Roots without a column are drawn uniformly. All layers are projections and broadcast
     lookups in one stage. ``probas_<var>`` holds the distribution, rounded to 2."""
-    rules = broadcast_if_small(rules)
     graph, domain = collect_graph(rules), collect_states(states)
+    rules = rule_maps(rules)
     for var in draw_order(graph, df.columns):
         vals = domain.get(var)
         if not vals:
@@ -373,8 +389,8 @@ def counterfactual_tables(
     independent uniform draw of its states, a disabled confounder adds no weight to
     attributes. The same uniforms are used in every subset, so a
     row and its counterfactual differ by the disabled effects only."""
-    rules = broadcast_if_small(rules)
     graph, domain = collect_graph(rules), collect_states(states)
+    rules = rule_maps(rules)
     given = set(df.columns)
     choices = subsets.agg(F.array_sort(F.collect_list(F.struct("split", "keep")))).scalar()
     for p in direct:  # the stand-in's state and rules are shared by all subsets

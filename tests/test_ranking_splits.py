@@ -83,13 +83,21 @@ def test_average_ranks_in_many_buckets(skewed, monkeypatch, quantiles, target):
     assert (merged.rx_x == merged.rx_y).all() and (merged.rc_x == merged.rc_y).all()
 
 
-def test_average_ranks_without_broadcast(skewed, monkeypatch):
-    monkeypatch.setattr("evenkeel.operators.ranking.MAX_BROADCAST_ROWS", 0)
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_average_ranks_of_cold_and_of_hot_values(skewed, monkeypatch, hot):
+    """All values joined by a shuffle, or all broadcast."""
+    monkeypatch.setattr("evenkeel.operators.ranking.HOT", hot)
     got = {r.id: r.r for r in average_ranks(skewed, {"x": "r"}).collect()}
     want = skewed.toPandas().set_index("id").x.rank().to_dict()
     assert got == want
 
 
+def test_rank_shuffles_do_not_follow_the_columns(spark, skewed):
+    """The plan that brings ranks back to rows has as many exchanges for two columns as for six."""
+    exchanges = lambda n: average_ranks(skewed.select("id", *[(F.col("x") + i).alias(f"x{i}") for i in range(n)]), {f"x{i}": f"r{i}" for i in range(n)})._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert exchanges(2) == exchanges(6)
+
+
 def test_value_ranks_counts_rows_below(skewed):
     got = sorted((r.v, r.n, r.below) for r in value_ranks(skewed, [], "x").collect())
     counts, below = Counter(r.x for r in skewed.collect()), 0

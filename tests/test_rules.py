@@ -195,3 +195,22 @@ def test_node_roles_and_confounders(spark):
 def test_conditional_table_sums_to_hundred(rules, states):
     got = R.conditional_table(rules, states, "seg").groupBy("parent_state", "child").agg(F.sum("percent").alias("s"))
     assert all(r.s == pytest.approx(100) for r in got.collect())
+
+
+def test_grid_of_many_levels_without_value_lists(spark):
+    """More combinations than could be listed; the plan holds no array of values."""
+    levels = spark.range(2500).select(F.col("id").alias("a"), F.concat(F.lit("v"), F.col("id")).alias("b"))
+    grid = R.effect_grid(levels, ["a", "b"])
+    assert grid.count() == 2500 * 2500 and grid.where("a = 7").select("b").distinct().count() == 2500
+    small = R.effect_grid(levels.where("id < 3").select("a", "b", F.when(F.col("a") < 2, F.col("a")).alias("c")), ["a", "b", "c"])
+    assert small.distinct().count() == small.count() == 18
+    assert R.effect_grid(levels.where("a < 0"), ["a", "b"]).count() == 0
+
+
+def test_duplicate_rules_are_summed_once_for_all_lookups(spark):
+    rules = spark.createDataFrame([("p", "s", "c", [1.0, 2.0]), ("p", "s", "c", [0.5, 0.0]), ("p", "t", "c", [3.0, 3.0]), ("q", "s", "c", [7.0, 7.0])], "parent string, state string, child string, w array<double>")
+    maps = R.rule_maps(rules)
+    assert R.rule_maps(maps) is maps
+    rows_ = spark.createDataFrame([(1, "s", "s"), (2, "t", None), (3, None, "x")], "id int, p string, q string")
+    got = {r.id: r.w for r in R.rule_weights(rows_, maps, "c", ["p", "q"], 2).collect()}
+    assert got == {1: [8.5, 9.0], 2: [3.0, 3.0], 3: [0.0, 0.0]}
