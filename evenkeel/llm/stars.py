@@ -41,18 +41,16 @@ def apart_from_main(named: DataFrame) -> DataFrame:
     return cut_lineage(still.where("k > 1").drop("k"), "mixed-buckets")
 
 
-def attempts(
-    found: DataFrame, still: DataFrame, links: DataFrame, tries: int, salt: int, possible: Callable[[Column, Column], Column]
-) -> DataFrame:
-    """Pairs (a, b) of members of ``found`` (bucket, id, mark, root, main) outside the largest
+def attempts(found: DataFrame, still: DataFrame, tries: int, salt: int, possible: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs (a, b) of members of ``found`` (bucket, id, mark, root, main, size) outside the largest
     component of a bucket with members inside, up to ``tries`` per id: a bucket each. In turn
-    a hash chooses the bucket's member and the most ``links`` (a, b) do."""
-    inside = found.where("root = main")
-    linked = F.lit(0)
+    a hash chooses the bucket's member and its centrality does: who is like most others shares
+    many and large buckets."""
+    inside, central = found.where("root = main"), F.lit(0)
     if salt % 2:
-        ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("linked"))
-        inside, linked = inside.join(ends, "id", "left"), F.coalesce("linked", F.lit(0))
-    pick = F.max(F.struct(linked.alias("linked"), F.xxhash64("id", "bucket", F.lit(salt)).alias("place"), F.col("id").alias("rep"), F.col("mark").alias("rep_mark"))).alias("r")
+        inside = inside.join(found.groupBy("id").agg(F.sum("size").alias("central")), "id")
+        central = F.col("central")
+    pick = F.max(F.struct(central.alias("central"), F.xxhash64("id", "bucket", F.lit(salt)).alias("place"), F.col("id").alias("rep"), F.col("mark").alias("rep_mark"))).alias("r")
     reps = inside.groupBy("bucket").agg(pick).select("bucket", "r.rep", "r.rep_mark")
     reps = cut_lineage(reps.join(still.select("bucket", "c"), "bucket"), "component-members")
     order = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("bucket", F.lit(salt))))
@@ -101,10 +99,11 @@ def link(
         still = apart_from_main(named)
         if not still.limit(1).count():
             return labels
-        found = skewed_lookup(named, still, ["bucket"], "c", named.count(), F.col("id")).where("main is not null")
+        sized = still.withColumn("size", F.col("c"))
+        found = skewed_lookup(named, sized, ["bucket"], "c", named.count(), F.col("id")).where("main is not null")
         members = cut_lineage(found, "open-buckets")
         if n < len(tries):
-            met = attempts(members, still, links, tries[n], n, possible)
+            met = attempts(members, still, tries[n], n, possible)
             links = links.unionAll(cut_lineage(confirmed(cut_lineage(met, "pairs")), "confirmed"))
         else:
             apart = cut_lineage(members.where("root <> main").select("id").distinct(), "apart")
