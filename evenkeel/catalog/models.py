@@ -82,7 +82,8 @@ query("fit_logistic")(_classifier("LR"))
 query("fit_logistic_l1")(_classifier("LR", {"penalty": "l1", "C": 0.1}))
 query("fit_linear_svm")(_classifier("SVM"))
 query("fit_forest")(_classifier("RF"))
-query("fit_perceptron")(_classifier("MLP"))
+# the default layers; 100 of the default 1,000 iterations
+query("fit_perceptron")(_classifier("MLP", {"max_iter": 100}))
 
 
 @query("fit_squared_hinge", f"""WITH m AS (SELECT avg(l_quantity) FILTER (l_returnflag = 'R') - avg(l_quantity) FILTER (l_returnflag <> 'R') AS gap FROM lineitem)
