@@ -154,7 +154,8 @@ def op6_proximity(spark, d):
     # op6_decontaminate has the columns of its SQL only
     out = decontaminate.find_contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return out.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), decontaminate.contaminated().alias("contaminated"),
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"),
         F.size("near_items").cast("bigint").alias("n_near_items"), F.array_join("near_items", ",").alias("near_items"),
     )
 

@@ -168,12 +168,25 @@ def find_contamination(
     word's place is counted from the window's place in the document. It has all of ``items``
     and does not count in n_hit. Without ``slop`` they are not looked for, and the column is left out.
 
-    Null texts have no words. Rows of one id are one document, of the most words and all hits.
+    Null texts have no words. Rows of one id are one document, of the most words and all hits;
+    each row without an id is a document of its own.
     Items without words match nothing; items of one id are one item with all their windows, and
     so are those without id, whose name is empty.
     Where either table is empty nothing is hit. Other columns are not read."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    lone = rows.where("id is null")
     tests = item_words(items, item_col, item_text_col)
+    found = contamination(rows.where("id is not null"), tests, window, rare, slop)
+    if lone.limit(1).count():
+        # equal texts have equal results, so the text's digest may stand for the missing id
+        named = lone.select(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("id"), "text")
+        own = contamination(named, tests, window, rare, slop)
+        found = found.unionByName(own.withColumn("id", F.lit(None).cast(rows.schema["id"].dataType)))
+    return found.withColumnRenamed("id", id_col)
+
+
+def contamination(rows: DataFrame, tests: DataFrame, window: int, rare: int, slop: int | None) -> DataFrame:
+    """:func:`find_contamination` of rows (id, text) with ids, for the items of :func:`item_words`."""
     index = cut_lineage(positional_index(rows, tests), "postings")
     rarest = cut_lineage(rarest_terms(tests, index, window, rare), "rarest-terms")
     found = cut_lineage(alignments(index, rarest), "alignments")
@@ -196,7 +209,7 @@ def find_contamination(
         out = out.join(side.withColumnRenamed("id", f"id{i}"), F.col("id").eqNullSafe(F.col(f"id{i}")), "left").drop(f"id{i}")
     lists = ["items"] if slop is None else ["items", "near_items"]
     return out.select(
-        F.col("id").alias(id_col), F.coalesce("n_words", F.lit(0).cast("bigint")).alias("n_words"),
+        "id", F.coalesce("n_words", F.lit(0).cast("bigint")).alias("n_words"),
         F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists],
     )
 

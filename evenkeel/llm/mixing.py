@@ -123,7 +123,8 @@ def draw(rated: DataFrame, size: str, identity: Sequence[str], seed: int | str)
     return out.drop("__h", "__salt", "__at", "__u")
 
 
-def emit(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every row ``copies`` times."""
-    times = F.expr("CASE WHEN copies > 0 THEN array_repeat(0, CAST(copies AS INT)) ELSE array() END")
+def emit(mixed: DataFrame, columns: Sequence[str], copies: str = "copies") -> DataFrame:
+    """Every row as often as its column ``copies`` says."""
+    n = F.col(copies).cast("int")
+    times = F.when(n > 0, F.array_repeat(F.lit(0), n)).otherwise(F.array().cast("array<int>"))
     return mixed.withColumn("__copy", F.explode(times)).select(*columns)

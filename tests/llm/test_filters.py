@@ -150,6 +150,31 @@ def test_passages_with_words_put_between_or_moved_are_near_items(spark):
     assert got == {0: (["3"], ["3"]), 1: ([], ["3"]), 2: ([], ["3"]), 3: ([], []), 4: ([], [])}
 
 
+def test_rows_without_id_are_documents_of_their_own(spark):
+    tests = spark.createDataFrame([(7, "ab cd ef")], "item_id bigint, text string")
+    docs = frame(spark, ["Ab cd ef", "x y", None, "Ab cd ef", "ab cd ef gh"], [None, None, None, None, 1])
+    got = [(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.find_contamination(docs, tests).collect()]
+    assert sorted(got, key=repr) == sorted([
+        (None, 3, 3, ("7",)), (None, 2, 0, ()), (None, 0, 0, ()), (None, 3, 3, ("7",)), (1, 4, 3, ("7",)),
+    ], key=repr)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables not present")
+def test_stages_after_the_first_with_clashing_columns_and_missing_ids(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 60").first().text
+    docs = frame(spark, [item, "clean words here", item, "more of the clean words"], [None, None, 3, 4])
+    docs = docs.withColumns({"copies": F.lit(9), "shard": F.lit("s"), "slot": F.lit("t"), "n_hit": F.lit(0), "digest": F.lit("d")})
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["decontaminate"](spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert rows(kept.select("doc_id", "text")) == rows(docs.where("text like '%clean%'").select("doc_id", "text"))
+    mixed = stages["mix"](spark, docs, SMALL)
+    assert mixed.columns == docs.columns and {r.copies for r in mixed.collect()} <= {9}
+    placed = stages["shard"](spark, docs, SMALL)
+    assert placed.columns == [*(c for c in docs.columns if c not in ("shard", "slot")), "shard", "slot"]
+    assert len({(r.shard, r.slot) for r in placed.collect()}) == 4
+
+
 def test_contamination_odd(spark, odd, none):
     tests = spark.createDataFrame([(7, "ab cd"), (8, "nothing here")], "item_id bigint, text string")
     got = {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.find_contamination(odd, tests).collect()}

@@ -114,6 +114,31 @@ def test_shards_keep_groups_together_and_even(spark, monkeypatch):
     assert set(sizes) == {0, 1, 2, 3} and max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values())
 
 
+@pytest.mark.parametrize("count", [{"shards": 9}, {"capacity": 2000}])
+def test_shards_are_the_same_on_any_cluster(spark, monkeypatch, count):
+    for name, n in (("GROUPS_PER_TASK", 50), ("SLOTS_PER_TASK", 20), ("SHARDS_TOGETHER", 4), ("GRAINS", 16)):
+        monkeypatch.setattr(sharding, name, n)
+    rng = random.Random(9)
+    texts = [prose(rng, rng.randint(1, 20)) for _ in range(300)] + ["same text"] * 20
+    found, parts = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (3, 31):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(rows(sharding.shard_rows(frame(spark, texts).repartition(n), **count)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert found[0] == found[1] and len(found[0]) == 320
+    sizes = Counter()
+    for _, size, _, shard, _ in found[0]:
+        sizes[shard] += size
+    assert sorted(sizes) == list(range(len(sizes)))
+    if "shards" in count:
+        # ranges of about 50 units each differ by chance
+        assert len(sizes) == 9 and max(sizes.values()) < 1.5 * min(sizes.values())
+    else:
+        assert max(sizes.values()) <= 2000 and len(sizes) <= -(-sum(sizes.values()) // 2000) + 6
+
+
 def test_fixed_capacity_opens_few_shards(spark):
     rng = random.Random(8)
     texts = ["x" * rng.randint(5, 300) + str(i) for i in range(200)]
@@ -126,7 +151,7 @@ def test_placed_rows_have_slots_of_their_own(spark, odd, none):
     assert sharding.shard_rows(odd, shards=3).count() == 12
     repeated = frame(spark, ["a b", "a b", "a b", "c"], [1, 1, 2, None], sources=["q"] * 4)
     got = sharding.place_rows(repeated, shards=2)
-    assert got.columns == [*repeated.columns, "shard", "slot"] or got.columns[-2:] == ["shard", "slot"]
+    assert got.columns == [*(c for c in repeated.columns if c != "shard"), "shard", "slot"]
     assert len({tuple(r)[-2:] for r in got.collect()}) == 4
     assert sharding.shard_rows(none, shards=3).count() == 0
     with pytest.raises(ValueError):
