@@ -1,8 +1,9 @@
 """Documents to training shards: five stages, each written and read again before the next.
 
 A stage decides on all rows that its predecessor kept and returns the columns of documents; the
-last adds shard and slot. Rows without a doc_id cannot be told apart and are kept by the
-deduplicating and decontaminating stages. Columns beyond those of documents pass through."""
+last adds shard and slot, which replace columns of these names. Rows without a doc_id are kept by
+the deduplicating stage, which names documents by it; the others judge each by its text. Columns beyond
+those of documents pass through."""
 
 from __future__ import annotations
 
@@ -43,21 +44,30 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with at least a twentieth of their words in benchmark windows go."""
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=None)
-    gone = cut_lineage(found.where(decontaminate.contaminated()).select("doc_id").distinct(), "contaminated")
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+    def clean(rows: DataFrame, key: str) -> DataFrame:
+        found = decontaminate.find_contamination(rows, items, id_col=key, slop=None)
+        gone = cut_lineage(found.where(decontaminate.contaminated()).select(key).distinct(), "contaminated")
+        return rows.join(broadcast_if_small(gone), key, "left_anti").select(*docs.columns)
+
+    lone = docs.where("doc_id is null")
+    if not lone.limit(1).count():
+        return clean(docs, "doc_id")
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return clean(docs.where("doc_id is not null"), "doc_id").unionByName(clean(lone.withColumn("__digest", digest), "__digest"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target asks for."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(cut_lineage(sized, "word-counts"), CYCLE, "source", "size", ["doc_id"], seed=SEED)
-    times = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("copies"))
+    times = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
     same = [
         F.col("doc_id").eqNullSafe(F.col("__id")), F.col("source").eqNullSafe(F.col("__source")),
         word_count(F.col("text")) == F.col("__size"),
     ]
-    return mixing.emit(docs.join(times.where("copies > 0"), same), docs.columns)
+    return mixing.emit(docs.join(times.where("__copies > 0"), same), docs.columns, "__copies")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
