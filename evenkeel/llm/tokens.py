@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -9,6 +10,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,28 @@ CACHED_PIECES = 400_000
 MARKS = (",", ".")
 JOINED = 256
 LONGEST_CACHED = 64
+#: Texts are encoded together up to so many characters; a longer one by itself.
+ENCODED_TOGETHER = 2_000_000
+# What a vocabulary does to texts before it joins letters, for which pieces
+# between spaces are independent and letters are lower-cased.
+NORMALIZERS = ("NFC", "Replace", "Lowercase")
+SPACES = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+WORDS = {
+    "type": "Split", "behavior": "Removed", "invert": True,
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+}
+
+
+def independent(spec: dict) -> bool:
+    """Whether the vocabulary's own description says that texts are lower-cased, white space is
+    only a gap and no token reaches over one."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return (
+        tuple(s["type"] for s in steps) == NORMALIZERS and steps[1] == SPACES
+        and splits[:1] == [WORDS] and all(s["type"] == "ByteLevel" and not s["add_prefix_space"] for s in splits[1:])
+        and not any(" " in t["content"] or "\n" in t["content"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+    )
 
 
 def stem(piece: str) -> tuple[str, str]:
@@ -36,16 +61,18 @@ def stem(piece: str) -> tuple[str, str]:
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The vocabulary never joins over a space or line end, so a text's ids are those of its
-    pieces between them one after another. A piece is encoded once as long as it is in one of
-    two generations of known pieces; a full one replaces the older one, from which pieces met
-    again move over."""
+    A vocabulary that is :func:`independent` never joins over a space or line end, so a text's
+    ids are those of its pieces between them one after another. The pieces of many texts are
+    made, numbered and put together as whole columns; a distinct one is encoded once as long as
+    it is in one of two generations of known pieces; a full one replaces the older one, from
+    which pieces met again move over. Any other vocabulary encodes whole texts."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_pieces = independent(json.loads(self.tokenizer.to_str()))
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks = {"": b"", **dict(zip(MARKS, self._encode(list(MARKS))))}
@@ -64,27 +91,49 @@ class Encoder:
                 yield data[at:cut]
                 at = cut
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        found = list(map(self.cache.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
         cache, older = self.cache, self.older
-        new = {p for pieces in split for p in pieces if p not in cache}
-        known = new & older.keys()
-        cache.update((p, older[p]) for p in known)
-        stems = {p: stem(p) for p in new - known}
-        roots = {s for s, _ in stems.values() if s not in cache}
-        known = roots & older.keys()
-        cache.update((s, older[s]) for s in known)
-        roots = sorted(roots - known)
-        cache.update(zip(roots, self._encode(roots)))
-        cache.update((p, cache[s] + self.marks[mark]) for p, (s, mark) in stems.items())
-        out = [b"".join([cache[p] for p in pieces]) for pieces in split]
-        for p in {*stems, *roots}:
-            if len(p) > LONGEST_CACHED:
-                del cache[p]
+        stems: list[tuple[int, str, str]] = []
+        roots: dict[str, bytes | None] = {}
+        for i in new:
+            p = pieces[i]
+            ids = found[i] = older.get(p)
+            if ids is None:
+                root, mark = stem(p)
+                stems.append((i, root, mark))
+                roots[root] = None
+            else:
+                cache[p] = ids
+        unknown = []
+        for root in roots:
+            ids = roots[root] = cache.get(root) or older.get(root)
+            if ids is None:
+                unknown.append(root)
+        roots.update(zip(unknown, self._encode(unknown)))
+        for i, root, mark in stems:
+            found[i] = roots[root] + self.marks[mark]
+            if len(pieces[i]) <= LONGEST_CACHED:
+                cache[pieces[i]] = found[i]
+                cache[root] = roots[root]
         if len(cache) > CACHED_PIECES:
             self.cache, self.older = {}, cache
-        return out
+        return found
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Per text its ids as little-endian unsigned 32-bit integers."""
+        if not self.by_pieces:
+            found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        lines = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
+        split = pc.split_pattern(lines, " ")
+        coded = pc.dictionary_encode(split.flatten())
+        pieces = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        codes = coded.indices.to_numpy().tolist()
+        cuts = (split.offsets.to_numpy() - split.offsets[0].as_py()).tolist()
+        return [b"".join(map(pieces.__getitem__, codes[a:b])) for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -148,8 +197,8 @@ def write_tokens(
 
         size = 0
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                some = batch.iloc[at : at + 200]
+            total = batch["text"].str.len().cumsum()
+            for _, some in batch.groupby(total.sub(1).clip(lower=0) // ENCODED_TOGETHER, sort=True):
                 for i, found in zip(some["id"], encode(some["text"].tolist())):
                     ids += [found, stop]
                     doc_ids.append(None if pd.isna(i) else int(i))

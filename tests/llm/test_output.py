@@ -197,3 +197,27 @@ def test_token_files_equal_whole_text_encoding(spark, odd, none, tmp_path, monke
     assert [r.doc_id for r in tokens.read_documents(files, str(tmp_path / "o")).orderBy("start").collect()][:3] == [None, None, 0]
     files = tokens.write_tokens(none, str(tmp_path / "n"), path)
     assert tokens.read_documents(files, str(tmp_path / "n")).count() == 0
+
+
+def test_pieces_equal_whole_texts_and_other_vocabularies_are_told_apart(monkeypatch):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 300)
+    monkeypatch.setattr(tokens, "LONGEST_CACHED", 12)
+    rng = random.Random(12)
+    marks = ("", ".", ",", "..", "\n", "  ", "́", "É'S", "<|endoftext|>", " ", " ", "İ", "x" * 40, "7,", "don't.", "\r\n\t")
+    texts = ["".join(rng.choice([prose(rng, 2), rng.choice(marks), " "]) for _ in range(40)) for _ in range(150)] + ["", " ", "\n"]
+    for name, known in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        encode, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+        assert encode.by_pieces is known
+        want = [np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        for at in range(0, len(texts), 40):
+            assert encode(texts[at : at + 40]) == want[at : at + 40]
+        assert encode([]) == []
+    spec = json.loads(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).to_str())
+    assert tokens.independent(spec)
+    assert not tokens.independent({**spec, "normalizer": None}) and not tokens.independent({**spec, "pre_tokenizer": None})
