@@ -5,16 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from hashlib import md5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.functions.hashing import hash52, unit_hash
+from evenkeel.functions.hashing import unit_hash
 from evenkeel.functions.names import effect_position, family
 from evenkeel.functions.stats import clip, logit, percent_log_odds
 from evenkeel.functions.text import basename
-from evenkeel.operators.contracts import key_text
 from evenkeel.operators.features import ordinal_encode
 from evenkeel.operators.frames import filter_allowed
 from evenkeel.operators.ranking import average_ranks, top_n
@@ -438,40 +436,32 @@ POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.98
                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
 
 
-#: Cells that a group's rows are summed into before they are drawn; a prime for the draws.
-BOOT_CELLS, BOOT_PRIME = 4096, (1 << 31) - 1
-
-
 def bootstrap_ci(
     df: DataFrame, keys: Sequence[str], value: str, id_col: str, replicates: int = 200,
     seed: str | int = 42,
 ) -> DataFrame:
     """Mean with a percentile bootstrap interval.
 
-    A hash of the id deals each group's rows to BOOT_CELLS cells, whose counts and sums are all
-    that is resampled: a replicate is a pair of sums over cells with Poisson(1) weights. Cells are
-    random groups of rows, so that the spread of replicates has the same expectation as with
-    weights of rows, within about 2 %, and groups of fewer rows than cells are resampled nearly
-    row by row. Work beyond one pass follows groups times cells, not rows.
-
-    Weights come from a pairwise independent hash of the cell per replicate, which the spread of
-    a sum depends on alone."""
+    Every row gets a Poisson(1) weight of its own in every replicate, which is a pair of weighted
+    sums. One hash gives a row's weights of four replicates; rows are repeated per block of four
+    inside the task that reads them, and only sums are shuffled. The digits of a hash are compared
+    as text: eight digits exceed a share of 2**32 where their text exceeds that of its whole part."""
     v = F.col(value).cast("double")
-    cell = hash52(F.col(id_col), "cell", seed) % BOOT_CELLS
-    cells = df.where(v.isNotNull()).groupBy(*keys, cell.alias("__cell")).agg(F.count(F.lit(1)).alias("__n"), F.sum(v).alias("__s"))
-    cells = cells.withColumn("__h", hash52(key_text([*keys, "__cell"]), seed) % BOOT_PRIME)
-    number = lambda x, k: int(md5(f"{x}:{k}:{seed}".encode()).hexdigest()[:13], 16)  # noqa: E731 - as hash52
-    draws = [(k, 1 + number("a", k) % (BOOT_PRIME - 1), number("b", k) % BOOT_PRIME) for k in range(replicates)]
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for k, a, b in draws]))
-    drawn = cells.select(*keys, "__n", "__s", "__h", each.alias("r"))
-    u = ((F.col("r.a") * F.col("__h") + F.col("r.b")) % BOOT_PRIME).cast("double") / float(BOOT_PRIME)
-    drawn = drawn.withColumn("__u", u)
-    weight = reduce(lambda a, c: a + (F.col("__u") > c).cast("int"), POISSON_CDF, F.lit(0))
-    sums = drawn.withColumn("__w", weight).groupBy(*keys, F.col("r.k").alias("__k")).agg(
-        F.try_divide(F.sum(F.col("__w") * F.col("__s")), F.sum(F.col("__w") * F.col("__n"))).alias("__m"),
-        (F.sum("__s") / F.sum("__n")).alias("__mean"),
+    blocks = F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1))
+    each = df.where(v.isNotNull()).select(*keys, v.alias("__v"), F.col(id_col).cast("string").alias("__id"), F.explode(blocks).alias("__k"))
+    each = each.withColumn("__h", F.md5(F.concat_ws(":", "__id", F.concat(F.lit("boot"), F.col("__k").cast("string")), F.lit(str(seed)))))
+    limits = [f"{int(c * (1 << 32)):08x}" for c in POISSON_CDF]
+    each = each.select(*keys, "__v", "__k", *[F.substring("__h", 8 * i + 1, 8).alias(f"__u{i}") for i in range(4)])
+    # few digits exceed the later limits, so they are compared one after another
+    over = lambda u, i=0: F.when(u <= limits[i], i).otherwise(over(u, i + 1) if i + 1 < len(limits) else len(limits))
+    each = each.select(*keys, "__v", "__k", *[over(F.col(f"__u{i}")).alias(f"__w{i}") for i in range(4)])
+    sums = [F.try_divide(F.sum(F.col(f"__w{i}") * F.col("__v")), F.sum(f"__w{i}")) for i in range(4)]
+    cells = each.groupBy(*keys, "__k").agg(F.array(*sums).alias("__m"), F.avg("__v").alias("__mean"))
+    wanted = F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.when(F.col("__k") * 4 + i < replicates, F.get("__m", i)))
+    found = cells.groupBy(*keys).agg(
+        F.array_sort(F.filter(F.flatten(F.collect_list(wanted)), lambda x: x.isNotNull())).alias("__m"),
+        F.max(F.when(F.col("__k") == 0, F.col("__mean"))).alias("mean"),
     )
-    found = sums.groupBy(*keys).agg(F.array_sort(F.collect_list("__m")).alias("__m"), F.max("__mean").alias("mean"))
 
     def at(q: float) -> Column:
         return F.element_at("__m", F.greatest(F.lit(1), F.ceil(F.size("__m") * q).cast("int")))

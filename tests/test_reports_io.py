@@ -151,6 +151,24 @@ def test_bootstrap_intervals_cover_as_often_as_they_should(spark):
     assert whole.upper - whole.lower == pytest.approx(2 * 1.96 * 2 / np.sqrt(60_000), rel=0.25)
 
 
+def test_bootstrap_weighs_every_row(spark):
+    """Each row has its own weight in each replicate, from the md5 of its id."""
+    from hashlib import md5
+
+    data = [(i, float((i * 37) % 101)) for i in range(300)]
+    means = []
+    for k in range(30):
+        n = total = 0.0
+        for i, v in data:
+            u = int(md5(f"{i}:boot{k // 4}:42".encode()).hexdigest()[8 * (k % 4) : 8 * (k % 4) + 8], 16) / 2**32
+            w = sum(u > c for c in P.POISSON_CDF)
+            n, total = n + w, total + w * v
+        means.append(total / n)
+    got = P.bootstrap_ci(spark.createDataFrame(data, "id long, v double"), [], "v", "id", 30).first()
+    means.sort()
+    assert (got.lower, got.upper) == (pytest.approx(means[0]), pytest.approx(means[29]))
+
+
 def test_profile_of_odd_columns(spark):
     df = spark.createDataFrame([(0.0, None, "a"), (-0.0, None, "b"), (float("nan"), None, None), (0.04, None, "a")], "x double, none string, s string")
     prof = {r.column: (r.n_distinct, r.chart) for r in P.column_profile(df, df.columns).collect()}
