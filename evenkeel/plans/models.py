@@ -51,6 +51,7 @@ from evenkeel.operators.metrics import accuracy, r2
 from evenkeel.operators.sizing import broadcast_if_small
 from evenkeel.operators.splits import stratified_holdout
 from evenkeel.plans.batched import fit_vectors
+from evenkeel.plans.forests import BinnedForest, fit_forest
 
 NO_PARAMS: Mapping[str, Any] = MappingProxyType({})
 # Default model settings (fixed values).
@@ -136,7 +137,7 @@ class Fitted:
     """A fitted model with its encoder; ``regression`` tells what ``p`` means."""
 
     encoder: Encoder
-    model: Model | MarginModel
+    model: Model | MarginModel | BinnedForest
     label: str
     regression: bool
     classes: int
@@ -195,6 +196,12 @@ class MarginModel:
         return df.withColumn("__margin", margin).withColumn("prediction", (F.col("__margin") > 0).cast("double"))
 
 
+def _forest_size(params: Mapping[str, Any], regression: bool) -> tuple[int, int]:
+    """Trees and their depth. A classifier's are not limited; Spark's ceiling stands for that."""
+    trees = int(params.get("n_estimators", FOREST_TREES if regression else 100))
+    return trees, int(params.get("max_depth", FOREST_DEPTH if regression else DEEPEST))
+
+
 def _estimator(kind: str, params: Mapping[str, Any], regression: bool, width: int,
                classes: int, n: int, y_std: float, seed: int | None):
     cols = {"featuresCol": "features", "labelCol": "__y"}
@@ -220,9 +227,7 @@ def _estimator(kind: str, params: Mapping[str, Any], regression: bool, width: in
         )
     if kind == "RF":
         forest = RandomForestRegressor if regression else RandomForestClassifier
-        trees = int(params.get("n_estimators", FOREST_TREES if regression else 100))
-        # A classifier's trees are not limited; Spark's ceiling stands for that.
-        depth = int(params.get("max_depth", FOREST_DEPTH if regression else DEEPEST))
+        trees, depth = _forest_size(params, regression)
         return forest(numTrees=trees, maxDepth=depth, seed=seed or 0, **cols)
     if kind == "MLP" and not regression:
         hidden = params.get("hidden_layer_sizes", HIDDEN_LAYERS)
@@ -256,10 +261,14 @@ def fit_model(
             coef, intercept = fit_vectors(rows, "features", "__y", "squared_hinge", float(params.get("C", 1.0)), encoder.width)
             model = MarginModel(DenseVector(coef), intercept)
         else:
-            est = _estimator(
-                kind, params, regression, encoder.width, classes, n, float(y_std or 0.0), seed
-            )
-            model = est.fit(rows)
+            model = None
+            if kind == "RF":
+                model = fit_forest(rows, sum(encoder.sizes), encoder.width, classes, *_forest_size(params, regression), seed or 0)
+            if model is None:
+                est = _estimator(
+                    kind, params, regression, encoder.width, classes, n, float(y_std or 0.0), seed
+                )
+                model = est.fit(rows)
     finally:
         base.unpersist()
     return Fitted(encoder, model, label, regression, classes, n)
