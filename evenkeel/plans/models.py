@@ -15,11 +15,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml import Model, Pipeline
-from pyspark.ml.classification import (
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     PCA,
@@ -52,6 +48,7 @@ from evenkeel.operators.sizing import broadcast_if_small
 from evenkeel.operators.splits import stratified_holdout
 from evenkeel.plans.batched import fit_vectors
 from evenkeel.plans.forests import BinnedForest, fit_forest
+from evenkeel.plans.perceptron import Perceptron, fit_perceptron
 
 NO_PARAMS: Mapping[str, Any] = MappingProxyType({})
 # Default model settings (fixed values).
@@ -137,7 +134,7 @@ class Fitted:
     """A fitted model with its encoder; ``regression`` tells what ``p`` means."""
 
     encoder: Encoder
-    model: Model | MarginModel | BinnedForest
+    model: Model | MarginModel | BinnedForest | Perceptron
     label: str
     regression: bool
     classes: int
@@ -229,12 +226,6 @@ def _estimator(kind: str, params: Mapping[str, Any], regression: bool, width: in
         forest = RandomForestRegressor if regression else RandomForestClassifier
         trees, depth = _forest_size(params, regression)
         return forest(numTrees=trees, maxDepth=depth, seed=seed or 0, **cols)
-    if kind == "MLP" and not regression:
-        hidden = params.get("hidden_layer_sizes", HIDDEN_LAYERS)
-        return MultilayerPerceptronClassifier(
-            layers=[width, *hidden, classes], maxIter=int(params.get("max_iter", MLP_ITER)),
-            seed=seed or 0, **cols
-        )
     raise ValueError(f"no distributed {'regressor' if regression else 'classifier'} {kind!r}; "
                      "models: LR, SVM (classes), RF, MLP (classes)")
 
@@ -264,6 +255,9 @@ def fit_model(
             model = None
             if kind == "RF":
                 model = fit_forest(rows, sum(encoder.sizes), encoder.width, classes, *_forest_size(params, regression), seed or 0)
+            elif kind == "MLP" and not regression:
+                layers = [encoder.width, *params.get("hidden_layer_sizes", HIDDEN_LAYERS), classes]
+                model = fit_perceptron(rows, layers, int(params.get("max_iter", MLP_ITER)), seed or 0)
             if model is None:
                 est = _estimator(
                     kind, params, regression, encoder.width, classes, n, float(y_std or 0.0), seed
