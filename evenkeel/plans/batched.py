@@ -368,9 +368,12 @@ def _ridge(loss: str, penalty: str | None, params: Mapping[str, Any], c: float,
     return float(params.get("alpha", 1.0 / c)) * n if loss == "squares" else 1.0 / c
 
 
-def predict_runs(stored: DataFrame, fits: RunFits, id_col: str, keep: Sequence[str] = ()) -> DataFrame:
+def predict_runs(stored: DataFrame, fits: RunFits, id_col: str, keep: Sequence[str] = (), counted: bool = False) -> DataFrame:
     """(run, eval_set, id, y, p, pred, probas, ..keep) of every run's training, test and holdout rows,
-    in one scan; a row trained on several times comes as often."""
+    in one scan; a row trained on several times comes as often.
+
+    ``counted`` gives (run, eval_set, y, p, n) instead, for two classes or values: a task counts equal
+    predictions where a block has few."""
     plan, wanted = fits.layout, fits.fitted()
     columns = {i: np.array([0, *[j for _, j in plan.names(fits.runs[i].features)]]) for i in wanted}
     raw = {i: fits.problems[i].raw() for i in wanted}
@@ -380,6 +383,37 @@ def predict_runs(stored: DataFrame, fits: RunFits, id_col: str, keep: Sequence[s
     schema = f"run int, eval_set string, id {kinds['id']}, y double, p double, pred double, probas array<double>"
     schema += "".join(f", {c} {kinds[c]}" for c in keep)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_blocks(batches):
+            a, times = plan.matrix(batch), {}
+            own, fold = row_state(batch)
+            y = pc.fill_null(batch.column("__y"), float("nan")).to_numpy(zero_copy_only=False)
+            sets = batch.column("__set").dictionary_encode()
+            names = pa.array(["train", "test", *sets.dictionary.to_pylist()], pa.string())
+            held = pc.fill_null(sets.indices, -2).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+            for i in wanted:
+                m = trained(batch, runs[i], own, fold, times)
+                n = np.where(own & (fold != runs[i].trial), m, 1).astype(np.int64)
+                at = np.flatnonzero(n)
+                if not len(at):
+                    continue
+                z = a[np.ix_(at, columns[i])] @ raw[i][:, 0]
+                p, n, truth = z if regression else 0.5 * (1 + np.tanh(z / 2)), n[at], y[at]
+                part = np.where(own[at], (fold[at] == runs[i].trial).astype(np.int64), held[at])
+                some, own_p = np.unique(p, return_inverse=True)
+                if not regression and 2 * len(some) <= len(p):
+                    code = (own_p * len(names) + part) * 3 + np.where(np.isnan(truth), 2, truth).astype(np.int64)
+                    codes, back = np.unique(code, return_inverse=True)
+                    n = np.bincount(back, n).astype(np.int64)
+                    p, part, truth = some[codes // 3 // len(names)], codes // 3 % len(names), np.array([0.0, 1.0, np.nan])[codes % 3]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(p), i, dtype=np.int32)), names.take(pa.array(part)), pa.array(truth, from_pandas=True), pa.array(p), pa.array(n)],
+                    names=["run", "eval_set", "y", "p", "n"],
+                )
+
+    if counted:
+        return rows.drop("id", *keep).mapInArrow(count, "run int, eval_set string, y double, p double, n bigint")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_blocks(batches):
             a, times = plan.matrix(batch), {}
@@ -413,6 +447,11 @@ def predict_runs(stored: DataFrame, fits: RunFits, id_col: str, keep: Sequence[s
     return rows.mapInArrow(run, schema)
 
 
+def each_counted(pred: DataFrame) -> DataFrame:
+    """The rows that counted predictions stand for; they are repeated where they are aggregated."""
+    return pred.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("__i", "n")
+
+
 # --- one run over a vector column -----------------------------------------------------------
 
 def fit_vectors(df: DataFrame, features: str, label: str, loss: str, c: float, width: int) -> tuple[np.ndarray, float]:

@@ -19,7 +19,7 @@ from evenkeel.operators.features import dense_codes, infer_task, label_index
 from evenkeel.operators.frames import model_frame
 from evenkeel.operators.metrics import score_predictions
 from evenkeel.operators.splits import stratified_holdout, stratified_kfold
-from evenkeel.plans.batched import Layout, Run, fit_runs, layout, predict_runs
+from evenkeel.plans.batched import Layout, Run, each_counted, fit_runs, layout, predict_runs
 from evenkeel.plans.models import NO_PARAMS, fit_model, predict_tagged
 from evenkeel.session import cut_lineage
 
@@ -114,18 +114,22 @@ def _together(
     tags = ["dataset", "out", "inp", "trial", "model", "model_params", "type"]
     about = spark.createDataFrame(rows, "run int, dataset string, out string, inp string, trial int, model string, model_params string, type string, n_samples bigint, seed string, runtime double")
     tagged = lambda df: df.join(F.broadcast(about.select("run", *tags)), "run")  # noqa: E731 - one row per run
-    pred = predict_runs(stored, fits, id_col, keep)
+    # scores need no more than y, p and the rows' number, unless they hold p against the truth
+    counted = not with_predictions and (classes or 0) <= 2 and not (keep and "loglikelihood_ratio" in [m if isinstance(m, str) else m[0] for m in metrics])
+    pred = predict_runs(stored, fits, id_col, keep, counted)
     pred = pred.withColumnRenamed("__p_true", "p_true") if keep else pred
     if with_predictions or "roc_auc" in metrics:
         pred = cut_lineage(pred, "predictions")
+    if counted:
+        pred = each_counted(pred)
     long = tagged(cut_lineage(score_predictions(pred, ["run", "eval_set"], metrics, classes), "scores"))
     cells = [(i, name, value) for i in fits.fitted() for name, value in fits.coefficients(i)]
     table = tagged(spark.createDataFrame(cells, "run int, feature string, coef double"))
-    if not keep:
+    if not keep and not counted:
         pred = pred.withColumn("p_true", F.lit(None).cast("double"))
     return (
         long.select(*tags, "eval_set", "metric", "value"), table.select(*tags, "feature", "coef"),
-        tagged(pred).select(*tags, "eval_set", "id", "y", "p", "pred", "probas", "p_true"), about.select(*tags, "n_samples", "seed", "runtime"),
+        None if counted else tagged(pred).select(*tags, "eval_set", "id", "y", "p", "pred", "probas", "p_true"), about.select(*tags, "n_samples", "seed", "runtime"),
     )
 
 

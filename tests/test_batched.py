@@ -173,3 +173,30 @@ def test_rows_without_label_and_nulls(spark):
     df = spark.createDataFrame(rows, "id int, lbl string, x double, g string")
     found = estimate_associations(df, "id", ["lbl"], {"all": ["x", "g"]}, folds=2)
     assert found.scores.where("value is null").count() == 0 and found.runs.agg(F.sum("n_samples")).first()[0] == 180
+
+
+def test_scores_of_counted_predictions_are_those_of_all_rows(spark, monkeypatch):
+    """Where inputs are categories, few distinct predictions leave a task, and stand for all rows."""
+    from pyspark.sql import functions as F
+
+    from evenkeel.plans import runs
+
+    df = spark.range(900).select("id", F.concat(F.lit("g"), F.col("id") % 4).alias("g"), (F.col("id") % 7 < F.col("id") % 4).cast("int").alias("y"), F.rand(3).alias("x"))
+    held = df.withColumn("y", F.when(F.col("id") % 5 > 0, F.col("y")))
+    made = []
+    inner = runs.predict_runs
+
+    def spy(*args):
+        found = inner(*args)
+        made.append((args[-1], found.count()))
+        return found
+
+    monkeypatch.setattr(runs, "predict_runs", spy)
+    options = dict(holdouts={"held": held}, controls={"downsample": ["g"], "upsample": ["g"]}, metrics=("balanced_accuracy", "d2", "logodds_mae", "roc_auc"), folds=2)
+    for inputs in (["g"], ["g", "x"]):
+        got = [runs.estimate_associations(df, "id", ["y"], {"a": inputs}, with_predictions=full, **options).scores.toPandas() for full in (False, True)]
+        both = got[0].merge(got[1], on=[c for c in got[0].columns if c != "value"])
+        assert len(both) == len(got[0]) == len(got[1]) > 0
+        assert (both.value_x - both.value_y).abs().max() < 1e-9 and both.value_x.notna().all()
+    (few, n), (_, every) = made[:2]
+    assert few and n * 5 < every
