@@ -26,8 +26,6 @@ BAND_BINS = 7
 LEAST_SKETCHED = 64
 #: Shingles of more sets than this come last in the order of rarity, by their number of sets.
 OFTEN = 16
-#: Prefixes up to this length are compared whole before a pair is made.
-SHORT_PREFIX = 256
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -188,34 +186,53 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def exact_links(apart: DataFrame, others: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """All linked pairs (a, b) of ids of ``apart`` and of ``others``, which holds those too.
-
-    A prefix-filter join on the full sets: sorted by rarity, two sets of the similarity share one
-    of the first n - ceil(similarity * n) + 1 shingles of each, at places that leave enough
-    shingles behind in both. Sets that differ from all others start with shingles of their own,
-    so that common passages make no pairs."""
-    theirs = cut_lineage(sets.join(others, "id", "left_semi").withColumn("n", F.size("set")), "apart-sets")
-    each = theirs.select("id", "n", F.explode("set").alias("s"))
-    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > OFTEN)
-    ranked = each.join(broadcast_if_small(cut_lineage(often, "frequent-shingles")), "s", "left")
-    least = lambda n: F.ceil(n * similarity / 100).cast("int")
+    """All linked pairs (a, b) of an id of ``apart`` (id, main) and one of ``others`` (id, main,
+    pivot) of the same main, or a chain of links that connects them; ``others`` holds those of
+    ``apart`` too, and a main has one pivot.
+
+    Sets are compared by what sets them apart from their pivot P. Where x lacks r of P's shingles
+    and has a others, and D(x) holds both, two sets share |P| - r(x) - r(y) + |D(x) & D(y)|
+    shingles. With s = similarity / (100 + similarity) and w = s * a + (1 - s) * r they are linked
+    if |D(x) & D(y)| >= w(x) + w(y) - (1 - 2 * s) * |P|. For the pivot itself w is 0 and D empty, so
+    that x is linked to it if w(x) <= (1 - 2 * s) * |P|. Any other x must share more than w(y) shingles
+    of D(y) with each y that it is linked to, and is held against those by a prefix-filter join:
+    sorted by rarity, the first shingle that both share is one of the first |D| - t + 1 of each, if
+    they must share t. What a whole group has in common so makes no pairs."""
+    scale = 100 + similarity
+    theirs = cut_lineage(others.join(sets, "id"), "apart-sets")
+    pivots = sets.join(others.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi")
+    pivots = cut_lineage(pivots.select(F.col("id").alias("pivot"), F.col("set").alias("p")), "pivot-sets")
+    lack, more = F.array_except("p", "set"), F.array_except("set", "p")
+    rest = theirs.join(pivots, "pivot").select(
+        "main", "id", "pivot", F.concat(lack, more).alias("d"), (F.size(more) * similarity + F.size(lack) * 100).cast("bigint").alias("w"),
+        (F.size("p") * (100 - similarity)).cast("bigint").alias("room"),
+    )
+    rest = cut_lineage(rest.join(apart.withColumn("asks", F.lit(True)), ["main", "id"], "left"), "residuals")
+    near = rest.where("w <= room and id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    asking = rest.where("asks and w > room")
+    rest = rest.join(cut_lineage(asking.select("main").distinct(), "open-mains"), "main", "left_semi")
+    each = rest.select("main", "id", "w", "room", F.coalesce("asks", F.lit(False)).alias("asks"), F.size("d").alias("n"), F.explode("d").alias("s"))
+    often = each.groupBy("main", "s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > OFTEN)
+    ranked = each.join(broadcast_if_small(cut_lineage(often, "frequent-shingles")), ["main", "s"], "left")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "s")))
-    prefix = ranked.groupBy("id", "n").agg(F.transform(F.slice(order, 1, F.col("n") - least(F.col("n")) + 1), lambda x: x["s"]).alias("p"))
-    short = F.when(F.size("p") <= SHORT_PREFIX, F.col("p")).alias("p")
-    prefix = cut_lineage(prefix.select("id", "n", F.size("p").alias("len"), short, F.posexplode("p").alias("at", "s")), "prefixes")
-    side = lambda rows, k: rows.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "len", "p", "at")])
-    both = [F.col("s_a") == F.col("s_b"), F.col("id_a") != F.col("id_b")]
-    needed = F.ceil((F.col("n_a") + F.col("n_b")) * similarity / (100 + similarity))
-    both.append(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity)
-    both.append(F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed)
-    # a pair is made at the first shingle that its prefixes share, if those and all behind them suffice
-    common = F.array_intersect("p_a", "p_b")
-    behind = F.greatest(F.col("n_a") - F.col("len_a"), F.col("n_b") - F.col("len_b"))
-    enough = (F.get(common, F.lit(0)) == F.col("s_a")) & (F.size(common) + behind >= needed)
-    both.append(F.col("p_a").isNull() | F.col("p_b").isNull() | enough)
-    met = side(prefix.join(apart, "id", "left_semi"), "a").withColumnRenamed("s", "s_a").join(side(prefix, "b").withColumnRenamed("s", "s_b"), both)
-    met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
-    return confirmed(cut_lineage(met.distinct(), "pairs"), sets, similarity)
+    ranked = ranked.groupBy("main", "id", "w", "room", "asks", "n").agg(order.alias("order"))
+    # places up to which the first common shingle may stand: as one of ``others``, and as one of ``apart``
+    there, here = F.col("n") - F.floor(F.col("w") / scale), F.col("n") - F.ceil((F.col("w") - F.col("room")) / scale) + 1
+    ranked = ranked.withColumn("there", there).withColumn("here", F.when(F.col("asks") & (F.col("w") > F.col("room")), here).otherwise(0))
+    first = F.slice("order", 1, F.greatest("there", "here").cast("int"))
+    prefix = ranked.select("main", "id", "w", "room", "n", "there", "here", F.posexplode(first).alias("at", "x"))
+    prefix = cut_lineage(prefix.withColumn("s", F.col("x.s")).drop("x"), "prefixes")
+    side = lambda rows, k: rows.select(*[F.col(c).alias(f"{c}_{k}") for c in ("main", "s", "id", "w", "room", "n", "at")])
+    common = F.col("w_x") + F.col("w_y") - F.col("room_x")
+    left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    both = [F.col("main_x") == F.col("main_y"), F.col("s_x") == F.col("s_y"), F.col("id_x") != F.col("id_y"), left * scale >= common]
+    met = side(prefix.where("at < here"), "x").join(side(prefix.where("at < there"), "y"), both)
+    met = cut_lineage(met.select(F.col("main_x").alias("main"), F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), "pairs")
+    for end in ("a", "b"):
+        held = rest.select("main", F.col("id").alias(end), F.col("d").alias(f"d_{end}"), F.col("w").alias(f"w_{end}"), F.col("room").alias(f"room_{end}"))
+        met = met.join(held, ["main", end])
+    shared = F.size(F.array_intersect("d_a", "d_b")) * scale
+    return near.unionAll(met.where(shared >= F.col("w_a") + F.col("w_b") - F.col("room_a")).select("a", "b"))
 
 
 def possible(similarity: int, bins: int):

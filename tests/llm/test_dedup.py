@@ -170,6 +170,20 @@ def test_pairs_of_a_large_group_are_linear(spark, monkeypatch, tries):
         assert sum(made) < 80 * n  # n * n / 2 would be 350 * n
 
 
+def test_members_just_below_the_similarity_make_few_pairs(spark, monkeypatch):
+    """A group around one text, most pairs of which lie a little below the similarity: those that
+    are near nobody are not compared with the whole group."""
+    rng = random.Random(12)
+    base = prose(rng, 160).split()
+    texts = [" ".join(base)] + [edited(rng, base, 2 + i % 3) for i in range(300)]
+    made, cut = [], neardup.cut_lineage
+    store = lambda df, name: (out := cut(df, name), made.append(out.count() if name == "pairs" else 0))[0]
+    monkeypatch.setattr(neardup, "cut_lineage", store)
+    got = rows(neardup.near_duplicates(frame(spark, texts)))
+    assert got == sorted(near_brute(texts), key=repr)
+    assert 50 < sum(r[0] == r[2] for r in got) and sum(made) < 10 * len(texts)
+
+
 def python_simhash(hashes):
     return sum(1 << b for b in range(62) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
