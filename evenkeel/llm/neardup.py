@@ -24,6 +24,8 @@ BAND_BINS = 7
 #: Smaller sets are not held to the sketch test: few values fill all bins, so that the number of
 #: bins apart varies more.
 LEAST_SKETCHED = 64
+#: Words of a map in which a set's shingles are bits; a power of two.
+MAP_WORDS = 4
 #: Shingles of more sets than this come last in the order of rarity, by their number of sets.
 OFTEN = 16
 
@@ -185,6 +187,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return sized.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * similarity).select("a", "b")
 
 
+def bitmap(hashes: Column) -> list[Column]:
+    """MAP_WORDS words of 64 bits in which each hash of an array sets one bit."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))
+    of = lambda k: F.filter(hashes, lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(MAP_WORDS - 1)) == k)
+    return [F.aggregate(of(k), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(bit(x))).alias(f"m{k}") for k in range(MAP_WORDS)]
+
+
 def exact_links(apart: DataFrame, others: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """All linked pairs (a, b) of an id of ``apart`` (id, main) and one of ``others`` (id, main,
     pivot) of the same main, or a chain of links that connects them; ``others`` holds those of
@@ -197,7 +206,8 @@ def exact_links(apart: DataFrame, others: DataFrame, sets: DataFrame, similarity
     that x is linked to it if w(x) <= (1 - 2 * s) * |P|. Any other x must share more than w(y) shingles
     of D(y) with each y that it is linked to, and is held against those by a prefix-filter join:
     sorted by rarity, the first shingle that both share is one of the first |D| - t + 1 of each, if
-    they must share t. What a whole group has in common so makes no pairs."""
+    they must share t. What a whole group has in common so makes no pairs. A bit that only one map of
+    the two has is a shingle that they do not share, and rules out most others."""
     scale = 100 + similarity
     theirs = cut_lineage(others.join(sets, "id"), "apart-sets")
     pivots = sets.join(others.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi")
@@ -211,6 +221,7 @@ def exact_links(apart: DataFrame, others: DataFrame, sets: DataFrame, similarity
     near = rest.where("w <= room and id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
     asking = rest.where("asks and w > room")
     rest = rest.join(cut_lineage(asking.select("main").distinct(), "open-mains"), "main", "left_semi")
+    maps = [f"m{k}" for k in range(MAP_WORDS)]
     each = rest.select("main", "id", "w", "room", F.coalesce("asks", F.lit(False)).alias("asks"), F.size("d").alias("n"), F.explode("d").alias("s"))
     often = each.groupBy("main", "s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > OFTEN)
     ranked = each.join(broadcast_if_small(cut_lineage(often, "frequent-shingles")), ["main", "s"], "left")
@@ -221,11 +232,15 @@ def exact_links(apart: DataFrame, others: DataFrame, sets: DataFrame, similarity
     ranked = ranked.withColumn("there", there).withColumn("here", F.when(F.col("asks") & (F.col("w") > F.col("room")), here).otherwise(0))
     first = F.slice("order", 1, F.greatest("there", "here").cast("int"))
     prefix = ranked.select("main", "id", "w", "room", "n", "there", "here", F.posexplode(first).alias("at", "x"))
-    prefix = cut_lineage(prefix.withColumn("s", F.col("x.s")).drop("x"), "prefixes")
-    side = lambda rows, k: rows.select(*[F.col(c).alias(f"{c}_{k}") for c in ("main", "s", "id", "w", "room", "n", "at")])
+    prefix = prefix.withColumn("s", F.col("x.s")).drop("x").join(rest.select("main", "id", *bitmap(F.col("d"))), ["main", "id"])
+    prefix = cut_lineage(prefix, "prefixes")
+    side = lambda rows, k: rows.select(*[F.col(c).alias(f"{c}_{k}") for c in ("main", "s", "id", "w", "room", "n", "at", *maps)])
     common = F.col("w_x") + F.col("w_y") - F.col("room_x")
     left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     both = [F.col("main_x") == F.col("main_y"), F.col("s_x") == F.col("s_y"), F.col("id_x") != F.col("id_y"), left * scale >= common]
+    for k, other in (("x", "y"), ("y", "x")):
+        own = sum((F.bit_count(F.col(f"{m}_{k}").bitwiseAND(F.bitwise_not(f"{m}_{other}"))) for m in maps), F.lit(0))
+        both.append((F.col(f"n_{k}") - own) * scale >= common)
     met = side(prefix.where("at < here"), "x").join(side(prefix.where("at < there"), "y"), both)
     met = cut_lineage(met.select(F.col("main_x").alias("main"), F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), "pairs")
     for end in ("a", "b"):
