@@ -267,6 +267,39 @@ def test_lines_of_one_edit_similarity_are_linked_whatever_their_words(spark):
     assert all(got[i + 400] == i + 400 for i in range(400) if i not in near and bases[i] != others[i])
 
 
+def test_groups_by_edit_similarity_equal_brute_force(spark):
+    rng = random.Random(33)
+    bases = [prose(rng, rng.randint(5, 60)) for _ in range(25)]
+    docs = []
+    for _ in range(60):
+        b = rng.choice(bases)
+        docs.append("\n".join([typed(rng, b, rng.randint(0, len(b) // 25)), "\t" + rng.choice(bases).upper() + "  "]))
+    norm = {(i, n): " ".join(x.lower().split()) for i, d in enumerate(docs) for n, x in enumerate(d.split("\n"))}
+    texts = sorted(set(norm.values()))
+    alike = lambda a, b: abs(len(a) - len(b)) <= max(len(a), len(b)) // 10 and levenshtein(a, b) <= max(len(a), len(b)) * 10 // 100
+    found = dict(zip(texts, roots(len(texts), [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if alike(a, b)])))
+    places = defaultdict(list)
+    for p, x in norm.items():
+        places[found[x]].append(p)
+    want = [(*p, *min(g), len(g), p == min(g)) for g in places.values() for p in g]
+    assert rows(lines.group_lines(frame(spark, docs), distance=None)) == sorted(want, key=repr)
+
+
+def test_lines_stand_by_few_pieces(spark, monkeypatch):
+    """Long lines have no more pieces than short ones; those that no line of a like length shares are not stored."""
+    rng = random.Random(34)
+    texts = [prose(rng, n) for n in (8, 30, 60, 200, 600) for _ in range(20)]
+    made, cut = {}, lines.cut_lineage
+    monkeypatch.setattr(lines, "cut_lineage", lambda df, name: (out := cut(df, name), made.setdefault(name, out.count()))[0])
+    got = lines.group_lines(frame(spark, texts), distance=None)
+    assert got.count() == len(texts) and got.where("not kept").count() == 0
+    # about 70 keys a line were stored, whether shared or not
+    assert made["shared-pieces"] < 35 * len(texts)
+    measured = lines.measured(frame(spark, texts), "doc_id", "text")
+    each = {r.h: r["count"] for r in lines.pieces(measured, 90).groupBy("h").count().collect()}
+    assert len(each) == len(texts) and sum(each.values()) < 45 * len(texts) and max(each.values()) < 110
+
+
 def test_lines_odd(odd, none):
     got = {(r.doc_id, r.line, r.keep_id, r.group_size, r.kept) for r in lines.group_lines(odd).collect()}
     assert {(5, 0, 5, 3, True), (6, 0, 5, 3, False), (3, 0, 3, 2, True), (7, 0, 7, 1, True)} <= got
