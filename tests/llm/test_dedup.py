@@ -1,6 +1,7 @@
 """Exact, near and line deduplication against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.llm import exact, lines, neardup, stars
 from evenkeel.llm.graph import components
+from evenkeel.session import shared_dir
 
 
 def roots(n, pairs):
@@ -300,6 +302,42 @@ def test_lines_stand_by_few_pieces(spark, monkeypatch):
     assert len(each) == len(texts) and sum(each.values()) < 45 * len(texts) and max(each.values()) < 110
 
 
+def test_lines_with_one_common_phrase_are_not_compared(spark, monkeypatch):
+    """Lines that have one piece in common make no pairs, near ones among them are linked all the same; texts are not kept."""
+    rng = random.Random(35)
+    texts = []
+    for _ in range(300):
+        words = prose(rng, rng.randint(45, 50)).split()
+        texts.append(" ".join(words[:20] + ["unsubscribe-at-any-time"] + words[20:]))
+    near = [typed(rng, x, len(x) // 25) for x in texts[:40]]
+    made, cut, folder = [], stars.cut_lineage, shared_dir(spark).removeprefix("file:")
+    monkeypatch.setattr(stars, "cut_lineage", lambda df, name: (out := cut(df, name), made.append(out.count() if name == "pairs" else 0))[0])
+    before = set(os.listdir(folder))
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    got = {r.doc_id: r.keep_id for r in lines.group_lines(frame(spark, texts + near), distance=None).collect()}
+    assert got == {i: i for i in range(300)} | {300 + i: i for i in range(40)}
+    # every two of them were compared, or as many as are of a like length
+    assert sum(made) < 2 * len(texts)
+    assert not [x for x in set(os.listdir(folder)) - before if x.startswith("distinct-lines")]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_pairs_are_ruled_out_and_accepted_as_edit_distance_does(spark):
+    rng = random.Random(36)
+    bases = [prose(rng, rng.randint(3, 70)) for _ in range(60)]
+    pairs = [(x, y) for x in bases for y in (rng.choice(bases), edited(rng, x.split(), 2), typed(rng, x, max(1, len(x) // rng.randint(6, 14))))]
+    pairs += [("a" * 150, "b" * 150), ("ab " * 60, "ab " * 66), ("x", "y")]
+    rows_ = [(a, b, max(len(a), len(b)) // 10) for a, b in pairs]
+    df = spark.createDataFrame(rows_, "a string, b string, room int")
+    a, b, room = F.col("a"), F.col("b"), F.col("room")
+    found = df.select("*", lines.may_be_near(a, b, room).alias("may"), lines.near_by_words(a, b, room).alias("near")).collect()
+    assert len(found) == len(pairs)
+    for r in found:
+        within = levenshtein(r.a, r.b) <= r.room
+        assert (r.may or not within) and (within or not r.near), r
+    assert any(not r.may for r in found) and any(r.near for r in found)
+
+
 def test_lines_odd(odd, none):
     got = {(r.doc_id, r.line, r.keep_id, r.group_size, r.kept) for r in lines.group_lines(odd).collect()}
     assert {(5, 0, 5, 3, True), (6, 0, 5, 3, False), (3, 0, 3, 2, True), (7, 0, 7, 1, True)} <= got
