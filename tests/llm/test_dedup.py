@@ -338,6 +338,41 @@ def test_pairs_are_ruled_out_and_accepted_as_edit_distance_does(spark):
     assert any(not r.may for r in found) and any(r.near for r in found)
 
 
+def test_marks_and_parts_agree_with_edit_distance(spark):
+    """Marks rule out no pair within the room, and parts accept no pair beyond it."""
+    rng = random.Random(37)
+    bases = [prose(rng, rng.randint(3, 90)) for _ in range(60)]
+    pairs = [(x, y) for x in bases for y in (rng.choice(bases), edited(rng, x.split(), 2), typed(rng, x, max(1, len(x) // rng.randint(6, 14))))]
+    pairs += [("e" * n, "e" * (n + k)) for n in (20, 130, 300) for k in (0, 1, 13, 14, 30)] + [("é" * 40 + "e", "è" * 40 + "t"), ("ab " * 60, "ab " * 66), ("x", "y")]
+    rows_ = [(a, b, max(len(a), len(b)) // 10, len(a), len(b)) for a, b in pairs]
+    df = spark.createDataFrame(rows_, "a string, b string, room int, n int, m int")
+    mark = lambda text, n: F.struct(F.col(n).alias("n_chars"), *lines.codes_of(F.col(text)))
+    df = df.withColumn("x", mark("a", "n")).withColumn("y", mark("b", "m"))
+    parts = lines.near_by_parts(F.col("a"), F.col("b"), F.col("room"))
+    found = df.select("a", "b", "room", lines.may_be_alike(F.col("x"), F.col("y"), 90).alias("may"), parts.alias("near")).collect()
+    assert len(found) == len(pairs)
+    for r in found:
+        within = levenshtein(r.a, r.b) <= r.room
+        assert (r.may or not within) and (within or not r.near), r
+    assert any(not r.may for r in found) and any(r.near for r in found)
+
+
+def test_connected_lines_and_lines_of_other_letters_are_not_compared(spark, monkeypatch):
+    """Of a group of near lines few pairs are compared; those of other letters are none, whatever pieces they share."""
+    rng = random.Random(38)
+    bases = [prose(rng, 50) for _ in range(6)]
+    texts = [typed(rng, x, 4) for x in bases for _ in range(20)]
+    phrase = "all of these notes begin alike and end so too "
+    other = [phrase + rng.choice(letters) * 25 + " " + rng.choice(letters) * 24 for letters in ("ea", "ot", "ni") for _ in range(20)]
+    other = list(dict.fromkeys(other))
+    made, cut = defaultdict(list), lines.cut_lineage
+    monkeypatch.setattr(lines, "cut_lineage", lambda df, name: (out := cut(df, name), made[name].append(out.count()))[0])
+    got = {r.doc_id: r.keep_id for r in lines.group_lines(frame(spark, texts + other), distance=None).collect()}
+    assert got == {i: i // 20 * 20 for i in range(120)} | {120 + i: 120 + i for i in range(len(other))}
+    # all pairs that share pieces were compared before
+    assert 1100 < sum(made["sharing-pairs"]) < 1200 and sum(made["best-pairs"]) + made["other-pairs"][-1] < 200
+
+
 def test_lines_odd(odd, none):
     got = {(r.doc_id, r.line, r.keep_id, r.group_size, r.kept) for r in lines.group_lines(odd).collect()}
     assert {(5, 0, 5, 3, True), (6, 0, 5, 3, False), (3, 0, 3, 2, True), (7, 0, 7, 1, True)} <= got
